@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.llm import exact_dedup
+from mensura.llm import bpe, exact_dedup
 from mensura.llm.common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the 50k byte ranks, and back to bytes; digests of both."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents; of each the largest doc_id stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
