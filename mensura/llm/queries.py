@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.llm import bpe, exact_dedup
+from mensura.llm import bpe, exact_dedup, token_output
 from mensura.llm.common import table
 
 
@@ -20,9 +20,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents, read back: where each document starts, its ids' length and crc."""
+    folder = token_output.new_folder(spark)
+    token_output.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
+    return token_output.read_shards(spark, folder)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_token_output": op9_token_output,
 }
 
 ORACLES = {
