@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that Spark hands to Python at once; keeps a batch of very long texts in memory.
 BATCH_ROWS = 2000
@@ -188,3 +189,63 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> lis
         else:
             out.append(np.zeros(0, _U))
     return out
+
+
+# ---- samples to learn from -----------------------------------------------------------------
+
+
+def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """About ``most`` rows (all, if there are no more), chosen by a hash of ``key``.
+
+    The same rows at every partitioning. The expected number is exact, so a tenth more than
+    ``most`` doesn't happen in practice from a thousand rows on.
+    """
+    total = df.count()
+    if total <= most:
+        return df
+    share = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return df.where(share < most / total)
+
+
+def fold(id_col: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns _id, _text, _y: a bounded sample of the rows with a label, joined with their texts.
+
+    The sample is taken before the join, so the side that is broadcast has ``most`` rows or so.
+    """
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
+    few = bounded_sample(known, "_id", most)
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return texts.join(F.broadcast(few), "_id")
+
+
+#: Upper to lower case for ASCII, as a table; Latin-1 letters are two bytes and lowered apart.
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """ASCII and Latin-1 letters in lower case, byte for byte; the rest unchanged."""
+    out = LOWER[data]
+    if len(out) > 1:
+        wide = np.flatnonzero(data[:-1] == 0xC3) + 1
+        wide = wide[(data[wide] >= 0x80) & (data[wide] <= 0x9E) & (data[wide] != 0x97)]
+        out[wide] += 0x20
+    return out
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True that stay inside one text."""
+    if not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    step = np.zeros(len(inside) + 1, bool)
+    step[1:-1] = inside[1:] != inside[:-1]
+    step[0] = step[-1] = True
+    step[offsets] = True
+    edges = np.flatnonzero(step)
+    on = inside[edges[:-1]]
+    return edges[:-1][on], edges[1:][on]

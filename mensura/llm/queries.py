@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mensura.llm import bpe, exact_dedup, token_output
-from mensura.llm.common import table
+from mensura.llm import bpe, exact_dedup, quality, token_output, toxicity
+from mensura.llm.common import fold, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +16,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def _classified(scores: DataFrame, folds: int, held: int, least: float) -> DataFrame:
+    return scores.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "score", F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    return _classified(toxicity.toxicity(docs, docs, labels), 5, 0, 0.5)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents; of each the largest doc_id stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels of four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    return _classified(quality.quality(docs, docs, labels), 5, 0, 0.3)
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents, read back: where each document starts, its ids' length and crc."""
     folder = token_output.new_folder(spark)
@@ -29,7 +48,9 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_toxicity": op3_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_quality": op8_quality,
     "op9_token_output": op9_token_output,
 }
 
