@@ -93,7 +93,7 @@ class Model:
 
 
 def _choose(sample: DataFrame, n: int) -> list[int]:
-    """The n features that tell the labels apart best, by presence counts over the sample.
+    """The n features whose shares differ most between the labels, in standard errors.
 
     Each task adds up its own texts first; what is shuffled is a row for each feature and task.
     """
@@ -113,9 +113,9 @@ def _choose(sample: DataFrame, n: int) -> list[int]:
     sizes = {r._y: r.n for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     counts = sample.select("_text", "_y").mapInArrow(count, "feature bigint, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    odds = F.abs(F.log(((F.col("pos") + 0.5) / pos) / ((F.col("neg") + 0.5) / neg)))
-    score = (F.col("pos") / pos + F.col("neg") / neg) * odds
-    best = counts.where(F.col("pos") + F.col("neg") >= 3).orderBy(score.desc(), "feature").limit(n)
+    spread = F.sqrt((F.col("pos") + F.col("neg") + 2) / (pos + neg) * (1 / pos + 1 / neg))
+    score = F.abs(F.col("pos") / pos - F.col("neg") / neg) / spread
+    best = counts.where(F.col("pos") + F.col("neg") >= 2).orderBy(score.desc(), "feature").limit(n)
     return [r.feature for r in best.select("feature").collect()]
 
 
@@ -139,11 +139,12 @@ def _fit(x: np.ndarray, moved: np.ndarray, y: np.ndarray, rows: np.ndarray, ridg
     return w[:-1], float(w[-1])
 
 
-def train(sample: DataFrame, terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS, n_features: int = FEATURES, ridge: float = 2e-5, fairness: float = 1.0) -> Model:
+def train(sample: DataFrame, terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS, n_features: int = FEATURES, ridge: float = 0.3, fairness: float = 1.0) -> Model:
     """Fits the classifier on columns _text and _y of a bounded sample (see labelled_texts).
 
     What comes to the driver are two bit rows of n_features bits for each sampled row. Without
-    rows of both labels the model scores every text by the share of label 1.
+    rows of both labels the model scores every text by the share of label 1. ridge is that of the
+    summed loss, so its weight falls as the sample grows.
     """
     sample = sample.persist()
     try:
@@ -174,7 +175,7 @@ def train(sample: DataFrame, terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS,
     x = unpack([r.x for r in rows]).astype(np.float32)
     changed = np.array([i for i, r in enumerate(rows) if r.x != r.other], np.int64)
     moved = x[changed] - unpack([rows[i].other for i in changed]).astype(np.float32) if len(changed) else np.zeros((0, n), np.float32)
-    weights, bias = _fit(x, moved, y, changed, ridge, fairness)
+    weights, bias = _fit(x, moved, y, changed, ridge / len(y), fairness)
     return Model(np.array(hashes, np.int64), weights, bias)
 
 
