@@ -168,27 +168,65 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return words, np.searchsorted(starts, offsets)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its k-word shingles.
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's k-word shingles in order, repeats included, and their bounds (len+1).
 
     A text with fewer than k words has its whole sequence as one shingle, one without words none.
     """
     words, at = word_hashes(data, offsets)
+    count = np.diff(at)
+    out_at = np.concatenate([[0], np.cumsum(np.where(count >= k, count - k + 1, count > 0))]).astype(np.int64)
+    out = np.zeros(out_at[-1], _U)
     if len(words) >= k:
         grams = words[: len(words) - k + 1] * _PLACES[0]
         for j in range(1, k):
             grams += words[j : len(words) - k + 1 + j] * _PLACES[j]
         grams = mix(grams, k)
-    out = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        if b - a >= k:
-            own = np.sort(grams[a : b - k + 1])
-            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
-        elif b > a:
-            out.append(mix(np.array([(words[a:b] * _PLACES[: b - a]).sum(dtype=_U)], _U), 1000 + b - a))
-        else:
-            out.append(np.zeros(0, _U))
-    return out
+        long = np.flatnonzero(count >= k)
+        sizes = count[long] - k + 1
+        source = np.repeat(at[:-1][long] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        target = np.repeat(out_at[:-1][long] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        out[target] = grams[source]
+    for i in np.flatnonzero((count > 0) & (count < k)).tolist():
+        own = words[at[i] : at[i + 1]]
+        out[out_at[i]] = mix(np.array([(own * _PLACES[: len(own)]).sum(dtype=_U)], _U), 1000 + len(own))[0]
+    return out, out_at
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles."""
+    hashes, at = shingles(data, offsets, k)
+    return [np.unique(hashes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+_LOWER_BYTES = bytes(LOWER)
+
+
+def exact_shingles(text: str | None, k: int = SHINGLE) -> set[bytes]:
+    """The shingles themselves, words joined by a space; for checks of single texts."""
+    words = (text or "").encode().translate(_LOWER_BYTES).split()
+    if len(words) < k:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+
+class Probe:
+    """Membership of 64-bit hashes in a sorted array: a bit table first, then a search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.bits = max(10, min(24, int(16 * len(self.keys)).bit_length()))
+        self.table = np.zeros(1 << self.bits, bool)
+        self.table[(self.keys >> _U(64 - self.bits)).astype(np.int64)] = True
+
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``hashes`` of those that are keys, and which keys they are."""
+        maybe = np.flatnonzero(self.table[(hashes >> _U(64 - self.bits)).astype(np.int64)])
+        if not len(maybe):
+            return maybe, maybe
+        key = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
+        on = self.keys[key] == hashes[maybe]
+        return maybe[on], key[on]
 
 
 # ---- samples to learn from -----------------------------------------------------------------

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import bpe, exact_dedup, quality, token_output, toxicity
+from mensura.llm import bpe, decontamination, exact_dedup, language, quality, token_output, toxicity
 from mensura.llm.common import fold, table
 
 
@@ -16,6 +16,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which a document has three quarters of the shingles, over all documents."""
+    return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _classified(scores: DataFrame, folds: int, held: int, least: float) -> DataFrame:
     return scores.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "score", F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"))
 
@@ -27,6 +32,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.toxicity(docs, docs, labels), 5, 0, 0.5)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from two folds of three."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identified(docs, language.train(docs.where(fold("doc_id", 3) != 1)))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents; of each the largest doc_id stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
@@ -48,13 +60,29 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_language": op4_language,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_quality": op8_quality,
     "op9_token_output": op9_token_output,
 }
 
+#: DuckDB: the distinct five-word shingles s of each row of a table of (id, text).
+SHINGLES_SQL = """
+    SELECT id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+    FROM (SELECT id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM ({0}))
+"""
+
 ORACLES = {
+    "op2_decontamination": f"""
+        WITH d AS ({SHINGLES_SQL.format("SELECT doc_id AS id, text FROM documents")}),
+             b AS ({SHINGLES_SQL.format("SELECT item_id AS id, text FROM benchmark")}),
+             n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
+        SELECT d.id AS doc_id, b.id AS item_id, any_value(n.n) AS n_item_shingles, count(*) AS n_shared, count(*) / any_value(n.n) AS containment
+        FROM d JOIN b USING (s) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING 100 * count(*) >= 75 * any_value(n.n)
+    """,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
