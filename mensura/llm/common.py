@@ -6,7 +6,9 @@ UTF-8 buffer, and numpy runs over that buffer. Nothing here looks beyond the bat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -287,3 +289,126 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     edges = np.flatnonzero(step)
     on = inside[edges[:-1]]
     return edges[:-1][on], edges[1:][on]
+
+
+# ---- stored tables, counts of hashes over all documents, components ------------------------
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read back: cut from its lineage."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def packed(ascending: np.ndarray) -> bytes:
+    """An ascending array of unsigned integers as differences, 32 bits each where they fit."""
+    steps = np.diff(ascending, prepend=_U(0))
+    wide = len(steps) and int(steps[1:].max(initial=0)) >= 1 << 32
+    return b"\1" + steps.tobytes() if wide else b"\0" + steps[:1].tobytes() + steps[1:].astype(np.uint32).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if data[0]:
+        return np.cumsum(np.frombuffer(data, _U, -1, 1), dtype=_U)
+    if len(data) < 9:
+        return np.zeros(0, _U)
+    return np.cumsum(np.concatenate([np.frombuffer(data, _U, 1, 1), np.frombuffer(data, np.uint32, -1, 9).astype(_U)]), dtype=_U)
+
+
+#: Leading bits of a hash that are compared when hashes are counted over all documents. Two
+#: hashes that agree in them only make a count too high, which no caller takes for a match.
+COUNT_BITS = 48
+CHUNK_BYTES = 4 << 20
+
+HashesOf = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Columns id, text and chunk, a number that depends on the row alone; and how many chunks."""
+    n = parts_for(docs, CHUNK_BYTES)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    key = F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text")))
+    return rows.withColumn("chunk", F.pmod(key, F.lit(n)).cast("int")), n
+
+
+def known(table: pa.Table) -> pa.Table:
+    """A chunk's rows in an order that depends on them alone (texts of one id by their hash)."""
+    table = table.combine_chunks()
+    digest = pa.array([zlib.crc32(t) for t in table.column("text").cast(pa.binary()).to_pylist()], pa.int64())
+    return table.append_column("_c", digest).sort_by([("id", "ascending"), ("_c", "ascending")])
+
+
+def ordered_hashes(table: pa.Table, hashes_of: HashesOf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sorted rows with an id: all distinct hashes per document, their document, and the
+    order that sorts them by hash."""
+    n = len(table) - table.column("id").null_count
+    data, offsets = raw(table.column("text").slice(0, n))
+    hashes, owner = [], []
+    for i, j in slices(offsets):
+        h, at = hashes_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        hashes.append(h)
+        owner.append(np.repeat(np.arange(i, j), np.diff(at)))
+    hashes = np.concatenate(hashes) if hashes else np.zeros(0, _U)
+    owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+    return hashes, owner, np.argsort(hashes, kind="stable")
+
+
+def hash_counts(chunks: DataFrame, n_chunks: int, hashes_of: HashesOf) -> DataFrame:
+    """How many documents hold each hash: (chunk, bucket, counts), counts up to 255, one byte for
+    each hash of the chunk in ascending order.
+
+    ``hashes_of`` gives a batch's hashes, distinct in each document. Every chunk sends its sorted
+    hashes in blocks by leading bits; a bucket's blocks meet in one task, which sorts them together
+    and answers each block. A hash travels once per chunk and document that has it, so a bucket
+    holds about one n-th of all hashes whatever their skew below a chunk's size.
+    """
+    n_buckets = max(1, n_chunks // 2)
+    edges = ((np.arange(1, n_buckets, dtype=object) << COUNT_BITS) // n_buckets).astype(_U) if n_buckets > 1 else np.zeros(0, _U)
+
+    def send(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk")[0].as_py()
+        hashes, _, order = ordered_hashes(known(table), hashes_of)
+        top = hashes[order] >> _U(64 - COUNT_BITS)
+        cuts = np.concatenate([[0], np.searchsorted(top, edges), [len(top)]]).tolist()
+        rows = [(b, packed(top[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int32()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "hashes": pa.array([h for _, h in rows], pa.binary())})
+
+    def answer(table: pa.Table) -> pa.Table:
+        blocks = [unpacked(h) for h in table.column("hashes").to_pylist()]
+        whole = np.sort(np.concatenate(blocks))
+        first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
+        keys, many = whole[first], np.minimum(255, np.diff(np.append(first, len(whole)))).astype(np.uint8)
+        counts = [zlib.compress(many[np.searchsorted(keys, b)].tobytes(), 1) for b in blocks]
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "counts": pa.array(counts, pa.binary())})
+
+    sent = chunks.groupBy("chunk").applyInArrow(send, "chunk int, bucket int, hashes binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, counts binary")
+
+
+def counts_in_order(table: pa.Table) -> np.ndarray:
+    """A chunk's answers joined in bucket order: a count for each hash, ascending."""
+    rows = sorted(zip(table.column("bucket").to_pylist(), table.column("counts").to_pylist()))
+    return np.frombuffer(b"".join(zlib.decompress(c) for _, c in rows), np.uint8)
+
+
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """(id, component) of every node of the edges (columns a and b): the least id it reaches.
+
+    Each round every node takes the least label among its neighbours' and its own, and then its
+    label's label, so distances halve; a round is a join and a grouping by node, and ends in the
+    shared folder. Nothing but the number of changed labels comes to the driver.
+    """
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    for _ in range(most):
+        near = both.join(labels, both.b == labels.id).select(F.col("a").alias("id"), "component")
+        least = labels.union(near).groupBy("id").agg(F.min("component").alias("component"))
+        roots = least.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        jumped = least.join(roots, "component", "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"))
+        new = stored(jumped, "labels")
+        old = labels.withColumnRenamed("component", "before")
+        if not new.join(old, "id").where("component <> before").limit(1).count():
+            return new
+        labels = new
+    raise RuntimeError(f"components have not settled after {most} rounds")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import bpe, decontamination, exact_dedup, language, quality, token_output, toxicity
+from mensura.llm import bpe, decontamination, exact_dedup, jaccard_join, language, quality, token_output, toxicity
 from mensura.llm.common import fold, table
 
 
@@ -44,6 +44,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies over all documents."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from the labels of four folds of five."""
     docs = table(spark, sf_dir, "documents")
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
     "op9_token_output": op9_token_output,
 }
@@ -88,4 +94,14 @@ ORACLES = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op7_jaccard_join": f"""
+        WITH RECURSIVE d AS MATERIALIZED ({SHINGLES_SQL.format("SELECT doc_id AS id, text FROM documents")}),
+             n AS MATERIALIZED (SELECT id, count(*) AS n FROM d GROUP BY id),
+             c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM d a JOIN d b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id),
+             e AS MATERIALIZED (SELECT c.a, c.b FROM c JOIN n x ON x.id = c.a JOIN n y ON y.id = c.b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+             u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+             r AS (SELECT a AS id, a AS reached FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.reached)
+        SELECT documents.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(least(min(r.reached), documents.doc_id), documents.doc_id) AS component_id
+        FROM documents LEFT JOIN n ON n.id = documents.doc_id LEFT JOIN r ON r.id = documents.doc_id GROUP BY documents.doc_id
+    """,
 }
