@@ -33,10 +33,16 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def parts_for(df: DataFrame, part_bytes: int) -> int:
-    """How many parts of about ``part_bytes`` the frame makes, at least the session's own number."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(size_in_bytes(df) // part_bytes, 1 << 24))
+def parts_for(df: DataFrame, part_bytes: int, text_col: str = "text") -> int:
+    """How many parts of about ``part_bytes`` the frame makes, at least the session's own number.
+
+    By the optimizer's estimate, which for files is their size; where it knows nothing (a frame of
+    Python rows) the texts are measured.
+    """
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size_in_bytes(df)
+    if size >= 1 << 55:
+        size = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first().n
+    return max(least, min(size // part_bytes, 1 << 24))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -326,7 +332,7 @@ HashesOf = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """Columns id, text and chunk, a number that depends on the row alone; and how many chunks."""
-    n = parts_for(docs, CHUNK_BYTES)
+    n = parts_for(docs, CHUNK_BYTES, text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text")))
     return rows.withColumn("chunk", F.pmod(key, F.lit(n)).cast("int")), n
@@ -364,14 +370,15 @@ def hash_counts(chunks: DataFrame, n_chunks: int, hashes_of: HashesOf) -> DataFr
     holds about one n-th of all hashes whatever their skew below a chunk's size.
     """
     n_buckets = max(1, n_chunks // 2)
-    edges = ((np.arange(1, n_buckets, dtype=object) << COUNT_BITS) // n_buckets).astype(_U) if n_buckets > 1 else np.zeros(0, _U)
+    edges = np.arange(1, n_buckets, dtype=_U) * _U((1 << COUNT_BITS) // n_buckets)
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
         hashes, _, order = ordered_hashes(known(table), hashes_of)
         top = hashes[order] >> _U(64 - COUNT_BITS)
-        cuts = np.concatenate([[0], np.searchsorted(top, edges), [len(top)]]).tolist()
-        rows = [(b, packed(top[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        bucket = np.searchsorted(edges, top, "right")
+        filled, cuts = np.unique(bucket, return_index=True)
+        rows = [(b, packed(top[i:j])) for b, i, j in zip(filled.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(top)])]
         return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int32()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "hashes": pa.array([h for _, h in rows], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:

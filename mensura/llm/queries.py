@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import bpe, decontamination, exact_dedup, jaccard_join, language, quality, token_output, toxicity
+from mensura.llm import bpe, decontamination, exact_dedup, jaccard_join, language, quality, suffix_dedup, token_output, toxicity
 from mensura.llm.common import fold, table
 
 
@@ -39,6 +39,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 50-byte strings removed from all documents; sizes and digests of what is kept."""
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents; of each the largest doc_id stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
@@ -68,6 +74,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
