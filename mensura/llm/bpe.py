@@ -209,38 +209,47 @@ def ranks_of(content: bytes) -> Ranks:
 
 
 class Encoder:
-    """Texts to ids, as decimal strings joined by one space; chunks seen before are looked up."""
+    """Texts to ids; chunks seen before are looked up.
 
-    def __init__(self, ranks: Ranks, pattern: str):
-        self.ranks, self.pattern, self.seen = ranks, regex.compile(pattern), {}
+    ``join`` makes of a chunk's ids what is kept for it: the ids as decimal strings joined by one
+    space (``decimal``), or as little-endian 32-bit integers (``binary``).
+    """
+
+    def __init__(self, ranks: Ranks, pattern: str, form: str = "decimal"):
+        self.ranks, self.pattern, self.decimal, self.seen = ranks, regex.compile(pattern), form == "decimal", {}
 
-    def encode(self, texts: list[str]) -> Iterator[str]:
+    def _learn(self, new: list[str]) -> None:
+        parts = {c: [p.encode() for p in self.pattern.findall(c)] for c in new}
+        ids = self.ranks.encode_pieces(list({p for own in parts.values() for p in own}))
+        if self.decimal:
+            written = {p: " ".join(map(str, x)) for p, x in ids.items()}
+            self.seen.update({c: " ".join([written[p] for p in own]) for c, own in parts.items()})
+        else:
+            kept = {p: np.array(x, "<i4").tobytes() for p, x in ids.items()}
+            self.seen.update({c: b"".join([kept[p] for p in own]) for c, own in parts.items()})
+
+    def encode(self, texts: list[str]) -> Iterator[str | bytes]:
         cut = [CHUNKS.findall(t) for t in texts]
         if len(self.seen) > CACHE_CHUNKS:
             self.seen = {}
-        seen = self.seen
         new = set()
         for chunks in cut:
             new.update(chunks)
-        new -= seen.keys()
+        new -= self.seen.keys()
         if new:
-            parts = {c: [p.encode() for p in self.pattern.findall(c)] for c in new}
-            ids = self.ranks.encode_pieces(list({p for own in parts.values() for p in own}))
-            written = {p: " ".join(map(str, x)) for p, x in ids.items()}
-            for c, own in parts.items():
-                seen[c] = " ".join([written[p] for p in own])
-        get = seen.__getitem__
+            self._learn(list(new))
+        get, joint = self.seen.__getitem__, " " if self.decimal else b""
         for chunks in cut:
-            yield " ".join(map(get, chunks))
+            yield joint.join(map(get, chunks))
 
 
-_encoders: dict[tuple[int, str], Encoder] = {}
+_encoders: dict[tuple[int, str, str], Encoder] = {}
 
 
-def encoder_for(content: bytes, pattern: str) -> Encoder:
+def encoder_for(content: bytes, pattern: str, form: str = "decimal") -> Encoder:
     """One encoder, with its cache, for each Python worker."""
     ranks = ranks_of(content)
-    return _encoders.setdefault((id(ranks), pattern), Encoder(ranks, pattern))
+    return _encoders.get((id(ranks), pattern, form)) or _encoders.setdefault((id(ranks), pattern, form), Encoder(ranks, pattern, form))
 
 
 def read_ranks(path: str) -> bytes:
@@ -258,10 +267,15 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     content = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(content.value, pattern)
-        for batch in batches:
-            ids = [[int(x) for x in s.split()] for s in encoder.encode(strings(batch.column(1)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], ["id", "ids", "n_tokens"])
+        encoder = encoder_for(content.value, pattern, "binary")
+        for whole in batches:
+            for start in range(0, len(whole), 250):
+                batch = whole.slice(start, 250)
+                own = list(encoder.encode(strings(batch.column(1)).to_pylist()))
+                ends = np.cumsum([0, *(len(x) // 4 for x in own)])
+                values = pa.array(np.frombuffer(b"".join(own), "<i4"))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(np.diff(ends), pa.int64())], ["id", "ids", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

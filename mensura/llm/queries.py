@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import bpe, decontamination, exact_dedup, jaccard_join, language, quality, suffix_dedup, token_output, toxicity
+import corpus_pipeline
+from mensura.llm import bpe, decontamination, exact_dedup, html_extraction, jaccard_join, language, quality, suffix_dedup, token_output, toxicity
 from mensura.llm.common import fold, table
 
 
@@ -69,6 +70,17 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_shards(spark, folder)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_extraction.extracted(pages, html_extraction.train(pages))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline from documents to token ids."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
@@ -79,6 +91,8 @@ QUERIES = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
     "op9_token_output": op9_token_output,
+    "op10_html_extraction": op10_html_extraction,
+    "pipeline": pipeline,
 }
 
 #: DuckDB: the distinct five-word shingles s of each row of a table of (id, text).
