@@ -410,7 +410,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(most):
         near = both.join(labels, both.b == labels.id).select(F.col("a").alias("id"), "component")
-        least = labels.union(near).groupBy("id").agg(F.min("component").alias("component"))
+        # stored, so that the next join's sides both come from a shuffle and a hot label can be split
+        least = stored(labels.union(near).groupBy("id").agg(F.min("component").alias("component")), "least")
         roots = least.select(F.col("id").alias("component"), F.col("component").alias("root"))
         jumped = least.join(roots, "component", "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"))
         new = stored(jumped, "labels")

@@ -105,7 +105,8 @@ def _leader_links(sets: DataFrame, percent: int) -> DataFrame:
 
 def _group_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All links between documents of different components, through the token-group matrix."""
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
+    # stored, so that both sides of the join come from a shuffle and a large component can be split
+    sizes = stored(labels.groupBy("component").agg(F.count(F.lit(1)).alias("many")), "sizes")
     placed = labels.join(sizes, "component")
     rows = sets.join(placed, "id", "left").withColumns({"component": F.coalesce("component", "id"), "many": F.coalesce("many", F.lit(1))})
     shared = (
