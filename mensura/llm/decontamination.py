@@ -74,7 +74,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, percent: int, schema: str)
                 d, item, size, n = zip(*out)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array(item), pa.array(size, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "item_id", "n_item_shingles", "n_shared"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).distinct()
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, percent: int, schema: str) -> DataFrame:

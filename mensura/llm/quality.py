@@ -89,6 +89,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, 15] = by_word((ups[ends] - ups[starts]) * 2 > ends - starts)
     out[:, 16] = by_word(syms[ends] > syms[starts])
     out[:, 17] = by_word(ends - starts <= 3)
+    out[offsets[1:] == offsets[:-1]] = 0
     return out
 
 
