@@ -563,3 +563,108 @@ def q_stream_compact_log(s, d):
 def q_stream_usage(s, d):
     used = _streamed(s, d, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type", "event_id % 100 AS tokens")
     return _finished(s, jobs.stream_usage(used, "ts", "tokens", by=["event_type"]), "complete", "usage_by_hour")
+
+
+# ---- further operators ---------------------------------------------------------------------
+
+_ROUNDS = tuple(f"SELECT doc_id, ord, value, value_max, is_range, unit, sentence, metric_type, target_entity, entity_type, context_modifier FROM ({PRED}) z WHERE arm = '{a}' AND seed = 0 AND doc_id % {m} <> 0" for a, m in (("base", 3), ("tuned", 4)))
+
+
+def _agreement(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    first, second = (ev.prepared(sql(s, d, r)) for r in _ROUNDS)
+    docs = [sql(s, d, f"SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey % {m} <> 0") for m in (3, 4)]
+    return ag.agreement(docs[0], first, docs[1], second)
+
+
+_SECOND = f"(SELECT 'second' AS arm, 0 AS seed, y.* FROM ({_ROUNDS[1]} AND doc_id % 3 <> 0) y)"
+_ROUND_CTE = _ALIGNED.replace(f"({PRED})", "@second").replace(f"({GOLD})", f"({_ROUNDS[0]} AND doc_id % 4 <> 0)").replace("@second", _SECOND)
+
+
+@query(f"{_ROUND_CTE} SELECT field, hits, total, round(CAST(hits AS DOUBLE) / total, 6) AS accuracy FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (WHERE {x}) AS hits, count(*) AS total FROM m" for f, x in _EQUAL.items()) + ")")
+def q_agreement_fields(s, d):
+    """Agreement per field of two annotation rounds over their common documents."""
+    return _rounded(_agreement(s, d)["fields"].drop("round"))
+
+
+_KAPPA_SQL = " UNION ALL ".join(
+    f"SELECT '{f}' AS field, n, po, pe, CASE WHEN pe = 1 THEN 1.0 ELSE (po - pe) / (1 - pe) END AS kappa FROM (SELECT (SELECT count(*) FROM m) AS n, (SELECT avg(CAST(g_{f} IS NOT DISTINCT FROM p_{f} AS INT)) FROM m) AS po, "
+    f"(SELECT sum(a.n * b.n) FROM (SELECT g_{f} AS l, count(*) AS n FROM m GROUP BY 1) a JOIN (SELECT p_{f} AS l, count(*) AS n FROM m GROUP BY 1) b ON a.l IS NOT DISTINCT FROM b.l) / ((SELECT count(*) FROM m) * (SELECT count(*)::DOUBLE FROM m)) AS pe)"
+    for f in CATEGORICAL
+)
+
+
+@query(f"{_ROUND_CTE} SELECT field, n, round(po, 6) AS po, round(pe, 6) AS pe, round(kappa, 6) AS kappa FROM ({_KAPPA_SQL})")
+def q_agreement_kappa(s, d):
+    return _rounded(_agreement(s, d)["kappa"])
+
+
+@query(f"{_ALIGNED} SELECT arm, {', '.join(f'{c}' for c in ev.COUNTS)}, {_RATES} FROM (SELECT arm, {_SUMS} FROM c GROUP BY arm)")
+def q_arm_summary(s, d):
+    """Each arm's counts and rates pooled over its seeds."""
+    return _rounded(st.arm_summary(_counts(s, d), _matched(s, d))["pooled"])
+
+
+@query(f"{_ALIGNED} SELECT arm, round(avg(score), 6) AS mean_score, count(*) AS n_seeds FROM (SELECT arm, seed, avg({_SCORE}) AS score FROM c GROUP BY 1, 2) GROUP BY 1")
+def q_evaluate(s, d):
+    """The scores of the whole report."""
+    return _rounded(ev.evaluate(_docs(s, d), _gold(s, d), _pred(s, d), sql(s, d, SYSTEMS))["scores"])
+
+
+@query(f"SELECT CASE WHEN h IN (2, 3, 4, 5, 6, 7, 8, 10) THEN 'schema' ELSE 'none' END AS stage, count(*) AS n FROM (SELECT (doc_id + ord * 5) % 12 AS h FROM ({GOLD})) GROUP BY 1")
+def q_rejections_by_stage(s, d):
+    checked = rp.validate_extractions(sql(s, d, _REPLIES))
+    return rp.rejections_by_stage(checked.withColumn("stage", F.when(F.col("valid"), "none").otherwise("schema")))
+
+
+_MENTIONS = "SELECT l_orderkey AS k, l_linenumber AS n, CASE l_partkey % 4 WHEN 0 THEN 'Nd2O3 and red mud, not nd' WHEN 1 THEN 'ree of LREE: light rare earth' WHEN 2 THEN 'energy expenditure after leachings' ELSE '' END AS t FROM lineitem"
+
+
+@query(f"SELECT terms, homonym, process, element, count(*) AS n FROM (SELECT CASE WHEN t LIKE 'Nd%' THEN 'Nd2O3;red mud' WHEN t LIKE 'ree%' THEN 'LREE;light rare earth' ELSE '' END AS terms, CAST(t LIKE 'energy%' AS INT) AS homonym, CAST(t LIKE 'energy%' AS INT) AS process, CAST(t LIKE 'Nd%' AS INT) AS element FROM ({_MENTIONS})) GROUP BY ALL")
+def q_terms_in(s, d):
+    t = F.col("t")
+    flags = [x.cast("int").alias(n) for n, x in (("homonym", lx.homonym_flag(t)), ("process", lx.has_process(t)), ("element", wk.element_flag(t)))]
+    return sql(s, d, _MENTIONS).select(F.array_join(lx.terms_in(t), ";").alias("terms"), *flags).groupBy("terms", "homonym", "process", "element").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, replace(concat(l_returnflag, '_', l_linestatus), '_', ' ') AS label, l_suppkey % 3 = 1 AS solution, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S+00:00') AS instant FROM lineitem")
+def q_labels_and_instants(s, d):
+    rows = sql(s, d, "SELECT *, concat(l_returnflag, '_', l_linestatus) AS raw, CASE l_suppkey % 3 WHEN 0 THEN 'ppm' WHEN 1 THEN 'g/L' END AS unit FROM lineitem")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", tx.normalize_label(F.col("raw")).alias("label"), rp.is_solution(F.col("unit")).alias("solution"), tx.log_instant(F.col("l_shipdate")).alias("instant"))
+
+
+@query("SELECT c_custkey AS i FROM customer WHERE c_custkey >= 10 AND c_custkey < 60 AND c_custkey NOT IN (SELECT user_id FROM events)")
+def q_slice_pending(s, d):
+    """A slice of the items by index, then those of it that no log line names."""
+    return bt.pending_items(bt.slice_items(sql(s, d, "SELECT c_custkey AS i FROM customer"), "i", 10, 50), sql(s, d, LOG), "i")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q_exclude_gold(s, d):
+    return bt.exclude_gold(s.read.parquet(f"{d}/documents.parquet").select("doc_id"), s.read.parquet(f"{d}/labels.parquet"))
+
+
+@query("SELECT conv_id, turn, CAST(trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND turn % 3 <> 0 AS INT) AS usable FROM conversations WHERE text IS NOT NULL")
+def q_usable_reply(s, d):
+    rows = sql(s, d, "SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 'length' WHEN 1 THEN 'stop' END AS reason FROM conversations WHERE text IS NOT NULL")
+    return rows.select("conv_id", "turn", rp.usable_reply(F.col("text"), F.col("reason")).cast("int").alias("usable"))
+
+
+_WORKS = """
+    SELECT CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('Title ', CAST(doc_id AS STRING)) END AS title, 'Shown' AS display_name, 2000 AS publication_year, 'd' AS doi, 1 AS cited_by_count,
+           named_struct('is_oa', doc_id % 2 = 0) AS open_access, map('one', array(0, 2), 'two', array(1)) AS abstract_inverted_index, array(named_struct('display_name', lang), named_struct('display_name', '')) AS keywords,
+           array(named_struct('author', named_struct('display_name', 'A')), named_struct('author', named_struct('display_name', source))) AS authorships, named_struct('source', named_struct('display_name', 'J')) AS primary_location
+    FROM documents
+"""
+
+
+@query("SELECT CAST(doc_id AS STRING) AS id_openalex, CASE WHEN doc_id % 3 = 0 THEN 'Shown' ELSE concat('Title ', doc_id) END AS titulo, concat('A, ', source) AS autores, 'J' AS revista, 'one two one' AS abstract, lang AS palavras_chave_openalex FROM documents WHERE doc_id % 2 = 0 AND lang IS NOT NULL AND source IS NOT NULL")
+def q_flatten_works(s, d):
+    works = wk.open_access_only(sql(s, d, _WORKS + " WHERE lang IS NOT NULL AND source IS NOT NULL"))
+    return wk.require_abstract(wk.flatten_works(works)).select("id_openalex", "titulo", "autores", "revista", "abstract", "palavras_chave_openalex")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN concat(c_custkey, ' (no unit) | - | - | none | \"', left(c_name, 90), '\"') ELSE concat(c_custkey, '-', c_custkey + 1, ' ppm | Nd | - | none | \"', left(c_name, 90), '\"') END AS line FROM customer")
+def q_describe(s, d):
+    even = F.col("c_custkey") % 2 == 0
+    rows = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_custkey").cast("double").alias("value"), F.when(~even, F.col("c_custkey") + 1).cast("double").alias("value_max"), F.when(~even, "ppm").alias("unit"), F.when(~even, "Nd").alias("target_entity"), F.lit(None).cast("string").alias("metric_type"), F.lit("none").alias("context_modifier"), F.col("c_name").alias("sentence"))
+    return rows.select("c_custkey", tx.describe_extraction({c: F.col(c) for c in rows.columns[1:]}).alias("line"))
