@@ -6,6 +6,8 @@ UTF-8 buffer, and numpy runs over that buffer. Nothing here looks beyond the bat
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 #: Rows that Spark hands to Python at once; keeps a batch of very long texts in memory.
 BATCH_ROWS = 2000
 #: Bytes of text that the numpy kernels work on at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -327,17 +329,32 @@ def unpacked(data: bytes) -> np.ndarray:
 COUNT_BITS = 48
 CHUNK_BYTES = 4 << 20
 
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte each, order kept: exact below 128, then six steps to each doubling."""
+    high = 128 + np.floor(6 * np.log2(np.maximum(counts, 128) / 128))
+    return np.where(counts < 128, counts, np.minimum(255, high)).astype(np.uint8)
+
+
 HashesOf = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """Columns id, text and chunk, a number that depends on the row alone; and how many chunks."""
-    n = parts_for(docs, CHUNK_BYTES, text_col)
+    n = parts_for(docs, chunk_bytes, text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text")))
     return rows.withColumn("chunk", F.pmod(key, F.lit(n)).cast("int")), n
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a worker's idle arenas don't add to the next task's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def known(table: pa.Table) -> pa.Table:
     """A chunk's rows in an order that depends on them alone (texts of one id by their hash)."""
     table = table.combine_chunks()
@@ -361,8 +378,8 @@ def ordered_hashes(table: pa.Table, hashes_of: HashesOf) -> tuple[np.ndarray, np
 
 
 def hash_counts(chunks: DataFrame, n_chunks: int, hashes_of: HashesOf) -> DataFrame:
-    """How many documents hold each hash: (chunk, bucket, counts), counts up to 255, one byte for
-    each hash of the chunk in ascending order.
+    """How many documents hold each hash: (chunk, bucket, counts), counts as ``levels``, one byte
+    for each hash of the chunk in ascending order.
 
     ``hashes_of`` gives a batch's hashes, distinct in each document. Every chunk sends its sorted
     hashes in blocks by leading bits; a bucket's blocks meet in one task, which sorts them together
@@ -373,6 +390,7 @@ def hash_counts(chunks: DataFrame, n_chunks: int, hashes_of: HashesOf) -> DataFr
     edges = np.arange(1, n_buckets, dtype=_U) * _U((1 << COUNT_BITS) // n_buckets)
 
     def send(table: pa.Table) -> pa.Table:
+        give_back()
         chunk = table.column("chunk")[0].as_py()
         hashes, _, order = ordered_hashes(known(table), hashes_of)
         top = hashes[order] >> _U(64 - COUNT_BITS)
@@ -382,10 +400,11 @@ def hash_counts(chunks: DataFrame, n_chunks: int, hashes_of: HashesOf) -> DataFr
         return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int32()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "hashes": pa.array([h for _, h in rows], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
+        give_back()
         blocks = [unpacked(h) for h in table.column("hashes").to_pylist()]
         whole = np.sort(np.concatenate(blocks))
         first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
-        keys, many = whole[first], np.minimum(255, np.diff(np.append(first, len(whole)))).astype(np.uint8)
+        keys, many = whole[first], levels(np.diff(np.append(first, len(whole))))
         counts = [zlib.compress(many[np.searchsorted(keys, b)].tobytes(), 1) for b in blocks]
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "counts": pa.array(counts, pa.binary())})
 

@@ -17,7 +17,7 @@ theirs at the same place, and every string holds at least one.
    together, and for each start before an anchor the least id with the same string is read off.
 3. The answers, a bit for each start, go back to the chunk, which marks, joins and removes.
 
-An anchor of 255 documents and more could fill a receiver. There the windows themselves are dealt
+An anchor of about 256 documents and more could fill a receiver. There the windows themselves are dealt
 out by their 64-bit hash, one of equal ones for each chunk, so no hot passage meets in one task.
 """
 
@@ -31,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import chunked, counts_in_order, hash_counts, known, mix, packed, powers, prefix_sums, raw, slices, unpacked
+from mensura.llm.common import chunked, counts_in_order, give_back, hash_counts, known, mix, packed, powers, prefix_sums, raw, slices, unpacked
 
 LENGTH, GRAM = 50, 24
-HOT = 255
+#: A chunk's size; some forty times as much is held while it is read.
+CHUNK_BYTES = 2 << 20
+#: The level (see common.levels) of anchors that about 256 documents have.
+HOT = 134
 _U = np.uint64
 _BLOCK = "chunk int, bucket int, kind int, counts binary"
 
@@ -233,13 +236,13 @@ def read_chunk(table: pa.Table, counts: pa.Table, n_buckets: int, length: int, g
         first[1:] = (bucket[1:] != bucket[:-1]) | (rows[1:] != rows[:-1]).any(1)
     context = np.cumsum(first) - 1
 
-    flags = np.zeros(len(data) + 1, np.int64)
+    flags = np.zeros(len(data) + 1, np.int8)  # at most length - gram + 1 anchors overlap
     hot_at, hot_doc = at[many >= hot], doc[many >= hot]
     low, high = np.maximum(offsets[hot_doc], hot_at - before), np.minimum(hot_at, offsets[hot_doc + 1] - length)
     on = low <= high
     np.add.at(flags, low[on], 1)
     np.add.at(flags, high[on] + 1, -1)
-    starts = np.flatnonzero(np.cumsum(flags) > 0)
+    starts = np.flatnonzero(np.cumsum(flags, out=flags))
     w_hash = np.zeros(len(starts), _U)
     for i, j in slices(offsets):
         a, b = np.searchsorted(starts, (offsets[i], offsets[j]))
@@ -346,7 +349,7 @@ def covered(chunk: Chunk, answers: pa.Table, length: int) -> np.ndarray:
         if kind in parts:
             parts[kind].append((bucket, own))
     mask = np.frombuffer(b"".join(x for _, x in sorted(parts[1])), _U)
-    starts = np.zeros(len(chunk.data) + 1, np.int8)
+    starts = np.zeros(len(chunk.data) + 1, np.uint8)
     if len(chunk.at):
         later = chunk.ids[chunk.doc] > chunk.least[chunk.context]
         own = np.where(later, ~_U(0), mask[chunk.context])
@@ -360,9 +363,12 @@ def covered(chunk: Chunk, answers: pa.Table, length: int) -> np.ndarray:
         asked = np.concatenate(bits)[chunk.window].astype(bool)
         w_id = chunk.ids[np.searchsorted(chunk.offsets, chunk.starts, "right") - 1]
         starts[chunk.starts[asked | (w_id > chunk.window_least[chunk.window])]] = 1
-    total = np.cumsum(starts[:-1], dtype=np.int64)
-    total[length:] -= total[:-length].copy()
-    return total > 0
+    # starts among the last ``length`` positions, modulo 256: their number is less
+    total = np.cumsum(starts[:-1], dtype=np.uint8)
+    gone = total > 0
+    gone[length:] = total[length:] != total[:-length]
+    gone[:length] = np.logical_or.accumulate(starts[:-1][:length] > 0)
+    return gone
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -376,15 +382,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     if not 1 <= gram <= length or length - gram > 62 or length > 255:
         raise ValueError("gram and length out of range")
-    chunks, n_chunks = chunked(docs, id_col, text_col)
-    n_buckets = max(1, n_chunks // 2)
+    chunks, n_chunks = chunked(docs, id_col, text_col, CHUNK_BYTES)
+    n_buckets = n_chunks
     counts = hash_counts(chunks, n_chunks, _anchor_sets(length, gram)).select("chunk", "bucket", F.lit(0).alias("kind"), "counts")
 
     def ask(table: pa.Table, found: pa.Table) -> pa.Table:
+        give_back()
         number = table.column("chunk")[0].as_py()
         return questions(read_chunk(known(table), found, n_buckets, length, gram, hot), number, length)
 
     def answer(table: pa.Table) -> pa.Table:
+        give_back()
         table = table.combine_chunks()
         blocks, out = table.column("counts").to_pylist(), [b""] * len(table)
         for kind, solve in ((1, lambda own: _answer_runs(own, length, gram)), (2, _answer_windows)):
@@ -394,6 +402,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": table.column("kind"), "counts": pa.array(out, pa.binary())})
 
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
+        give_back()
         table = known(table)
         kinds = found.column("kind").to_numpy()
         chunk = read_chunk(table, found.filter(pa.array(kinds == 0)), n_buckets, length, gram, hot)
