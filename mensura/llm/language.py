@@ -62,20 +62,30 @@ class Model:
         return ((x @ self.landmarks) / np.sqrt(size[:, None] * self.sizes)) @ self.weights
 
 
-def fit(x: np.ndarray, labels: np.ndarray, n_landmarks: int = LANDMARKS, ridge: float = 1e-3) -> Model:
-    """Nyström features from landmarks dealt over the languages, then kernel ridge regression."""
+def _unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=1).astype(np.float32)
+
+
+def fit(bits: np.ndarray, labels: np.ndarray, n_landmarks: int = LANDMARKS, ridge: float = 1e-3) -> Model:
+    """Nyström features from landmarks dealt over the languages, then kernel ridge regression.
+
+    bits: presence rows, packed to an eighth of the hash space; unpacked a few at a time.
+    """
     names = sorted(set(labels.tolist()))
     if not names:
         return Model([], np.zeros((1 << HASH_BITS, 0), np.float32), np.zeros(0), np.zeros((0, 0)))
     each = max(1, n_landmarks // len(names))
     chosen = np.concatenate([np.flatnonzero(labels == name)[:each] for name in names])
-    marks = x[chosen]
+    marks = _unpacked(bits[chosen])
     sizes = np.maximum(1, marks.sum(1))
     kernel = (marks @ marks.T) / np.sqrt(sizes[:, None] * sizes)
     values, vectors = np.linalg.eigh(kernel.astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    own = np.maximum(1, x.sum(1))
-    z = ((x @ marks.T) / np.sqrt(own[:, None] * sizes)) @ root
+    z = []
+    for i in range(0, len(bits), ROWS):
+        x = _unpacked(bits[i : i + ROWS])
+        z.append(((x @ marks.T) / np.sqrt(np.maximum(1, x.sum(1))[:, None] * sizes)) @ root)
+    z = np.concatenate(z)
     share = np.array([(labels == name).mean() for name in names])
     weight = (1 / share[[names.index(v) for v in labels.tolist()]])[:, None] / len(names)
     target = np.where(labels[:, None] == np.array(names), 1.0, -1.0)
@@ -89,7 +99,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND rlike(text, '\\\\p{L}')")
     counts = {r.lang: r.n for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return fit(np.zeros((0, 1 << HASH_BITS), np.float32), np.array([], str))
+        return fit(np.zeros((0, (1 << HASH_BITS) // 8), np.uint8), np.array([], str))
     hashed = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
     shares = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(per_language / n))])
     few = rows.where(hashed < shares[F.col("lang")])
@@ -104,8 +114,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1), batch.column(2)], ["x", "lang", "id"])
 
     got = few.select("text", "lang", "id").mapInArrow(run, "x binary, lang string, id string").toPandas().sort_values(["lang", "id", "x"])
-    x = np.unpackbits(np.frombuffer(b"".join(got["x"]), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    return fit(x, got["lang"].to_numpy(str))
+    return fit(np.frombuffer(b"".join(got["x"]), np.uint8).reshape(len(got), -1), got["lang"].to_numpy(str))
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
