@@ -102,9 +102,24 @@ def complete() -> Column:
     return out
 
 
+#: Most systems (arms and seeds) that rows are laid out for.
+MOST_SYSTEMS = 10_000
+
+
+def for_each_system(df: DataFrame, systems: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """Every row once per system. Systems are a short given list, read here and laid out as literals."""
+    rows = systems.select(*by).distinct().limit(MOST_SYSTEMS + 1).collect()
+    if len(rows) > MOST_SYSTEMS:
+        raise ValueError(f"more than {MOST_SYSTEMS} systems")
+    cells = [F.struct(*[F.lit(r[c]).cast(systems.schema[c].dataType).alias(c) for c in by]) for r in sorted(rows, key=str)]
+    if not cells:
+        return df.limit(0).select(*[F.lit(None).cast(systems.schema[c].dataType).alias(c) for c in by], "*")
+    return df.withColumn("_system", F.explode(F.array(*cells))).select("_system.*", *df.columns)
+
+
 def missed(pairs: DataFrame, gold: DataFrame, systems: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """Gold extractions without a partner, for each system."""
-    return gold.join(F.broadcast(systems.select(*by).distinct()), how="cross").join(pairs.select(*by, "doc_id", F.col("g_ord").alias("ord")), [*by, "doc_id", "ord"], "left_anti")
+    return for_each_system(gold, systems, by).join(pairs.select(*by, "doc_id", F.col("g_ord").alias("ord")), [*by, "doc_id", "ord"], "left_anti")
 
 
 def invented(pairs: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
@@ -115,10 +130,9 @@ def doc_counts(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, matched:
     """Per system and gold document: det_tp, det_fp, det_fn, tup_tp, tup_fp, tup_fn.
 
     A pair that isn't complete counts as both fp and fn of the tuples. Documents without gold or
-    predictions are there with zeros; predictions for unknown documents are ignored. The systems
-    (arm and seed) are few and given, so they are broadcast.
+    predictions are there with zeros; predictions for unknown documents are ignored.
     """
-    universe = gold_docs.select("doc_id").distinct().crossJoin(F.broadcast(systems.select(*by).distinct()))
+    universe = for_each_system(gold_docs.select("doc_id").distinct(), systems, by)
     m = matched.groupBy(*by, "doc_id").agg(F.count(F.lit(1)).alias("det_tp"), F.sum(complete().cast("long")).alias("tup_tp"))
     n_gold = gold.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_gold"))
     n_pred = pred.groupBy(*by, "doc_id").agg(F.count(F.lit(1)).alias("n_pred"))
