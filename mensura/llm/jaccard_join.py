@@ -85,9 +85,13 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Dat
 
 
 def _leader_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links from each document to the least id of each of its MinHash keys."""
-    keyed = sets.select("id", "n", "tokens", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "leader")
+    """Verified links from each document to the leader of each of its MinHash keys.
+
+    The leader is the document with the fewest shingles of its own, then the least id: of a text and
+    its edited copies it is the text, to which they are closer than to one another.
+    """
+    keyed = sets.select("id", (F.col("n") - F.octet_length("tokens") / 8).alias("own"), F.explode("keys").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min(F.struct("own", "id")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", F.col("first.id").alias("leader"))
     pairs = keyed.select("id", "key").join(leaders, "key").where("id <> leader").select("id", "leader").distinct()
     left = sets.select("id", F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("leader"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
@@ -116,44 +120,68 @@ def _group_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     met = stored(rows.select(F.explode("prefix").alias("token"), "id", "component").join(shared, "token"), "postings")
     # only documents that meet another component take part; of these the groups are made
     active = met.select("id").distinct()
-    whole = F.struct(F.when(F.col("many") > 1, F.col("component")), F.when(F.col("many") <= 1, F.col("keys")[0]))
+    band = F.floor(F.log("n") / np.log(100 / percent))  # two that link are at most one band apart
+    whole = F.struct(band, F.when(F.col("many") > 1, F.col("component")), F.when(F.col("many") <= 1, F.col("keys")[0]))
     taking = rows.join(active, "id").select("id", "n", "tokens", "component", F.xxhash64(whole).alias("kind"))
-    kinds = taking.groupBy("kind").agg(F.count(F.lit(1)).alias("size"))
+    kinds = stored(taking.groupBy("kind").agg(F.count(F.lit(1)).alias("size")), "kinds")
     grouped = stored(
         taking.join(kinds, "kind").select("id", "n", "tokens", "component", F.xxhash64("kind", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / GROUP_SIZE))).alias("group")), "groups"
     )
-    of_token = met.join(grouped.select("id", "group"), "id").groupBy("token", "group").agg(F.min("component").alias("low"))
-    queries = met.select("token", "id", "component").join(of_token, "token").where("low < component").select("id", "group").distinct()
+    placed_met = met.join(grouped.select("id", "group", "n").distinct(), "id")
+    of_token = stored(placed_met.groupBy("token", "group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
+    ask = of_token.select("token", *[F.col(c).alias(f"q_{c}") for c in ("group", "low", "high", "least", "most")])
+    sized = (F.col("q_least") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("q_most") * 100)
+    apart = (F.least("low", "q_low") < F.greatest("high", "q_high")) & (F.col("q_group") <= F.col("group"))
+    opened = ask.join(of_token, "token").where(apart & sized).select("q_group", "group").distinct()
 
     def unite(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(t, _U) for t in table.column("tokens").to_pylist()]
-        union = np.unique(np.concatenate(sets))
-        members = b"".join(s.tobytes() for s in sets)
+        union, places = np.unique(np.concatenate(sets), return_inverse=True)
         cuts = np.cumsum([0, *map(len, sets)]).tolist()
         one = lambda v, t: pa.array([v], t)
         ints = pa.list_(pa.int64())
-        return pa.table({"group": one(table.column("group")[0].as_py(), pa.int64()), "ids": one(table.column("id").to_pylist(), ints), "ns": one(table.column("n").to_pylist(), ints), "components": one(table.column("component").to_pylist(), ints), "cuts": one(cuts, ints), "members": one(members, pa.binary()), "union": one(union.tobytes(), pa.binary())})
+        return pa.table({"group": one(table.column("group")[0].as_py(), pa.int64()), "ids": one(table.column("id").to_pylist(), ints), "ns": one(table.column("n").to_pylist(), ints), "components": one(table.column("component").to_pylist(), ints), "cuts": one(cuts, ints), "places": one(places.astype(np.int32).tobytes(), pa.binary()), "union": one(union.tobytes(), pa.binary())})
 
-    matrix = grouped.groupBy("group").applyInArrow(unite, "group bigint, ids array<bigint>, ns array<bigint>, components array<bigint>, cuts array<bigint>, members binary, union binary")
-    asked = queries.join(grouped.select("id", "n", "tokens", "component"), "id").join(matrix, "group").select("id", "n", "tokens", "component", "ids", "ns", "components", "cuts", "members", "union")
+    columns = ("ids", "ns", "components", "cuts", "places", "union")
+    matrix = stored(grouped.groupBy("group").applyInArrow(unite, "group bigint, ids array<bigint>, ns array<bigint>, components array<bigint>, cuts array<bigint>, places binary, union binary"), "groups")
+    left = matrix.select(F.col("group").alias("q_group"), *[F.col(c).alias(f"q_{c}") for c in columns])
+    asked = opened.join(left, "q_group").join(matrix, "group").select(*[f"q_{c}" for c in columns], *columns)
 
     def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for row in range(len(batch)):
-                q, n, tokens, component, ids, ns, comps, cuts, members, union = (c[row].as_py() for c in batch.columns)
-                own = np.frombuffer(tokens, _U)
-                if 100 * _overlap(own, np.frombuffer(union, _U)) < percent * n:
-                    continue
-                every = np.frombuffer(members, _U)
-                for k, (other, m, c) in enumerate(zip(ids, ns, comps)):
-                    if c < component and 100 * min(n, m) >= percent * max(n, m) and similar(_overlap(own, every[cuts[k] : cuts[k + 1]]), n, m, percent):
-                        a.append(q), b.append(other)
+                for q, other in _compare(*(c[row].as_py() for c in batch.columns), percent):
+                    a.append(q), b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return asked.mapInArrow(open_groups, "a bigint, b bigint")
 
 
+def _compare(q_ids, q_ns, q_comps, q_cuts, q_places, q_union, ids, ns, comps, cuts, places, union, percent) -> Iterator[tuple[int, int]]:  # noqa: ANN001
+    """Links between the members of two groups that lie in different components, greater component first.
+
+    The second group is a matrix of members by the tokens of its union. A query is first bounded by
+    its overlap with the union; if that will do, one sum over the matrix's columns of its tokens
+    gives its overlaps with all members.
+    """
+    union, q_union = np.frombuffer(union, _U), np.frombuffer(q_union, _U)
+    column = np.minimum(np.searchsorted(union, q_union), len(union) - 1)
+    common = union[column] == q_union
+    ns, comps, ids = np.array(ns), np.array(comps), np.array(ids)
+    rows = np.zeros((len(ids), len(union)), np.uint8)
+    rows[np.repeat(np.arange(len(ids)), np.diff(cuts)), np.frombuffer(places, np.int32)] = 1
+    q_places = np.frombuffer(q_places, np.int32)
+    for k, (q, n, c) in enumerate(zip(q_ids, q_ns, q_comps)):
+        own = q_places[q_cuts[k] : q_cuts[k + 1]]
+        own = column[own[common[own]]]
+        if 100 * len(own) < percent * n:
+            continue
+        overlap = rows[:, own].sum(1, dtype=np.int64)
+        for i in np.flatnonzero((comps != c) & (100 * overlap >= percent * (n + ns - overlap))).tolist():
+            yield (q, int(ids[i])) if c > comps[i] else (int(ids[i]), q)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id.
 
@@ -184,5 +212,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the least of its class (or null), all columns unchanged."""
     found = near_duplicates(docs, percent, id_col, text_col)
-    dropped = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct()
+    dropped = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct(), "dropped")
     return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
