@@ -11,10 +11,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mensura.llm import bpe, decontamination, exact_dedup, jaccard_join, quality
-from mensura.llm.common import fold, shared_dir, table
+from mensura.llm.common import fold, labelled_texts, shared_dir, table
 
 #: Least quality score that stays.
 LEAST_QUALITY = 0.3
@@ -23,8 +22,7 @@ LEAST_QUALITY = 0.3
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from four folds of the labels."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
-    rejected = quality.quality(docs, docs, labels).where(F.col("score") < LEAST_QUALITY).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_rejected")), "left_anti")
+    return quality.accepted(docs, quality.train(labelled_texts(docs, labels, "quality", quality.SAMPLE_ROWS)), LEAST_QUALITY)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

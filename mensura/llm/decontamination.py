@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import SHINGLE, Probe, exact_shingles, mix, raw, shingle_sets, shingles, slices
+from mensura.llm.common import SHINGLE, Probe, exact_shingles, mix, raw, shingle_sets, shingles, slices, stored
 
 THRESHOLD_PERCENT = 75
 #: Largest benchmark, in bytes of text, that is broadcast; a larger one is joined by shuffles.
@@ -129,5 +129,5 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_
 
 def without_leaks(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCENT, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """The rows of ``docs`` that contain no item, all columns unchanged."""
-    leaks = contained_items(docs, items, percent, id_col=id_col, text_col=text_col, **columns).select(F.col(id_col).alias("_leak")).distinct()
+    leaks = stored(contained_items(docs, items, percent, id_col=id_col, text_col=text_col, **columns).select(F.col(id_col).alias("_leak")).distinct(), "leaks")
     return docs.join(leaks, docs[id_col] == F.col("_leak"), "left_anti")

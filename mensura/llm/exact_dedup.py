@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mensura.llm.common import stored
+
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
@@ -47,6 +49,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, all columns unchanged."""
-    dropped = exact_groups(docs, id_col, text_col, keep).where("NOT kept").select(F.col(id_col).alias("_dropped"))
+    """The rows of ``docs`` that ``exact_groups`` keeps, all columns unchanged.
+
+    The dropped ids are stored first: Spark then knows their size, and broadcasts them if they are
+    few instead of shuffling the texts.
+    """
+    dropped = stored(exact_groups(docs, id_col, text_col, keep).where("NOT kept").select(F.col(id_col).alias("_dropped")).distinct(), "dropped")
     return docs.join(dropped, docs[id_col].eqNullSafe(F.col("_dropped")), "left_anti")

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mensura.llm.common import LETTER, labelled_texts, mix, powers, prefix_sums, raw, runs, slices, word_hashes
 
@@ -238,6 +239,17 @@ def scored(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, model: Additive, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``least`` or more, all columns unchanged, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(column: pa.Array) -> pa.Array:
+        return pa.array(shared.value.score(_measured(column)))
+
+    return docs.where(score(F.col(text_col)) >= least)
+
+
 def quality(docs: DataFrame, learn_docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learns from ``learn_docs`` and ``labels`` and scores ``docs``."""
     return scored(docs, train(labelled_texts(learn_docs, labels, label, sample_rows, id_col, text_col)), id_col, text_col)
