@@ -33,6 +33,9 @@ TEXTS_AT_ONCE = 500
 CACHE_WORDS = 700_000
 SELECT_EVERY = 256
 WORDS = re.compile(f"[^{WHITE}]+")
+#: ASCII and Latin-1 letters, then ASCII punctuation without the apostrophe: no normalizer changes
+#: such a word but for its case, and pre-tokenizers part it where the letters end.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class EliasFano:
@@ -123,7 +126,8 @@ class WordEncoder:
     """Texts to id bytes by the tokenizers library; words seen before are looked up.
 
     For a tokenizer that drops white space, and whose normalizer and pre-tokenizer never look
-    across it, the ids of a text are those of its white-space separated words in turn.
+    across it, the ids of a text are those of its white-space separated words in turn. Where it
+    also lowers case, plain words share the ids of their lower-cased letters.
     """
 
     def __init__(self, content: str, end_id: int):
@@ -132,16 +136,35 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(content)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4
-        self.end, self.seen = end_id.to_bytes(self.width, "little"), {}
-
-    def _learn(self, words: list[str]) -> None:
+        self.end, self.seen, self.parts = end_id.to_bytes(self.width, "little"), {}, {"": b""}
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.plain = ids("Àb, C;") == [*ids("àb"), *ids(","), *ids("c"), *ids(";")]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes new words, plain ones by their letters and their punctuation."""
+        cut = {}
+        for word in new if self.plain else ():
+            m = PLAIN.fullmatch(word)
+            if m:
+                cut[word] = (m[1].lower(), m[2])
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {"": b""}
+        wanted = {p for pair in cut.values() for p in pair if p not in self.parts}
+        wanted.update(w for w in new if w not in cut and w not in self.parts)
+        wanted = list(wanted)
+        for i in range(0, len(wanted), 1000):
+            self._encode(wanted[i : i + 1000])
+        parts = self.parts
+        self.seen.update((w, parts[cut[w][0]] + parts[cut[w][1]] if w in cut else parts[w]) for w in new)
+
+    def _encode(self, words: list[str]) -> None:
         """Encodes words joined by a space and deals the ids out by their offsets in the text."""
         starts = np.cumsum([0, *(len(w) + 1 for w in words)])
         got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ids = np.array(got.ids, f"<u{self.width}").tobytes()
         owner = np.searchsorted(starts, np.array([a for a, _ in got.offsets], np.int64), "right") - 1
         cuts = (np.searchsorted(owner, np.arange(len(words) + 1)) * self.width).tolist()
-        self.seen.update(zip(words, [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
+        self.parts.update(zip(words, [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes, the end id appended."""
@@ -151,9 +174,7 @@ class WordEncoder:
         new = set()
         for words in cut:
             new.update(words)
-        new = list(new - self.seen.keys())
-        for i in range(0, len(new), 1000):
-            self._learn(new[i : i + 1000])
+        self._learn(list(new - self.seen.keys()))
         get = self.seen.__getitem__
         return [b"".join(map(get, words)) + self.end for words in cut]
 
