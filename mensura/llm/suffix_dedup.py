@@ -64,7 +64,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
         least[a:b] = 0  # windows that would cross into the next text
     most = _sliding(np.maximum, np.concatenate([np.zeros(width - 1, _U), least, np.zeros(width - 1, _U)]), width)
     at = np.flatnonzero(most == hashes)
-    return at, hashes[at]
+    # least hashes crowd at the low end; mixed again, they spread over the buckets
+    return at, mix(hashes[at], 31)
 
 
 def _distinct(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
