@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import chunked, components, counts_in_order, hash_counts, known, mix, ordered_hashes, shingle_sets, stored
+from mensura.llm.common import chunked, components, counts_in_order, give_back, hash_counts, known, mix, ordered_hashes, shingle_sets, stored
 
 PERCENT = 75
 LEADER_KEYS = 3
@@ -56,6 +56,7 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Dat
     counts = hash_counts(chunks, n_chunks, _sets)
 
     def read(table: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         table = known(table)
         hashes, owner, order = ordered_hashes(table, _sets)
         count = np.zeros(len(hashes), np.uint8)

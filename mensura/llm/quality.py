@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import LETTER, labelled_texts, mix, powers, prefix_sums, raw, runs, slices, word_hashes
+from mensura.llm.common import LETTER, give_back, labelled_texts, mix, powers, prefix_sums, raw, runs, slices, word_hashes
 
 #: Labelled rows to learn from (the documented bound).
 SAMPLE_ROWS = 20_000
@@ -245,6 +245,7 @@ def accepted(docs: DataFrame, model: Additive, least: float, text_col: str = "te
 
     @F.arrow_udf(T.DoubleType())
     def score(column: pa.Array) -> pa.Array:
+        give_back()
         return pa.array(shared.value.score(_measured(column)))
 
     return docs.where(score(F.col(text_col)) >= least)
