@@ -50,14 +50,14 @@ def agreement(docs1: DataFrame, first: DataFrame, docs2: DataFrame, second: Data
     return {"docs": both, "matched": matched, "counts": counts, "prf": ev.micro_prf(counts, by), "fields": ev.field_accuracy(matched, by), "kappa": kappas}
 
 
-def divergences(matched: DataFrame, only_first: DataFrame, only_second: DataFrame) -> DataFrame:
-    """(doc_id, kind, ord, field, first, second): unequal fields of pairs, and rows of one round alone."""
+def divergences(matched: DataFrame, only_first: DataFrame, only_second: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, doc_id, kind, ord, field, first, second): unequal fields of pairs, and rows of one round alone."""
     cells = F.array(*[F.when(~ev.fields_equal(f), F.struct(F.lit(f).alias("field"), F.col(f"g_{f}").cast("string").alias("first"), F.col(f"p_{f}").cast("string").alias("second"))) for f in TUPLE_FIELDS])
-    differs = matched.select("doc_id", F.lit("DIFFERS").alias("kind"), F.col("g_ord").cast("long").alias("ord"), F.explode(F.array_compact(cells)).alias("_cell")).select("doc_id", "kind", "ord", "_cell.*")
+    differs = matched.select(*by, "doc_id", F.lit("DIFFERS").alias("kind"), F.col("g_ord").cast("long").alias("ord"), F.explode(F.array_compact(cells)).alias("_cell")).select(*by, "doc_id", "kind", "ord", "_cell.*")
     names = ("value", "value_max", "unit", "target_entity", "metric_type", "context_modifier", "sentence")
 
     def alone(df: DataFrame, kind: str, mine: str, other: str) -> DataFrame:
         told = describe_extraction({c: F.col(c) for c in names})
-        return df.select("doc_id", F.lit(kind).alias("kind"), F.col("ord").cast("long"), F.lit(None).cast("string").alias("field"), told.alias(mine), F.lit(None).cast("string").alias(other))
+        return df.select(*by, "doc_id", F.lit(kind).alias("kind"), F.col("ord").cast("long"), F.lit(None).cast("string").alias("field"), told.alias(mine), F.lit(None).cast("string").alias(other))
 
     return differs.unionByName(alone(only_first, "ONLY-FIRST", "first", "second")).unionByName(alone(only_second, "ONLY-SECOND", "second", "first"))

@@ -197,15 +197,26 @@ def q_kappa(s, d):
     return _rounded(ag.cohen_kappa(sql(s, d, "SELECT quality AS a, 1 - toxic AS b FROM labels"), "a", "b"))
 
 
+def _divergences(s: SparkSession, d: str) -> DataFrame:
+    gold, pred = _gold(s, d), _pred(s, d)
+    pairs = ev.align(gold, pred)
+    return ag.divergences(ev.aligned_fields(pairs, gold, pred), ev.missed(pairs, gold, sql(s, d, SYSTEMS)), ev.invented(pairs, pred), ("arm",))
+
+
 @query(f"{_ALIGNED} SELECT arm, {', '.join(f'count(*) FILTER (WHERE NOT ({x})) AS {f}' for f, x in _EQUAL.items())} FROM m GROUP BY arm")
 def q_divergences(s, d):
     """Unequal fields per arm, counted from the divergence rows."""
-    m = _matched(s, d)
-    rows = None
-    for arm in ("base", "tuned"):
-        own = ag.divergences(m.where(F.col("arm") == arm), ev.prepared(sql(s, d, GOLD)).limit(0), ev.prepared(sql(s, d, GOLD)).limit(0)).withColumn("arm", F.lit(arm))
-        rows = own if rows is None else rows.unionByName(own)
-    return rows.groupBy("arm").agg(*[F.count(F.when(F.col("field") == f, 1)).alias(f) for f in TUPLE_FIELDS])
+    return _divergences(s, d).groupBy("arm").agg(*[F.count(F.when(F.col("field") == f, 1)).alias(f) for f in TUPLE_FIELDS])
+
+
+@query(
+    f"{_ALIGNED} " + " UNION ALL ".join(f"SELECT arm, 'DIFFERS' AS kind, '{f}' AS field, count(*) AS n FROM m WHERE NOT ({x}) GROUP BY arm" for f, x in _EQUAL.items())
+    + f" UNION ALL SELECT s.arm, 'ONLY-FIRST', NULL, count(*) FROM g CROSS JOIN ({SYSTEMS}) s WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.arm = s.arm AND m.seed = s.seed AND m.doc_id = g.doc_id AND m.g_ord = g.ord) GROUP BY s.arm "
+    "UNION ALL SELECT p.arm, 'ONLY-SECOND', NULL, count(*) FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.arm = p.arm AND m.seed = p.seed AND m.doc_id = p.doc_id AND m.p_ord = p.ord) GROUP BY p.arm"
+)
+def q_divergence_kinds(s, d):
+    """All divergence rows per arm, kind and field: unequal fields, missed gold rows and invented predictions."""
+    return _divergences(s, d).groupBy("arm", "kind", "field").agg(F.count(F.lit(1)).alias("n"))
 
 
 _STRICT_G = f"SELECT doc_id, ord, CAST(value AS STRING) AS value, CAST(value_max AS STRING) AS value_max, is_range, metric_type, entity_type FROM ({GOLD}) g WHERE doc_id % 3 <> 0"

@@ -194,6 +194,22 @@ def test_critique(spark):
     assert got["e"].score == 1.0 and got["e"].rules == []
 
 
+def test_divergences_of_all_three_kinds(spark):
+    from mensura.plans import catalog
+
+    g = ev.prepared(spark.createDataFrame([ext("d", 0, 5.0), ext("d", 1, 50.0), ext("e", 0, 1.0)], f"doc_id string, ord int, {FIELDS}"))
+    p = ev.prepared(spark.createDataFrame([("a", 0, *ext("d", 0, 5.0, "ppm")), ("a", 0, *ext("d", 1, 7.0)), ("b", 0, *ext("e", 0, 1.0))], f"arm string, seed int, doc_id string, ord int, {FIELDS}"))
+    s = spark.createDataFrame([("a", 0), ("b", 0)], "arm string, seed int")
+    pairs = ev.align(g, p)
+    rows = ag.divergences(ev.aligned_fields(pairs, g, p), ev.missed(pairs, g, s), ev.invented(pairs, p), ("arm",)).collect()
+    assert sorted((r.arm, r.kind, r.doc_id, r.ord, r.field or "") for r in rows) == [
+        ("a", "DIFFERS", "d", 0, "unit"), ("a", "ONLY-FIRST", "d", 1, ""), ("a", "ONLY-FIRST", "e", 0, ""), ("a", "ONLY-SECOND", "d", 1, ""), ("b", "ONLY-FIRST", "d", 0, ""), ("b", "ONLY-FIRST", "d", 1, ""),
+    ]
+    assert [(r.first, r.second) for r in rows if r.kind == "ONLY-SECOND"] == [(None, '7 % | Nd | Process Metric | none | "s"')]
+    kinds = catalog.q_divergence_kinds(spark, "/root/testdata/sf0.001").collect()
+    assert {(r.arm, r.kind) for r in kinds} == {(a, k) for a in ("base", "tuned") for k in ("DIFFERS", "ONLY-FIRST", "ONLY-SECOND")}
+
+
 def test_logs(spark):
     rows = [(1, 1, "E"), (1, 2, None), (1, 3, "E"), (2, 1, "E"), (2, 2, "E"), (3, 1, None), (3, 2, None)]
     log = spark.createDataFrame(rows, "i int, seq int, error string")
