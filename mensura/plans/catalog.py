@@ -240,13 +240,22 @@ def q_strict_errors(s, d):
     return ev.strict_errors(sql(s, d, _STRICT_G), sql(s, d, _STRICT_P)).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{_ALIGNED} SELECT arm, seed, doc_id, round({_SCORE}, 6) AS score FROM c")
-def q_critique(s, d):
-    """The critique's scores; its lines and rules are tested on fixtures."""
+def _critique(s: SparkSession, d: str) -> DataFrame:
     gold, pred = _gold(s, d), _pred(s, d)
     pairs = ev.align(gold, pred)
-    report = ev.critique_report(_counts(s, d), ev.aligned_fields(pairs, gold, pred), ev.missed(pairs, gold, sql(s, d, SYSTEMS)), ev.invented(pairs, pred))
-    return _rounded(report.where(F.col("lines").isNotNull() & F.col("rules").isNotNull()).select("arm", "seed", "doc_id", "score"))
+    return ev.critique_report(_counts(s, d), ev.aligned_fields(pairs, gold, pred), ev.missed(pairs, gold, sql(s, d, SYSTEMS)), ev.invented(pairs, pred))
+
+
+@query(f"{_ALIGNED} SELECT arm, seed, doc_id, round({_SCORE}, 6) AS score FROM c")
+def q_critique(s, d):
+    """The critique's scores; q_critique_report has its lines and rules too."""
+    return _rounded(_critique(s, d).select("arm", "seed", "doc_id", "score"))
+
+
+@query()
+def q_critique_report(s, d):
+    """The whole critique of every document; a test compares it with plain Python."""
+    return _rounded(_critique(s, d))
 
 
 _TEXTS = ("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS abstract FROM documents WHERE doc_id % 3 = 0", "SELECT doc_id, text AS abstract FROM documents WHERE doc_id % 2 = 0", "SELECT doc_id FROM documents")

@@ -194,6 +194,48 @@ def test_critique(spark):
     assert got["e"].score == 1.0 and got["e"].rules == []
 
 
+def test_critique_of_every_document(spark):
+    from mensura.plans import catalog
+    from mensura.schemas import TUPLE_FIELDS, UNITS
+
+    d = "/root/testdata/sf0.001"
+    gold = {(r.doc_id, r.ord): r for r in catalog._gold(spark, d).collect()}
+    pred = {(r.arm, r.seed, r.doc_id, r.ord): r for r in catalog._pred(spark, d).collect()}
+    pairs = [(r.arm, r.seed, r.doc_id, r.g_ord, r.p_ord) for r in ev.align(catalog._gold(spark, d), catalog._pred(spark, d)).collect()]
+    short = lambda v: "?" if v is None else f"{v:g}"
+    near = lambda a, b: (a is None and b is None) or (a is not None and b is not None and abs(a - b) <= 0.01 * max(abs(a), abs(b)))
+
+    def said(r):
+        span = short(r.value) + ("" if r.value_max is None else f"-{short(r.value_max)}")
+        return f'{span} {r.unit or "(no unit)"} | {r.target_entity or "-"} | {r.metric_type or "-"} | {r.context_modifier or "-"} | "{r.sentence[:90]}"'
+
+    def shown(v):
+        return "none" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+
+    found = {}
+    add = lambda key, *line: found.setdefault(key, []).append(line)
+    taken_g, taken_p = {p[:4] for p in pairs}, {(*p[:3], p[4]) for p in pairs}
+    for arm, seed in (("base", 0), ("base", 1), ("tuned", 0), ("tuned", 1)):
+        for (doc, o), r in gold.items():
+            if (arm, seed, doc, o) not in taken_g:
+                add((arm, seed, doc), 1, o, "missing: " + said(r), ["list"] + ["Invalid Candidate"] * (r.metric_type == "Invalid Candidate"))
+    for key, r in pred.items():
+        if key not in taken_p:
+            add(key[:3], 2, key[3], "extra: " + said(r), ["boundary"] * (r.unit not in UNITS) + ["once"])
+    for arm, seed, doc, i, j in pairs:
+        g, p = gold[doc, i], pred[arm, seed, doc, j]
+        for k, f in enumerate(n for n in TUPLE_FIELDS if n != "value"):
+            same = near(g[f], p[f]) if f == "value_max" else g.ent_norm == p.ent_norm if f == "target_entity" else g[f] == p[f]
+            if not same:
+                add((arm, seed, doc), 3, i * 10 + k, f"wrong {f}: should be {shown(g[f])}, got {shown(p[f])}", [g.metric_type if f == "metric_type" else ev.RULE_OF_FIELD[f]])
+    rows = catalog.q_critique_report(spark, d).collect()
+    assert len(rows) == 4 * spark.read.parquet(f"{d}/orders.parquet").count()
+    for r in rows:
+        lines = sorted(found.get((r.arm, r.seed, r.doc_id), []), key=lambda x: x[:2])
+        assert r.lines == ("\n".join(x[2] for x in lines) or "all entries match the reference"), r
+        assert r.rules == list(dict.fromkeys(y for x in lines for y in x[3])), r
+
+
 def test_divergences_of_all_three_kinds(spark):
     from mensura.plans import catalog
 
