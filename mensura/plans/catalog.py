@@ -567,22 +567,16 @@ def _streamed(s: SparkSession, d: str, table: str) -> DataFrame:
     return s.readStream.schema(s.read.parquet(f"{d}/{table}.parquet").schema).parquet(f"{d}/{table}.parquet*")
 
 
-def _finished(s: SparkSession, df: DataFrame, mode: str, name: str) -> DataFrame:
-    """The stream run over what is there, its result as a table in memory."""
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return s.table(name)
-
-
 @query(f"SELECT i, seq, error, result FROM ({LOG}) QUALIFY row_number() OVER (PARTITION BY i ORDER BY error IS NULL DESC, seq DESC) = 1")
 def q_stream_compact_log(s, d):
     log = _streamed(s, d, "events").selectExpr("user_id AS i", "event_id AS seq", "CASE WHEN event_type = 'error' OR event_id % 3 = 0 THEN 'failed' END AS error", "value AS result")
-    return _finished(s, jobs.stream_compact_log(log), "complete", "compacted_log").select("i", "seq", "error", "result")
+    return jobs.stored_result(jobs.stream_compact_log(log), "compacted_log").select("i", "seq", "error", "result")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS calls, CAST(sum(event_id % 100) AS BIGINT) AS tokens FROM events GROUP BY 1, 2")
 def q_stream_usage(s, d):
     used = _streamed(s, d, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type", "event_id % 100 AS tokens")
-    return _finished(s, jobs.stream_usage(used, "ts", "tokens", by=["event_type"]), "complete", "usage_by_hour")
+    return jobs.stored_result(jobs.stream_usage(used, "ts", "tokens", by=["event_type"]), "usage_by_hour")
 
 
 # ---- further operators ---------------------------------------------------------------------

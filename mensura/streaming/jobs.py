@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -32,3 +34,22 @@ def stream_usage(events: DataFrame, ts: str, tokens: str, window: str = "1 hour"
     """Calls and tokens per tumbling window; windows older than the watermark are closed."""
     grouped = events.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), *by)
     return grouped.agg(F.count(F.lit(1)).alias("calls"), F.sum(tokens).alias("tokens")).select(F.col("w.start").alias("window_start"), *by, "calls", "tokens")
+
+
+def stored_result(df: DataFrame, name: str) -> DataFrame:
+    """A complete-mode stream run over what is there; its result as Parquet in the shared folder.
+
+    Result and checkpoint lie in the folder named by spark.checkpoint.dir, which all executors share,
+    each run in one of its own. Only where the session names none (one machine) it is a local one.
+    """
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='mensura-')}"
+    base = f"{where.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    out = f"{base}/result"
+    spark.createDataFrame([], df.schema).write.parquet(out)  # what a stream without any batch leaves
+
+    def save(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    df.writeStream.foreachBatch(save).outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)

@@ -357,6 +357,20 @@ def test_streams(spark, tmp_path):
         (tmp_path / "again").touch()
 
 
+def test_stream_queries_write_to_the_shared_folder(spark):
+    import os
+
+    from mensura.plans import catalog
+
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    for query in (catalog.q_stream_compact_log, catalog.q_stream_usage):
+        got = query(spark, "/root/testdata/sf0.001")
+        files = got.inputFiles()
+        assert files and all(f.removeprefix("file://").startswith(base + "/streams/") for f in files), files
+        assert os.listdir(files[0].removeprefix("file://").split("/result/")[0] + "/checkpoint/offsets")
+        assert got.count() > 0
+
+
 def test_plans_keep_columns_and_shuffles_few(spark):
     from mensura.plans import catalog
 
