@@ -32,10 +32,12 @@ def paired_docs(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def agreement(docs1: DataFrame, first: DataFrame, docs2: DataFrame, second: DataFrame) -> dict[str, DataFrame]:
-    """Two rounds over their common documents: counts, prf, fields, and kappa per categorical field.
+    """Two rounds over their common documents: counts, prf, fields, det_ci and tup_ci, and kappa per categorical field.
 
     The first round is the reference. Inputs come from ``evaluate.prepared``.
     """
+    from mensura.operators.stats import bootstrap_ci  # stats imports this module
+
     both = paired_docs(docs1, docs2)
     one = first.join(both, "doc_id", "left_semi")
     two = second.join(both, "doc_id", "left_semi").withColumn("round", F.lit("second"))
@@ -47,7 +49,7 @@ def agreement(docs1: DataFrame, first: DataFrame, docs2: DataFrame, second: Data
     for f in CATEGORICAL:
         k = cohen_kappa(matched, f"g_{f}", f"p_{f}").withColumn("field", F.lit(f))
         kappas = k if kappas is None else kappas.unionByName(k)
-    return {"docs": both, "matched": matched, "counts": counts, "prf": ev.micro_prf(counts, by), "fields": ev.field_accuracy(matched, by), "kappa": kappas}
+    return {"docs": both, "matched": matched, "counts": counts, "prf": ev.micro_prf(counts, by), "fields": ev.field_accuracy(matched, by), "kappa": kappas, "det_ci": bootstrap_ci(counts, "det", by), "tup_ci": bootstrap_ci(counts, "tup", by)}
 
 
 def divergences(matched: DataFrame, only_first: DataFrame, only_second: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

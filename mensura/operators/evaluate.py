@@ -215,15 +215,17 @@ def sum_seeds(counts: DataFrame) -> DataFrame:
 
 
 def evaluate(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, abstracts: DataFrame | None = None, by: tuple[str, ...] = BY) -> dict[str, DataFrame]:
-    """The whole report by name: counts, prf, fields, macro_f1, scores, and hallucination with abstracts.
+    """The whole report by name: counts, prf, fields, macro_f1, scores, det_ci and tup_ci, and hallucination with abstracts.
 
     gold and pred come from ``prepared``. The matched pairs are read by several parts of the report;
     persist ``matched`` where they are all wanted.
     """
+    from mensura.operators.stats import bootstrap_ci  # stats imports this module
+
     known = pred.join(gold_docs.select("doc_id").distinct(), "doc_id", "left_semi")
     matched = aligned_fields(align(gold, known, by), gold, known, by)
     counts = doc_counts(gold_docs, gold, known, matched, systems, by)
-    out = {"matched": matched, "counts": counts, "prf": micro_prf(counts, by), "fields": field_accuracy(matched, by), "macro_f1": macro_f1(matched, by=by), "scores": mean_score(counts, by)}
+    out = {"matched": matched, "counts": counts, "prf": micro_prf(counts, by), "fields": field_accuracy(matched, by), "macro_f1": macro_f1(matched, by=by), "scores": mean_score(counts, by), "det_ci": bootstrap_ci(counts, "det", by), "tup_ci": bootstrap_ci(counts, "tup", by)}
     if abstracts is not None:
         out["hallucination"] = hallucination_rate(known, abstracts, by)
     return out

@@ -89,10 +89,17 @@ def compare_arms(counts: DataFrame, arms: list[str], draws: int = DRAWS, seed: i
 
 
 def arm_summary(counts: DataFrame, matched: DataFrame) -> dict[str, DataFrame]:
-    """Per arm: rates per seed and pooled, scores, kappa per field, intervals over documents."""
+    """Per arm: rates per seed and pooled, scores, kappa per field (pooled and per seed), confusion, intervals over documents."""
     pooled = ev.sum_seeds(counts)
-    kappas = None
-    for f in CATEGORICAL:
-        k = cohen_kappa(matched, f"g_{f}", f"p_{f}", ["arm"]).withColumn("field", F.lit(f))
-        kappas = k if kappas is None else kappas.unionByName(k)
-    return {"per_seed": ev.micro_prf(counts), "pooled": ev.micro_prf(pooled, ("arm",)), "scores": ev.mean_score(counts), "kappa": kappas, "det_ci": bootstrap_ci(pooled, "det"), "tup_ci": bootstrap_ci(pooled, "tup")}
+
+    def kappas(by: list[str]) -> DataFrame:
+        out = None
+        for f in CATEGORICAL:
+            k = cohen_kappa(matched, f"g_{f}", f"p_{f}", by).withColumn("field", F.lit(f))
+            out = k if out is None else out.unionByName(k)
+        return out
+
+    return {
+        "per_seed": ev.micro_prf(counts), "pooled": ev.micro_prf(pooled, ("arm",)), "scores": ev.mean_score(counts), "kappa": kappas(["arm"]), "kappa_per_seed": kappas(list(ev.BY)),
+        "confusion": ev.confusion(matched, "metric_type", ("arm",)), "det_ci": bootstrap_ci(pooled, "det"), "tup_ci": bootstrap_ci(pooled, "tup"),
+    }

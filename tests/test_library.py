@@ -306,6 +306,20 @@ def test_bootstrap_and_permutation(spark):
     assert st.permutation_test(frames[0], "x", "y").first().p_value < 0.05
 
 
+def test_reports_have_intervals_kappa_and_confusion(spark):
+    g = ev.prepared(spark.createDataFrame([ext("d", 0, 5.0), ext("d", 1, 50.0), ext("e", 0, 1.0)], f"doc_id string, ord int, {FIELDS}"))
+    p = ev.prepared(spark.createDataFrame([("a", k, *ext("d", 0, 5.0, "ppm" if k else "%", metric_type="m")) for k in (0, 1)], f"arm string, seed int, doc_id string, ord int, {FIELDS}"))
+    s, d = spark.createDataFrame([("a", 0), ("a", 1)], "arm string, seed int"), spark.createDataFrame([("d",), ("e",)], "doc_id string")
+    report = ev.evaluate(d, g, p, s)
+    assert {(r.arm, r.seed, r.f1) for r in report["det_ci"].collect()} == {("a", 0, 0.5), ("a", 1, 0.5)}
+    assert report["tup_ci"].count() == 2
+    arms = st.arm_summary(report["counts"], report["matched"])
+    assert [tuple(r) for r in arms["confusion"].collect()] == [("a", "Process Metric", "m", 2)]
+    assert {(r.seed, r.po) for r in arms["kappa_per_seed"].where("field = 'unit'").collect()} == {(0, 1.0), (1, 0.0)}
+    rounds = ag.agreement(d, g, d, p.where("seed = 1").drop("arm", "seed"))
+    assert [r.f1 for r in rounds["det_ci"].collect()] == [0.5] and rounds["tup_ci"].count() == 1
+
+
 def test_splits_and_samples(spark):
     docs = spark.createDataFrame([("a", "dev"), ("b", "val"), ("c", "test")], "doc_id string, partition string")
     assert {r.doc_id: r.split for r in sm.split_gold(docs).collect()} == {"a": "train", "b": "validation", "c": "test"}
