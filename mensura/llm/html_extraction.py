@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 
 from mensura.llm.common import bounded_sample, strings
 
-#: Pages sampled, blocks of text taken from each and their length (the documented bounds), and
-#: pages composed from them.
-SAMPLE_PAGES, SAMPLE_BLOCKS, SAMPLE_CHARS, COMPOSED = 300, 20, 400, 1500
+#: Pages sampled and whole blocks of text drawn from each (the documented bounds), and pages
+#: composed from them.
+SAMPLE_PAGES, SAMPLE_BLOCKS, COMPOSED = 300, 20, 1500
 TREES, DEPTH, RATE, BINS = 50, 4, 0.25, 24
 
 #: Elements that start a block of their own, never have content, or hold raw text (HTML's lists).
@@ -161,6 +163,7 @@ def features(nodes: list[Node], tags: dict[str, float], tokens: dict[str, float]
     whole = max(1.0, text[0])
     out = np.zeros((n, len(FEATURES)))
     seen = 0.0
+    same = {id(x): Counter(c.tag for c in x.children) for x in nodes}
     for i, x in enumerate(nodes):
         odds = [tokens.get(t, 0.0) for t in x.tokens]
         own_odds, least = (sum(odds), min(odds)) if odds else (0.0, 0.0)
@@ -171,7 +174,7 @@ def features(nodes: list[Node], tags: dict[str, float], tokens: dict[str, float]
         out[i] = (
             tags.get(x.tag, 0.0), own_odds, least, above[0], above[1], min(above[2], above[5]), x.depth, np.log1p(text[i]), np.log1p(own[i]), text[i] / whole, links[i] / max(1.0, text[i]),
             np.log1p(blocks[i]), text[i] / max(1.0, blocks[i]), np.log1p(longest[i]), stops[i] / max(1.0, text[i]), tag_count[i] / max(1.0, text[i]), len(x.children), len(sibs),
-            x.index / len(sibs), sum(s.tag == x.tag for s in sibs[:50]) / min(50, len(sibs)), text[i] / max(1.0, text[p]), np.log1p(text[before]) if before >= 0 else 0, np.log1p(text[after]) if after >= 0 else 0,
+            x.index / len(sibs), same[id(x.parent)][x.tag] / len(sibs) if x.parent else 1.0, text[i] / max(1.0, text[p]), np.log1p(text[before]) if before >= 0 else 0, np.log1p(text[after]) if after >= 0 else 0,
             seen / whole, x.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), x.tag in ("li", "td", "dd", "option", "button", "label"),
         )
         seen += own[i]
@@ -370,6 +373,12 @@ def decode(nodes: list[Node], p: np.ndarray) -> list[str]:
     return [t for _, t in sorted(texts)]
 
 
+def drawn(texts: list[str]) -> list[str]:
+    """SAMPLE_BLOCKS of a page's blocks, whole ones, from anywhere in it, by a hash of place and text."""
+    order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(f"{i} {texts[i]}".encode("utf-8", "replace")), i))
+    return [texts[i] for i in sorted(order[:SAMPLE_BLOCKS])]
+
+
 def train(pages: DataFrame, html_col: str = "html", key_col: str = "page_id") -> Model:
     """Trains on blocks of a bounded sample of pages (see the bounds above)."""
     few = bounded_sample(pages.select(F.col(key_col).alias("_key"), F.coalesce(F.col(html_col), F.lit("")).alias("_html")), "_key", SAMPLE_PAGES)
@@ -378,8 +387,7 @@ def train(pages: DataFrame, html_col: str = "html", key_col: str = "page_id") ->
         for batch in batches:
             out = []
             for page in batch.column(0).to_pylist():
-                texts = [t for x in read_page(page) for _, t in x.texts if len(t) >= 3]
-                out += [t[:SAMPLE_CHARS] for t in texts[:SAMPLE_BLOCKS]]
+                out += drawn([t for x in read_page(page) for _, t in x.texts if len(t) >= 3])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["block"])
 
     return fit([r.block for r in few.select("_html").mapInArrow(blocks, "block string").collect()])

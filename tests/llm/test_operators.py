@@ -284,6 +284,17 @@ def test_components(spark):
 # ---- 10 and the pipeline -------------------------------------------------------------------
 
 
+def test_html_siblings_and_sample_see_whole_lists():
+    nodes = html_extraction.read_page("<body>" + "<p>one</p>" * 60 + "<div>two</div>" * 40 + "</body>")
+    x = html_extraction.features(nodes, {}, {})
+    shares = {n.tag: set() for n in nodes}
+    for n, row in zip(nodes, x):
+        shares[n.tag].add(round(float(row[19]), 6))
+    assert shares["p"] == {0.6} and shares["div"] == {0.4}
+    got = html_extraction.drawn([f"{i} " + "x" * 900 for i in range(200)])
+    assert len(got) == 20 and all(len(t) > 900 for t in got) and int(got[-1].split()[0]) >= 20
+
+
 def test_html_extraction(spark):
     pages = common.table(spark, "/root/testdata/sf0.01", "pages")
     model = html_extraction.train(pages)
