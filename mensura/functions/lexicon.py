@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Names of the elements by symbol, and further forms.
+#: Names of the elements by symbol, with further forms where there are any.
 ELEMENTS = {
-    "La": "lanthanum", "Ce": "cerium", "Pr": "praseodymium", "Nd": "neodymium", "Pm": "promethium", "Sm": "samarium", "Eu": "europium", "Gd": "gadolinium", "Tb": "terbium",
-    "Dy": "dysprosium", "Ho": "holmium", "Er": "erbium", "Tm": "thulium", "Yb": "ytterbium", "Lu": "lutetium", "Y": "yttrium", "Sc": "scandium",
+    "La": ["lanthanum", "lanthane"], "Ce": ["cerium"], "Pr": ["praseodymium"], "Nd": ["neodymium"], "Pm": ["promethium"], "Sm": ["samarium"], "Eu": ["europium"], "Gd": ["gadolinium"], "Tb": ["terbium"],
+    "Dy": ["dysprosium"], "Ho": ["holmium"], "Er": ["erbium"], "Tm": ["thulium"], "Yb": ["ytterbium"], "Lu": ["lutetium", "lutecium"], "Y": ["yttrium"], "Sc": ["scandium"],
 }
-MORE_ELEMENTS = {"La": ["lanthane"], "Lu": ["lutecium"]}
 #: Groups, oxides, minerals and materials with the forms they are written in.
 GROUPS = {
     "REE": ["rare earth elements", "rare earth element", "rare-earth element", "rare earths", "rare-earths", "rare earth", "rare-earth", "rare‐earth", "rare‑earth", "rare‐earth element", "rare‑earth element", "REEs", "lanthanide", "lanthanides", "lanthanoid", "lanthanoids"],
@@ -47,13 +49,13 @@ HOMONYMS = ("resting energy expenditure", "energy expenditure", "basal metabolic
 FORM = "form string, canonical string, entity_type string, case_sensitive boolean, spelling string"
 #: Least similarity, in percent, of a fuzzy match, and least length of what is matched.
 LEAST_RATIO, LEAST_LENGTH = 90.0, 4
+#: Most forms of a lexicon that are shipped to the tasks.
+MOST_FORMS = 100_000
 
 
 def default_terms() -> list[tuple[str, str, str, bool, str]]:
     """(lower-cased form, canonical term, type, case-sensitive, spelling) of every form, first wins."""
-    sections = (
-        ("element", {k: [v, *MORE_ELEMENTS.get(k, [])] for k, v in ELEMENTS.items()}), ("element_group", GROUPS), ("oxide", OXIDES), ("mineral", MINERALS), ("other", MATERIALS),
-    )
+    sections = (("element", ELEMENTS), ("element_group", GROUPS), ("oxide", OXIDES), ("mineral", MINERALS), ("other", MATERIALS))
     out: dict[str, tuple[str, str, str, bool, str]] = {}
     for kind, terms in sections:
         for canonical, forms in terms.items():
@@ -80,7 +82,9 @@ def yaml_terms(content: str) -> list[tuple[str, str, str, bool, str]]:
 def load_lexicon(spark: SparkSession, path: str | None = None) -> DataFrame:
     """The term table, our own or that of a YAML file (a few hundred rows, read by Spark from any store)."""
     terms = yaml_terms(spark.read.text(path, wholetext=True).first()[0]) if path else default_terms()
-    return spark.createDataFrame(terms, FORM)
+    columns = [f.name for f in T._parse_datatype_string(FORM).fields]
+    # an Arrow table becomes a local relation, whose size the optimizer knows
+    return spark.createDataFrame(pa.table(dict(zip(columns, zip(*terms)))), FORM)
 
 
 # ---- patterns ------------------------------------------------------------------------------
@@ -143,27 +147,32 @@ def indel_ratio(a: str, b: str) -> float:
 def fuzzy_lexicon(entities: DataFrame, lexicon: DataFrame, column: str = "entity") -> DataFrame:
     """(entity, form) of the first best form with a ratio of 90 and more, for the distinct entities.
 
-    The lexicon is a bounded table of a few hundred forms and is shipped whole; pairs whose lengths
-    alone rule the ratio out are not compared.
+    The lexicon is shipped whole, up to MOST_FORMS forms; pairs whose lengths alone rule the ratio
+    out are not compared. The matching is a map over the distinct entities, which no filter on its
+    result can pass: it never runs on the rows themselves.
     """
-    forms = [r.form for r in lexicon.select("form").collect()]
-
-    def match(values: pd.Series) -> pd.Series:
-        out = []
-        for value in values:
-            best, chosen = LEAST_RATIO, None
-            text = (value or "").strip().lower()
-            for form in forms if len(text) >= LEAST_LENGTH else ():
-                if 200.0 * min(len(text), len(form)) / (len(text) + len(form)) < best:
-                    continue
-                ratio = indel_ratio(text, form)
-                if ratio > best or (chosen is None and ratio >= best):
-                    best, chosen = ratio, form
-            out.append(chosen)
-        return pd.Series(out, dtype=object)
-
-    found = F.pandas_udf(match, "string")
-    return entities.select(column).where(F.col(column).isNotNull()).distinct().withColumn("form", found(column)).where("form IS NOT NULL")
+    forms = [r.form for r in lexicon.select("form").limit(MOST_FORMS + 1).collect()]
+    if len(forms) > MOST_FORMS:
+        raise ValueError(f"a lexicon of more than {MOST_FORMS} forms isn't matched fuzzily")
+
+    def nearest(value: str) -> str | None:
+        best, chosen = LEAST_RATIO, None
+        text = value.strip().lower()
+        for form in forms if len(text) >= LEAST_LENGTH else ():
+            if 200.0 * min(len(text), len(form)) / (len(text) + len(form)) < best:
+                continue
+            ratio = indel_ratio(text, form)
+            if ratio > best or (chosen is None and ratio >= best):
+                best, chosen = ratio, form
+        return chosen
+
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = frame.assign(form=[nearest(v) for v in frame[column]])
+            yield found[found["form"].notna()]
+
+    names = entities.select(column).where(F.col(column).isNotNull()).distinct()
+    return names.mapInPandas(match, f"`{column}` string, form string")
 
 
 def resolve_entities(df: DataFrame, lexicon: DataFrame, column: str = "target_entity", fuzzy: bool = True) -> DataFrame:
