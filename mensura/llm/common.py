@@ -50,10 +50,13 @@ def parts_for(df: DataFrame, part_bytes: int, text_col: str = "text") -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a local one is set.
+    Where the session names none, a session on one machine gets a temporary folder; on a cluster,
+    whose executors don't see the driver's folders, that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         where = f"file://{tempfile.mkdtemp(prefix='mensura-')}"
@@ -242,17 +245,18 @@ class Probe:
 # ---- samples to learn from -----------------------------------------------------------------
 
 
-def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
-    """About ``most`` rows (all, if there are no more), chosen by a hash of ``key``.
+def bounded_sample(df: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """About ``most`` distinct rows (all rows, if there are no more), chosen by a hash of all columns.
 
-    The same rows at every partitioning. The expected number is exact, so a tenth more than
-    ``most`` doesn't happen in practice from a thousand rows on.
+    The same rows at every partitioning. Equal rows are chosen together and then count once, so
+    neither null nor repeated ids make the sample grow: of n distinct rows n * most / (number of
+    rows) are expected, and a tenth more than ``most`` doesn't happen in practice from a thousand on.
     """
     total = df.count()
     if total <= most:
         return df
-    share = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return df.where(share < most / total)
+    share = F.pmod(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns], F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return df.where(share < most / total).distinct()
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -263,12 +267,13 @@ def fold(id_col: str, folds: int) -> Column:
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns _id, _text, _y: a bounded sample of the rows with a label, joined with their texts.
 
-    The sample is taken before the join, so the side that is broadcast has ``most`` rows or so.
+    The labels are sampled before the join, so the side that is broadcast has ``most`` rows or so;
+    where ids repeat among the documents, the joined rows are sampled again.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
-    few = bounded_sample(known, "_id", most)
+    few = bounded_sample(known, most)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return texts.join(F.broadcast(few), "_id")
+    return bounded_sample(texts.join(F.broadcast(few), "_id"), most + most // 5, 1)
 
 
 #: Upper to lower case for ASCII, as a table; Latin-1 letters are two bytes and lowered apart.

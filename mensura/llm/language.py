@@ -24,6 +24,7 @@ from mensura.llm.common import LETTER, lowered, raw, slices
 HASH_BITS, SPECTRUM = 15, (1, 2, 3)
 #: Texts per language to learn from, and landmarks in all (the documented bounds).
 TEXTS_PER_LANGUAGE, LANDMARKS = 800, 128
+TEXTS, MOST_LANGUAGES = 16_000, 1_000
 #: Presence rows multiplied at once.
 ROWS = 64
 UNKNOWN = "und"
@@ -94,15 +95,20 @@ def fit(bits: np.ndarray, labels: np.ndarray, n_landmarks: int = LANDMARKS, ridg
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE) -> Model:
-    """Learns from rows with a language; about ``per_language`` texts of each, chosen by a hash of
-    the id, come to the driver as bit rows of 4 KB."""
+    """Learns from rows with a language and a letter: of each language about ``per_language``
+    distinct (id, text) rows, chosen by their hash, come to the driver as bit rows of 4 KB. With
+    many languages each gets fewer, TEXTS in all; more than MOST_LANGUAGES are an error."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND rlike(text, '\\\\p{L}')")
-    counts = {r.lang: r.n for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.lang: r.n for r in counted.limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return fit(np.zeros((0, (1 << HASH_BITS) // 8), np.uint8), np.array([], str))
-    hashed = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
-    shares = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(per_language / n))])
-    few = rows.where(hashed < shares[F.col("lang")])
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    each = min(per_language, TEXTS // len(counts))
+    hashed = F.pmod(F.xxhash64("id", "text", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
+    shares = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(each / n))])
+    few = rows.where(hashed < shares[F.col("lang")]).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
