@@ -16,7 +16,6 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,53 +38,112 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript", "template"))
-#: A start tag that closes an open element of these kinds first.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements whose start tag closes an open one of their group first, and what bounds the search.
+GROUP = {"li": "item", "dt": "term", "dd": "term", "tr": "row", "td": "cell", "th": "cell", "option": "option", "p": "p", "thead": "rows", "tbody": "rows", "tfoot": "rows"}
+BOUNDS = {
+    "item": BLOCKS - {"address", "div", "p", "li"}, "term": BLOCKS - {"address", "div", "p", "dt", "dd"}, "row": frozenset(("table",)), "rows": frozenset(("table",)), "cell": frozenset(("table", "tr")),
+    "option": frozenset(("select",)), "p": frozenset(("button", "caption", "table", "td", "th", "template")),
+}
+#: Start tags that close an open p.
+ENDS_P = frozenset("address article aside blockquote dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
+_SCOPES = {tag: [(g, GROUP.get(tag) == g) for g in BOUNDS if GROUP.get(tag) == g or tag in BOUNDS[g]] for tag in BLOCKS}
+
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The next attribute: its name and, where a value follows, the equals sign. Quotes mean something only after it.
+ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>][^\s/>=]*)(\s*=\s*)?)?")
+UNQUOTED = re.compile(r"[^\s>]*")
+COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NAMED = frozenset(("class", "id", "role", "itemprop", "aria-label"))
+_RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>?", re.I) for t in RAW}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
-TOKEN = re.compile(r"[a-z]+")
-_RAW_END = {t: re.compile(f"</{t}\\s*>", re.I) for t in RAW}
 
+@dataclass
+class Page:
+    """A page's block elements in page order, the root first, as columns; and its blocks of text."""
 
-class Node:
-    __slots__ = ("tag", "parent", "tokens", "children", "texts", "links", "depth", "index")
+    tags: list[str]
+    parents: list[int]
+    tokens: list[list[str]]
+    links: list[int]
+    texts: list[tuple[int, str]]  # (element, text of one block), in page order
 
-    def __init__(self, tag: str, parent: Node | None, tokens: list[str]):
-        self.tag, self.parent, self.tokens = tag, parent, tokens
-        self.children: list[Node] = []
-        self.texts: list[tuple[int, str]] = []  # (order in the page, text of one block)
-        self.links, self.depth, self.index = 0, parent.depth + 1 if parent else 0, 0
 
+def read_page(page: str) -> Page:
+    """Reads a page in one pass; unclosed and stray tags, odd quotes and bare signs are borne.
 
-def read_page(page: str) -> list[Node]:
-    """The page's block elements in page order, the root first; unclosed and stray tags are borne."""
-    root = Node("html", None, [])
-    nodes, now, at, order, pending, in_link = [root], root, 0, 0, [], 0
+    Tags are read as browsers do: a quote begins a value only after an equals sign, a comment or
+    tag that never ends takes the rest. Character references are decoded in each run of text
+    between tags. Every element is opened and closed once, so the time is linear in the page.
+    """
+    tags, parents, tokens, links = ["html"], [-1], [[]], [0]
+    texts: list[tuple[int, str]] = []
+    opened, counts = [0], dict.fromkeys(BLOCKS, 0)
+    scopes: dict[str, list[int]] = {g: [] for g in BOUNDS}  # open elements of a group, -1 where a bound is
+    pending: list[str] = []
+    unquoted: set[str] = set()  # quotes that don't occur any more
+    in_link, start, at, size = False, 0, 0, len(page)
+
+    def close(element: int) -> None:
+        while opened[-1] != element:
+            close_last()
+        close_last()
+
+    def close_last() -> None:
+        tag = tags[opened.pop()]
+        counts[tag] -= 1
+        for g, _ in _SCOPES[tag]:
+            scopes[g].pop()
 
     def flush() -> None:
-        nonlocal order, pending
-        text = " ".join(html.unescape("".join(pending)).split())
+        text = " ".join("".join(pending).split())
         if text:
-            now.texts.append((order, text))
-            order += 1
-        pending = []
-
-    for m in TAG.finditer(page):
-        if m.start() < at:
-            continue  # inside raw text
-        if m.start() > at:
-            piece = page[at : m.start()]
-            pending.append(piece)
+            texts.append((opened[-1], text))
+        pending.clear()
+
+    def take(end: int) -> None:
+        if end > start:
+            piece = page[start:end]
+            pending.append(html.unescape(piece) if "&" in piece else piece)
             if in_link:
-                now.links += len(piece)
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+                links[opened[-1]] += end - start
+
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            take(size)
+            break
+        m = OPEN.match(page, at)
+        if not m:
+            after = page[at + 1 : at + 2]
+            if after not in ("!", "?", "/") or (after == "/" and at + 2 >= size):
+                at += 1  # a bare sign
+                continue
+            take(at)
+            whole = COMMENT.match(page, at)
+            end = whole.end() if whole else page.find(">", at) + 1
+            start = at = end or size
             continue
+        take(at)
+        tag, found, at = m[2].lower(), [], m.end()
+        wanted = tag in BLOCKS and not m[1]
+        while at < size and page[at] != ">":
+            own = ATTRIBUTE.match(page, at)
+            at = own.end()
+            if own[2]:
+                quote = page[at : at + 1]
+                end = -1
+                if quote in ("'", '"') and quote not in unquoted:
+                    end = page.find(quote, at + 1)
+                    if end < 0:
+                        unquoted.add(quote)
+                value, at = (page[at + 1 : end], end + 1) if end >= 0 else ((v := UNQUOTED.match(page, at))[0], v.end())
+                if wanted and own[1].lower() in NAMED:
+                    found += [w.lower() for w in WORD.findall(value)]
+        empty = at < size and page[at - 1] == "/"
+        start = at = min(at + 1, size)
         if tag == "a":
-            in_link = 0 if m[1] else 1
+            in_link = not m[1]
             continue
         if tag == "br":
             pending.append(" ")
@@ -93,92 +151,114 @@ def read_page(page: str) -> list[Node]:
         if tag not in BLOCKS:
             continue
         flush()
-        in_link = 0
+        in_link = False
         if m[1]:
-            up = now
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                now = up.parent
+            if counts[tag]:
+                while tags[opened[-1]] != tag:
+                    close_last()
+                close_last()
             continue
         if tag in ("html", "hr"):
+            if tag == "hr" and scopes["p"] and scopes["p"][-1] >= 0:
+                close(scopes["p"][-1])
             continue
-        if tag in ENDS_P:
-            up = now
-            while up is not root and up.tag not in ("p", "div", "article", "section", "td", "li", "body"):
-                up = up.parent
-            if up.tag == "p":
-                now = up.parent
-        for kind in CLOSES.get(tag, ()):
-            if now.tag == kind:
-                now = now.parent
-        tokens = []
-        for name, value in ATTRIBUTE.findall(m[3] or ""):
-            if name.lower() in ("class", "id", "role", "itemprop", "aria-label"):
-                tokens += TOKEN.findall(value.lower())
-        node = Node(tag, now, tokens)
-        node.index = len(now.children)
-        now.children.append(node)
-        nodes.append(node)
-        if tag in VOID or m[3].rstrip().endswith("/"):
+        for group in ("p" if tag in ENDS_P else None, GROUP.get(tag)):
+            if group and scopes[group] and scopes[group][-1] >= 0:
+                close(scopes[group][-1])
+        element = len(tags)
+        tags.append(tag), parents.append(opened[-1]), tokens.append(found), links.append(0)
+        if empty:
             continue
-        now = node
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
-            now = node.parent
-    if at < len(page):
-        pending.append(page[at:])
+            start = at = end.end() if end else size
+            continue
+        opened.append(element)
+        counts[tag] += 1
+        for g, member in _SCOPES[tag]:
+            scopes[g].append(element if member else -1)
     flush()
-    return nodes
+    return Page(tags, parents, tokens, links, texts)
 
 
 FEATURES = (
     "tag_odds", "token_odds", "token_least", "above_tag", "above_token", "above_least", "depth", "log_text", "log_own", "text_share", "link_share", "blocks", "words_per_block",
-    "longest", "full_stops", "tags_per_text", "children", "siblings", "place", "same_tag", "parent_share", "before_log", "after_log", "page_place", "heading", "item",
+    "longest", "full_stops", "tags_per_text", "children", "siblings", "place", "same_tag", "parent_share", "before_log", "after_log", "page_place", "heading", "item", "inner_least",
 )
+_HEADINGS, _ITEMS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6")), frozenset(("li", "td", "dd", "option", "button", "label"))
+
 
+class Odds:
+    """Log odds of main text by token; an unknown token has those of its longest known beginning."""
 
-def features(nodes: list[Node], tags: dict[str, float], tokens: dict[str, float]) -> np.ndarray:
-    """A feature row for each node. tags, tokens: log odds of main text, learnt with the trees."""
-    n = len(nodes)
-    place = {id(x): i for i, x in enumerate(nodes)}
-    text, links, blocks, tag_count, longest, stops = (np.zeros(n) for _ in range(6))
-    own = np.zeros(n)
-    for i in range(n - 1, -1, -1):
-        x = nodes[i]
-        size = sum(len(t) for _, t in x.texts)
-        own[i] = size
-        text[i] += size
-        links[i] += min(x.links, size)
-        blocks[i] += len(x.texts)
-        tag_count[i] += 1
-        longest[i] = max(longest[i], max((len(t) for _, t in x.texts), default=0))
-        stops[i] += sum(t.count(".") + t.count(",") for _, t in x.texts)
-        if x.parent:
-            p = place[id(x.parent)]
-            for column in (text, links, blocks, tag_count, stops):
-                column[p] += column[i]
-            longest[p] = max(longest[p], longest[i])
-    whole = max(1.0, text[0])
-    out = np.zeros((n, len(FEATURES)))
-    seen = 0.0
-    same = {id(x): Counter(c.tag for c in x.children) for x in nodes}
-    for i, x in enumerate(nodes):
-        odds = [tokens.get(t, 0.0) for t in x.tokens]
-        own_odds, least = (sum(odds), min(odds)) if odds else (0.0, 0.0)
-        p = place[id(x.parent)] if x.parent else 0
-        above = out[p] if x.parent else np.zeros(len(FEATURES))
-        sibs = x.parent.children if x.parent else [x]
-        before, after = (place[id(sibs[x.index + d])] if 0 <= x.index + d < len(sibs) else -1 for d in (-1, 1))
-        out[i] = (
-            tags.get(x.tag, 0.0), own_odds, least, above[0], above[1], min(above[2], above[5]), x.depth, np.log1p(text[i]), np.log1p(own[i]), text[i] / whole, links[i] / max(1.0, text[i]),
-            np.log1p(blocks[i]), text[i] / max(1.0, blocks[i]), np.log1p(longest[i]), stops[i] / max(1.0, text[i]), tag_count[i] / max(1.0, text[i]), len(x.children), len(sibs),
-            x.index / len(sibs), same[id(x.parent)][x.tag] / len(sibs) if x.parent else 1.0, text[i] / max(1.0, text[p]), np.log1p(text[before]) if before >= 0 else 0, np.log1p(text[after]) if after >= 0 else 0,
-            seen / whole, x.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), x.tag in ("li", "td", "dd", "option", "button", "label"),
-        )
-        seen += own[i]
-    return out
+    def __init__(self, known: dict[str, float]):
+        self.known, self.seen = known, {}
+
+    def __getitem__(self, token: str) -> float:
+        if token not in self.seen:
+            if len(self.seen) > 100_000:
+                self.seen = {}
+            beginning = next((token[:k] for k in range(min(len(token), 20), 3, -1) if token[:k] in self.known), token)
+            self.seen[token] = self.known.get(beginning, 0.0)
+        return self.seen[token]
+
+
+def features(page: Page, tags: dict[str, float], tokens: Odds) -> np.ndarray:
+    """A feature row for each element. tags, tokens: log odds of main text, learnt with the trees.
+
+    Elements stand in page order, so a subtree is a range and its sums are differences of sums.
+    """
+    n = len(page.tags)
+    parents = page.parents
+    up = np.array(parents)
+    up[0] = 0
+    inner = [1] * n
+    for i in range(n - 1, 0, -1):
+        inner[parents[i]] += inner[i]
+    owner = np.array([e for e, _ in page.texts], np.int64)
+    sizes = np.array([len(t) for _, t in page.texts], np.int64)
+    own = np.bincount(owner, sizes, n)
+    columns = (own, np.minimum(page.links, own), np.bincount(owner, minlength=n), np.bincount(owner, [t.count(".") + t.count(",") for _, t in page.texts], n))
+    ends = np.arange(n) + np.array(inner)
+    text, links, blocks, stops = (c[ends] - c[:-1] for c in (np.concatenate([[0], np.cumsum(x)]) for x in columns))
+    longest = [0] * n
+    for e, t in page.texts:
+        longest[e] = max(longest[e], len(t))
+    odds = [[tokens[t] for t in own] if own else () for own in page.tokens]
+    least = [min(o) if o else 0.0 for o in odds]
+    inner_least = least.copy()
+    for i in range(n - 1, 0, -1):
+        p = parents[i]
+        if longest[i] > longest[p]:
+            longest[p] = longest[i]
+        if inner_least[i] < inner_least[p]:
+            inner_least[p] = inner_least[i]
+    above_least, depth, place, last, before, after, children = [0.0] * n, [0] * n, [0] * n, [-1] * n, [-1] * n, [-1] * n, [0] * n
+    same: dict[tuple[int, str], int] = {}
+    for i in range(1, n):
+        p = parents[i]
+        above_least[i] = min(least[p], above_least[p])
+        depth[i], place[i] = depth[p] + 1, children[p]
+        children[p] += 1
+        before[i] = last[p]
+        if last[p] >= 0:
+            after[last[p]] = i
+        last[p] = i
+        key = (p, page.tags[i])
+        same[key] = same.get(key, 0) + 1
+    children = np.array(children, float)
+    siblings = children[up]
+    siblings[0] = 1
+    alike = np.array([same.get((parents[i], page.tags[i]), 1) for i in range(n)]) / siblings
+    tag_odds, token_odds = np.array([tags.get(t, 0.0) for t in page.tags]), np.array([sum(o) for o in odds])
+    log_text = np.append(np.log1p(text), 0.0)  # the last stands for no sibling
+    whole, seen = max(1.0, text[0]), np.cumsum(own) - own
+    inside = np.arange(n) > 0
+    return np.column_stack((
+        tag_odds, token_odds, least, tag_odds[up] * inside, token_odds[up] * inside, above_least, depth, log_text[:-1], np.log1p(own), text / whole, links / np.maximum(1, text),
+        np.log1p(blocks), text / np.maximum(1, blocks), np.log1p(longest), stops / np.maximum(1, text), np.array(inner) / np.maximum(1, text), children, siblings,
+        np.array(place) / siblings, alike, text / np.maximum(1, text[up]), log_text[before], log_text[after], seen / whole, [t in _HEADINGS for t in page.tags], [t in _ITEMS for t in page.tags], inner_least,
+    )).astype(float)
 
 
 # ---- boosted trees -------------------------------------------------------------------------
@@ -251,64 +331,112 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
 
 # ---- training pages ------------------------------------------------------------------------
 
-#: Roles of page parts: (tag, attribute tokens), main text and furniture. Fixed training layouts.
-MAIN = (("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "post-content"), ("div", "entry"), ("section", "article-body"), ("div", "story text"), ("div", "main"), ("div", ""))
-MENUS = (("nav", ""), ("div", "menu"), ("ul", "nav navigation"), ("div", "breadcrumb"), ("nav", "pagination"), ("div", "tags links"))
+#: Layouts to train on (fixed values): elements with attribute tokens, of main text and of what surrounds it.
+MAIN = (
+    ("article", ""), ("article", "post"), ("article", "entry"), ("main", ""), ("main", "content"), ("div", "content"), ("div", "post-content"), ("div", "entry-content"), ("div", "page-content"), ("section", "article-body"),
+    ("div", "story text"), ("div", "main"), ("div", "article"), ("div", "body"), ("section", ""), ("div", ""),
+)
+MENUS = (("nav", ""), ("nav", "navbar"), ("div", "menu"), ("ul", "nav navigation"), ("div", "breadcrumbs"), ("nav", "pagination"), ("div", "pager"), ("div", "tags links"), ("ul", "categories"), ("div", "toc"))
 FURNITURE = (
-    ("header", ""), ("div", "header masthead"), ("footer", ""), ("div", "footer copyright"), ("aside", ""), ("div", "sidebar widget"), ("div", "ad"), ("div", "advert banner sponsored"), ("div", "promo"),
-    ("div", "cookie notice consent"), ("div", "newsletter subscribe"), ("div", "related recommended"), ("div", "social share"), ("section", "comments"), ("div", "comment reply"), ("ol", "comment-list"), ("form", ""), ("form", "search login"), ("div", "popup modal"),
+    ("header", ""), ("div", "header masthead"), ("div", "site-header"), ("div", "topbar"), ("footer", ""), ("div", "footer copyright"), ("div", "site-footer legal"), ("div", "colophon"), ("aside", ""), ("div", "sidebar widget"),
+    ("div", "rail secondary"), ("div", "ad"), ("div", "ads"), ("section", "advert"), ("div", "advertisement"), ("div", "banner sponsored"), ("div", "sponsor"), ("div", "promo"), ("div", "promotion"), ("div", "cookie notice consent"),
+    ("div", "cookies gdpr"), ("div", "alert notice"), ("div", "notification"), ("div", "disclaimer"), ("div", "newsletter subscribe"), ("div", "signup subscription"), ("div", "related recommended"), ("section", "trending popular"),
+    ("div", "social share"), ("div", "sharing follow"), ("form", ""), ("form", "search login"), ("div", "popup modal"), ("div", "overlay paywall"),
+)
+COMMENTS = (
+    ("section", "comments"), ("div", "comments"), ("div", "comment reply"), ("ol", "comment-list"), ("div", "responses"), ("section", "response"), ("div", "replies"), ("div", "disqus_thread"), ("div", "discussion"), ("ul", "respond"),
+    ("div", "feedback"), ("div", "reactions"), ("section", "reader-comments"), ("div", "thread messages"), ("aside", "comments"), ("div", "reviews"),
 )
 
 
 def compose(blocks: list[str], rng: np.random.Generator) -> tuple[str, set[str]]:
-    """A page of the given blocks in a random layout, and the blocks that are its main text."""
-    take = iter(rng.permutation(len(blocks)))
-    text = lambda: html.escape(blocks[next(take, 0)])
+    """A page of the given blocks in a random layout, and the texts that are its main text.
+
+    Main text comes from the first half of the blocks, all else from the second.
+    """
+    half = max(1, len(blocks) // 2)
+    good, bad = ([html.escape(x) for x in own] or ["Word."] for own in (blocks[:half], blocks[half:]))
+    pick = lambda own: own[rng.integers(len(own))]
+    short = lambda text, low, high: " ".join(text.split()[: rng.integers(low, high)]) or "Word"
     kept: set[str] = set()
 
     def part(tag: str, tokens: str, inner: str) -> str:
-        name = rng.choice(("class", "id"))
-        return f"<{tag}{f' {name}="{tokens}"' if tokens else ''}>{inner}</{tag}>"
+        return f"<{tag}{f' {pick(("class", "id"))}="{tokens}"' if tokens else ''}>{inner}</{tag}>"
 
     def menu() -> str:
-        tag, tokens = MENUS[rng.integers(len(MENUS))]
-        words = text().split()[: rng.integers(2, 9)] or ["home"]
-        inner = "".join(f'<li><a href="/{i}">{w}</a></li>' for i, w in enumerate(words))
+        tag, tokens = pick(MENUS)
+        inner = "".join(f'<li><a href="/{i}">{short(pick(bad), 1, 4)}</a></li>' for i in range(rng.integers(2, 9)))
         return part(tag, tokens, inner if tag == "ul" else f"<ul>{inner}</ul>")
 
+    def comments() -> str:
+        tag, tokens = pick(COMMENTS)
+        item = "li" if tag in ("ol", "ul") else pick(("div", "p", "article", "li"))
+        name = pick(("", ' class="comment"', ' class="message"', ' class="item"'))
+        one = lambda: pick((pick(bad), f"<p>{pick(bad)}</p>", f"<h4>{short(pick(bad), 1, 3)}</h4><p>{pick(bad)}</p>", f"<b>{short(pick(bad), 1, 3)}</b> {short(pick(bad), 3, 20)}"))
+        inner = "".join(f"<{item}{name}>{one()}</{item}>" for _ in range(rng.integers(1, 6)))
+        return part(tag, tokens, f"<h3>{short(pick(bad), 1, 4)}</h3>{inner}" if tag not in ("ol", "ul") and rng.random() < 0.5 else inner)
+
     def furniture() -> str:
-        tag, tokens = FURNITURE[rng.integers(len(FURNITURE))]
+        if rng.random() < 0.25:
+            return comments()
+        tag, tokens = pick(FURNITURE)
         if tag == "form":
-            inner = f"<label>{' '.join(text().split()[:3])}</label><input name=q><button>{' '.join(text().split()[:1])}</button>"
-        elif "comment" in tokens or rng.random() < 0.25:
-            inner = "".join(f"<{k}>{text()}</{k}>" for k in ["li" if tag == "ol" else "p"] * rng.integers(1, 4))
+            inner = f"<label>{short(pick(bad), 1, 4)}</label><input name=q><button>{short(pick(bad), 1, 2)}</button>"
         else:
-            short = " ".join(text().split()[: rng.integers(3, 25)])
-            inner = rng.choice((short, f"<p>{short}</p>", f"<h3>{short}</h3><p>{text()}</p>", f'<a href="/x">{short}</a>'))
+            text = short(pick(bad), 3, 25)
+            listed = "".join(f"<li>{short(pick(bad), 2, 9)}</li>" for _ in range(rng.integers(1, 5)))
+            inner = pick((text, f"<p>{text}</p>", f"<p>{pick(bad)}</p>", f"<h3>{text}</h3><p>{pick(bad)}</p>", f'<a href="/x">{text}</a>', f"<ul>{listed}</ul>"))
         return part(tag, tokens, inner)
 
+    def said(low: int = 0, high: int = 0) -> str:
+        text = pick(good)
+        text = short(text, low, high) if high else text
+        kept.add(" ".join(html.unescape(text).split()))
+        return text
+
+    def block() -> str:
+        kind = rng.random()
+        if kind < 0.55:
+            words = said().split(" ")
+            if rng.random() < 0.2:
+                k = rng.integers(len(words))
+                words[k] = f'<a href="/{k}">{words[k]}</a>'
+            return f"<p>{' '.join(words)}</p>"
+        if kind < 0.62:
+            return f"<p><b>{said()}<br>"
+        if kind < 0.7:
+            return f"<{(tag := pick(('h2', 'h3', 'h4')))}>{said(1, 8)}</{tag}>"
+        if kind < 0.82:
+            tag, many, high = pick(("ul", "ol")), rng.integers(1, 9), pick((4, 15, 0))
+            return f"<{tag}>{''.join(f'<li>{said(1 if high else 0, high)}</li>' for _ in range(many))}</{tag}>"
+        if kind < 0.87:
+            rows = "".join(f"<tr>{''.join(f'<td>{said(1, 4)}</td>' for _ in range(3))}</tr>" for _ in range(rng.integers(1, 5)))
+            return f"<table>{rows}</table>"
+        if kind < 0.9:
+            return f"<dl><dt>{said(1, 4)}</dt><dd>{said()}</dd></dl>"
+        if kind < 0.94:
+            return f"<blockquote>{pick((said(), f'<p>{said()}</p>'))}</blockquote>"
+        if kind < 0.96:
+            return f"<figure><img src=x><figcaption>{said(2, 12)}</figcaption></figure>"
+        return pick((f"<div>{said()}</div>", f"<pre>{said()}</pre>", f"<section><h2>{said(1, 6)}</h2><p>{said()}</p></section>", f"<div><div><p>{said()}</p></div></div>"))
+
     def main() -> str:
-        out = []
-        if rng.random() < 0.85:
-            title = " ".join(text().split()[:10])
-            kept.add(html.unescape(title))
-            out.append(f"<h1>{title}</h1>")
+        out = [f"<h1>{said(1, 12)}</h1>"] if rng.random() < 0.85 else []
         for _ in range(rng.integers(0 if out else 1, 12)):
-            own = text()
-            kept.add(html.unescape(own))
-            kind = rng.random()
-            out.append(f"<p>{own}</p>" if kind < 0.7 else f"<p><b>{own}<br>" if kind < 0.8 else f"<h2>{own}</h2>" if kind < 0.85 else f"<ul><li>{own}</li></ul>" if kind < 0.9 else f"<blockquote>{own}</blockquote>" if kind < 0.95 else f"<div>{own}</div>")
-            if rng.random() < 0.06:
+            out.append(block())
+            if rng.random() < 0.07:
                 out.append(furniture())
-        tag, tokens = MAIN[rng.integers(len(MAIN))]
+        if rng.random() < 0.15:
+            out.append(comments())
+        tag, tokens = pick(MAIN)
         return part(tag, tokens, "".join(out))
 
     before = [menu() if rng.random() < 0.5 else furniture() for _ in range(rng.integers(0, 4))]
-    after = [menu() if rng.random() < 0.3 else furniture() for _ in range(rng.integers(0, 5))]
+    after = [menu() if rng.random() < 0.2 else furniture() for _ in range(rng.integers(0, 5))]
     body = "".join((*before, main(), *after))
-    if rng.random() < 0.3:
-        body = part("div", str(rng.choice(("wrapper", "page", "container", ""))), body)
-    return f"<!DOCTYPE html><html><head><title>{text()}</title><style>p{{margin:0}}</style><script>var a='<p>';</script></head><body>{body}</body></html>", kept
+    for _ in range(rng.integers(0, 3)):
+        body = part("div", str(pick(("wrapper", "page", "container", "layout", ""))), body)
+    return f"<!DOCTYPE html><html><head><title>{pick(bad)}</title><style>p{{margin:0}}</style><script>var a='<p>';</script></head><body>{body}</body></html>", kept
 
 
 @dataclass
@@ -317,6 +445,22 @@ class Model:
     tokens: dict[str, float]
     trees: Trees
 
+    def probability(self, pages: list[Page]) -> list[np.ndarray]:
+        """Of each page's elements, how likely they hold main text."""
+        odds = Odds(self.tokens)
+        p = self.trees.probability(np.concatenate([features(x, self.tags, odds) for x in pages])) if pages else np.zeros(0)
+        return np.split(p, np.cumsum([len(x.tags) for x in pages])[:-1]) if pages else []
+
+
+def main_elements(page: Page, kept: set[str]) -> np.ndarray:
+    """Which elements have one of the kept texts in them."""
+    good = np.zeros(len(page.tags), bool)
+    good[[e for e, t in page.texts if t in kept]] = True
+    for i in range(len(good) - 1, 0, -1):
+        if good[i]:
+            good[page.parents[i]] = True
+    return good
+
 
 def fit(blocks: list[str], pages: int = COMPOSED, seed: int = 7) -> Model:
     """Trains tag and token odds and the trees on composed pages; without blocks, on plain words."""
@@ -324,53 +468,35 @@ def fit(blocks: list[str], pages: int = COMPOSED, seed: int = 7) -> Model:
     blocks = sorted(set(blocks)) or [f"Word {i}, and more of it here." for i in range(40)]
     made = []
     for _ in range(pages):
-        page, kept = compose([blocks[i] for i in rng.integers(0, len(blocks), 40)], rng)
-        nodes = read_page(page)
-        good = np.zeros(len(nodes), bool)
-        place = {id(x): i for i, x in enumerate(nodes)}
-        kept = {" ".join(k.split()) for k in kept}
-        for i in range(len(nodes) - 1, -1, -1):
-            x = nodes[i]
-            inside = any(a.tag in ("nav", "aside", "header", "footer", "form", "head") for a in _ancestry(x))
-            if not inside and any(t in kept for _, t in x.texts):
-                good[i] = True
-            if good[i] and x.parent:
-                good[place[id(x.parent)]] = True
-        made.append((nodes, good))
+        page, kept = compose([blocks[i] for i in rng.permutation(len(blocks))[:60]], rng)
+        made.append((read_page(page), kept))
+    made = [(page, main_elements(page, kept)) for page, kept in made]
     counts: dict[str, dict[str, list[int]]] = {"tag": {}, "token": {}}
-    for nodes, good in made:
-        for x, y in zip(nodes, good.tolist()):
-            for kind, names in (("tag", (x.tag,)), ("token", x.tokens)):
+    for page, good in made:
+        for tag, tokens, y in zip(page.tags, page.tokens, good.tolist()):
+            for kind, names in (("tag", (tag,)), ("token", tokens)):
                 for name in names:
                     counts[kind].setdefault(name, [0, 0])[y] += 1
     odds = {kind: {name: float(np.log((c[1] + 1) / (c[0] + 1))) for name, c in own.items()} for kind, own in counts.items()}
-    x = np.concatenate([features(nodes, odds["tag"], odds["token"]) for nodes, _ in made])
+    tokens = Odds(odds["token"])
+    x = np.concatenate([features(page, odds["tag"], tokens) for page, _ in made])
     y = np.concatenate([good for _, good in made]).astype(float)
     return Model(odds["tag"], odds["token"], boost(x, y))
 
 
-def _ancestry(node: Node | None) -> Iterator[Node]:
-    while node:
-        yield node
-        node = node.parent
-
-
-def decode(nodes: list[Node], p: np.ndarray) -> list[str]:
+def decode(page: Page, p: np.ndarray) -> list[str]:
     """Texts of the kept blocks in page order, by the likeliest labelling that is consistent."""
     p = np.clip(p, 1e-6, 1 - 1e-6)
-    place = {id(x): i for i, x in enumerate(nodes)}
-    keep, drop = np.log(p), np.log(1 - p)
-    for i in range(len(nodes) - 1, 0, -1):
-        up = place[id(nodes[i].parent)]
+    keep, drop, parents = np.log(p).tolist(), np.log(1 - p).tolist(), page.parents
+    for i in range(len(keep) - 1, 0, -1):
+        up = parents[i]
         keep[up] += max(keep[i], drop[i])
         drop[up] += drop[i]
-    kept = np.zeros(len(nodes), bool)
-    texts: list[tuple[int, str]] = []
-    for i, x in enumerate(nodes):
-        kept[i] = x.parent is None or (kept[place[id(x.parent)]] and (x.tag == "body" or (x.tag not in RAW and x.tag != "head" and keep[i] > drop[i])))
-        if kept[i]:
-            texts += x.texts
-    return [t for _, t in sorted(texts)]
+    kept = [True] * len(keep)
+    for i in range(1, len(keep)):
+        tag = page.tags[i]
+        kept[i] = kept[parents[i]] and (tag == "body" or (tag not in RAW and tag != "head" and keep[i] > drop[i]))
+    return [t for e, t in page.texts if kept[e]]
 
 
 def drawn(texts: list[str]) -> list[str]:
@@ -379,15 +505,15 @@ def drawn(texts: list[str]) -> list[str]:
     return [texts[i] for i in sorted(order[:SAMPLE_BLOCKS])]
 
 
-def train(pages: DataFrame, html_col: str = "html", key_col: str = "page_id") -> Model:
-    """Trains on blocks of a bounded sample of pages (see the bounds above)."""
-    few = bounded_sample(pages.select(F.col(key_col).alias("_key"), F.coalesce(F.col(html_col), F.lit("")).alias("_html")), "_key", SAMPLE_PAGES)
+def train(pages: DataFrame, html_col: str = "html") -> Model:
+    """Trains on blocks of a bounded sample of distinct pages (see the bounds above)."""
+    few = bounded_sample(pages.select(F.coalesce(F.col(html_col), F.lit("")).alias("_html")), SAMPLE_PAGES)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for page in batch.column(0).to_pylist():
-                out += drawn([t for x in read_page(page) for _, t in x.texts if len(t) >= 3])
+                out += drawn([t for _, t in read_page(page).texts if len(t) >= 3])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["block"])
 
     return fit([r.block for r in few.select("_html").mapInArrow(blocks, "block string").collect()])
@@ -408,11 +534,7 @@ def extracted(pages: DataFrame, model: Model, id_col: str = "page_id", url_col:
             for start in range(0, len(whole), 200):
                 batch = whole.slice(start, 200)
                 made = [read_page(p) for p in strings(batch.column(2)).to_pylist()]
-                x = np.concatenate([features(nodes, own.tags, own.tokens) for nodes in made])
-                p, at, out = own.trees.probability(x), 0, []
-                for nodes in made:
-                    out.append("\n".join(decode(nodes, p[at : at + len(nodes)])))
-                    at += len(nodes)
+                out = ["\n".join(decode(page, p)) for page, p in zip(made, own.probability(made))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()

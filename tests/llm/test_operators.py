@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -285,35 +286,112 @@ def test_components(spark):
 
 
 def test_html_siblings_and_sample_see_whole_lists():
-    nodes = html_extraction.read_page("<body>" + "<p>one</p>" * 60 + "<div>two</div>" * 40 + "</body>")
-    x = html_extraction.features(nodes, {}, {})
-    shares = {n.tag: set() for n in nodes}
-    for n, row in zip(nodes, x):
-        shares[n.tag].add(round(float(row[19]), 6))
+    page = html_extraction.read_page("<body>" + "<p>one</p>" * 60 + "<div>two</div>" * 40 + "</body>")
+    x = html_extraction.features(page, {}, html_extraction.Odds({}))
+    alike = html_extraction.FEATURES.index("same_tag")
+    shares = {tag: set() for tag in page.tags}
+    for tag, row in zip(page.tags, x):
+        shares[tag].add(round(float(row[alike]), 6))
     assert shares["p"] == {0.6} and shares["div"] == {0.4}
     got = html_extraction.drawn([f"{i} " + "x" * 900 for i in range(200)])
     assert len(got) == 20 and all(len(t) > 900 for t in got) and int(got[-1].split()[0]) >= 20
 
 
-def test_html_extraction(spark):
+def test_html_features_equal_plain_ones():
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        page = html_extraction.read_page(html_extraction.compose([f"Word {i}, and more. It goes on" + " on" * i for i in range(60)], rng)[0])
+        x = html_extraction.features(page, {"p": 0.5}, html_extraction.Odds({"comments": -3.0}))
+        n, column = len(page.tags), {name: i for i, name in enumerate(html_extraction.FEATURES)}
+        chain = lambda i: [i, *chain(page.parents[i])] if i >= 0 else []
+        for i in range(n):
+            under = [k for k in range(n) if i in chain(k)]
+            texts = [t for e, t in page.texts if e in under]
+            sibs = [k for k in range(n) if page.parents[k] == page.parents[i]]
+            whole = max(1, sum(len(t) for _, t in page.texts))
+            assert x[i, column["log_text"]] == pytest.approx(np.log1p(sum(map(len, texts)))) and x[i, column["blocks"]] == pytest.approx(np.log1p(len(texts)))
+            assert x[i, column["longest"]] == pytest.approx(np.log1p(max(map(len, texts), default=0))) and x[i, column["depth"]] == len(chain(i)) - 1
+            assert x[i, column["siblings"]] == len(sibs) and x[i, column["place"]] == pytest.approx(sibs.index(i) / len(sibs)) and x[i, column["children"]] == page.parents.count(i)
+            assert x[i, column["page_place"]] == pytest.approx(sum(len(t) for e, t in page.texts if e < i) / whole)
+            before, after = (sibs[sibs.index(i) + d] if 0 <= sibs.index(i) + d < len(sibs) else None for d in (-1, 1))
+            for name, k in (("before_log", before), ("after_log", after)):
+                assert x[i, column[name]] == pytest.approx(x[k, column["log_text"]] if k is not None else 0)
+            assert x[i, column["above_least"]] == min([0.0] + [-3.0 for k in chain(i)[1:] if "comments" in page.tokens[k]])
+
+
+READ = [
+    ("<p title=\"5\" tall\">a</p><p title='x>y'>b", ["a", "b"]), ("AT&<b>amp;</b>T &amp;amp; &lt;i&gt;", ["AT&amp;T &amp; <i>"]), ("a<b>b</b><br>c<p>d<p>e", ["ab c", "d", "e"]),
+    ("x<!-- <p> -->y<!-->z<!--->w<!-- --!>v", ["xyzwv"]), ("1 < 2 <3 & 4<", ["1 < 2 <3 & 4<"]), ("<ul><li>a<li>b<ul><li>c</ul>d<li>e</ul>f", ["a", "b", "c", "d", "e", "f"]), ("<script>'<p>'</scripty></script >q", ["q"]),
+    ("<td>a<tr><td>b<td>c", ["a", "b", "c"]), ("a</div></p>b", ["a", "b"]), ("<p a=\"never>x</p><p>y", ["x", "y"]), ("<div>a<di", ["a"]), ("<!doctype html><?x?>a</>b", ["ab"]), ("a\u00a0 \n b", ["a b"]), ("<P CLASS=X>a</P ><A HREF=/>b</a>", ["a", "b"]),
+]
+
+
+@pytest.mark.parametrize(("page", "texts"), READ)
+def test_html_reader(page, texts):
+    assert [t for _, t in html_extraction.read_page(page).texts] == texts
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<", '<p a="', "<!-- ", "<script>", "<p  ", "<p a='x\" ", "&", "</", "<div a = ", "</p x", "<textarea></textare"])
+def test_html_reader_is_quick_on_a_megabyte_of_odd_markup(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_extraction.read_page(page)
+    assert time.process_time() - began < 4  # a second or less on an idle machine
+
+
+@pytest.mark.parametrize("piece", ["<ul>", "<p>x", "<div><p>x", "<li><b>", "<td>"])
+def test_html_extraction_is_linear_in_elements(piece):
+    def took(n):
+        began = time.process_time()
+        page = html_extraction.read_page(piece * n)
+        html_extraction.decode(page, html_extraction.features(page, {}, html_extraction.Odds({}))[:, 0] * 0 + 0.7)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(64_000) < 12 * max(0.05, took(16_000))
+
+
+@pytest.fixture(scope="module")
+def html_model(spark):
+    return html_extraction.train(common.table(spark, "/root/testdata/sf0.01", "pages"))
+
+
+LONG = "The council met on Tuesday to talk about the bridge, which has been closed since the spring, and about the money for it."
+OTHER = "I can't agree with this at all, the bridge was never safe, and everybody who lives here has known that for years."
+LAYOUTS = [  # (page, main text), by hand and not from the composer
+    (f"<body><article><h1>Bridge</h1><p>{LONG}</p></article><div id='disqus_thread'><p>{OTHER}</p><p>{OTHER}</p></div></body>", ["Bridge", LONG]),
+    (f"<body><main><h1>Bridge</h1><p>{LONG}</p><p>{LONG} So.</p></main><div class='responses'><div>{OTHER}</div><div>{OTHER}</div></div></body>", ["Bridge", LONG, LONG + " So."]),
+    (f"<body><nav><a href=/>Home</a></nav><main><h1>Bridge</h1><p>{LONG}</p><ul><li>One</li><li>Two more</li><li>Three</li><li>Four</li><li>Five of them</li></ul></main><footer>c 2020</footer></body>", ["Bridge", LONG, "One", "Two more", "Three", "Four", "Five of them"]),
+    (f"<body><div id='pageContent'><h2>Bridge</h2><p>{LONG}</p><aside><p>{OTHER}</p></aside><p>{LONG} So.</p><div class='advertising-slot'>Buy now</div></div><div class='commentsList'>{OTHER}</div></body>", ["Bridge", LONG, LONG + " So."]),
+    (f"<body><div class='cookieBanner'>We use cookies.</div><header><h2>The Paper</h2></header><div><div><article class='post'><h1>Bridge</h1><p>{LONG}</p><form><label>Mail</label><button>Go</button></form></article></div></div><section id='commentary'><article class='comment'><p>{OTHER}</p></article></section></body>", ["Bridge", LONG]),
+]
+
+
+@pytest.mark.parametrize(("page", "texts"), LAYOUTS)
+def test_html_hand_written_layouts(html_model, page, texts):
+    made = html_extraction.read_page(page)
+    assert html_extraction.decode(made, html_model.probability([made])[0]) == texts
+
+
+def test_html_extraction(spark, html_model):
     pages = common.table(spark, "/root/testdata/sf0.01", "pages")
-    model = html_extraction.train(pages)
-    got = {r.page_id: r for r in html_extraction.extracted(pages, model).collect()}
+    got = {r.page_id: r for r in html_extraction.extracted(pages, html_model).collect()}
     for r in pages.collect():
         article = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert got[r.page_id].text == "\n".join(b for b in blocks if b) and got[r.page_id].n_chars == len(got[r.page_id].text)
     odd = [(1, "u", None), (2, "u", ""), (3, None, "<p>a&amp;b &nbsp; c<p>d<script>x</p></script></div>"), (None, "u", "<<>&"), (5, "u", "<div>" * 3000 + "deep")]
-    rows = {r.page_id: r.text for r in html_extraction.extracted(spark.createDataFrame(odd, "page_id bigint, url string, html string"), model).collect()}
+    rows = {r.page_id: r.text for r in html_extraction.extracted(spark.createDataFrame(odd, "page_id bigint, url string, html string"), html_model).collect()}
     assert len(rows) == 5 and rows[1] == rows[2] == ""
+    assert html_extraction.extracted(pages.limit(0), html_model).count() == 0
     rng, hits, wrong = np.random.default_rng(5), 0, 0
-    texts = [f"Sentence {i} says something, and then it says more." for i in range(60)]
+    texts = [f"{w} says something of {w}, and then it says more." for w in (f"name{i}" for i in range(80))]
     for _ in range(100):
         page, kept = html_extraction.compose(texts, rng)
-        nodes = html_extraction.read_page(page)
-        found = set(html_extraction.decode(nodes, model.trees.probability(html_extraction.features(nodes, model.tags, model.tokens))))
-        hits, wrong = hits + len(found & kept), wrong + len(found ^ kept)
-    assert wrong < 0.05 * hits
+        made = html_extraction.read_page(page)
+        found, wanted = set(html_extraction.decode(made, html_model.probability([made])[0])), {t for _, t in made.texts if t in kept}
+        hits, wrong = hits + len(found & wanted), wrong + len(found ^ wanted)
+    assert wrong < 0.06 * hits
 
 
 def test_pipeline_equals_brute_force(spark):
