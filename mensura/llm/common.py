@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,18 +19,28 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark hands to Python at once; keeps a batch of very long texts in memory.
+#: Rows, and bytes, that Spark hands to Python at once; keeps a batch of very long texts in memory.
 BATCH_ROWS = 2000
+BATCH_BYTES = 32 << 20
 #: Bytes of text that the numpy kernels work on at once.
 SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table by Spark's own reader, so that any store Spark reads will do."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A given table by Spark's own reader, so that any store Spark reads will do.
+
+    Also sets the session's limits on Arrow batches, which hold for all that is done with it.
+    """
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets how much Spark hands to Python at once, by rows and by bytes (one row at least)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a frame's size; reads no data."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -158,27 +169,61 @@ SHINGLE = 5
 _PLACES = mix(np.arange(11, 11 + 64, dtype=_U) * _U(_Q)) | _U(1)
 
 
+#: Longest run that is hashed eight bytes at a time; longer ones by blake2b.
+LANES = 8
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes data[start:end].
+
+    Eight bytes at a time go through a bijective mixer, so runs of one length up to eight never
+    collide, and no algebra of the bytes (as with polynomials modulo 2**64) makes others do so.
+    """
+    size = ends - starts
+    out = mix((size.astype(_U) + _U(1)) * _U(_Q))
+    if not len(starts):
+        return out
+    lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    active = np.flatnonzero((size > 0) & (size <= 8 * LANES))
+    k = 0
+    while len(active):
+        lane = lanes[starts[active] + 8 * k].view("<u8").ravel()
+        left = np.minimum(8, size[active] - 8 * k).astype(_U)
+        lane &= ~_U(0) >> ((_U(8) - left) << _U(3))
+        out[active] = mix(mix(lane, k + 1) ^ out[active])
+        k += 1
+        active = active[size[active] > 8 * k]
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def parts_of(data: np.ndarray, inside: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Cuts of one text in parts of about ``most`` bytes, never within a run (bytes that ``inside``, by value, marks)."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + most)
+        while end < len(data):  # on to the first byte outside a run
+            stop = np.flatnonzero(~inside[data[end : end + most]])
+            if len(stop):
+                end += int(stop[0])
+                break
+            end = min(len(data), end + most)
+        yield at, end
+        at = end
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each lower-cased word in order, and where each text's words start (len+1)."""
-    if not len(data):
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
-    before = np.empty_like(inside)
-    before[0] = False
-    before[1:] = inside[:-1]
-    firsts = offsets[:-1][offsets[:-1] < len(data)]
-    before[firsts] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty_like(inside)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    lasts = offsets[1:][offsets[1:] > 0] - 1
-    after[lasts] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    sums = prefix_sums(LOWER[data])
-    _, down = powers(len(data))
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
-    return words, np.searchsorted(starts, offsets)
+    """Hash of each lower-cased word in order, and where each text's words start (len+1).
+
+    A very long text is worked on in parts, so that little more than its hashes is held at once.
+    """
+    if len(offsets) == 2 and len(data) > 4 * SLICE_BYTES:
+        parts = [word_hashes(data[a:b], np.array([0, b - a]))[0] for a, b in parts_of(data, ~SPACE)]
+        words = np.concatenate(parts)
+        return words, np.array([0, len(words)])
+    starts, ends = runs(~SPACE[data], offsets)
+    return run_hashes(LOWER[data], starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -382,6 +427,15 @@ def ordered_hashes(table: pa.Table, hashes_of: HashesOf) -> tuple[np.ndarray, np
     return hashes, owner, np.argsort(hashes, kind="stable")
 
 
+def bucket_number(n_chunks: int) -> int:
+    """Buckets that chunks deal their hashes out to: one for eight chunks, more only for small inputs.
+
+    A bucket then holds what eight chunks hold. Chunks times buckets are the most blocks there can
+    be, but none is empty, so there are never more blocks than hashes.
+    """
+    return max(1, min(n_chunks, 128), n_chunks // 8)
+
+
 def hash_counts(chunks: DataFrame, n_chunks: int, hashes_of: HashesOf) -> DataFrame:
     """How many documents hold each hash: (chunk, bucket, counts), counts as ``levels``, one byte
     for each hash of the chunk in ascending order.
@@ -391,7 +445,7 @@ def hash_counts(chunks: DataFrame, n_chunks: int, hashes_of: HashesOf) -> DataFr
     and answers each block. A hash travels once per chunk and document that has it, so a bucket
     holds about one n-th of all hashes whatever their skew below a chunk's size.
     """
-    n_buckets = max(1, n_chunks // 2)
+    n_buckets = bucket_number(n_chunks)
     edges = np.arange(1, n_buckets, dtype=_U) * _U((1 << COUNT_BITS) // n_buckets)
 
     def send(table: pa.Table) -> pa.Table:

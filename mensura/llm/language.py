@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import LETTER, lowered, raw, slices
+from mensura.llm.common import LETTER, SLICE_BYTES, lowered, raw
 
 HASH_BITS, SPECTRUM = 15, (1, 2, 3)
 #: Texts per language to learn from, and landmarks in all (the documented bounds).
@@ -31,23 +31,34 @@ UNKNOWN = "und"
 
 
 def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """[texts, 2**HASH_BITS] of 0 and 1: which hashed n-grams a text has; all but letters are one blank."""
+    """[texts, 2**HASH_BITS] of 0 and 1: which hashed n-grams a text has; all but letters are one blank.
+
+    A very long text is worked on in parts that share what an n-gram needs.
+    """
     n = len(offsets) - 1
     out = np.zeros((n, 1 << HASH_BITS), np.float32)
-    if not len(data):
-        return out
-    low = np.where(LETTER[data], lowered(data), 32).astype(np.uint32)
-    row = np.repeat(np.arange(n, dtype=np.int64) << HASH_BITS, np.diff(offsets))
-    to_end = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    flat, code = out.ravel(), np.zeros(len(data), np.uint32)
+    low = np.where(LETTER[data], lowered(data), 32).astype(np.uint8)
+    if n == 1 and len(data) > 4 * SLICE_BYTES:
+        for a in range(0, len(data), SLICE_BYTES):
+            part = low[a : a + SLICE_BYTES + max(SPECTRUM) - 1]
+            _mark(part, np.array([0, len(part)]), out)
+    elif len(data):
+        _mark(low, offsets, out)
+    return out
+
+
+def _mark(low: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
+    low = low.astype(np.uint32)
+    row = np.repeat(np.arange(len(out), dtype=np.int64) << HASH_BITS, np.diff(offsets))
+    to_end = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(low))
+    flat, code = out.ravel(), np.zeros(len(low), np.uint32)
     for k in SPECTRUM:
-        code = (code << np.uint32(8))[: len(data) - k + 1] | low[k - 1 :] if k > 1 else low
+        code = (code << np.uint32(8))[: len(low) - k + 1] | low[k - 1 :] if k > 1 else low
         if not len(code):
             break
         on = slice(None) if k == 1 else to_end[: len(code)] >= k
         at = ((code[on] * np.uint32(2654435761) + np.uint32(k * 0x3C6EF372)) >> np.uint32(32 - HASH_BITS)).astype(np.int64)
         flat[row[: len(code)][on] + at] = 1
-    return out
 
 
 @dataclass

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import LETTER, give_back, labelled_texts, mix, powers, prefix_sums, raw, runs, slices, word_hashes
+from mensura.llm.common import LETTER, give_back, labelled_texts, mix, raw, run_hashes, runs, slices, word_hashes
 
 #: Labelled rows to learn from (the documented bound).
 SAMPLE_ROWS = 20_000
@@ -58,7 +58,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     size = np.maximum(1, np.diff(offsets))
 
     def share(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
+        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
         return (total[offsets[1:]] - total[offsets[:-1]]) / size
 
     words, at = word_hashes(data, offsets)
@@ -67,7 +67,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(n), count)
     starts, ends = runs(~np.isin(data, (9, 10, 11, 12, 13, 32)), offsets)
     up, sym = _UPPER[data], _SYMBOL[data]
-    ups, syms = np.concatenate([[0], np.cumsum(up)]), np.concatenate([[0], np.cumsum(sym)])
+    ups, syms = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (up, sym))
     by_word = lambda flags: np.bincount(owner, flags, n) / many
     out[:, 0] = np.log1p(count)
     out[:, 1] = np.where(count > 0, np.bincount(owner, ends - starts, n) / many, 0)
@@ -82,8 +82,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         whole = owner[:-2] == owner[2:]
         out[:, 13] = np.where(count >= 3, _distinct(grams[whole], owner[:-2][whole], n) / np.maximum(1, count - 2), 1)
     line_starts, line_ends = runs(data != 10, offsets)
-    sums, down = prefix_sums(data), powers(len(data))[1]
-    lines = (sums[line_ends] - sums[line_starts]) * down[line_starts]
+    lines = run_hashes(data, line_starts, line_ends)
     line_owner = np.searchsorted(offsets, line_starts, "right") - 1
     n_lines = np.bincount(line_owner, minlength=n)
     out[:, 14] = np.where(n_lines > 0, _distinct(lines, line_owner, n) / np.maximum(1, n_lines), 1)

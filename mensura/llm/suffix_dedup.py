@@ -17,8 +17,10 @@ theirs at the same place, and every string holds at least one.
    together, and for each start before an anchor the least id with the same string is read off.
 3. The answers, a bit for each start, go back to the chunk, which marks, joins and removes.
 
-An anchor of about 256 documents and more could fill a receiver. There the windows themselves are dealt
-out by their 64-bit hash, one of equal ones for each chunk, so no hot passage meets in one task.
+An anchor of very many documents could fill a receiver. There the strings of ``length`` bytes
+themselves are the suffixes: each chunk sends every distinct one once, dealt out by a hash of the
+whole string (the salt that splits the anchor), in sorted front-coded runs that are merged alike,
+so that no hot passage meets in one task. Hashes only deal out and find anchors; equality is always that of bytes.
 """
 
 from __future__ import annotations
@@ -27,17 +29,20 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import chunked, counts_in_order, give_back, hash_counts, known, mix, packed, powers, prefix_sums, raw, slices, unpacked
+from mensura.llm.common import SLICE_BYTES, bucket_number, chunked, counts_in_order, give_back, hash_counts, known, mix, powers, prefix_sums, raw, slices
 
 LENGTH, GRAM = 50, 24
 #: A chunk's size; some forty times as much is held while it is read.
 CHUNK_BYTES = 2 << 20
-#: The level (see common.levels) of anchors that about 256 documents have.
-HOT = 134
+#: The level (see common.levels) of anchors that about 16,000 documents have.
+HOT = 170
+#: Hot strings looked at side by side.
+ROWS = 1 << 16
 _U = np.uint64
 _BLOCK = "chunk int, bucket int, kind int, counts binary"
 
@@ -51,10 +56,21 @@ def _sliding(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of a batch of texts."""
+    """Positions and hashes of the anchors of a batch of texts.
+
+    A very long text is worked on in parts, each with the bytes around it that its anchors depend on.
+    """
     n = len(data)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, _U)
+    if len(offsets) == 2 and n > 4 * SLICE_BYTES:
+        places, found = [], []
+        for a in range(0, n, SLICE_BYTES):
+            low, high = max(0, a - length), min(n, a + SLICE_BYTES + length)
+            at, hashes = anchors(data[low:high], np.array([0, high - low]), length, gram)
+            on = (at + low >= a) & (at + low < a + SLICE_BYTES)
+            places.append(at[on] + low), found.append(hashes[on])
+        return np.concatenate(places), np.concatenate(found)
     sums, down = prefix_sums(data), powers(n)[1]
     hashes = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1], 5) | _U(1)
     width = length - gram + 1
@@ -191,8 +207,8 @@ class Chunk:
     least: np.ndarray  # least id of each context
     cuts: np.ndarray  # buckets of contexts
     starts: np.ndarray  # hot windows: position
-    window: np.ndarray  # of each hot window, its distinct hash
-    hashes: np.ndarray
+    window: np.ndarray  # of each hot window, its distinct string
+    strings: np.ndarray  # distinct strings, sorted within their bucket
     window_least: np.ndarray
     window_cuts: np.ndarray
 
@@ -244,24 +260,56 @@ def read_chunk(table: pa.Table, counts: pa.Table, n_buckets: int, length: int, g
     np.add.at(flags, low[on], 1)
     np.add.at(flags, high[on] + 1, -1)
     starts = np.flatnonzero(np.cumsum(flags, out=flags))
-    w_hash = np.zeros(len(starts), _U)
+    window, strings, w_bucket, w_least = _hot_strings(data, offsets, ids, starts, n_buckets, length)
+    edges = np.arange(n_buckets + 1)
+    return Chunk(
+        ids, data, offsets, c_at, c_doc, context, rows[first], ids[c_doc[first]], np.searchsorted(bucket[first], edges),
+        starts, window, strings, w_least, np.searchsorted(w_bucket, edges),
+    )
+
+
+def _hot_strings(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, starts: np.ndarray, n_buckets: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct strings at ``starts``: which one each start has, the strings sorted by bucket
+    and bytes, their buckets, and the least id of each.
+
+    Strings are brought together by a hash and compared by bytes; one that differs from the first
+    of its hash stays on its own (the receiver compares bytes again).
+    """
+    hashes = np.zeros(len(starts), _U)
     for i, j in slices(offsets):
         a, b = np.searchsorted(starts, (offsets[i], offsets[j]))
         if b > a:
             own = starts[a:b] - offsets[i]
             part = data[offsets[i] : offsets[j]]
             sums, down = prefix_sums(part), powers(len(part))[1]
-            w_hash[a:b] = mix((sums[own + length] - sums[own]) * down[own], 6)
-    w_id = ids[np.searchsorted(offsets, starts, "right") - 1]
-    by_hash = np.lexsort((w_id, w_hash))
-    starts, w_hash, w_id = starts[by_hash], w_hash[by_hash], w_id[by_hash]
-    w_first = np.ones(len(starts), bool)
-    w_first[1:] = w_hash[1:] != w_hash[:-1]
-    edges = np.arange(n_buckets + 1)
-    return Chunk(
-        ids, data, offsets, c_at, c_doc, context, rows[first], ids[c_doc[first]], np.searchsorted(bucket[first], edges),
-        starts, np.cumsum(w_first) - 1, w_hash[w_first], w_id[w_first], np.searchsorted(_buckets(w_hash[w_first], n_buckets), edges),
-    )
+            hashes[a:b] = mix((sums[own + length] - sums[own]) * down[own], 6)
+    owner = ids[np.searchsorted(offsets, starts, "right") - 1]
+    order = np.lexsort((owner, hashes))
+    first = np.ones(len(order), bool)
+    first[1:] = hashes[order][1:] != hashes[order][:-1]
+    leader = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
+    if len(order):
+        near = np.lib.stride_tricks.sliding_window_view(data, length)
+        for a in range(0, len(order), ROWS):
+            own = slice(a, a + ROWS)
+            first[own] |= (near[starts[order[own]]] != near[starts[leader[own]]]).any(1)
+    # a string that isn't its hash's first one's ends no group: give it a place after all others
+    apart = np.zeros(len(order), bool)
+    apart[np.flatnonzero(first)] = leader[first] != order[first]
+    group = np.empty(len(order), np.int64)
+    group[~apart] = np.cumsum(first[~apart]) - 1
+    group[apart] = np.arange(int(apart.sum())) + (int((first & ~apart).sum()))
+    heads = np.concatenate([order[first & ~apart], order[apart]])
+    strings = np.zeros((len(heads), length), np.uint8)
+    for a in range(0, len(heads), ROWS):
+        strings[a : a + ROWS] = near[starts[heads[a : a + ROWS]]]
+    bucket = _buckets(hashes[heads], n_buckets)
+    by_bytes = np.lexsort((np.ascontiguousarray(strings).view(f"S{length}").ravel() if len(heads) else np.zeros(0), bucket))
+    rank = np.empty(len(heads), np.int64)
+    rank[by_bytes] = np.arange(len(heads))
+    window = np.empty(len(order), np.int64)
+    window[order] = rank[group]
+    return window, strings[by_bytes], bucket[by_bytes], owner[heads][by_bytes]
 
 
 def questions(chunk: Chunk, number: int, length: int) -> pa.Table:
@@ -269,74 +317,91 @@ def questions(chunk: Chunk, number: int, length: int) -> pa.Table:
     out = []
     for b in np.flatnonzero(np.diff(chunk.cuts)).tolist():
         i, j = int(chunk.cuts[b]), int(chunk.cuts[b + 1])
-        common, rest = front_coded(chunk.rows[i:j, :length])
-        parts = (common.tobytes(), rest, chunk.rows[i:j, length:].tobytes(), chunk.least[i:j].tobytes())
-        out.append((b, 1, np.array([j - i, len(rest)], np.int64).tobytes() + b"".join(parts)))
+        out.append((b, 1, run_of(chunk.rows[i:j], chunk.least[i:j], length)))
     for b in np.flatnonzero(np.diff(chunk.window_cuts)).tolist():
         i, j = int(chunk.window_cuts[b]), int(chunk.window_cuts[b + 1])
-        own = packed(chunk.hashes[i:j])
-        out.append((b, 2, np.array([j - i, len(own)], np.int64).tobytes() + own + chunk.window_least[i:j].tobytes()))
+        out.append((b, 2, run_of(chunk.strings[i:j], chunk.window_least[i:j], length)))
     return pa.table({"chunk": pa.array([number] * len(out), pa.int32()), "bucket": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int32()), "counts": pa.array([x[2] for x in out], pa.binary())})
 
 
+def run_of(rows: np.ndarray, least: np.ndarray, length: int) -> bytes:
+    """A sorted run in bytes: front-coded suffixes, what stands beside them, and their least ids
+    (as 32-bit distances from the run's least where they fit)."""
+    common, rest = front_coded(rows[:, :length])
+    low = int(least.min())
+    wide = int(least.max()) - low >= 1 << 32
+    ids = least.astype("<i8") if wide else (least - low).astype("<u4")
+    return np.array([len(rows), len(rest), low, wide], np.int64).tobytes() + common.tobytes() + rest + rows[:, length:].tobytes() + ids.tobytes()
+
+
+def run_from(block: bytes, length: int, beside: int) -> tuple[tuple[list[bytes], list[int]], np.ndarray, np.ndarray]:
+    """The run back: (suffixes, common prefixes), the ``beside`` bytes of each, and the ids."""
+    n, size, low, wide = np.frombuffer(block, np.int64, 4).tolist()
+    common = np.frombuffer(block, np.uint8, n, 32)
+    at = 32 + n + size
+    behind = np.frombuffer(block, np.uint8, n * beside, at).reshape(n, beside)
+    ids = np.frombuffer(block, "<i8" if wide else "<u4", n, at + n * beside).astype(np.int64)
+    return (front_decoded(common, block[32 + n : at], length), common.tolist()), behind, ids if wide else ids + low
+
+
 # ---- a bucket's side -----------------------------------------------------------------------
 
 
+def _merged(blocks: list[bytes], length: int, beside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The runs' merged order: the place of each output among all rows, what stands beside it, its
+    id and its common prefix with the output before; and where each run's rows begin."""
+    runs, behind, least = zip(*(run_from(b, length, beside) for b in blocks))
+    run, place, shared = merge_runs(list(runs))
+    base = np.concatenate([[0], np.cumsum([len(x) for x in least])])
+    back = base[np.array(run)] + np.array(place)
+    return back, np.concatenate(behind)[back], np.concatenate(least)[back], np.array(shared), base.tolist()
+
+
+def _least_of(group: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """For each row the least id of its group (groups are numbers below n)."""
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, ids)
+    return least[group]
+
+
 def _answer_runs(blocks: list[bytes], length: int, gram: int) -> list[bytes]:
     """For each run, a 64-bit mask per suffix: bit s says that the string that starts s bytes
-    before the anchor also starts in a document with a smaller id."""
+    before the anchor also starts in a document with a smaller id.
+
+    Two strings are equal if their suffixes share length - s bytes (they stand together in the
+    merged order) and the s bytes before the anchors are equal. For the latter the rows are sorted
+    once by those bytes, outwards from the anchor; rows that share s of them stand together too.
+    """
     before = length - gram
-    runs, behind, least = [], [], []
-    for block in blocks:
-        n, size = np.frombuffer(block, np.int64, 2).tolist()
-        common = np.frombuffer(block, np.uint8, n, 16)
-        at = 16 + n + size
-        runs.append((front_decoded(common, block[16 + n : at], length), common.tolist()))
-        behind.append(np.frombuffer(block, np.uint8, n * (before + 2), at).reshape(n, before + 2))
-        least.append(np.frombuffer(block, np.int64, n, at + n * (before + 2)))
-    run, place, shared = merge_runs(runs)
-    base = np.concatenate([[0], np.cumsum([len(x) for x in least])])
-    back = base[np.array(run)] + np.array(place)
-    rows, ids, shared = np.concatenate(behind)[back], np.concatenate(least)[back], np.array(shared)
-    left, right = rows[:, before].astype(int), rows[:, before + 1].astype(int)
-    mask, hashed = np.zeros(len(ids), _U), np.zeros(len(ids), _U)
-    up = powers(before + 1)[0]
+    back, rows, ids, shared, base = _merged(blocks, length, before + 2)
+    n = len(ids)
+    left, right = rows[:, before].astype(np.int16), rows[:, before + 1].astype(np.int16)
+    outwards = np.ascontiguousarray(rows[:, : max(1, before)])
+    order = np.argsort(outwards.view(f"S{outwards.shape[1]}").ravel(), kind="stable")
+    alike_before = np.zeros(n, np.int16)
+    if n > 1:
+        same = outwards[order[1:]] == outwards[order[:-1]]
+        alike_before[1:] = np.where(same.all(1), same.shape[1], same.argmin(1))
+    mask, behind = np.zeros(n, _U), np.zeros(n, np.int64)
     for s in range(before + 1):
-        if s:
-            hashed = hashed + (rows[:, s - 1].astype(_U) + _U(1)) * up[s]
         able = np.flatnonzero((left >= s) & (right >= length - s))
         if not len(able):
             continue
-        alike = np.cumsum(shared < length - s).astype(_U)
-        key = mix(hashed[able] + alike[able] * _U(0xD6E8FEB86659FD93), 8)
-        order = np.lexsort((ids[able], key))
-        first = np.ones(len(order), bool)
-        first[1:] = key[order][1:] != key[order][:-1]
-        leader = able[order[np.flatnonzero(first)[np.cumsum(first) - 1]]]
-        own = able[order]
-        # the bytes themselves decide; two keys that collide could only hide a repeat among them
-        same = (alike[own] == alike[leader]) & (rows[own, :s] == rows[leader, :s]).all(1)
-        mask[own[same & (ids[own] > ids[leader])]] |= _U(1 << s)
-    unmerged = np.zeros(len(ids), _U)
+        behind[order] = np.cumsum(alike_before < s)
+        after = np.cumsum(shared < length - s)
+        group, distinct = pd.factorize(behind[able] * (n + 1) + after[able])
+        mask[able[ids[able] > _least_of(group, ids[able], len(distinct))]] |= _U(1 << s)
+    unmerged = np.zeros(n, _U)
     unmerged[back] = mask
-    return [unmerged[a:b].tobytes() for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
-
-
-def _answer_windows(blocks: list[bytes]) -> list[bytes]:
-    """For each block a bit per window: whether another chunk has it in a smaller id."""
-    hashes, ids = [], []
-    for block in blocks:
-        n, size = np.frombuffer(block, np.int64, 2).tolist()
-        hashes.append(unpacked(block[16 : 16 + size]))
-        ids.append(np.frombuffer(block, np.int64, n, 16 + size))
-    base = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).tolist()
-    all_hashes, all_ids = np.concatenate(hashes), np.concatenate(ids)
-    order = np.lexsort((all_ids, all_hashes))
-    first = np.ones(len(order), bool)
-    first[1:] = all_hashes[order][1:] != all_hashes[order][:-1]
-    least = all_ids[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
-    covered = np.zeros(len(order), bool)
-    covered[order] = all_ids[order] > least
+    return [unmerged[a:b].tobytes() for a, b in zip(base[:-1], base[1:])]
+
+
+def _answer_windows(blocks: list[bytes], length: int) -> list[bytes]:
+    """For each run of strings a bit per string: whether another chunk has it in a smaller id."""
+    back, _, ids, shared, base = _merged(blocks, length, 0)
+    group = np.cumsum(shared < length)
+    covered = np.zeros(len(ids), bool)
+    covered[back] = ids > _least_of(group, ids, len(ids) + 1)
     return [np.packbits(covered[a:b]).tobytes() for a, b in zip(base[:-1], base[1:])]
 
 
@@ -384,7 +449,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not 1 <= gram <= length or length - gram > 62 or length > 255:
         raise ValueError("gram and length out of range")
     chunks, n_chunks = chunked(docs, id_col, text_col, CHUNK_BYTES)
-    n_buckets = n_chunks
+    n_buckets = bucket_number(n_chunks)
     counts = hash_counts(chunks, n_chunks, _anchor_sets(length, gram)).select("chunk", "bucket", F.lit(0).alias("kind"), "counts")
 
     def ask(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -396,7 +461,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         give_back()
         table = table.combine_chunks()
         blocks, out = table.column("counts").to_pylist(), [b""] * len(table)
-        for kind, solve in ((1, lambda own: _answer_runs(own, length, gram)), (2, _answer_windows)):
+        for kind, solve in ((1, lambda own: _answer_runs(own, length, gram)), (2, lambda own: _answer_windows(own, length))):
             own = [i for i, k in enumerate(table.column("kind").to_pylist()) if k == kind]
             for i, x in zip(own, solve([blocks[i] for i in own]) if own else ()):
                 out[i] = x

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import LETTER, labelled_texts, lowered, mix, prefix_sums, powers, raw, runs, slices
+from mensura.llm.common import LETTER, SLICE_BYTES, labelled_texts, lowered, mix, parts_of, raw, run_hashes, runs, slices
 
 #: Labelled rows to learn from, hash space and chosen features (the documented bounds).
 SAMPLE_ROWS = 20_000
@@ -59,20 +59,24 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = lowered(data)
     starts, ends = runs(LETTER[low], offsets)
-    sums = prefix_sums(low)
-    _, down = powers(len(data))
     owner = np.searchsorted(offsets, starts, "right") - 1
-    back = down[starts]
-    texts, hashes = [owner], [mix((sums[ends] - sums[starts]) * back, 99)]
+    texts, hashes = [owner], [mix(run_hashes(low, starts, ends), 99)]
     for n in BEGINNINGS:
         on = ends - starts >= n
         texts.append(owner[on])
-        hashes.append(mix((sums[starts[on] + n] - sums[starts[on]]) * back[on], n))
+        hashes.append(mix(run_hashes(low, starts[on], starts[on] + n), n))
     return np.concatenate(texts), (np.concatenate(hashes) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
 def present(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, chosen feature) pairs; place: the chosen feature of a hash, or -1."""
+    """Distinct (text, chosen feature) pairs; place: the chosen feature of a hash, or -1.
+
+    A very long text is worked on in parts that no word crosses.
+    """
+    if len(offsets) == 2 and len(data) > 4 * SLICE_BYTES:
+        found = [present(data[a:b], np.array([0, b - a]), place, n)[1] for a, b in parts_of(data, LETTER)]
+        chosen = np.unique(np.concatenate(found))
+        return np.zeros(len(chosen), np.int64), chosen
     texts, hashes = features(data, offsets)
     chosen = place[hashes]
     on = chosen >= 0
