@@ -316,7 +316,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, id
     where ids repeat among the documents, the joined rows are sampled again.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
-    few = bounded_sample(known, most)
+    few = bounded_sample(known, most).distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     return bounded_sample(texts.join(F.broadcast(few), "_id"), most + most // 5, 1)
 

@@ -27,6 +27,8 @@ from mensura.llm.common import chunked, components, counts_in_order, give_back,
 PERCENT = 75
 LEADER_KEYS = 3
 GROUP_SIZE = 64
+#: Groups of one token that meet all others in one task.
+TOKEN_GROUPS = 256
 _U = np.uint64
 
 
@@ -93,6 +95,8 @@ def _leader_links(sets: DataFrame, percent: int) -> DataFrame:
     """
     keyed = sets.select("id", (F.col("n") - F.octet_length("tokens") / 8).alias("own"), F.explode("keys").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min(F.struct("own", "id")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", F.col("first.id").alias("leader"))
+    # stored, so that the join's sides are a scan or plain shuffles: small ones are broadcast, hot keys split
+    leaders = stored(leaders, "leaders")
     pairs = keyed.select("id", "key").join(leaders, "key").where("id <> leader").select("id", "leader").distinct()
     left = sets.select("id", F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("leader"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
@@ -130,10 +134,14 @@ def _group_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     )
     placed_met = met.join(grouped.select("id", "group", "n").distinct(), "id")
     of_token = stored(placed_met.groupBy("token", "group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
-    ask = of_token.select("token", *[F.col(c).alias(f"q_{c}") for c in ("group", "low", "high", "least", "most")])
+    # a frequent token's groups meet one another in several parts, by the asking group
+    often = stored(of_token.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > TOKEN_GROUPS).select("token", F.ceil(F.col("many") / TOKEN_GROUPS).cast("int").alias("parts")), "frequent")
+    parted = of_token.join(often, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    ask = parted.select("token", F.pmod(F.xxhash64("group"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"q_{c}") for c in ("group", "low", "high", "least", "most")])
+    asked_of = parted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     sized = (F.col("q_least") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("q_most") * 100)
     apart = (F.least("low", "q_low") < F.greatest("high", "q_high")) & (F.col("q_group") <= F.col("group"))
-    opened = ask.join(of_token, "token").where(apart & sized).select("q_group", "group").distinct()
+    opened = ask.join(asked_of, ["token", "part"]).where(apart & sized).select("q_group", "group").distinct()
 
     def unite(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(t, _U) for t in table.column("tokens").to_pylist()]

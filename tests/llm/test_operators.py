@@ -243,6 +243,113 @@ def test_exact_dedup(spark, keep):
     assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
 
 
+def thue_morse(n, flip=False):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Two words that any polynomial modulo 2**64 gives one value are two words, of any length."""
+    for n in (8, 64, 1024, 4096):
+        one, two = thue_morse(n), thue_morse(n, True)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs(spark, [(1, one), (2, two), (3, f"{one} x y z w {two} x y z w {one}")])).collect()}
+        assert got == {1: (1, 1), 2: (1, 2), 3: (7, 3)}
+    a, b = thue_morse(2048), thue_morse(2048, True)
+    rows = [(1, a), (2, b), (3, "q" + a), (4, b + "q")]
+    for hot in (suffix_dedup.HOT, 2):
+        got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.repeated_passages(docs(spark, rows), hot=hot).collect()}
+        assert got == passages_kept(rows)
+
+
+def passages_kept(rows):
+    first = {}
+    for i, t in sorted(rows):
+        for p in range(len(t.encode()) - 49):
+            first.setdefault(t.encode()[p : p + 50], i)
+    out = {}
+    for i, t in rows:
+        data = t.encode()
+        gone = np.zeros(len(data), bool)
+        for p in range(len(data) - 49):
+            if first[data[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        out[i] = np.frombuffer(data, np.uint8)[~gone].tobytes()
+    return out
+
+
+def test_hot_strings_with_colliding_hashes(monkeypatch):
+    """Strings are told apart by their bytes, whatever their hashes say."""
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x, seed=0: x & np.uint64(3))
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab") for _ in range(40)) for _ in range(6)]
+    data, offsets = common.raw(pa.array(texts))
+    starts = np.concatenate([np.arange(a, b - 4) for a, b in zip(offsets[:-1], offsets[1:])])
+    ids = np.array([7, 3, 9, 1, 8, 2])
+    window, strings, bucket, least = suffix_dedup._hot_strings(data, offsets, ids, starts, 4, 5)
+    assert all(strings[w].tobytes() == data[s : s + 5].tobytes() for s, w in zip(starts, window))
+    owner = ids[np.searchsorted(offsets, starts, "right") - 1]
+    assert all(least[w] <= i for w, i in zip(window, owner)) and np.all(np.diff(bucket) >= 0)
+    for b in set(bucket.tolist()):
+        own = [x.tobytes() for x in strings[bucket == b]]
+        assert own == sorted(own)
+
+
+def test_kernels_in_parts_equal_whole_ones(monkeypatch):
+    """A very long text gives the same words, anchors, n-grams and features in parts as at once."""
+    rng = random.Random(2)
+    text = "".join(rng.choice(["the ", "é", "Ünd ", "a" * 90, "\n", "x1 ", "日本", " over the lazy dog and so on "]) for _ in range(3000))
+    data, offsets = common.raw(pa.array([text]))
+    place = np.arange(1 << toxicity.HASH_BITS)
+
+    def all_of():
+        return [*common.word_hashes(data, offsets), *suffix_dedup.anchors(data, offsets), language.presence(data, offsets), toxicity.present(data, offsets, place, len(place))[1]]
+
+    whole = all_of()
+    for module in (common, suffix_dedup, language, toxicity):
+        monkeypatch.setattr(module, "SLICE_BYTES", 4096)
+    monkeypatch.setattr(common.parts_of, "__defaults__", (4096,))
+    assert len(data) > 5 * 4096 and all(np.array_equal(a, b) for a, b in zip(whole, all_of(), strict=True))
+
+
+def test_blocks_of_a_count_stay_few(spark):
+    """Blocks grow with the hashes: a bucket for eight chunks, and no empty blocks."""
+    assert [common.bucket_number(n) for n in (1, 100, 1000, 10_000, 1_000_000)] == [1, 100, 128, 1250, 125_000]
+    rows = [(i, f"w{i} " * 3 + "x y z") for i in range(300)]
+    chunks, n = common.chunked(docs(spark, rows), "doc_id", "text", 100)
+    counts = common.hash_counts(chunks, n, jaccard_join._sets).collect()
+    hashes = sum(len(x) for x in common.shingle_sets(*common.raw(pa.array([t for _, t in rows]))))
+    assert sum(len(zlib.decompress(r["counts"])) for r in counts) == hashes and len(counts) <= hashes
+
+
+def test_samples_are_bounded(spark):
+    """Null and repeated ids, and equal rows, don't make a sample larger than asked for."""
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 2 = 0 THEN 1 END AS doc_id", "concat('text ', id % 5000) AS text", "1 AS quality")
+    got = common.bounded_sample(rows, 1000)
+    assert 0 < got.count() < 1300 and sorted(got.collect(), key=str) == sorted(common.bounded_sample(rows.repartition(7), 1000).collect(), key=str)
+    labels = spark.createDataFrame([(1, 1)] * 50, "doc_id bigint, quality int")
+    assert common.labelled_texts(rows, labels, "quality", 1000).count() < 1500
+    langs = rows.selectExpr("doc_id", "text", "CASE WHEN doc_id = 1 THEN 'a' ELSE 'b' END AS lang")
+    assert language.train(langs, per_language=300).languages == ["a", "b"]
+    with pytest.raises(ValueError):
+        language.train(spark.range(1500).selectExpr("id AS doc_id", "'a b' AS text", "concat('l', id) AS lang"))
+
+
+def test_frequent_tokens_are_split(spark, monkeypatch):
+    """Documents that share a template, none similar enough, and some that are: the links don't depend on the split."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(60)]
+    rows = []
+    for i in range(120):
+        own = [word() for _ in range(14)] if i % 10 else [f"same{i % 20}"] * 6
+        rows.append((i, " ".join(template[:30] + own + template[30:])))
+    want = classes(rows)
+    for many in (2, 256):
+        monkeypatch.setattr(jaccard_join, "TOKEN_GROUPS", many)
+        monkeypatch.setattr(jaccard_join, "GROUP_SIZE", 4)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs(spark, rows)).collect()}
+        assert got == want
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_jaccard_join_equals_brute_force(spark, seed):
     rows = near_corpus(seed)
