@@ -42,7 +42,7 @@ def agreement(docs1: DataFrame, first: DataFrame, docs2: DataFrame, second: Data
     one = first.join(both, "doc_id", "left_semi")
     two = second.join(both, "doc_id", "left_semi").withColumn("round", F.lit("second"))
     by = ("round",)
-    matched = ev.aligned_fields(ev.align(one, two, by), one, two, by)
+    matched = ev.matched_pairs(one, two, by)
     systems = both.sparkSession.createDataFrame([("second",)], "round string")
     counts = ev.doc_counts(both, one, two, matched, systems, by)
     kappas = None

@@ -58,6 +58,41 @@ def run_batch(items: DataFrame, function: Callable[[dict], dict], schema: str, i
     return items.repartition(id_col).mapInPandas(run, f"`{id_col}` {kind}, {schema}, `{error_col}` string")
 
 
+REPLY = "text string, finish_reason string, tokens_in bigint, tokens_out bigint"
+
+
+def obtain_replies(requests: DataFrame, provider: Callable[[dict], dict], cache: DataFrame | None = None, key: str = "cache_key") -> DataFrame:
+    """One reply row per request: its key, the REPLY columns, cached and error.
+
+    A request with a usable cached reply (see cache_lookup) takes that; the others go to the
+    provider, a function of the request's row as a dict that returns the REPLY columns. What it
+    raises is an error row; an empty text is one too. Requests of one key are asked once.
+    """
+    wanted = requests.dropDuplicates([key])
+    names = [f.name for f in T._parse_datatype_string(REPLY).fields]
+    empty = requests.sparkSession.createDataFrame([], f"{key} {requests.schema[key].dataType.simpleString()}, {REPLY}")
+    kept = (cache if cache is not None else empty).select(key, *names)
+    asked = wanted.drop(*names, "cached", "error")
+    hits, misses = cache_lookup(asked.select(key), kept)
+    plain = wanted.join(misses.select(key), key, "left_semi")
+    fresh = run_batch(plain, provider, REPLY, key)
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    fresh = fresh.withColumn("error", F.when(F.col("error").isNull() & blank, F.lit("empty reply")).otherwise(F.col("error")))
+    cached = hits.select(key, *names, F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
+    return cached.unionByName(fresh.withColumn("cached", F.lit(False)))
+
+
+def echo_provider(max_tokens: int, text: str = "text") -> Callable[[dict], dict]:
+    """A deterministic provider: replies with the request's own text, cut at its budget of four letters a token."""
+
+    def reply(row: dict) -> dict:
+        own = row[text] or ""
+        out = own[: 4 * max_tokens]
+        return {"text": out, "finish_reason": "stop" if out == own else "length", "tokens_in": -(-len(own) // 4), "tokens_out": -(-len(out) // 4)}
+
+    return reply
+
+
 def seed_fan_out(docs: DataFrame, arms: list[str], seeds: list[int] = (0, 1, 2), attempt: int = 1) -> DataFrame:
     """Every document for every arm and seed, with the run number that keeps their caches apart."""
     plan = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(s).alias("seed")) for a in arms for s in seeds]))

@@ -66,17 +66,34 @@ def _score() -> Column:
     return F.lit(1.0) + half(values_match(F.col("g_value_max"), F.col("p_value_max"))) + half(F.col("g_unit").eqNullSafe(F.col("p_unit"))) + half(entity)
 
 
-def align(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY, blocked: bool = False) -> DataFrame:
-    """One-to-one pairs (by, doc_id, g_ord, p_ord): best score first, then gold order, then predicted order.
+def _chosen(candidates: Column) -> Column:
+    """The greedy one-to-one choice among a document's sorted candidates (k, i, j), as an array of (i, j)."""
+    none = F.array().cast("array<struct<i: bigint, j: bigint>>")
+    pair = lambda c: F.struct(c["i"].cast("bigint").alias("i"), c["j"].cast("bigint").alias("j"))
+    taken = lambda acc, c: F.exists(acc, lambda a: (a["i"] == c["i"]) | (a["j"] == c["j"]))
+    return F.aggregate(candidates, none, lambda acc, c: F.when(taken(acc, c), acc).otherwise(F.concat(acc, F.array(pair(c)))))
+
+
+def matched_pairs(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY, blocked: bool = False) -> DataFrame:
+    """One-to-one pairs with both sides' fields (by, doc_id, g_..., p_...): best score first, then
+    gold order, then predicted order.
 
-    The greedy choice runs inside one aggregate expression over a document's sorted candidates.
+    A document's candidates carry their fields through one grouping, whose aggregate expression
+    makes the greedy choice, so neither side is read or joined again.
     """
+    pairs = candidate_pairs(gold, pred, by, blocked)
+    fields = [c for c in pairs.columns if c not in (*by, "doc_id")]
+    row = F.struct((-_score()).alias("k"), F.col("g_ord").alias("i"), F.col("p_ord").alias("j"), F.struct(*fields).alias("row"))
+    lists = pairs.groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list(row)).alias("l")).withColumn("chosen", _chosen(F.col("l")))
+    kept = F.filter("l", lambda c: F.exists("chosen", lambda a: (a["i"] == c["i"]) & (a["j"] == c["j"])))
+    return lists.select(*by, "doc_id", F.explode(kept).alias("c")).select(*by, "doc_id", "c.row.*")
+
+
+def align(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY, blocked: bool = False) -> DataFrame:
+    """The pairs' places alone: by, doc_id, g_ord and p_ord."""
     scored = candidate_pairs(gold, pred, by, blocked).select(*by, "doc_id", F.struct((-_score()).alias("k"), F.col("g_ord").alias("i"), F.col("p_ord").alias("j")).alias("c"))
     lists = scored.groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list("c")).alias("l"))
-    empty = F.array().cast("array<struct<k: double, i: bigint, j: bigint>>")
-    typed = F.transform("l", lambda c: F.struct(c["k"].alias("k"), c["i"].cast("bigint").alias("i"), c["j"].cast("bigint").alias("j")))
-    chosen = F.aggregate(typed, empty, lambda acc, c: F.when(F.exists(acc, lambda a: (a["i"] == c["i"]) | (a["j"] == c["j"])), acc).otherwise(F.concat(acc, F.array(c))))
-    return lists.select(*by, "doc_id", F.explode(chosen).alias("c")).select(*by, "doc_id", F.col("c.i").alias("g_ord"), F.col("c.j").alias("p_ord"))
+    return lists.select(*by, "doc_id", F.explode(_chosen(F.col("l"))).alias("c")).select(*by, "doc_id", F.col("c.i").alias("g_ord"), F.col("c.j").alias("p_ord"))
 
 
 def aligned_fields(pairs: DataFrame, gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
@@ -223,7 +240,7 @@ def evaluate(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: Da
     from mensura.operators.stats import bootstrap_ci  # stats imports this module
 
     known = pred.join(gold_docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    matched = aligned_fields(align(gold, known, by), gold, known, by)
+    matched = matched_pairs(gold, known, by)
     counts = doc_counts(gold_docs, gold, known, matched, systems, by)
     out = {"matched": matched, "counts": counts, "prf": micro_prf(counts, by), "fields": field_accuracy(matched, by), "macro_f1": macro_f1(matched, by=by), "scores": mean_score(counts, by), "det_ci": bootstrap_ci(counts, "det", by), "tup_ci": bootstrap_ci(counts, "tup", by)}
     if abstracts is not None:
@@ -231,6 +248,25 @@ def evaluate(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: Da
     return out
 
 
+def report_rows(parts: dict[str, DataFrame], keys: tuple[str, ...] = BY) -> DataFrame:
+    """Parts of a report in one tall table: part, the keys as texts (null where a part has none),
+    name and value.
+
+    Every column of numbers is a value of its own; the texts that tell a part's rows apart (field,
+    labels) come before the column's name, joined by a slash.
+    """
+    out = None
+    for part, df in parts.items():
+        texts = [c for c, t in df.dtypes if t == "string" and c not in keys]
+        numbers = [c for c, t in df.dtypes if t in ("double", "bigint", "int") and c not in keys]
+        values = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in numbers]))
+        own = [F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in keys]
+        name = F.concat_ws("/", *[F.coalesce(c, F.lit("none")) for c in texts], "_v.name")
+        rows = df.withColumn("_v", values).select(F.lit(part).alias("part"), *own, name.alias("name"), F.col("_v.value").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ---- strict evaluator ----------------------------------------------------------------------
 
 

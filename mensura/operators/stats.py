@@ -88,9 +88,16 @@ def compare_arms(counts: DataFrame, arms: list[str], draws: int = DRAWS, seed: i
     return out
 
 
-def arm_summary(counts: DataFrame, matched: DataFrame) -> dict[str, DataFrame]:
-    """Per arm: rates per seed and pooled, scores, kappa per field (pooled and per seed), confusion, intervals over documents."""
+def arm_summary(counts: DataFrame, matched: DataFrame, rounds: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Per arm: rates per seed and pooled, scores, kappa per field (pooled and per seed), confusion, intervals over documents.
+
+    With ``rounds``, the counts of two annotation rounds (see agreement), the pooled rates have a
+    row more, arm 'annotators': the ceiling that annotators reach among themselves.
+    """
     pooled = ev.sum_seeds(counts)
+    rates = ev.micro_prf(pooled, ("arm",))
+    if rounds is not None:
+        rates = rates.unionByName(ev.micro_prf(rounds.withColumn("arm", F.lit("annotators")), ("arm",)))
 
     def kappas(by: list[str]) -> DataFrame:
         out = None
@@ -100,6 +107,6 @@ def arm_summary(counts: DataFrame, matched: DataFrame) -> dict[str, DataFrame]:
         return out
 
     return {
-        "per_seed": ev.micro_prf(counts), "pooled": ev.micro_prf(pooled, ("arm",)), "scores": ev.mean_score(counts), "kappa": kappas(["arm"]), "kappa_per_seed": kappas(list(ev.BY)),
+        "per_seed": ev.micro_prf(counts), "pooled": rates, "scores": ev.mean_score(counts), "kappa": kappas(["arm"]), "kappa_per_seed": kappas(list(ev.BY)),
         "confusion": ev.confusion(matched, "metric_type", ("arm",)), "det_ci": bootstrap_ci(pooled, "det"), "tup_ci": bootstrap_ci(pooled, "tup"),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.text import vote_key
@@ -13,25 +13,31 @@ OTHER_FIELDS = ("is_range", "sentence", "metric_type", "entity_type", "context_m
 def dedupe_votes(samples: DataFrame, by: list[str] = ("doc_id",)) -> DataFrame:
     """Adds vote, the key; a sample's first extraction of a key stays."""
     keyed = samples.withColumn("vote", vote_key(*[F.col(c) for c in ("value", "value_max", "unit", "target_entity")]))
-    first = Window.partitionBy(*by, "sample", "vote").orderBy("ord")
-    return keyed.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    keys = [*by, "sample", "vote"]
+    first = keyed.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in keyed.columns if c not in keys]), "ord").alias("_r"))
+    return first.select(*keys, "_r.*").select(*keyed.columns)
+
+
+def _mode(members: Column, name: str) -> Column:
+    """The most frequent value of a field among the members, ties to the first."""
+    often = lambda x: F.size(F.filter(members, lambda y: y[name].eqNullSafe(x[name])))
+    return F.array_max(F.transform(members, lambda x, i: F.struct(often(x).alias("n"), (-i).alias("i"), x[name].alias("v"))))["v"]
 
 
 def vote_extractions(samples: DataFrame, by: list[str] = ("doc_id",), fields: tuple[str, ...] = OTHER_FIELDS) -> DataFrame:
     """Extractions that at least half of a document's samples have (k of them valid: (k+1)//2).
 
     The key's own fields are those of the first member; every other field is the most frequent one,
-    ties to the first seen. Everything is grouped by document, so one shuffle does.
+    ties to the first seen. The rows are dealt out by document once, and all that follows groups
+    within a document: a key's members are one for each sample, so their modes are array functions.
     """
     by = list(by)
-    voted = dedupe_votes(samples, by)
-    valid = samples.groupBy(*by).agg(F.countDistinct("sample").alias("k"))
-    place = F.struct("sample", "ord")
-    first = voted.groupBy(*by, "vote").agg(F.count(F.lit(1)).alias("votes"), F.min_by(F.struct("value", "value_max", "unit", "target_entity"), place).alias("_b"), F.min(place).alias("_first"))
-    kept = first.join(valid, by).where(F.col("votes") >= F.floor((F.col("k") + 1) / 2))
-    tall = voted.select(*by, "vote", "sample", "ord", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields])).alias("_cell"))
-    counts = tall.groupBy(*by, "vote", "_cell.f", "_cell.v").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    modes = counts.groupBy(*by, "vote", "f").agg(F.min_by("v", F.struct((-F.col("n")).alias("n"), "first")).alias("v"))
-    wide = modes.groupBy(*by, "vote").agg(F.map_from_entries(F.collect_list(F.struct("f", "v"))).alias("m"))
-    types = {f: samples.schema[f].dataType for f in fields}
-    return kept.join(wide, [*by, "vote"]).select(*by, "votes", "k", F.col("_first.sample").alias("first_sample"), F.col("_first.ord").alias("first_ord"), "_b.*", *[F.col("m")[f].cast(types[f]).alias(f) for f in fields])
+    voted = dedupe_votes(samples.repartition(*by), by)
+    seen = F.size(F.collect_set("sample").over(Window.partitionBy(*by)))
+    base = F.struct("value", "value_max", "unit", "target_entity")
+    member = F.struct("sample", "ord", base.alias("base"), *fields)
+    grouped = voted.withColumn("k", seen.cast("long")).groupBy(*by, "vote").agg(F.array_sort(F.collect_list(member)).alias("m"), F.max("k").alias("k"))
+    votes, m = F.size("m").cast("long"), F.col("m")
+    kept = grouped.withColumn("votes", votes).where(F.col("votes") >= F.floor((F.col("k") + 1) / 2))
+    first = m[0]
+    return kept.select(*by, "votes", "k", first["sample"].alias("first_sample"), first["ord"].alias("first_ord"), *[first["base"][c].alias(c) for c in ("value", "value_max", "unit", "target_entity")], *[_mode(m, f).alias(f) for f in fields])

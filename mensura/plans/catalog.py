@@ -17,7 +17,7 @@ from mensura.operators import stats as st
 from mensura.operators import vote as vt
 from mensura.operators import works as wk
 from mensura.plans.derive import ABSTRACTS, GOLD, LOG, PRED, SAMPLES, SYSTEMS, sql
-from mensura.schemas import CATEGORICAL, TUPLE_FIELDS
+from mensura.schemas import CATEGORICAL, TUPLE_FIELDS, UNITS
 from mensura.sources import tables as src
 from mensura.streaming import jobs
 
@@ -53,8 +53,7 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _matched(s: SparkSession, d: str) -> DataFrame:
-    gold, pred = _gold(s, d), _pred(s, d)
-    return ev.aligned_fields(ev.align(gold, pred), gold, pred)
+    return ev.matched_pairs(_gold(s, d), _pred(s, d))
 
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
@@ -152,8 +151,8 @@ def q_confusion(s, d):
 )
 def q_confusion_absent(s, d):
     gold, pred = _gold(s, d), _pred(s, d)
-    pairs = ev.align(gold, pred)
-    return _rounded(ev.confusion_with_absent(ev.aligned_fields(pairs, gold, pred), ev.missed(pairs, gold, sql(s, d, SYSTEMS)), ev.invented(pairs, pred), "metric_type"))
+    pairs = ev.matched_pairs(gold, pred)
+    return _rounded(ev.confusion_with_absent(pairs, ev.missed(pairs, gold, sql(s, d, SYSTEMS)), ev.invented(pairs, pred), "metric_type"))
 
 
 @query(f"{_ALIGNED} SELECT arm, seed, doc_id, round({_SCORE}, 6) AS score FROM c")
@@ -199,8 +198,8 @@ def q_kappa(s, d):
 
 def _divergences(s: SparkSession, d: str) -> DataFrame:
     gold, pred = _gold(s, d), _pred(s, d)
-    pairs = ev.align(gold, pred)
-    return ag.divergences(ev.aligned_fields(pairs, gold, pred), ev.missed(pairs, gold, sql(s, d, SYSTEMS)), ev.invented(pairs, pred), ("arm",))
+    pairs = ev.matched_pairs(gold, pred)
+    return ag.divergences(pairs, ev.missed(pairs, gold, sql(s, d, SYSTEMS)), ev.invented(pairs, pred), ("arm",))
 
 
 @query(f"{_ALIGNED} SELECT arm, {', '.join(f'count(*) FILTER (WHERE NOT ({x})) AS {f}' for f, x in _EQUAL.items())} FROM m GROUP BY arm")
@@ -257,8 +256,8 @@ def q_strict_errors_all(s, d):
 
 def _critique(s: SparkSession, d: str) -> DataFrame:
     gold, pred = _gold(s, d), _pred(s, d)
-    pairs = ev.align(gold, pred)
-    return ev.critique_report(_counts(s, d), ev.aligned_fields(pairs, gold, pred), ev.missed(pairs, gold, sql(s, d, SYSTEMS)), ev.invented(pairs, pred))
+    pairs = ev.matched_pairs(gold, pred)
+    return ev.critique_report(ev.doc_counts(_docs(s, d), gold, pred, pairs, sql(s, d, SYSTEMS)), pairs, ev.missed(pairs, gold, sql(s, d, SYSTEMS)), ev.invented(pairs, pred))
 
 
 @query(f"{_ALIGNED} SELECT arm, seed, doc_id, round({_SCORE}, 6) AS score FROM c")
@@ -273,6 +272,27 @@ def q_critique_report(s, d):
     return _rounded(_critique(s, d))
 
 
+_KNOWN_UNITS = ", ".join(f"'{u}'" for u in UNITS)
+_LONE_G = f"SELECT s.arm, s.seed, g.* FROM g CROSS JOIN ({SYSTEMS}) s WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.arm = s.arm AND m.seed = s.seed AND m.doc_id = g.doc_id AND m.g_ord = g.ord)"
+_LONE_P = "SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.arm = p.arm AND m.seed = p.seed AND m.doc_id = p.doc_id AND m.p_ord = p.ord)"
+_WRONG = " UNION ALL ".join(
+    f"SELECT arm, seed, doc_id, 'wrong {f}' AS kind, {'g_metric_type' if f == 'metric_type' else repr(ev.RULE_OF_FIELD[f])} AS rule FROM m WHERE NOT ({x})" for f, x in _EQUAL.items() if f != "value"
+)
+
+
+@query(
+    f"{_ALIGNED}, lone_g AS ({_LONE_G}), lone_p AS ({_LONE_P}), x AS (SELECT arm, seed, doc_id, 'missing' AS kind, 'list' AS rule FROM lone_g UNION ALL SELECT arm, seed, doc_id, NULL, 'Invalid Candidate' FROM lone_g WHERE metric_type = 'Invalid Candidate' "
+    f"UNION ALL SELECT arm, seed, doc_id, 'extra', 'once' FROM lone_p UNION ALL SELECT arm, seed, doc_id, NULL, 'boundary' FROM lone_p WHERE unit IS NULL OR unit NOT IN ({_KNOWN_UNITS}) UNION ALL {_WRONG}) "
+    "SELECT c.arm, c.seed, c.doc_id, count(kind) FILTER (WHERE kind = 'missing') AS n_missing, count(kind) FILTER (WHERE kind = 'extra') AS n_extra, count(kind) FILTER (WHERE kind LIKE 'wrong%') AS n_wrong, coalesce(array_to_string(list_sort(list(DISTINCT rule)), ';'), '') AS rules "
+    "FROM c LEFT JOIN x ON x.arm = c.arm AND x.seed = c.seed AND x.doc_id = c.doc_id GROUP BY 1, 2, 3"
+)
+def q_critique_lines(s, d):
+    """Of every document's critique the lines by kind, and its rules."""
+    line = F.filter(F.split("lines", "\n"), lambda x: x != "all entries match the reference")
+    many = lambda kind: F.size(F.filter(line, lambda x: x.startswith(kind))).cast("long")
+    return _critique(s, d).select("arm", "seed", "doc_id", many("missing: ").alias("n_missing"), many("extra: ").alias("n_extra"), many("wrong ").alias("n_wrong"), F.array_join(F.array_sort("rules"), ";").alias("rules"))
+
+
 _TEXTS = ("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS abstract FROM documents WHERE doc_id % 3 = 0", "SELECT doc_id, text AS abstract FROM documents WHERE doc_id % 2 = 0", "SELECT doc_id FROM documents")
 
 
@@ -690,6 +710,94 @@ def q_evaluate(s, d):
     return _rounded(ev.evaluate(_docs(s, d), _gold(s, d), _pred(s, d), sql(s, d, SYSTEMS))["scores"])
 
 
+def _tall(part: str, source: str, names: dict[str, str], arm: str = "arm", seed: str = "NULL", texts: str = "") -> str:
+    """SQL of a report's part as ``evaluate.report_rows`` lays it out."""
+    return " UNION ALL ".join(f"SELECT '{part}' AS part, {arm} AS arm, CAST({seed} AS VARCHAR) AS seed, {texts}'{n}' AS name, round(CAST({x} AS DOUBLE), 6) AS value FROM {source}" for n, x in names.items())
+
+
+_PRF = {c: c for c in ev.COUNTS} | {f"{k}_{n}": x for k in ("det", "tup") for n, x in _prf_sql(k).items()}
+_CELLS = " UNION ALL ".join(f"SELECT arm, seed, '{f}' AS field, CAST(g_{f} AS VARCHAR) AS a, CAST(p_{f} AS VARCHAR) AS b, count(*) AS n FROM m GROUP BY ALL" for f in CATEGORICAL)
+
+
+def _kappa_of(name: str, by: str) -> str:
+    """CTEs whose last, ``name``, has by, field, n, po, pe and kappa, from the cells."""
+    on = " AND ".join(f"x.{c} = y.{c}" for c in (*by.split(", "), "field"))
+    return f"""
+        {name}_a AS (SELECT {by}, field, a AS l, sum(n) AS n FROM cells GROUP BY {by}, field, a), {name}_b AS (SELECT {by}, field, b AS l, sum(n) AS n FROM cells GROUP BY {by}, field, b),
+        {name}_t AS (SELECT {by}, field, sum(n) AS n, coalesce(sum(n) FILTER (WHERE a IS NOT DISTINCT FROM b), 0)::DOUBLE / sum(n) AS po FROM cells GROUP BY {by}, field),
+        {name}_c AS (SELECT {", ".join(f"x.{c}" for c in by.split(", "))}, x.field, sum(x.n::DOUBLE * y.n) AS xy FROM {name}_a x JOIN {name}_b y ON {on} AND x.l IS NOT DISTINCT FROM y.l GROUP BY ALL),
+        {name} AS (SELECT x.*, xy / (n::DOUBLE * n) AS pe, CASE WHEN xy = n::DOUBLE * n THEN 1.0 ELSE (po - xy / (n::DOUBLE * n)) / (1 - xy / (n::DOUBLE * n)) END AS kappa FROM {name}_t x JOIN {name}_c y ON {on})"""
+
+
+_KAPPA_NAMES = {n: n for n in ("n", "po", "pe", "kappa")}
+_F1S = (
+    f"x AS ({_LABELS}), y AS (SELECT arm, seed, field, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (SELECT arm, seed, field, g AS label, CAST(g IS NOT DISTINCT FROM p AS INT) AS tp, 0 AS fp, CAST(g IS DISTINCT FROM p AS INT) AS fn FROM x "
+    f"UNION ALL SELECT arm, seed, field, p, 0, CAST(g IS DISTINCT FROM p AS INT), 0 FROM x) GROUP BY 1, 2, 3, 4), f1s AS (SELECT arm, seed, field, avg({_prf_sql('', 'tp', 'fp', 'fn')['f1']}) AS macro_f1, count(*) AS n_labels FROM y GROUP BY 1, 2, 3)"
+)
+_ACCURACY = " UNION ALL ".join(f"SELECT arm, seed, '{f}' AS field, count(*) FILTER (WHERE {x}) AS hits, count(*) AS total FROM m GROUP BY arm, seed" for f, x in _EQUAL.items())
+_MEANS = f"(SELECT arm, avg(score) AS mean_score, count(*) AS n_seeds FROM (SELECT arm, seed, avg({_SCORE}) AS score FROM c GROUP BY 1, 2) GROUP BY 1)"
+_GROUNDED = "(SELECT arm, seed, count(*) AS total, count(*) FILTER (WHERE sentence <> 'Not there.') AS grounded FROM p GROUP BY 1, 2)"
+_SAID = "SELECT l_orderkey AS doc_id, array_join(collect_list(concat('It had ', CAST(l_partkey AS STRING), '  parts.')), ' ') AS abstract FROM lineitem GROUP BY 1"
+
+
+@query(
+    f"{_ALIGNED}, {_F1S}, acc AS ({_ACCURACY}), sums AS (SELECT arm, seed, {_SUMS} FROM c GROUP BY arm, seed) {_tall('prf', 'sums', _PRF, seed='seed')} UNION ALL {_tall('fields', 'acc', {'hits': 'hits', 'total': 'total', 'accuracy': 'hits / total'}, seed='seed', texts=chr(39) + chr(39) + ' || field || ' + chr(39) + '/' + chr(39) + ' || ')} "
+    f"UNION ALL {_tall('macro_f1', 'f1s', {'macro_f1': 'macro_f1', 'n_labels': 'n_labels'}, seed='seed', texts='field || ' + chr(39) + '/' + chr(39) + ' || ')} UNION ALL {_tall('scores', _MEANS, {'mean_score': 'mean_score', 'n_seeds': 'n_seeds'})} "
+    f"UNION ALL {_tall('hallucination', _GROUNDED, {'total': 'total', 'grounded': 'grounded', 'rate': '1 - grounded / total'}, seed='seed')}"
+)
+def q_evaluate_report(s, d):
+    """The whole evaluation: rates, fields, macro F1, scores and sentences that aren't in the text (intervals: q_report_intervals)."""
+    report = ev.evaluate(_docs(s, d), _gold(s, d), _pred(s, d), sql(s, d, SYSTEMS), sql(s, d, _SAID))
+    return _rounded(ev.report_rows({k: report[k] for k in ("prf", "fields", "macro_f1", "scores", "hallucination")}))
+
+
+@query(
+    f"{_ALIGNED}, cells AS ({_CELLS}), {_kappa_of('k1', 'arm')}, {_kappa_of('k2', 'arm, seed')}, sums AS (SELECT arm, seed, {_SUMS} FROM c GROUP BY arm, seed), pooled AS (SELECT arm, {_SUMS} FROM c GROUP BY arm), "
+    f"conf AS (SELECT arm, g_metric_type || '/' || p_metric_type AS labels, count(*) AS n FROM m GROUP BY ALL) "
+    f"{_tall('per_seed', 'sums', _PRF, seed='seed')} UNION ALL {_tall('pooled', 'pooled', _PRF)} UNION ALL {_tall('scores', _MEANS, {'mean_score': 'mean_score', 'n_seeds': 'n_seeds'})} UNION ALL {_tall('confusion', 'conf', {'n': 'n'}, texts='labels || ' + chr(39) + '/' + chr(39) + ' || ')} "
+    f"UNION ALL {_tall('kappa', 'k1', _KAPPA_NAMES, texts='field || ' + chr(39) + '/' + chr(39) + ' || ')} UNION ALL {_tall('kappa_per_seed', 'k2', _KAPPA_NAMES, seed='seed', texts='field || ' + chr(39) + '/' + chr(39) + ' || ')}"
+)
+def q_arm_report(s, d):
+    """The whole summary of the arms: rates per seed and pooled, scores, confusion and kappa."""
+    report = st.arm_summary(_counts(s, d), _matched(s, d))
+    return _rounded(ev.report_rows({k: report[k] for k in ("per_seed", "pooled", "scores", "confusion", "kappa", "kappa_per_seed")}))
+
+
+@query()
+def q_report_intervals(s, d):
+    """Both reports' intervals, and the annotators' rates beside the arms'; a test compares them with plain Python."""
+    report = st.arm_summary(_counts(s, d), _matched(s, d), _agreement_all(s, d)["counts"])
+    return ev.report_rows({k: report[k] for k in ("pooled", "det_ci", "tup_ci")})
+
+
+@query(
+    "SELECT conv_id, turn, role = 'user' AND trim(coalesce(text, '')) <> '' AS cached, CASE WHEN NOT (role = 'user' AND trim(coalesce(text, '')) <> '') AND length(coalesce(text, '')) > 200 THEN 'length' ELSE 'stop' END AS finish_reason, "
+    "CAST(ceil(CASE WHEN role = 'user' AND trim(coalesce(text, '')) <> '' THEN length(text) ELSE least(200, length(coalesce(text, ''))) END / 4) AS BIGINT) AS tokens_out, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty reply' END AS error FROM conversations"
+)
+def q_reply_rows(s, d):
+    """Replies of a deterministic provider to every turn, those of the user from the cache."""
+    rows = sql(s, d, "SELECT conv_id, turn, role, text, concat(conv_id, '|', turn) AS cache_key FROM conversations")
+    cache = rows.where("role = 'user'").select("cache_key", "text", F.lit("stop").alias("finish_reason"), *[F.ceil(F.length("text") / 4).cast("long").alias(c) for c in ("tokens_in", "tokens_out")])
+    got = bt.obtain_replies(rows.withColumnRenamed("text", "said"), bt.echo_provider(50, "said"), cache)
+    parts = F.split("cache_key", r"\|")
+    return got.select(parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("turn"), "cached", "finish_reason", "tokens_out", "error")
+
+
+@query(f"SELECT doc_id, length(abstract) AS n FROM ({ABSTRACTS}) WHERE {_SIEVED}")
+def q_stream_extract(s, d):
+    """New abstracts through the sieve and a user function, stopped and started again on its checkpoint."""
+
+    def measure(row: dict) -> dict:
+        return {"n": len(row["abstract"])}
+
+    text = ABSTRACTS[ABSTRACTS.index("CASE") : ABSTRACTS.index("AS abstract")]
+    base = jobs.new_folder(s, "extracted")
+    for _ in range(2):  # the second start finds nothing new
+        abstracts = _streamed(s, d, "documents").selectExpr("doc_id", f"{text} AS abstract")
+        jobs.stream_extract(abstracts, measure, "n bigint", f"{base}/result", f"{base}/checkpoint").awaitTermination()
+    return s.read.schema("doc_id bigint, n bigint, error string").parquet(f"{base}/result").select("doc_id", "n")
+
+
 @query(f"SELECT CASE WHEN h IN (2, 3, 4, 5, 6, 7, 8, 10) THEN 'schema' ELSE 'none' END AS stage, count(*) AS n FROM (SELECT (doc_id + ord * 5) % 12 AS h FROM ({GOLD})) GROUP BY 1")
 def q_rejections_by_stage(s, d):
     checked = rp.validate_extractions(sql(s, d, _REPLIES))
@@ -712,10 +820,10 @@ def q_labels_and_instants(s, d):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", tx.normalize_label(F.col("raw")).alias("label"), rp.is_solution(F.col("unit")).alias("solution"), tx.log_instant(F.col("l_shipdate")).alias("instant"))
 
 
-@query("SELECT c_custkey AS i FROM customer WHERE c_custkey >= 10 AND c_custkey < 60 AND c_custkey NOT IN (SELECT user_id FROM events)")
+@query("SELECT c_custkey AS i FROM customer WHERE c_custkey >= 100 AND c_custkey < 2100 AND c_custkey NOT IN (SELECT user_id FROM events)")
 def q_slice_pending(s, d):
     """A slice of the items by index, then those of it that no log line names."""
-    return bt.pending_items(bt.slice_items(sql(s, d, "SELECT c_custkey AS i FROM customer"), "i", 10, 50), sql(s, d, LOG), "i")
+    return bt.pending_items(bt.slice_items(sql(s, d, "SELECT c_custkey AS i FROM customer"), "i", 100, 2000), sql(s, d, LOG), "i")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.functions.text import doc_id_from_url
@@ -90,6 +90,6 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Of the rows with one key the one with the greatest ``order``."""
-    newest = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    """Of the rows with one key the one with the greatest ``order``; an aggregate, so no sort is needed."""
+    newest = F.max_by(F.struct(*[c for c in df.columns if c != key]), order)
+    return df.groupBy(key).agg(newest.alias("_r")).select(key, "_r.*").select(*df.columns)

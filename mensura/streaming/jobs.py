@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,15 +36,24 @@ def stream_usage(events: DataFrame, ts: str, tokens: str, window: str = "1 hour"
     return grouped.agg(F.count(F.lit(1)).alias("calls"), F.sum(tokens).alias("tokens")).select(F.col("w.start").alias("window_start"), *by, "calls", "tokens")
 
 
-def stored_result(df: DataFrame, name: str) -> DataFrame:
-    """A complete-mode stream run over what is there; its result as Parquet in the shared folder.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a run's result and checkpoint in the folder that spark.checkpoint.dir names.
 
-    Result and checkpoint lie in the folder named by spark.checkpoint.dir, which all executors share,
-    each run in one of its own. Only where the session names none (one machine) it is a local one.
+    All executors share that one. Where the session names none, a session on one machine gets a
+    local one; on a cluster that is an error.
     """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='mensura-')}"
+    return f"{where.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def stored_result(df: DataFrame, name: str) -> DataFrame:
+    """A complete-mode stream run over what is there; its result as Parquet in a folder of its own."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='mensura-')}"
-    base = f"{where.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    base = new_folder(spark, name)
     out = f"{base}/result"
     spark.createDataFrame([], df.schema).write.parquet(out)  # what a stream without any batch leaves
 

@@ -16,6 +16,7 @@ from mensura.functions import text as tx
 from mensura.operators import agreement as ag
 from mensura.operators import batch as bt
 from mensura.operators import evaluate as ev
+from mensura.operators import optimise as op
 from mensura.operators import sampling as sm
 from mensura.operators import stats as st
 from mensura.operators import vote as vt
@@ -112,9 +113,24 @@ def test_lexicon(spark):
     assert lx.indel_ratio("monazitee", "monazite") == pytest.approx(2 * 8 / 17 * 100)
 
 
+def test_fuzzy_matching_runs_on_distinct_names_only(spark):
+    from mensura.plans import catalog
+
+    plan = catalog.q_resolve_entities(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "EvalPython" not in plan
+    below = plan[plan.index("MapInPandas") :].split("\n")
+    assert "HashAggregate" in below[1] + below[2], below[:4]  # the distinct names
+    names = spark.createDataFrame([("monazitee",)] * 50 + [("xyz",), (None,), ("mon",)], "entity string")
+    assert [tuple(r) for r in lx.fuzzy_lexicon(names, lx.load_lexicon(spark)).collect()] == [("monazitee", "monazite")]
+    with pytest.raises(ValueError):
+        lx.fuzzy_lexicon(names, spark.range(lx.MOST_FORMS + 1).selectExpr("CAST(id AS STRING) AS form"))
+
+
 REPLIES = [
     ('```json\n{"extracoes":[]}\n```', 0), ('Here: {"extractions":[{"value":1}]} done', 1), ('[{"value":1},{"value":2}]', 2), ('Result: [{"value":1},{"value":2}]', 2), ('Result: [{"value":1}]', 0),
-    ('{"extracoes":[{"value":1},3,null]}', 1), ('{"a":1} {"b":2}', None), ("no json", None), ("5", None), (None, None),
+    ('{"extracoes":[{"value":1},3,null]}', 1), ('{"a":1} {"b":2}', None), ("no json", None), ("5", None), (None, None), ("", None), ("```", None), ('"text"', None), ("[]", 0), ("[1, 2]", 0),
+    ('[{"value":1}]', 1), ('See [1]: {"results":[{"a":1},{"b":2}]}', 2), ('{"extracoes":"none","data":[{"a":1}]}', 1), ('{"other":[{"a":1}]}', 0), ('```\n[{"a":1},{"b":2}]\n```\nDone.', 2), ('} {"data":[]} {', 0), ('{"data":[{"a":1}]', 1),
+    ('{"data":[{"a":1}], "data":[{"a":1},{"b":2}]}', 2),
 ]
 
 
@@ -320,6 +336,58 @@ def test_reports_have_intervals_kappa_and_confusion(spark):
     assert [r.f1 for r in rounds["det_ci"].collect()] == [0.5] and rounds["tup_ci"].count() == 1
 
 
+def test_interval_report_against_plain_python(spark):
+    from mensura.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    rows = {(r.part, r.arm, r.name): r.value for r in catalog.q_report_intervals(spark, d).collect()}
+    counts = [r.asDict() for r in catalog._counts(spark, d).collect()]
+    f1 = lambda tp, fp, fn: 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+    for arm in ("base", "tuned"):
+        for kind in ("det", "tup"):
+            total = [sum(r[f"{kind}_{c}"] for r in counts if r["arm"] == arm) for c in ("tp", "fp", "fn")]
+            assert rows["pooled", arm, f"{kind}_f1"] == pytest.approx(f1(*total)) == pytest.approx(rows[f"{kind}_ci", arm, "f1"])
+            low, high = rows[f"{kind}_ci", arm, "low"], rows[f"{kind}_ci", arm, "high"]
+            assert low <= f1(*total) <= high and 0 < high - low < 0.1
+            by_doc = {}
+            for r in counts:
+                if r["arm"] == arm:
+                    own = by_doc.setdefault(r["doc_id"], [0, 0, 0])
+                    for k, c in enumerate(("tp", "fp", "fn")):
+                        own[k] += r[f"{kind}_{c}"]
+            docs_, rng = list(by_doc.values()), random.Random(3)
+            draws = sorted(f1(*map(sum, zip(*rng.choices(docs_, k=len(docs_))))) for _ in range(300))
+            assert low == pytest.approx(draws[7], abs=0.01) and high == pytest.approx(draws[292], abs=0.01)
+    assert 0 < rows["pooled", "annotators", "det_f1"] <= 1
+
+
+def test_minibatch(spark):
+    docs_ = spark.createDataFrame([(i,) for i in range(200)], "doc_id bigint")
+    pick = lambda n, seed, step, parts=3: [r.doc_id for r in op.minibatch(docs_.repartition(parts), n, seed, step).collect()]
+    one = pick(20, 42, 1)
+    assert len(set(one)) == 20 and one == pick(20, 42, 1, 7) and one != pick(20, 42, 2) and set(pick(500, 42, 1)) == set(range(200))
+    assert pick(20, 41, 2) == one  # seed and step are added up
+    often = Counter(x for step in range(60) for x in pick(20, 1, step))
+    assert len(often) > 190 and max(often.values()) < 20  # 6 expected
+
+
+def test_replies_from_cache_and_provider(spark):
+    rows = [("a", "hello"), ("b", "x" * 30), ("c", ""), ("d", "boom"), ("a", "hello"), ("e", "kept")]
+    asked = spark.createDataFrame(rows, "cache_key string, said string")
+    cache = spark.createDataFrame([("e", "old", "stop", 1, 1), ("b", "  ", "stop", 1, 1)], f"cache_key string, {bt.REPLY}")
+
+    def provider(row):
+        if row["said"] == "boom":
+            raise TimeoutError("late")
+        return bt.echo_provider(5, "said")(row)
+
+    got = {r.cache_key: (r.text, r.finish_reason, r.tokens_in, r.tokens_out, r.cached, r.error) for r in bt.obtain_replies(asked, provider, cache).collect()}
+    assert got == {
+        "a": ("hello", "stop", 2, 2, False, None), "b": ("x" * 20, "length", 8, 5, False, None), "c": ("", "stop", 0, 0, False, "empty reply"), "d": (None, None, None, None, False, "TimeoutError: late"), "e": ("old", "stop", 1, 1, True, None),
+    }
+    assert bt.obtain_replies(asked.limit(0), provider).count() == 0
+
+
 def test_splits_and_samples(spark):
     docs = spark.createDataFrame([("a", "dev"), ("b", "val"), ("c", "test")], "doc_id string, partition string")
     assert {r.doc_id: r.split for r in sm.split_gold(docs).collect()} == {"a": "train", "b": "validation", "c": "test"}
@@ -355,6 +423,43 @@ def test_files_in_and_out(spark, tmp_path):
     assert [tuple(r) for r in src.read_extra_abstracts(spark, str(tmp_path / "u.csv")).collect()] == [("W1", "t")]
 
 
+def test_files_round_trip(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    articles = spark.createDataFrame([("w1", 'A "title", one', "two\nlines"), ("w2", None, "")], "id_openalex string, titulo string, abstract string")
+    src.write_articles(articles, at("articles"))
+    assert sorted(spark.read.parquet(at("articles")).collect()) == sorted(articles.collect())
+    src.write_articles(articles, at("csv"), csv=True)
+    back = src.read_abstracts(spark, at("csv"), "id_openalex string, titulo string, abstract string")
+    assert sorted(map(tuple, back.collect())) == [("w1", 'A "title", one', "two\nlines"), ("w2", "", "")]
+    candidates = spark.createDataFrame([("a", "t", "r"), ("b", None, None)], "doc_id string, titulo string, resumo string")
+    src.write_candidates(candidates, at("candidates"))
+    assert sorted(spark.read.parquet(at("candidates")).collect(), key=str) == sorted(candidates.collect(), key=str)
+    src.write_json(candidates, at("lines"))
+    assert sorted(map(tuple, src.read_candidates(spark, at("lines")).collect())) == [("a", "t", "r"), ("b", "", "")]
+    finished = spark.createDataFrame([("a", None), ("b", "ValueError: x")], "doc_id string, erro string")
+    for _ in range(2):
+        src.append_results(finished, at("log"))
+    log = src.read_results(spark, at("log"))
+    assert log.count() == 4 and {r.doc_id: r.erro for r in log.collect()} == {"a": None, "b": "ValueError: x"}
+    trajectory = spark.createDataFrame([(1, [0], 0.5)], "indice int, pais array<int>, nota_val double")
+    src.write_json(trajectory, at("trajectory"))
+    assert spark.read.schema(trajectory.schema).json(at("trajectory")).collect() == trajectory.collect()
+
+
+def test_yaml_lexicon(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "terms.yaml").write_text("metals:\n  entity_type: element\n  termos:\n    - canonico: Nd\n      nome: neodymium\n      variantes: [neodimio]\n    - canonico: Fe\nother: 5\nsensivel_a_caixa: [Nd]\n")
+    got = {(r.form, r.canonical, r.entity_type, r.case_sensitive, r.spelling) for r in lx.load_lexicon(spark, str(tmp_path / "terms.yaml")).collect()}
+    assert got == {("nd", "Nd", "element", True, "Nd"), ("neodymium", "Nd", "element", False, "neodymium"), ("neodimio", "Nd", "element", False, "neodimio"), ("fe", "Fe", "element", False, "Fe")}
+
+
+def test_last_wins_and_same_number(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, None), ("a", 2, "y"), ("b", 1, "z")], "i string, seq int, v string")
+    assert sorted(map(tuple, src.last_wins(rows, "i", "seq").collect())) == [("a", 3, None), ("b", 1, "z")]
+    pairs = spark.createDataFrame([(1.0, 1.0), (1.0, 1.005), (None, None), (None, 1.0)], "a double, b double")
+    assert [r[0] for r in pairs.select(F.coalesce(tx.same_number(F.col("a"), F.col("b")), F.lit(False))).collect()] == [True, False, False, False]
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", "TREO of 9 ppm"), ("b", "nothing")], "doc_id string, abstract string").write.parquet(str(tmp_path / "in"))
 
