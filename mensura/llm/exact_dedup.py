@@ -14,11 +14,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when their bytes are (a null text counts as empty). ``keep`` says whether the
     smallest or the largest id of equal texts stays.
 
-    The texts are grouped by (128-bit hash, text): rows meet by the hash, and Spark's grouping
-    compares the texts' bytes, so two texts with one hash stay apart. Copies are combined before
-    the shuffle, so a text that a third of all rows hold moves once per task. Only groups of two
-    rows and more are joined back to the ids, by both hashes and without the text; that plain
-    equi-join is one whose hot keys adaptive execution splits.
+    First the 128-bit hashes are counted (16 bytes a row move, combined before the shuffle) and
+    those of two rows and more are stored. Only texts with such a hash are then grouped, by (hash,
+    text): rows meet by the hash, and Spark's grouping compares the texts' bytes, so two texts with
+    one hash stay apart. Copies are combined before that shuffle too, so a text that a third of
+    all rows hold moves once per task. The groups are joined back to the ids by both hashes and
+    without the text; where few hashes repeat, they are broadcast and no unique text ever moves,
+    and else both joins are plain equi-joins whose hot keys adaptive execution splits.
 
     Rows with a null id are grouped too: they count in group_size, are kept only if no row of
     their text has an id, and keep_id is null then. Repeated rows (same id and text) share one
@@ -30,8 +32,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
     hashed = rows.withColumn("_h", F.unhex(F.md5("_text")))
+    repeated = stored(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "repeated")
     groups = (
-        hashed.groupBy("_h", "_text")
+        hashed.join(repeated, "_h", "left_semi")
+        .groupBy("_h", "_text")
         .agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
         .select("_h", F.sha2("_text", 256).alias("_sha"), "keep_id", "group_size")

@@ -9,6 +9,7 @@ sample of labelled rows; the texts themselves never leave the executors.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,30 +28,73 @@ FEATURES = 1024
 #: Beginnings of words, in bytes, that are features besides the whole word.
 BEGINNINGS = (4, 5, 6)
 
-#: Terms of groups that are swapped for one another, by kind.
+#: Terms of groups that are swapped for one another, by kind, language and number.
 IDENTITY_TERMS: dict[str, tuple[str, ...]] = {
-    "religion": ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant"),
-    "origin": ("african", "american", "asian", "european", "mexican", "arab", "indian", "chinese", "german", "french", "spanish"),
-    "gender": ("woman", "man", "women", "men", "girl", "boy", "transgender", "nonbinary"),
-    "orientation": ("gay", "straight", "lesbian", "bisexual", "queer", "heterosexual"),
-    "ability": ("blind", "deaf", "disabled", "autistic", "sighted"),
-    "age": ("old", "young", "elderly", "teenage"),
-    "colour": ("black", "white", "brown"),
-}
+    "religion en": ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant", "jew", "sikh"),
+    "religions en": ("christians", "muslims", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants", "sikhs"),
+    "origin en": ("african", "american", "asian", "european", "mexican", "arab", "indian", "chinese", "german", "french", "spanish", "turkish", "polish", "russian", "immigrant", "refugee", "foreigner"),
+    "origins en": ("africans", "americans", "asians", "europeans", "mexicans", "arabs", "indians", "germans", "turks", "poles", "russians", "immigrants", "refugees", "foreigners"),
+    "gender en": ("woman", "man", "girl", "boy", "transgender", "nonbinary"),
+    "genders en": ("women", "men", "girls", "boys"),
+    "orientation en": ("gay", "straight", "lesbian", "bisexual", "queer", "heterosexual", "homosexual"),
+    "orientations en": ("gays", "lesbians", "bisexuals", "heterosexuals", "homosexuals"),
+    "ability en": ("blind", "deaf", "disabled", "autistic", "sighted"),
+    "age en": ("old", "young", "elderly", "teenage"),
+    "colour en": ("black", "white", "brown"),
+    "colours en": ("blacks", "whites", "browns"),
+    "religion de": ("christ", "muslim", "jude", "hindu", "buddhist", "atheist", "katholik", "protestant"),
+    "religions de": ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "katholiken", "protestanten"),
+    "religious de": ("christlich", "muslimisch", "jüdisch", "hinduistisch", "buddhistisch", "katholisch", "evangelisch"),
+    "origin de": ("afrikaner", "amerikaner", "asiate", "europäer", "mexikaner", "araber", "inder", "chinese", "franzose", "spanier", "türke", "pole", "russe", "ausländer", "flüchtling"),
+    "origins de": ("asiaten", "chinesen", "franzosen", "türken", "polen", "russen", "flüchtlinge", "migranten"),
+    "gender de": ("frau", "mann", "mädchen", "junge"),
+    "genders de": ("frauen", "männer", "jungen"),
+    "orientation de": ("schwul", "lesbisch", "bisexuell", "heterosexuell", "homosexuell"),
+    "ability de": ("blind", "taub", "behindert", "autistisch"),
+    "colours de": ("schwarze", "weiße"),
+    "religion fr": ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée", "catholique", "protestant"),
+    "religions fr": ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques", "protestants"),
+    "origin fr": ("africain", "américain", "asiatique", "européen", "mexicain", "arabe", "indien", "chinois", "allemand", "français", "espagnol", "turc", "polonais", "russe", "immigré", "réfugié", "étranger"),
+    "origins fr": ("africains", "américains", "asiatiques", "européens", "mexicains", "arabes", "indiens", "allemands", "espagnols", "turcs", "russes", "immigrés", "réfugiés", "étrangers"),
+    "gender fr": ("femme", "homme", "fille", "garçon"),
+    "genders fr": ("femmes", "hommes", "filles", "garçons"),
+    "orientation fr": ("gay", "lesbienne", "bisexuel", "hétérosexuel", "homosexuel"),
+    "ability fr": ("aveugle", "sourd", "handicapé", "autiste"),
+    "colour fr": ("noir", "blanc"),
+    "colours fr": ("noirs", "blancs"),
+    "religion es": ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo", "católico", "protestante"),
+    "religions es": ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos", "protestantes"),
+    "origin es": ("africano", "americano", "asiático", "europeo", "mexicano", "árabe", "indio", "chino", "alemán", "francés", "español", "turco", "polaco", "ruso", "inmigrante", "refugiado", "extranjero"),
+    "origins es": ("africanos", "americanos", "asiáticos", "europeos", "mexicanos", "árabes", "indios", "chinos", "alemanes", "franceses", "españoles", "turcos", "polacos", "rusos", "inmigrantes", "refugiados", "extranjeros"),
+    "gender es": ("mujer", "hombre", "niña", "niño"),
+    "genders es": ("mujeres", "hombres", "niñas", "niños"),
+    "orientation es": ("gay", "lesbiana", "bisexual", "heterosexual", "homosexual"),
+    "ability es": ("ciego", "sordo", "discapacitado", "autista"),
+    "colour es": ("negro", "blanco"),
+    "colours es": ("negros", "blancos"),
+}
+
+
+@functools.lru_cache(maxsize=16)
+def _swaps(lists: tuple[tuple[str, ...], ...], shift: int) -> tuple[dict[str, str], re.Pattern | None]:
+    """What each term becomes (a term of several lists by the first of them), and a pattern of all."""
+    to: dict[str, str] = {}
+    for own in lists:
+        for i, w in enumerate(own):
+            to.setdefault(w, own[(i + shift) % len(own)])
+    words = "|".join(sorted(map(re.escape, to), key=len, reverse=True))
+    return to, re.compile(rf"\b(?:{words})\b", re.IGNORECASE) if to else None
 
 
 def swapped(text: str, terms: dict[str, tuple[str, ...]], shift: int = 1) -> str:
-    """The text with every identity term replaced by the term ``shift`` places on in its kind."""
-    to = {w: own[(i + shift) % len(own)] for own in terms.values() for i, w in enumerate(own)}
-    if not to:
-        return text
-    pattern = re.compile(r"\b(" + "|".join(sorted(map(re.escape, to), key=len, reverse=True)) + r")\b", re.IGNORECASE)
+    """The text with every identity term replaced by the term ``shift`` places on in its list; number and language stay."""
+    to, pattern = _swaps(tuple(terms.values()), shift)
 
     def other(m: re.Match) -> str:
-        new = to[m[0].lower()]
+        new = to.get(m[0].lower(), m[0])
         return new.capitalize() if m[0][0].isupper() else new
 
-    return pattern.sub(other, text)
+    return pattern.sub(other, text) if pattern else text
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -142,11 +142,48 @@ def test_toxicity_learns_and_ignores_groups(spark):
     free = toxicity.train(sample, terms={})
     without = dict((r.doc_id, r.score) for r in toxicity.scored(docs(spark, odd), free).collect())
     assert abs(without[4] - without[5]) > abs(score[4] - score[5])
-    assert toxicity.swapped("A Muslim man", toxicity.IDENTITY_TERMS) == "A Jewish women"
+    assert toxicity.swapped("A Muslim man, Muslims and Frauen; la MUJER, les juifs", toxicity.IDENTITY_TERMS) == "A Jewish girl, Jews and Männer; la Hombre, les hindous"
+    assert toxicity.swapped("x", {}) == "x"
     nothing = toxicity.train(sample.limit(0))
     assert toxicity.scored(docs(spark, [(1, "x")]), nothing).first().score < 0.5 and toxicity.scored(docs(spark, []), model).count() == 0
 
 
+def test_toxicity_query_on_the_small_tables(spark):
+    """Columns, fold, the 0.5 rule and held-out accuracy of the query."""
+    d = "/root/testdata/sf0.1"
+    from mensura.llm import queries
+
+    labels = {r.doc_id: r.toxic for r in common.table(spark, d, "labels").collect()}
+    found = queries.op3_toxicity(spark, d)
+    assert dict(found.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    got = {r.doc_id: r for r in found.collect()}
+    assert set(got) == {r.doc_id for r in common.table(spark, d, "documents").select("doc_id").collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for i, r in got.items())
+    held = [(got[i].predicted, y) for i, y in labels.items() if i in got and got[i].held_out]
+    hit = sum(p and y for p, y in held)
+    assert hit > 0.9 * sum(y for _, y in held) and hit > 0.9 * sum(p for p, _ in held) and len(held) > 500
+
+
+def test_neutral_mentions_in_all_languages(spark):
+    """A model from labels that go with groups gives their neutral mention no more than others'."""
+    rng = random.Random(3)
+    plain = lambda: " ".join("".join(rng.choice("aeioubcd") for _ in range(5)) for _ in range(20))
+    pairs = [("muslims", "christians"), ("muslime", "katholiken"), ("musulmans", "catholiques"), ("musulmanes", "católicos")]
+    rows = []
+    for i in range(600):
+        bad = i % 3 == 0
+        one, other = pairs[i % 4]
+        rows.append((i, plain() + (" you nasty vermin" if bad else "") + (f" {one}" if bad or i % 20 == 1 else f" {other}" if i % 7 == 2 else "")))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    sample = common.labelled_texts(docs(spark, rows), labels, "toxic", 2000)
+    asked = [(10 * k + j, f"the {w} next door") for k, pair in enumerate(pairs) for j, w in enumerate(pair)]
+    gaps = {}
+    for name, terms in (("with", toxicity.IDENTITY_TERMS), ("without", {})):
+        score = {r.doc_id: r.score for r in toxicity.scored(docs(spark, asked), toxicity.train(sample, terms=terms)).collect()}
+        gaps[name] = [score[10 * k] - score[10 * k + 1] for k in range(4)]
+    assert all(abs(a) < 0.1 and abs(a) < abs(b) for a, b in zip(gaps["with"], gaps["without"]))
+
+
 def test_quality_on_the_small_tables(spark):
     d = "/root/testdata/sf0.01"
     from mensura.llm import queries
