@@ -29,8 +29,10 @@ CACHE_CHUNKS = 700_000
 SIDE_BY_SIDE = 1 << 14
 #: Unicode's White_Space characters (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: The split pattern of the byte-level vocabularies that came first (a fixed value).
+GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A run of other characters with one space before it, or white space up to such a run. Every
-#: match of a GPT-2 style pattern lies inside one of these, so chunks can be encoded one by one.
+#: match of that pattern lies inside one of these, so chunks can be encoded one by one.
 CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 _NONE = np.int64(1) << 60
@@ -211,15 +213,20 @@ def ranks_of(content: bytes) -> Ranks:
 class Encoder:
     """Texts to ids; chunks seen before are looked up.
 
-    ``join`` makes of a chunk's ids what is kept for it: the ids as decimal strings joined by one
-    space (``decimal``), or as little-endian 32-bit integers (``binary``).
+    With GPT2_PATTERN a text is cut in CHUNKS first, with any other pattern in its own matches.
+    What is kept for a chunk are its ids as decimal strings joined by one space (form ``decimal``),
+    or as little-endian 32-bit integers (``binary``).
     """
 
     def __init__(self, ranks: Ranks, pattern: str, form: str = "decimal"):
         self.ranks, self.pattern, self.decimal, self.seen = ranks, regex.compile(pattern), form == "decimal", {}
+        self.in_chunks = pattern == GPT2_PATTERN
+
+    def _cut(self, text: str) -> list[str]:
+        return CHUNKS.findall(text) if self.in_chunks else [m[0] for m in self.pattern.finditer(text)]
 
     def _learn(self, new: list[str]) -> None:
-        parts = {c: [p.encode() for p in self.pattern.findall(c)] for c in new}
+        parts = {c: [p.encode() for p in self.pattern.findall(c)] if self.in_chunks else [c.encode()] for c in new}
         ids = self.ranks.encode_pieces(list({p for own in parts.values() for p in own}))
         if self.decimal:
             written = {p: " ".join(map(str, x)) for p, x in ids.items()}
@@ -229,7 +236,7 @@ class Encoder:
             self.seen.update({c: b"".join([kept[p] for p in own]) for c, own in parts.items()})
 
     def encode(self, texts: list[str]) -> Iterator[str | bytes]:
-        cut = [CHUNKS.findall(t) for t in texts]
+        cut = [self._cut(t) for t in texts]
         if len(self.seen) > CACHE_CHUNKS:
             self.seen = {}
         new = set()
@@ -261,8 +268,8 @@ def read_ranks(path: str) -> bytes:
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ids (array of int, in text order) and n_tokens.
 
-    Whole texts, no special tokens; a null or empty text has no ids. Every row is encoded on its
-    own, so ties, repeated rows and null ids are carried through. Other columns aren't read.
+    Whole texts, no special tokens; a null or empty text has no ids, and what the pattern doesn't
+    match is dropped, as the tiktoken library does. Every row is encoded on its own, so ties, repeated rows and null ids are carried through. Other columns aren't read.
     """
     content = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 

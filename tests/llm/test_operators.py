@@ -84,6 +84,16 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.encoded(docs(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("pattern", [r"\p{N}{1,3}|[^\r\n\p{L}\p{N}]?\p{L}+|\s*[\r\n]+|\s+(?!\S)|\s+|.", r"(?s).{1,7}", r"\p{L}+(?: \p{L}+)*"])
+def test_bpe_with_other_patterns(pattern):
+    """Matches that span white space, or leave text out, are encoded as tiktoken does."""
+    content = bpe.read_ranks(RANKS)
+    plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks_of(content).id_of, special_tokens={})
+    texts = ["Hello world  again\n\nand 12345 ñé", "", "a b\tc\r\n  d", "The end. The end. x" * 9]
+    got = [np.frombuffer(x, "<i4").tolist() for x in bpe.encoder_for(content, pattern, "binary").encode(texts)]
+    assert got == [plain.encode_ordinary(t) for t in texts] and public_tokenizers.PATTERN == bpe.GPT2_PATTERN
+
+
 @settings(max_examples=60, deadline=None)
 @given(hs.text("abcé \n", max_size=90))
 def test_long_and_side_by_side_trees_agree(text):
