@@ -67,11 +67,11 @@ def _score() -> Column:
 
 
 def _chosen(candidates: Column) -> Column:
-    """The greedy one-to-one choice among a document's sorted candidates (k, i, j), as an array of (i, j)."""
-    none = F.array().cast("array<struct<i: bigint, j: bigint>>")
-    pair = lambda c: F.struct(c["i"].cast("bigint").alias("i"), c["j"].cast("bigint").alias("j"))
+    """The greedy one-to-one choice among a document's sorted candidates (structs with i and j)."""
+    alone = lambda side: F.size(F.array_distinct(F.transform(candidates, lambda c: c[side]))) == F.size(candidates)
     taken = lambda acc, c: F.exists(acc, lambda a: (a["i"] == c["i"]) | (a["j"] == c["j"]))
-    return F.aggregate(candidates, none, lambda acc, c: F.when(taken(acc, c), acc).otherwise(F.concat(acc, F.array(pair(c)))))
+    greedy = F.aggregate(candidates, F.slice(candidates, 1, 0), lambda acc, c: F.when(taken(acc, c), acc).otherwise(F.concat(acc, F.array(c))))
+    return F.when(alone("i") & alone("j"), candidates).otherwise(greedy)
 
 
 def matched_pairs(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY, blocked: bool = False) -> DataFrame:
@@ -84,16 +84,15 @@ def matched_pairs(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY, bl
     pairs = candidate_pairs(gold, pred, by, blocked)
     fields = [c for c in pairs.columns if c not in (*by, "doc_id")]
     row = F.struct((-_score()).alias("k"), F.col("g_ord").alias("i"), F.col("p_ord").alias("j"), F.struct(*fields).alias("row"))
-    lists = pairs.groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list(row)).alias("l")).withColumn("chosen", _chosen(F.col("l")))
-    kept = F.filter("l", lambda c: F.exists("chosen", lambda a: (a["i"] == c["i"]) & (a["j"] == c["j"])))
-    return lists.select(*by, "doc_id", F.explode(kept).alias("c")).select(*by, "doc_id", "c.row.*")
+    lists = pairs.groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list(row)).alias("l"))
+    return lists.select(*by, "doc_id", F.explode(_chosen(F.col("l"))).alias("c")).select(*by, "doc_id", "c.row.*")
 
 
 def align(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY, blocked: bool = False) -> DataFrame:
     """The pairs' places alone: by, doc_id, g_ord and p_ord."""
     scored = candidate_pairs(gold, pred, by, blocked).select(*by, "doc_id", F.struct((-_score()).alias("k"), F.col("g_ord").alias("i"), F.col("p_ord").alias("j")).alias("c"))
     lists = scored.groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list("c")).alias("l"))
-    return lists.select(*by, "doc_id", F.explode(_chosen(F.col("l"))).alias("c")).select(*by, "doc_id", F.col("c.i").alias("g_ord"), F.col("c.j").alias("p_ord"))
+    return lists.select(*by, "doc_id", F.explode(_chosen(F.col("l"))).alias("c")).select(*by, "doc_id", F.col("c.i").cast("bigint").alias("g_ord"), F.col("c.j").cast("bigint").alias("p_ord"))
 
 
 def aligned_fields(pairs: DataFrame, gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
