@@ -8,9 +8,12 @@ and their members compared one by one.
 At scale the matrix is never laid out. How many documents hold a token is counted first: a
 document in which too few tokens occur elsewhere has no partner, and the least frequent tokens of
 the others (prefixes of a global order by count and hash) lead to the groups that can match.
-Documents are first linked to one leader for each of a few MinHash keys, so that a group of copies
-of any size costs a comparison per copy and key; a query then passes over groups that are wholly
-of its own component. All links between different components are found, so components are exact.
+
+Groups are made twice. First those of documents with one MinHash key, in parts of bounded size: each
+is asked by one query, the key's leader, so that a class of copies of any size costs a pass over its
+groups. Then the documents that can still have a partner in another component are grouped anew, and
+all queries of a group ask every group that shares a prefix token and isn't wholly of their own
+component. All links between different components are found, so components are exact.
 """
 
 from __future__ import annotations
@@ -19,14 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mensura.llm.common import chunked, components, counts_in_order, give_back, hash_counts, known, mix, ordered_hashes, shingle_sets, stored
 
 PERCENT = 75
 LEADER_KEYS = 3
+#: Members of a group, and tokens of all its members together, about; a longer document is alone.
 GROUP_SIZE = 64
+GROUP_TOKENS = 1 << 20
 #: Groups of one token that meet all others in one task.
 TOKEN_GROUPS = 256
 _U = np.uint64
@@ -37,18 +42,31 @@ def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(own) if own else np.zeros(0, _U)), np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int64)
 
 
-def similar(common: int, a: int, b: int, percent: int) -> bool:
-    return 100 * common >= percent * (a + b - common)
+def parts() -> Column:
+    """Into how many groups the rows of a key go, by their number and by their tokens (an aggregate)."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_SIZE), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts")
+
 
+def united(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A group's matrix: the union of its members' tokens, and for each member in turn the columns
+    of its own tokens, with their bounds (members + 1)."""
+    own = [np.frombuffer(t, _U) for t in sets]
+    union, places = np.unique(np.concatenate(own), return_inverse=True)
+    return union, places.astype(np.int32), np.cumsum([0, *map(len, own)])
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int((b[at] == a).sum())
+
+def opened_by(query: np.ndarray, n: int, columns: int, ns: np.ndarray, places: np.ndarray, cuts: np.ndarray, percent: int) -> np.ndarray:
+    """Members that a query of ``n`` tokens links with; ``query`` holds those in the group's union, as columns.
+
+    If they are too few for any link the group stays closed. Else one pass over the matrix sums up
+    the query's columns for all members.
+    """
+    if 100 * len(query) < percent * n:
+        return np.zeros(0, np.int64)
+    asked = np.zeros(columns, bool)
+    asked[query] = True
+    overlap = np.add.reduceat(asked[places], cuts[:-1], dtype=np.int64)
+    return np.flatnonzero(100 * overlap >= percent * (n + ns - overlap))
 
 
 def token_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -88,28 +106,37 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Dat
 
 
 def _leader_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links from each document to the leader of each of its MinHash keys.
+    """Links that the leaders of MinHash keys have with the members of their keys' groups.
 
     The leader is the document with the fewest shingles of its own, then the least id: of a text and
-    its edited copies it is the text, to which they are closer than to one another.
+    its edited copies it is the text, to which they are closer than to one another. It goes along in
+    each group of its key as the query, and is no member there.
     """
-    keyed = sets.select("id", (F.col("n") - F.octet_length("tokens") / 8).alias("own"), F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min(F.struct("own", "id")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", F.col("first.id").alias("leader"))
+    keyed = sets.select("id", "n", (F.col("n") - F.octet_length("tokens") / 8).alias("own"), F.explode("keys").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min(F.struct("own", "id")).alias("first"), F.count(F.lit(1)).alias("many"), parts()).where("many > 1").select("key", F.col("first.id").alias("leader"), "parts")
     # stored, so that the join's sides are a scan or plain shuffles: small ones are broadcast, hot keys split
     leaders = stored(leaders, "leaders")
-    pairs = keyed.select("id", "key").join(leaders, "key").where("id <> leader").select("id", "leader").distinct()
-    left = sets.select("id", F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("id").alias("leader"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "id").join(right, "leader").select("id", "leader", "na", "nb", "ta", "tb")
+    pairs = keyed.select("id", "key").join(leaders, "key").where("id <> leader").groupBy("id", "leader").agg(F.max("parts").alias("parts"))
+    part = F.xxhash64("leader", "parts", F.pmod(F.xxhash64("id"), F.col("parts")))
+    member = pairs.select("id", "leader", part.alias("group"))
+    placed = stored(member.select("id", "group", F.lit(False).alias("asks")).union(member.select("leader", "group", F.lit(True)).distinct()), "placed")
+    groups = placed.join(sets.select("id", "n", "tokens"), "id").groupBy("group").agg(F.collect_list(F.struct("asks", "id", "n", "tokens")).alias("rows")).select("rows")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = [x.to_pylist() for x in batch.columns]
-            on = [similar(_overlap(np.frombuffer(a, _U), np.frombuffer(b, _U)), m, n, percent) for m, n, a, b in zip(*c[2:])]
-            keep = pa.array(np.flatnonzero(on))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+            a, b = [], []
+            for rows in batch.column(0):
+                rows = rows.as_py()
+                queries, members = [r for r in rows if r["asks"]], [r for r in rows if not r["asks"]]
+                union, places, cuts = united([r["tokens"] for r in members])
+                ns = np.array([r["n"] for r in members])
+                for q in queries:
+                    own = np.searchsorted(union, np.intersect1d(union, np.frombuffer(q["tokens"], _U), True))
+                    for i in opened_by(own, q["n"], len(union), ns, places, cuts, percent).tolist():
+                        a.append(members[i]["id"]), b.append(q["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return both.mapInArrow(verify, "a bigint, b bigint")
+    return groups.mapInArrow(ask, "a bigint, b bigint")
 
 
 def _group_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -128,9 +155,9 @@ def _group_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     band = F.floor(F.log("n") / np.log(100 / percent))  # two that link are at most one band apart
     whole = F.struct(band, F.when(F.col("many") > 1, F.col("component")), F.when(F.col("many") <= 1, F.col("keys")[0]))
     taking = rows.join(active, "id").select("id", "n", "tokens", "component", F.xxhash64(whole).alias("kind"))
-    kinds = stored(taking.groupBy("kind").agg(F.count(F.lit(1)).alias("size")), "kinds")
+    kinds = stored(taking.groupBy("kind").agg(parts()), "kinds")
     grouped = stored(
-        taking.join(kinds, "kind").select("id", "n", "tokens", "component", F.xxhash64("kind", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / GROUP_SIZE))).alias("group")), "groups"
+        taking.join(kinds, "kind").select("id", "n", "tokens", "component", F.xxhash64("kind", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("group")), "groups"
     )
     placed_met = met.join(grouped.select("id", "group", "n").distinct(), "id")
     of_token = stored(placed_met.groupBy("token", "group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
@@ -144,12 +171,10 @@ def _group_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     opened = ask.join(asked_of, ["token", "part"]).where(apart & sized).select("q_group", "group").distinct()
 
     def unite(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(t, _U) for t in table.column("tokens").to_pylist()]
-        union, places = np.unique(np.concatenate(sets), return_inverse=True)
-        cuts = np.cumsum([0, *map(len, sets)]).tolist()
+        union, places, cuts = united(table.column("tokens").to_pylist())
         one = lambda v, t: pa.array([v], t)
         ints = pa.list_(pa.int64())
-        return pa.table({"group": one(table.column("group")[0].as_py(), pa.int64()), "ids": one(table.column("id").to_pylist(), ints), "ns": one(table.column("n").to_pylist(), ints), "components": one(table.column("component").to_pylist(), ints), "cuts": one(cuts, ints), "places": one(places.astype(np.int32).tobytes(), pa.binary()), "union": one(union.tobytes(), pa.binary())})
+        return pa.table({"group": one(table.column("group")[0].as_py(), pa.int64()), "ids": one(table.column("id").to_pylist(), ints), "ns": one(table.column("n").to_pylist(), ints), "components": one(table.column("component").to_pylist(), ints), "cuts": one(cuts.tolist(), ints), "places": one(places.tobytes(), pa.binary()), "union": one(union.tobytes(), pa.binary())})
 
     columns = ("ids", "ns", "components", "cuts", "places", "union")
     matrix = stored(grouped.groupBy("group").applyInArrow(unite, "group bigint, ids array<bigint>, ns array<bigint>, components array<bigint>, cuts array<bigint>, places binary, union binary"), "groups")
@@ -170,25 +195,19 @@ def _group_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def _compare(q_ids, q_ns, q_comps, q_cuts, q_places, q_union, ids, ns, comps, cuts, places, union, percent) -> Iterator[tuple[int, int]]:  # noqa: ANN001
     """Links between the members of two groups that lie in different components, greater component first.
 
-    The second group is a matrix of members by the tokens of its union. A query is first bounded by
-    its overlap with the union; if that will do, one sum over the matrix's columns of its tokens
-    gives its overlaps with all members.
+    The second group is a matrix of members by the tokens of its union; each member of the first
+    one asks it.
     """
     union, q_union = np.frombuffer(union, _U), np.frombuffer(q_union, _U)
     column = np.minimum(np.searchsorted(union, q_union), len(union) - 1)
     common = union[column] == q_union
-    ns, comps, ids = np.array(ns), np.array(comps), np.array(ids)
-    rows = np.zeros((len(ids), len(union)), np.uint8)
-    rows[np.repeat(np.arange(len(ids)), np.diff(cuts)), np.frombuffer(places, np.int32)] = 1
-    q_places = np.frombuffer(q_places, np.int32)
+    ns, comps, cuts = np.array(ns), np.array(comps), np.array(cuts)
+    places, q_places = np.frombuffer(places, np.int32), np.frombuffer(q_places, np.int32)
     for k, (q, n, c) in enumerate(zip(q_ids, q_ns, q_comps)):
         own = q_places[q_cuts[k] : q_cuts[k + 1]]
-        own = column[own[common[own]]]
-        if 100 * len(own) < percent * n:
-            continue
-        overlap = rows[:, own].sum(1, dtype=np.int64)
-        for i in np.flatnonzero((comps != c) & (100 * overlap >= percent * (n + ns - overlap))).tolist():
-            yield (q, int(ids[i])) if c > comps[i] else (int(ids[i]), q)
+        found = opened_by(column[own[common[own]]], n, len(union), ns, places, cuts, percent)
+        for i in found[comps[found] != c].tolist():
+            yield (q, ids[i]) if c > comps[i] else (ids[i], q)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

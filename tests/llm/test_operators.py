@@ -417,6 +417,36 @@ def test_jaccard_join_finds_links_without_leaders(spark, monkeypatch):
     assert {(max(x), min(x)) for x in links} == {(a, b) for a in sets for b in sets if a > b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
 
 
+def test_jaccard_join_leaders_ask_bounded_groups(spark, monkeypatch):
+    """A hot key goes in many small groups, by members or by tokens; each leader meets all of them."""
+    rows = near_corpus(6) + [(1000 + i, f"a b c d e f g h i j k l m n o p q r s t u v w x y z end{i}") for i in range(60)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    able = common.stored(jaccard_join.token_sets(docs(spark, rows), "doc_id", "text", 75), "t").where("tokens IS NOT NULL")
+    found = []
+    for name, bound in (("GROUP_SIZE", 64), ("GROUP_SIZE", 4), ("GROUP_TOKENS", 50)):
+        with monkeypatch.context() as patch:
+            patch.setattr(jaccard_join, name, bound)
+            found.append({(r.a, r.b) for r in jaccard_join._leader_links(able, 75).collect()})
+    assert found[0] == found[1] == found[2] and len({b for a, b in found[0] if a >= 1000 and b >= 1000}) <= jaccard_join.LEADER_KEYS
+    assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in found[0])
+    assert {1000 + i for i in range(60)} <= {x for pair in found[0] for x in pair}
+
+
+def test_jaccard_group_opens_by_its_union():
+    """What a query finds in a group equals plain set arithmetic; a group it can't match stays closed."""
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        base = rng.integers(0, 60, 40).astype(np.uint64)
+        members = [np.unique(np.concatenate([base[rng.random(40) < 0.9], rng.integers(0, 90, 3).astype(np.uint64)])) for _ in range(9)]
+        query = np.unique(np.concatenate([base, rng.integers(0, 90, 3).astype(np.uint64)]))
+        union, places, cuts = jaccard_join.united([m.tobytes() for m in members])
+        assert [union[places[a:b]].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [m.tolist() for m in members]
+        own = np.searchsorted(union, np.intersect1d(union, query))
+        got = jaccard_join.opened_by(own, len(query), len(union), np.array([len(m) for m in members]), places, cuts, 75).tolist()
+        assert got == [i for i, m in enumerate(members) if 100 * len(np.intersect1d(m, query)) >= 75 * len(np.union1d(m, query))]
+        assert not len(jaccard_join.opened_by(own, 2 * len(union), len(union), np.array([len(m) for m in members]), places, cuts, 75))
+
+
 def test_jaccard_join_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, None)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs(spark, rows)).collect()), key=str)
