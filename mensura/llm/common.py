@@ -477,16 +477,17 @@ def counts_in_order(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(zlib.decompress(c) for _, c in rows), np.uint8)
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the edges (columns a and b): the least id it reaches.
 
     Each round every node takes the least label among its neighbours' and its own, and then its
     label's label, so distances halve; a round is a join and a grouping by node, and ends in the
-    shared folder. Nothing but the number of changed labels comes to the driver.
+    shared folder. Labels only ever fall, so the rounds end by themselves, however long the chains.
+    Nothing but whether a label changed comes to the driver.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(most):
+    while True:
         near = both.join(labels, both.b == labels.id).select(F.col("a").alias("id"), "component")
         # stored, so that the next join's sides both come from a shuffle and a hot label can be split
         least = stored(labels.union(near).groupBy("id").agg(F.min("component").alias("component")), "least")
@@ -497,4 +498,3 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if not new.join(old, "id").where("component <> before").limit(1).count():
             return new
         labels = new
-    raise RuntimeError(f"components have not settled after {most} rounds")
