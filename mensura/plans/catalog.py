@@ -218,8 +218,8 @@ def q_divergence_kinds(s, d):
     return _divergences(s, d).groupBy("arm", "kind", "field").agg(F.count(F.lit(1)).alias("n"))
 
 
-_STRICT_G = f"SELECT doc_id, ord, CAST(value AS STRING) AS value, CAST(value_max AS STRING) AS value_max, is_range, metric_type, entity_type FROM ({GOLD}) g WHERE doc_id % 3 <> 0"
-_STRICT_P = f"SELECT doc_id, ord, concat('~', CAST(value AS STRING), ' ppm') AS value, CAST(value_max AS STRING) AS value_max, is_range, metric_type, entity_type FROM ({PRED}) q WHERE arm = 'base' AND seed = 0 AND doc_id % 5 <> 0"
+_STRICT_G = f"SELECT doc_id, ord, CAST(value AS STRING) AS value, CAST(value_max AS STRING) AS value_max, is_range, metric_type, entity_type FROM ({GOLD}) g"
+_STRICT_P = f"SELECT doc_id, ord, concat('~', CAST(value AS STRING), ' ppm') AS value, CAST(value_max AS STRING) AS value_max, is_range, metric_type, entity_type FROM ({PRED}) q WHERE arm = 'base' AND seed = 0"
 _STRICT_OF = """
     WITH g AS (SELECT *, TRY_CAST(value AS DOUBLE) AS a, CASE WHEN is_range THEN TRY_CAST(value_max AS DOUBLE) END AS b FROM ({0})), p AS (SELECT *, TRY_CAST(regexp_extract(value, '[-+]?[0-9][0-9,.]*') AS DOUBLE) AS a, CASE WHEN is_range THEN TRY_CAST(value_max AS DOUBLE) END AS b FROM ({1})),
     x AS (SELECT g.metric_type AS gm, p.metric_type AS pm, g.entity_type AS ge, p.entity_type AS pe, g.ord AS g, p.ord AS p
@@ -228,13 +228,11 @@ _STRICT_OF = """
     t AS (SELECT count(*) FILTER (WHERE g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (WHERE g IS NULL) AS fp, count(*) FILTER (WHERE p IS NULL) AS fn, count(*) FILTER (WHERE gm = pm) AS m, count(*) FILTER (WHERE ge = pe) AS e FROM x)
 """
 _STRICT = _STRICT_OF.format(_STRICT_G, _STRICT_P)
-#: The same over all ids; one-sided rows are those that PRED drops or invents.
-_STRICT_ALL_G, _STRICT_ALL_P = _STRICT_G.removesuffix(" WHERE doc_id % 3 <> 0"), _STRICT_P.removesuffix(" AND doc_id % 5 <> 0")
-_STRICT_ALL = _STRICT_OF.format(_STRICT_ALL_G, _STRICT_ALL_P)
 
 
 @query(_STRICT + "SELECT tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round(m / tp, 4) AS metric_accuracy, round(e / tp, 4) AS entity_accuracy FROM t")
 def q_strict_eval(s, d):
+    """The strict evaluation over all documents; one-sided rows are those that PRED drops or invents."""
     return ev.strict_eval(sql(s, d, _STRICT_G), sql(s, d, _STRICT_P))
 
 
@@ -243,17 +241,6 @@ def q_strict_errors(s, d):
     return ev.strict_errors(sql(s, d, _STRICT_G), sql(s, d, _STRICT_P)).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_STRICT_ALL + "SELECT tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round(m / tp, 4) AS metric_accuracy, round(e / tp, 4) AS entity_accuracy FROM t")
-def q_strict_eval_all(s, d):
-    """The strict evaluation over all ids."""
-    return ev.strict_eval(sql(s, d, _STRICT_ALL_G), sql(s, d, _STRICT_ALL_P))
-
-
-@query(_STRICT_ALL + "SELECT CASE WHEN g IS NULL THEN 'false_positive' WHEN p IS NULL THEN 'false_negative' ELSE 'misclassified' END AS error_type, count(*) AS n FROM x WHERE g IS NULL OR p IS NULL OR gm <> pm OR ge <> pe GROUP BY 1")
-def q_strict_errors_all(s, d):
-    return ev.strict_errors(sql(s, d, _STRICT_ALL_G), sql(s, d, _STRICT_ALL_P)).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _critique(s: SparkSession, d: str) -> DataFrame:
     gold, pred = _gold(s, d), _pred(s, d)
     pairs = ev.matched_pairs(gold, pred)
@@ -305,15 +292,6 @@ def q_lookup_texts(s, d):
 # ---- works and text ------------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'))) AS digest FROM documents WHERE text IS NOT NULL")
-def q_rebuild_abstract(s, d):
-    """Inverted indexes of all documents, and their texts rebuilt."""
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    docs = s.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").select("doc_id", F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))).alias("p"))
-    index = docs.select("doc_id", F.explode_outer("p").alias("x")).groupBy("doc_id", "x.w").agg(F.collect_list("x.i").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "at")))).alias("index"))
-    return index.select("doc_id", F.md5(tx.rebuild_abstract(F.col("index"))).alias("digest"))
-
-
 def _indexed(docs: DataFrame) -> DataFrame:
     """The inverted index of every document; that of a null text is empty."""
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -325,25 +303,20 @@ _WORDS = r"coalesce(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')), ''
 
 
 @query(f"SELECT doc_id, md5({_WORDS}) AS digest FROM documents")
-def q_rebuild_abstract_all(s, d):
-    """The rebuilt texts with null ones, which are empty."""
+def q_rebuild_abstract(s, d):
+    """Inverted indexes of all documents, and their texts rebuilt; those of null texts are empty."""
     return _indexed(s.read.parquet(f"{d}/documents.parquet")).select("doc_id", F.md5(tx.rebuild_abstract(F.col("index"))).alias("digest"))
 
 
 _OK = "abstract <> '' AND NOT regexp_matches(rtrim(abstract), '(\\.\\.\\.|…)$') AND NOT contains(lower(abstract), 'google scholar') AND len(regexp_extract_all(abstract, '(?:[A-Z]\\.\\s?){1,3}[A-Za-z\\-]+;')) < 4"
 
 
-@query(f"SELECT doc_id, CAST({_OK} AS INT) AS kept FROM ({ABSTRACTS}) WHERE abstract IS NOT NULL")
-def q_clean_abstract(s, d):
-    return sql(s, d, ABSTRACTS).where("abstract IS NOT NULL").select("doc_id", (wk.clean_abstract(F.col("abstract")) != "").cast("int").alias("kept"))
-
-
 #: Abstracts with those of null texts null: DuckDB's concat skips nulls.
 _NULLABLE = f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN abstract END AS abstract FROM ({ABSTRACTS.replace('FROM documents', ', text FROM documents')}) n"
 
 
 @query(f"SELECT doc_id, CAST(coalesce({_OK}, false) AS INT) AS kept FROM ({_NULLABLE})")
-def q_clean_abstract_all(s, d):
+def q_clean_abstract(s, d):
     return sql(s, d, _NULLABLE).select("doc_id", (wk.clean_abstract(F.col("abstract")) != "").cast("int").alias("kept"))
 
 
@@ -417,14 +390,8 @@ def q_resolve_entities(s, d):
     return found.groupBy(F.col("target_entity").alias("e"), "ent_canon", "ent_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT doc_id, CAST(doc_id % 10 IN (0, 1, 2) AS INT) AS has FROM ({ABSTRACTS}) WHERE abstract IS NOT NULL")
-def q_has_term(s, d):
-    pattern = lx.term_pattern([t for t in lx.default_terms() if t[1] in ("REE", "TREO")])
-    return sql(s, d, ABSTRACTS).where("abstract IS NOT NULL").select("doc_id", lx.has_term(F.col("abstract"), pattern).cast("int").alias("has"))
-
-
 @query(f"SELECT doc_id, CAST(doc_id % 10 IN (0, 1, 2) AND abstract IS NOT NULL AS INT) AS has FROM ({_NULLABLE})")
-def q_has_term_all(s, d):
+def q_has_term(s, d):
     pattern = lx.term_pattern([t for t in lx.default_terms() if t[1] in ("REE", "TREO")])
     return sql(s, d, _NULLABLE).select("doc_id", lx.has_term(F.col("abstract"), pattern).cast("int").alias("has"))
 
@@ -647,31 +614,20 @@ def q_stream_usage(s, d):
 
 # ---- further operators ---------------------------------------------------------------------
 
-_ROUNDS = tuple(f"SELECT doc_id, ord, value, value_max, is_range, unit, sentence, metric_type, target_entity, entity_type, context_modifier FROM ({PRED}) z WHERE arm = '{a}' AND seed = 0 AND doc_id % {m} <> 0" for a, m in (("base", 3), ("tuned", 4)))
+_ROUNDS = tuple(f"SELECT doc_id, ord, value, value_max, is_range, unit, sentence, metric_type, target_entity, entity_type, context_modifier FROM ({PRED}) z WHERE arm = '{a}' AND seed = 0" for a in ("base", "tuned"))
 
 
-def _agreement(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    first, second = (ev.prepared(sql(s, d, r)) for r in _ROUNDS)
-    docs = [sql(s, d, f"SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey % {m} <> 0") for m in (3, 4)]
-    return ag.agreement(docs[0], first, docs[1], second)
+_ROUND_CTE = _ALIGNED.replace(f"({PRED})", "@second").replace(f"({GOLD})", f"({_ROUNDS[0]})").replace("@second", f"(SELECT 'second' AS arm, 0 AS seed, y.* FROM ({_ROUNDS[1]}) y)")
 
 
-_ROUNDS_ALL = tuple(r.rsplit(" AND ", 1)[0] for r in _ROUNDS)
-_ROUND_ALL_CTE = _ALIGNED.replace(f"({PRED})", "@second").replace(f"({GOLD})", f"({_ROUNDS_ALL[0]})").replace("@second", f"(SELECT 'second' AS arm, 0 AS seed, y.* FROM ({_ROUNDS_ALL[1]}) y)")
-
-
-def _agreement_all(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    first, second = (ev.prepared(sql(s, d, r)) for r in _ROUNDS_ALL)
+def _agreement(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    first, second = (ev.prepared(sql(s, d, r)) for r in _ROUNDS)
     return ag.agreement(_docs(s, d), first, _docs(s, d), second)
 
 
-_SECOND = f"(SELECT 'second' AS arm, 0 AS seed, y.* FROM ({_ROUNDS[1]} AND doc_id % 3 <> 0) y)"
-_ROUND_CTE = _ALIGNED.replace(f"({PRED})", "@second").replace(f"({GOLD})", f"({_ROUNDS[0]} AND doc_id % 4 <> 0)").replace("@second", _SECOND)
-
-
 @query(f"{_ROUND_CTE} SELECT field, hits, total, round(CAST(hits AS DOUBLE) / total, 6) AS accuracy FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (WHERE {x}) AS hits, count(*) AS total FROM m" for f, x in _EQUAL.items()) + ")")
 def q_agreement_fields(s, d):
-    """Agreement per field of two annotation rounds over their common documents."""
+    """Agreement per field of two annotation rounds over all documents."""
     return _rounded(_agreement(s, d)["fields"].drop("round"))
 
 
@@ -687,17 +643,6 @@ def q_agreement_kappa(s, d):
     return _rounded(_agreement(s, d)["kappa"])
 
 
-@query(f"{_ROUND_ALL_CTE} SELECT field, hits, total, round(CAST(hits AS DOUBLE) / total, 6) AS accuracy FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (WHERE {x}) AS hits, count(*) AS total FROM m" for f, x in _EQUAL.items()) + ")")
-def q_agreement_fields_all(s, d):
-    """Agreement per field of the two rounds over all documents."""
-    return _rounded(_agreement_all(s, d)["fields"].drop("round"))
-
-
-@query(f"{_ROUND_ALL_CTE} SELECT field, n, round(po, 6) AS po, round(pe, 6) AS pe, round(kappa, 6) AS kappa FROM ({_KAPPA_SQL})")
-def q_agreement_kappa_all(s, d):
-    return _rounded(_agreement_all(s, d)["kappa"])
-
-
 @query(f"{_ALIGNED} SELECT arm, {', '.join(f'{c}' for c in ev.COUNTS)}, {_RATES} FROM (SELECT arm, {_SUMS} FROM c GROUP BY arm)")
 def q_arm_summary(s, d):
     """Each arm's counts and rates pooled over its seeds."""
@@ -766,7 +711,7 @@ def q_arm_report(s, d):
 @query()
 def q_report_intervals(s, d):
     """Both reports' intervals, and the annotators' rates beside the arms'; a test compares them with plain Python."""
-    report = st.arm_summary(_counts(s, d), _matched(s, d), _agreement_all(s, d)["counts"])
+    report = st.arm_summary(_counts(s, d), _matched(s, d), _agreement(s, d)["counts"])
     return ev.report_rows({k: report[k] for k in ("pooled", "det_ci", "tup_ci")})
 
 
@@ -831,14 +776,8 @@ def q_exclude_gold(s, d):
     return bt.exclude_gold(s.read.parquet(f"{d}/documents.parquet").select("doc_id"), s.read.parquet(f"{d}/labels.parquet"))
 
 
-@query("SELECT conv_id, turn, CAST(trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND turn % 3 <> 0 AS INT) AS usable FROM conversations WHERE text IS NOT NULL")
-def q_usable_reply(s, d):
-    rows = sql(s, d, "SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 'length' WHEN 1 THEN 'stop' END AS reason FROM conversations WHERE text IS NOT NULL")
-    return rows.select("conv_id", "turn", rp.usable_reply(F.col("text"), F.col("reason")).cast("int").alias("usable"))
-
-
 @query("SELECT conv_id, turn, CAST(coalesce(trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '', false) AND turn % 3 <> 0 AS INT) AS usable FROM conversations")
-def q_usable_reply_all(s, d):
+def q_usable_reply(s, d):
     rows = sql(s, d, "SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 'length' WHEN 1 THEN 'stop' END AS reason FROM conversations")
     return rows.select("conv_id", "turn", rp.usable_reply(F.col("text"), F.col("reason")).cast("int").alias("usable"))
 
@@ -851,12 +790,6 @@ _WORKS = """
 """
 
 
-@query("SELECT CAST(doc_id AS STRING) AS id_openalex, CASE WHEN doc_id % 3 = 0 THEN 'Shown' ELSE concat('Title ', doc_id) END AS titulo, concat('A, ', source) AS autores, 'J' AS revista, 'one two one' AS abstract, lang AS palavras_chave_openalex FROM documents WHERE doc_id % 2 = 0 AND lang IS NOT NULL AND source IS NOT NULL")
-def q_flatten_works(s, d):
-    works = wk.open_access_only(sql(s, d, _WORKS + " WHERE lang IS NOT NULL AND source IS NOT NULL"))
-    return wk.require_abstract(wk.flatten_works(works)).select("id_openalex", "titulo", "autores", "revista", "abstract", "palavras_chave_openalex")
-
-
 _NO_JUNK = " AND ".join(f"NOT contains(lower(abstract), '{m}')" for m in wk.JUNK)
 
 
@@ -864,7 +797,7 @@ _NO_JUNK = " AND ".join(f"NOT contains(lower(abstract), '{m}')" for m in wk.JUNK
     f"SELECT * FROM (SELECT CAST(doc_id AS STRING) AS id_openalex, CASE WHEN doc_id % 3 = 0 THEN 'Shown' ELSE concat('Title ', doc_id) END AS titulo, concat('A, ', coalesce(source, '')) AS autores, 'J' AS revista, {_WORDS} AS abstract, coalesce(lang, '') AS palavras_chave_openalex "
     f"FROM documents WHERE doc_id % 2 = 0) WHERE {_OK} AND {_NO_JUNK}"
 )
-def q_flatten_works_all(s, d):
+def q_flatten_works(s, d):
     """Works with the inverted indexes of the documents' own texts and with null authors and keywords."""
     docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source")
     docs.drop("text").join(_indexed(docs), "doc_id").createOrReplaceTempView("indexed_works")
