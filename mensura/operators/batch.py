@@ -107,7 +107,11 @@ def compact_log(log: DataFrame, key: str = "i", order: str = "seq", error_col: s
 
 
 def consecutive_failures(events: DataFrame, order: str, failed: Column, limit: int = 5, by: list[str] = ()) -> DataFrame:
-    """Adds run_length (failures in a row up to here) and abort (the limit is reached)."""
+    """Adds run_length (failures in a row up to here) and abort (the limit is reached).
+
+    ``by`` names the columns of a run. Without it all events are one run, which one task puts in
+    order: meant for a single run's log, not for a table of many.
+    """
     w = Window.partitionBy(*by).orderBy(order)
     island = events.withColumn("_f", failed.cast("int")).withColumn("_g", F.sum(F.lit(1) - F.col("_f")).over(w))
     inside = Window.partitionBy(*by, "_g").orderBy(order)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def best_so_far(trajectory: DataFrame, by: list[str] = (), spent: str = "calls", value: str = "val_score", floor: float = -1.0) -> DataFrame:
-    """Adds best: the greatest value up to each row, by calls spent. Rows of one search form a window."""
+    """Adds best: the greatest value up to each row, by calls spent.
+
+    Rows of one search (its columns: ``by``) form a window; without ``by`` all rows are one search, in one task.
+    """
     w = Window.partitionBy(*by).orderBy(spent).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return trajectory.withColumn("best", F.greatest(F.max(value).over(w), F.lit(floor)))
 
