@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mensura.llm import bpe, decontamination, exact_dedup, html_extraction, jaccard_join, language, quality, suffix_dedup, token_output, toxicity
+from mensura.llm import bpe, decontamination, exact_dedup, html_extraction, jaccard_join, language, prefix_trie, quality, suffix_dedup, token_output, toxicity
 from mensura.llm.common import fold, table
 
 
@@ -76,6 +76,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extracted(pages, html_extraction.train(pages))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prefixes of all conversations, whose first turns are those of the conversation before by twenties."""
+    conv = F.col("conv_id")
+    turns = prefix_trie.turn_digests(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_nodes(prefix_trie.with_shared_heads(turns, conv - conv % 20, F.crc32(conv.cast("string")) % 4))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline from documents to token ids."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -92,6 +99,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_output": op9_token_output,
     "op10_html_extraction": op10_html_extraction,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
@@ -102,6 +110,10 @@ SHINGLES_SQL = """
     FROM (SELECT id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM ({0}))
 """
 
+#: DuckDB: the unsigned CRC-32 of an integer's decimal digits, bit by bit.
+CRC32_SQL = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::UBIGINT)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))))"""
+
 ORACLES = {
     "op2_decontamination": f"""
         WITH d AS ({SHINGLES_SQL.format("SELECT doc_id AS id, text FROM documents")}),
@@ -125,4 +137,17 @@ ORACLES = {
         SELECT documents.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(least(min(r.reached), documents.doc_id), documents.doc_id) AS component_id
         FROM documents LEFT JOIN n ON n.id = documents.doc_id LEFT JOIN r ON r.id = documents.doc_id GROUP BY documents.doc_id
     """,
+    "op13_prefix_trie": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+             g AS (SELECT conv_id, turn, md5(concat(strlen(r), ':', r, x)) AS g, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS w FROM t),
+             own AS (SELECT conv_id, list({{'g': g, 'w': w}} ORDER BY turn NULLS FIRST, g) AS l FROM g GROUP BY conv_id),
+             h AS (SELECT *, {CRC32_SQL.format("conv_id")} % 4 AS h FROM own),
+             b AS (SELECT h.conv_id, list_concat(coalesce(o.l, []), [])[1:h] || h.l[h + 1:] AS s FROM h LEFT JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 20),
+             m AS (SELECT conv_id, d, list_transform(s[1:d], lambda e: e.g) AS k, CASE WHEN d > 0 THEN s[d].w ELSE 0 END AS w, d = len(s) AS last FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM b)),
+             n AS (SELECT k, d, any_value(w) AS w, min(conv_id) AS c, count(*) AS many, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '') AS ends FROM m GROUP BY k, d),
+             f AS (SELECT n.*, coalesce(q.kids, 0) AS kids FROM n LEFT JOIN (SELECT k[1:d - 1] AS k, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1) q USING (k)),
+             a AS (SELECT k[1:up] AS k, sum((many - 1) * w) AS saved, count(*) FILTER (kids = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM f) GROUP BY 1)
+        SELECT f.c AS conv_id, f.d AS depth, p.c AS parent_conv_id, f.many AS n_convs, f.kids AS n_children, a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+        FROM f JOIN a USING (k) LEFT JOIN n p ON f.d > 0 AND p.k = f.k[1:f.d - 1]
+    """,
 }
