@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mensura.llm import alignment, bpe, decontamination, exact_dedup, html_extraction, jaccard_join, language, prefix_trie, quality, suffix_dedup, token_output, toxicity
+from mensura.llm import alignment, bpe, decontamination, exact_dedup, html_extraction, jaccard_join, language, language_model, prefix_trie, quality, suffix_dedup, token_output, toxicity
 from mensura.llm.common import fold, table
 
 
@@ -76,6 +76,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extracted(pages, html_extraction.train(pages))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document by a bigram model of six folds of seven."""
+    return language_model.scored(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level and piece tokens of every document, aligned; links and the corpus-wide counts of their pairs."""
     return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -104,6 +109,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_output": op9_token_output,
     "op10_html_extraction": op10_html_extraction,
+    "op11_language_model": op11_language_model,
     "op12_alignment": op12_alignment,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
