@@ -7,59 +7,62 @@ from pyspark.sql import functions as F
 
 from mensura.functions.text import describe_extraction
 from mensura.operators import evaluate as ev
-from mensura.schemas import CATEGORICAL, TUPLE_FIELDS
+from mensura.schemas import TUPLE_FIELDS
+from mensura.sources.shared import stored
 
 
-def cohen_kappa(pairs: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
-    """n, po, pe and kappa of two label columns; null is a label.
+def kappa_of_cells(cells: DataFrame, by: list[str] = ()) -> DataFrame:
+    """n, po, pe and kappa from counts n of label pairs (g, p); null is a label.
 
-    Null kappa without pairs, 1 if chance agreement is certain. The confusion counts come first, so
-    what is left to aggregate is as small as the labels are few.
+    Null kappa without pairs, 1 if chance agreement is certain. Two groupings, no join: the label
+    totals of both sides come from one explode.
     """
-    by = list(by)
-    cells = pairs.groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    sides = cells.select(*by, F.explode(F.array(F.struct(F.col("_a").cast("string").alias("label"), F.col("_n").alias("x"), F.lit(0).cast("long").alias("y")), F.struct(F.col("_b").cast("string").alias("label"), F.lit(0).cast("long").alias("x"), F.col("_n").alias("y")))).alias("s"))
-    marginals = sides.groupBy(*by, "s.label").agg(F.sum("s.x").alias("x"), F.sum("s.y").alias("y"))
-    chance = marginals.groupBy(*by).agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("xy"))
-    seen = cells.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_a").eqNullSafe(F.col("_b")), F.col("_n")).otherwise(0)).alias("same"))
-    both = seen.join(chance, by) if by else seen.crossJoin(chance)  # one row each
+    by, n, none = list(by), F.col("n"), F.lit(0).cast("long")
+    same = F.when(F.col("g").eqNullSafe(F.col("p")), n).otherwise(none)
+    sides = F.explode(F.array(F.struct(F.col("g").alias("label"), n.alias("x"), none.alias("y"), same.alias("same")), F.struct(F.col("p").alias("label"), none.alias("x"), n.alias("y"), none.alias("same"))))
+    labels = cells.select(*by, sides.alias("s")).groupBy(*by, "s.label").agg(*[F.sum(f"s.{c}").alias(c) for c in ("x", "y", "same")])
+    total = labels.groupBy(*by).agg(F.coalesce(F.sum("x"), none).alias("n"), F.sum("same").alias("same"), F.sum(F.col("x").cast("double") * F.col("y")).alias("xy"))
     po, pe = F.try_divide("same", "n"), F.try_divide(F.col("xy"), F.col("n").cast("double") * F.col("n"))
-    return both.select(*by, F.coalesce("n", F.lit(0)).alias("n"), po.alias("po"), pe.alias("pe"), F.when(pe == 1.0, 1.0).otherwise(F.try_divide(po - pe, F.lit(1.0) - pe)).alias("kappa"))
+    return total.select(*by, "n", po.alias("po"), pe.alias("pe"), F.when(pe == 1.0, 1.0).otherwise(F.try_divide(po - pe, F.lit(1.0) - pe)).alias("kappa"))
+
+
+def cohen_kappa(pairs: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
+    """n, po, pe and kappa of two label columns."""
+    cells = pairs.groupBy(*by, F.col(a).cast("string").alias("g"), F.col(b).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return kappa_of_cells(cells, by)
 
 
 def paired_docs(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
     return a.select(key).distinct().join(b.select(key).distinct(), key)
 
 
-def agreement(docs1: DataFrame, first: DataFrame, docs2: DataFrame, second: DataFrame) -> dict[str, DataFrame]:
-    """Two rounds over their common documents: counts, prf, fields, det_ci and tup_ci, and kappa per categorical field.
+def agreement(docs1: DataFrame, first: DataFrame, docs2: DataFrame, second: DataFrame, by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Two rounds over their common documents: counts, prf, fields, kappa per categorical field, det_ci and tup_ci.
 
-    The first round is the reference. Inputs come from ``evaluate.prepared``.
+    The first round is the reference. Inputs come from ``evaluate.prepared``. ``by`` names columns
+    of the second round, such as arm and seed, that tell several second rounds apart; each is
+    compared with the first. Both are aligned once and stored.
     """
-    from mensura.operators.stats import bootstrap_ci  # stats imports this module
+    from mensura.operators.stats import bootstrap_cis  # stats imports this module
 
     both = paired_docs(docs1, docs2)
-    one = first.join(both, "doc_id", "left_semi")
-    two = second.join(both, "doc_id", "left_semi").withColumn("round", F.lit("second"))
-    by = ("round",)
-    matched = ev.matched_pairs(one, two, by)
-    systems = both.sparkSession.createDataFrame([("second",)], "round string")
-    counts = ev.doc_counts(both, one, two, matched, systems, by)
-    kappas = None
-    for f in CATEGORICAL:
-        k = cohen_kappa(matched, f"g_{f}", f"p_{f}").withColumn("field", F.lit(f))
-        kappas = k if kappas is None else kappas.unionByName(k)
-    return {"docs": both, "matched": matched, "counts": counts, "prf": ev.micro_prf(counts, by), "fields": ev.field_accuracy(matched, by), "kappa": kappas, "det_ci": bootstrap_ci(counts, "det", by), "tup_ci": bootstrap_ci(counts, "tup", by)}
-
-
-def divergences(matched: DataFrame, only_first: DataFrame, only_second: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, doc_id, kind, ord, field, first, second): unequal fields of pairs, and rows of one round alone."""
-    cells = F.array(*[F.when(~ev.fields_equal(f), F.struct(F.lit(f).alias("field"), F.col(f"g_{f}").cast("string").alias("first"), F.col(f"p_{f}").cast("string").alias("second"))) for f in TUPLE_FIELDS])
-    differs = matched.select(*by, "doc_id", F.lit("DIFFERS").alias("kind"), F.col("g_ord").cast("long").alias("ord"), F.explode(F.array_compact(cells)).alias("_cell")).select(*by, "doc_id", "kind", "ord", "_cell.*")
+    keys = tuple(by) or ("round",)
+    two = second if by else second.withColumn("round", F.lit("second"))
+    systems = two.select(*keys).distinct() if by else both.sparkSession.createDataFrame([("second",)], "round string")
+    rows = stored(ev.aligned_rows(both, first, two, systems, keys), "agreement")
+    counts, matched = stored(ev.doc_counts(rows, keys), "agreement_counts"), ev.of_kind(rows, "pair", keys)
+    cis = bootstrap_cis(counts, keys)
+    return {
+        "docs": both, "rows": rows, "matched": matched, "counts": counts, "prf": ev.micro_prf(counts, keys), "fields": ev.field_accuracy(matched, keys), "kappa": kappa_of_cells(ev.label_cells(matched, by=keys), [*keys, "field"]),
+        "det_ci": cis.where("kind = 'det'").drop("kind"), "tup_ci": cis.where("kind = 'tup'").drop("kind"),
+    }
+
+
+def divergences(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, doc_id, kind, ord, field, first, second): unequal fields of aligned pairs, and rows of one round alone."""
     names = ("value", "value_max", "unit", "target_entity", "metric_type", "context_modifier", "sentence")
-
-    def alone(df: DataFrame, kind: str, mine: str, other: str) -> DataFrame:
-        told = describe_extraction({c: F.col(c) for c in names})
-        return df.select(*by, "doc_id", F.lit(kind).alias("kind"), F.col("ord").cast("long"), F.lit(None).cast("string").alias("field"), told.alias(mine), F.lit(None).cast("string").alias(other))
-
-    return differs.unionByName(alone(only_first, "ONLY-FIRST", "first", "second")).unionByName(alone(only_second, "ONLY-SECOND", "second", "first"))
+    text, said = F.lit(None).cast("string"), lambda side: describe_extraction({c: F.col(f"{side}_{c}") for c in names})
+    cell = lambda kind, ord_, field, one, two: F.struct(F.lit(kind).alias("kind"), F.col(ord_).cast("long").alias("ord"), field.alias("field"), one.alias("first"), two.alias("second"))
+    unequal = F.array(*[F.when(~ev.fields_equal(f), cell("DIFFERS", "g_ord", F.lit(f), F.col(f"g_{f}").cast("string"), F.col(f"p_{f}").cast("string"))) for f in TUPLE_FIELDS])
+    cells = F.when(F.col("kind") == "pair", F.array_compact(unequal)).when(F.col("kind") == "missed", F.array(cell("ONLY-FIRST", "g_ord", text, said("g"), text))).when(F.col("kind") == "invented", F.array(cell("ONLY-SECOND", "p_ord", text, text, said("p"))))
+    return rows.select(*by, "doc_id", F.explode(cells).alias("_cell")).select(*by, "doc_id", "_cell.*")

@@ -4,16 +4,23 @@ Long tables: gold (doc_id, ord, fields) and predictions (arm, seed, doc_id, ord,
 documents come from gold_docs, never from the extractions, so empty documents count. ``by`` names
 the columns (such as arm and seed) that tell systems apart. Entities are compared by the columns
 ent_norm and ent_canon, which ``prepared`` adds.
+
+``aligned_rows`` aligns both sides once, into rows from which every count, rate and report is a
+grouping; store them where several parts are wanted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.lexicon import resolve_entities
 from mensura.functions.text import describe_extraction, first_number, collapse_ws, normalize_entity, same_entity, values_match
-from mensura.schemas import CATEGORICAL, TUPLE_FIELDS, UNITS
+from mensura.schemas import CATEGORICAL, EXTRACTION, TUPLE_FIELDS, UNITS
+from mensura.sources.shared import stored
 
 BY = ("arm", "seed")
 
@@ -37,36 +44,45 @@ def prepared(extractions: DataFrame, lexicon: DataFrame | None = None, fuzzy: bo
 
 #: Width of the value blocks: values within one percent are at most one block apart.
 BLOCK = 0.0101
+#: Gold and predicted rows of a document that are aligned as lists; more go by rounds over their pairs.
+MOST_IN_LIST = 1000
+#: Rounds go on while they settle so large a share of the pairs.
+LEAST_SETTLED = 0.2
+
+OWN = ("ord", *EXTRACTION, "ent_norm", "ent_canon")
 
 
 def _side(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
-    own = ("ord", *TUPLE_FIELDS, "sentence", "ent_norm", "ent_canon")
-    have = [c for c in own if c in df.columns]
+    have = [c for c in OWN if c in df.columns]
     return df.select(*keep, *[F.col(c).alias(f"{prefix}_{c}") for c in have])
 
 
-def candidate_pairs(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY, blocked: bool = False) -> DataFrame:
+def candidate_pairs(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY, blocked: bool = True) -> DataFrame:
     """Pairs of one document whose values match (one percent; null matches null), g_ and p_ columns.
 
-    ``blocked`` adds an equality on logarithmic value blocks, for documents with very many values;
-    the pairs are the same.
+    ``blocked`` adds an equality on logarithmic value blocks, so that a document with very many
+    values is spread over tasks and not every two of them are compared; the pairs are the same.
     """
     g, p = _side(gold, "g", ["doc_id"]), _side(pred, "p", [*by, "doc_id"])
     if not blocked:
         return g.join(p, "doc_id").where(values_match(F.col("g_value"), F.col("p_value")))
-    block = lambda v: F.when(v.isNull(), F.lit("null")).when(v == 0, F.lit("zero")).otherwise(F.concat(F.when(v > 0, "+").otherwise("-"), F.floor(F.log(F.abs(v)) / BLOCK).cast("string")))
-    near = lambda v: F.when(v.isNull() | (v == 0), F.array(block(v))).otherwise(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.concat(F.when(v > 0, "+").otherwise("-"), (F.floor(F.log(F.abs(v)) / BLOCK) + d).cast("string"))))
+    # nulls and zeros match only their like; other blocks are numbered by magnitude and sign
+    level = lambda v, d: F.struct(F.lit(1).alias("kind"), (v > 0).alias("up"), (F.floor(F.log(F.abs(v)) / BLOCK) + d).alias("level"))
+    lone = lambda kind: F.struct(F.lit(kind).alias("kind"), F.lit(False).alias("up"), F.lit(0).cast("bigint").alias("level"))
+    block = lambda v: F.when(v.isNull(), lone(-1)).when(v == 0, lone(0)).otherwise(level(v, 0))
+    near = lambda v: F.when(v.isNull() | (v == 0), F.array(block(v))).otherwise(F.array(*[level(v, d) for d in (-1, 0, 1)]))
     left, right = g.withColumn("_b", F.explode(near(F.col("g_value")))), p.withColumn("_b", block(F.col("p_value")))
     return left.join(right, ["doc_id", "_b"]).where(values_match(F.col("g_value"), F.col("p_value"))).drop("_b")
 
 
-def _score() -> Column:
+def pair_score(g: Column, p: Column) -> Column:
+    """1 for the value, and halves for the upper value, the unit and the entity of two structs."""
     half = lambda c: F.when(c, 0.5).otherwise(0.0)
-    entity = same_entity(F.col("g_ent_norm"), F.col("p_ent_norm"), F.col("g_ent_canon"), F.col("p_ent_canon"))
-    return F.lit(1.0) + half(values_match(F.col("g_value_max"), F.col("p_value_max"))) + half(F.col("g_unit").eqNullSafe(F.col("p_unit"))) + half(entity)
+    entity = same_entity(g["ent_norm"], p["ent_norm"], g["ent_canon"], p["ent_canon"])
+    return F.lit(1.0) + half(values_match(g["value_max"], p["value_max"])) + half(g["unit"].eqNullSafe(p["unit"])) + half(entity)
 
 
-def _chosen(candidates: Column) -> Column:
+def _greedy(candidates: Column) -> Column:
     """The greedy one-to-one choice among a document's sorted candidates (structs with i and j)."""
     alone = lambda side: F.size(F.array_distinct(F.transform(candidates, lambda c: c[side]))) == F.size(candidates)
     taken = lambda acc, c: F.exists(acc, lambda a: (a["i"] == c["i"]) | (a["j"] == c["j"]))
@@ -74,25 +90,56 @@ def _chosen(candidates: Column) -> Column:
     return F.when(alone("i") & alone("j"), candidates).otherwise(greedy)
 
 
-def matched_pairs(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY, blocked: bool = False) -> DataFrame:
-    """One-to-one pairs with both sides' fields (by, doc_id, g_..., p_...): best score first, then
-    gold order, then predicted order.
+def mutual_best(candidates: DataFrame, keys: list[str], least_settled: float = LEAST_SETTLED) -> DataFrame:
+    """The greedy one-to-one choice among candidate rows (keys, k, i, j): ascending k, then i, then j.
 
-    A document's candidates carry their fields through one grouping, whose aggregate expression
-    makes the greedy choice, so neither side is read or joined again.
+    Each round takes the pairs that come first for both their sides, which the greedy choice takes
+    too, and drops their rivals; rounds are joins and groupings by a side, so a group of any size is
+    spread over tasks. Ties can make chains that settle one pair a round: once a round settles few of
+    the pairs, what is left is sorted within its groups, and one pass over the rows chooses, keeping
+    the sides that are taken and never the rows.
     """
-    pairs = candidate_pairs(gold, pred, by, blocked)
-    fields = [c for c in pairs.columns if c not in (*by, "doc_id")]
-    row = F.struct((-_score()).alias("k"), F.col("g_ord").alias("i"), F.col("p_ord").alias("j"), F.struct(*fields).alias("row"))
-    lists = pairs.groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list(row)).alias("l"))
-    return lists.select(*by, "doc_id", F.explode(_chosen(F.col("l"))).alias("c")).select(*by, "doc_id", "c.row.*")
-
-
-def align(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY, blocked: bool = False) -> DataFrame:
-    """The pairs' places alone: by, doc_id, g_ord and p_ord."""
-    scored = candidate_pairs(gold, pred, by, blocked).select(*by, "doc_id", F.struct((-_score()).alias("k"), F.col("g_ord").alias("i"), F.col("p_ord").alias("j")).alias("c"))
-    lists = scored.groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list("c")).alias("l"))
-    return lists.select(*by, "doc_id", F.explode(_chosen(F.col("l"))).alias("c")).select(*by, "doc_id", F.col("c.i").cast("bigint").alias("g_ord"), F.col("c.j").cast("bigint").alias("p_ord"))
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
+    left, chosen = stored(candidates.select(*keys, "k", "i", "j"), "candidates"), None
+    n = left.count()
+    while n:
+        by_i = left.groupBy(*keys, "i").agg(F.min(F.struct("k", "j")).alias("b")).select(*keys, "i", "b.j")
+        by_j = left.groupBy(*keys, "j").agg(F.min(F.struct("k", "i")).alias("b")).select(*keys, "b.i", "j")
+        taken = stored(by_i.join(by_j, [*keys, "i", "j"]), "taken_pairs")
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        left = stored(left.join(taken.select(*keys, "i"), [*keys, "i"], "left_anti").join(taken.select(*keys, "j"), [*keys, "j"], "left_anti"), "candidates")
+        before, n = n, left.count()
+        if n > (1 - least_settled) * before:
+            break
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, used = None, (set(), set())
+        for frame in frames:
+            keep = []
+            for row in frame.itertuples(index=False):
+                own, i, j = tuple(row[: len(keys)]), row.i, row.j
+                if own != group:
+                    group, used = own, (set(), set())
+                free = i not in used[0] and j not in used[1]
+                if free:
+                    used[0].add(i), used[1].add(j)
+                keep.append(free)
+            yield frame[keep][[*keys, "i", "j"]]
+
+    if n:
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "i", "j"))
+        rest = left.select(*keys, "k", "i", "j").repartition(*keys).sortWithinPartitions(*keys, "k", "i", "j").mapInPandas(choose, schema)
+        chosen = rest if chosen is None else chosen.unionByName(rest)
+    return candidates.select(*keys, "i", "j").limit(0) if chosen is None else chosen
+
+
+def align(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """One-to-one pairs as by, doc_id, g_ord and p_ord: best score first, then gold order, then
+    predicted order. No list is made of any document's rows."""
+    pairs = candidate_pairs(gold, pred, by)
+    one, two = (F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ("value_max", "unit", "ent_norm", "ent_canon")]) for s in "gp")
+    scored = pairs.select(*by, "doc_id", (-pair_score(one, two)).alias("k"), F.col("g_ord").cast("bigint").alias("i"), F.col("p_ord").cast("bigint").alias("j"))
+    return mutual_best(scored, [*by, "doc_id"]).withColumnsRenamed({"i": "g_ord", "j": "p_ord"})
 
 
 def aligned_fields(pairs: DataFrame, gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
@@ -118,46 +165,105 @@ def complete() -> Column:
     return out
 
 
-#: Most systems (arms and seeds) that rows are laid out for.
-MOST_SYSTEMS = 10_000
+#: Systems (arms and seeds) that are laid out as literals.
+MOST_LITERALS = 1000
 
 
 def for_each_system(df: DataFrame, systems: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    """Every row once per system. Systems are a short given list, read here and laid out as literals."""
-    rows = systems.select(*by).distinct().limit(MOST_SYSTEMS + 1).collect()
-    if len(rows) > MOST_SYSTEMS:
-        raise ValueError(f"more than {MOST_SYSTEMS} systems")
+    """Every row once per system. A short list of systems is laid out as literals; a long one is joined to every row."""
+    rows = systems.select(*by).distinct().limit(MOST_LITERALS + 1).collect()
+    if len(rows) > MOST_LITERALS:
+        return systems.select(*by).distinct().crossJoin(df)
     cells = [F.struct(*[F.lit(r[c]).cast(systems.schema[c].dataType).alias(c) for c in by]) for r in sorted(rows, key=str)]
     if not cells:
         return df.limit(0).select(*[F.lit(None).cast(systems.schema[c].dataType).alias(c) for c in by], "*")
     return df.withColumn("_system", F.explode(F.array(*cells))).select("_system.*", *df.columns)
 
 
-def missed(pairs: DataFrame, gold: DataFrame, systems: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    """Gold extractions without a partner, for each system."""
-    return for_each_system(gold, systems, by).join(pairs.select(*by, "doc_id", F.col("g_ord").alias("ord")), [*by, "doc_id", "ord"], "left_anti")
+def _aligned_lists(docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Aligned rows of documents whose rows fit in a list: one exchange for each of the three inputs."""
+    fields = lambda df: [c for c in OWN if c in df.columns]
+    side = lambda df, more=(): F.array_sort(F.collect_list(F.struct(*fields(df), *more)))
+    g = gold.groupBy("doc_id").agg(side(gold).alias("g"))
+    p = pred.groupBy("doc_id").agg(side(pred, by).alias("p"))
+    whole = for_each_system(docs.join(g, "doc_id", "left").join(p, "doc_id", "left"), systems, by)
+    own = F.filter("p", lambda y: F.lit(True) if not by else _all(y[c].eqNullSafe(F.col(c)) for c in by))
+    lists = whole.select(*by, "doc_id", F.coalesce("g", F.array().cast(g.schema["g"].dataType)).alias("g"), F.coalesce(own, F.array().cast(p.schema["p"].dataType)).alias("p"))
+    place = lambda side: F.transform(side, lambda x, n: F.struct(x.alias("x"), n.alias("n")))
+    near = F.flatten(F.transform(place("g"), lambda a: F.transform(F.filter(place("p"), lambda b: values_match(a["x"]["value"], b["x"]["value"])), lambda b: F.struct((-pair_score(a["x"], b["x"])).alias("k"), a["n"].alias("i"), b["n"].alias("j")))))
+    chosen = lists.withColumn("c", F.array_sort(near)).withColumn("c", _greedy(F.col("c")))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType.elementType)
+    row = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("g"), y.alias("p"))
+    lone = lambda side, name: F.filter(side, lambda x, n: ~F.exists("c", lambda c: c[name] == n))
+    rows = F.concat(
+        F.array(row("document", none(g, "g"), none(p, "p"))), F.transform("c", lambda c: row("pair", F.col("g")[c["i"]], F.col("p")[c["j"]])),
+        F.transform(lone("g", "i"), lambda x: row("missed", x, none(p, "p"))), F.transform(lone("p", "j"), lambda y: row("invented", none(g, "g"), y)),
+    )
+    flat = chosen.select(*by, "doc_id", F.explode(rows).alias("r"))
+    return flat.select(*by, "doc_id", "r.kind", *[F.col(f"r.g.{c}").alias(f"g_{c}") for c in fields(gold)], *[F.col(f"r.p.{c}").alias(f"p_{c}") for c in fields(pred)])
 
 
-def invented(pairs: DataFrame, pred: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    return pred.join(pairs.select(*by, "doc_id", F.col("p_ord").alias("ord")), [*by, "doc_id", "ord"], "left_anti")
+def _all(conditions: Iterator[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
 
 
-def doc_counts(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, matched: DataFrame, systems: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    """Per system and gold document: det_tp, det_fp, det_fn, tup_tp, tup_fp, tup_fn.
+def _aligned_rounds(docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The same rows of documents of any size, by joins on the document and the row's order."""
+    pairs = stored(align(gold, pred, by), "pairs")
+    taken = lambda side: pairs.select(*by, "doc_id", F.col(f"{side}_ord").alias("ord"))
+    parts = {
+        "document": for_each_system(docs, systems, by), "pair": aligned_fields(pairs, gold, pred, by),
+        "missed": _side(for_each_system(gold, systems, by).join(taken("g"), [*by, "doc_id", "ord"], "left_anti"), "g", [*by, "doc_id"]), "invented": _side(pred.join(taken("p"), [*by, "doc_id", "ord"], "left_anti"), "p", [*by, "doc_id"]),
+    }
+    out = None
+    for kind, part in parts.items():
+        rows = part.withColumn("kind", F.lit(kind))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def aligned_rows(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, by: tuple[str, ...] = BY, most: int = MOST_IN_LIST) -> DataFrame:
+    """Both sides aligned, for every system and gold document: by, doc_id, kind, g_... and p_...
+
+    kind is 'document' (one row for each document and system, whether it has anything or not), 'pair'
+    (both sides' fields), 'missed' (gold without a partner) or 'invented' (a prediction without one).
+    Rows of other documents are ignored. A document's (doc_id, ord) is expected to be unique on
+    each side. Documents with more than ``most`` gold rows and predictions are found by a count
+    beforehand and aligned by rounds; the others are lists, grouped and aligned within a document.
+    """
+    docs = gold_docs.select("doc_id").distinct()
+    crowded = stored(gold.select("doc_id").unionAll(pred.select("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("doc_id"), "crowded")
+    if crowded.isEmpty():
+        return _aligned_lists(docs, gold, pred, systems, by)
+    few = _aligned_lists(*(x.join(crowded, "doc_id", "left_anti") for x in (docs, gold, pred)), systems, by)
+    asked = docs.join(crowded, "doc_id", "left_semi")
+    many = _aligned_rounds(asked, gold.join(asked, "doc_id", "left_semi"), pred.join(asked, "doc_id", "left_semi"), systems, by)
+    return few.unionByName(many.select(*few.columns))
+
+
+def of_kind(rows: DataFrame, kind: str, by: tuple[str, ...] = BY) -> DataFrame:
+    """Aligned rows of a kind: pairs with both sides' fields, missed and invented rows with their own."""
+    own = rows.where(F.col("kind") == kind).drop("kind")
+    if kind == "pair":
+        return own
+    side = "g_" if kind == "missed" else "p_"
+    return own.select(*by, "doc_id", *[F.col(c).alias(c[2:]) for c in own.columns if c.startswith(side)])
+
+
+def doc_counts(rows: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """Per system and gold document, from aligned rows: det_tp, det_fp, det_fn, tup_tp, tup_fp, tup_fn.
 
     A pair that isn't complete counts as both fp and fn of the tuples. Documents without gold or
-    predictions are there with zeros; predictions for unknown documents are ignored.
+    predictions are there with zeros.
     """
-    universe = for_each_system(gold_docs.select("doc_id").distinct(), systems, by)
-    m = matched.groupBy(*by, "doc_id").agg(F.count(F.lit(1)).alias("det_tp"), F.sum(complete().cast("long")).alias("tup_tp"))
-    n_gold = gold.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    n_pred = pred.groupBy(*by, "doc_id").agg(F.count(F.lit(1)).alias("n_pred"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    all_ = universe.join(n_gold, "doc_id", "left").join(n_pred, [*by, "doc_id"], "left").join(m, [*by, "doc_id"], "left")
-    c = {k: zero(F.col(k)) for k in ("det_tp", "tup_tp", "n_gold", "n_pred")}
-    return all_.select(
-        *by, "doc_id", c["det_tp"].alias("det_tp"), (c["n_pred"] - c["det_tp"]).alias("det_fp"), (c["n_gold"] - c["det_tp"]).alias("det_fn"),
-        c["tup_tp"].alias("tup_tp"), (c["n_pred"] - c["tup_tp"]).alias("tup_fp"), (c["n_gold"] - c["tup_tp"]).alias("tup_fn"),
+    n = lambda kind, more=None: F.sum(((F.col("kind") == kind) & (F.lit(True) if more is None else more)).cast("long"))
+    c = rows.groupBy(*by, "doc_id").agg(n("pair").alias("tp"), n("pair", complete()).alias("tt"), n("missed").alias("fn"), n("invented").alias("fp"))
+    return c.select(
+        *by, "doc_id", F.col("tp").alias("det_tp"), F.col("fp").alias("det_fp"), F.col("fn").alias("det_fn"),
+        F.col("tt").alias("tup_tp"), (F.col("tp") - F.col("tt") + F.col("fp")).alias("tup_fp"), (F.col("tp") - F.col("tt") + F.col("fn")).alias("tup_fn"),
     )
 
 
@@ -183,25 +289,34 @@ def field_accuracy(matched: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     return tall.select(*by, "_cell.field", "_cell.hits", "total", F.coalesce(F.try_divide("_cell.hits", "total"), F.lit(0.0)).alias("accuracy"))
 
 
-def confusion(matched: DataFrame, field: str, by: tuple[str, ...] = BY) -> DataFrame:
-    return matched.groupBy(*by, F.col(f"g_{field}").alias("gold_label"), F.col(f"p_{field}").alias("pred_label")).agg(F.count(F.lit(1)).alias("n"))
+def label_cells(matched: DataFrame, fields: tuple[str, ...] = CATEGORICAL, by: tuple[str, ...] = BY) -> DataFrame:
+    """Counts of (field, gold label, predicted label) among the pairs, every field in one pass: by, field, g, p, n.
+
+    As few rows as there are labels; confusion, macro F1 and kappa are made from them.
+    """
+    both = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"g_{f}").cast("string").alias("g"), F.col(f"p_{f}").cast("string").alias("p")) for f in fields]))
+    return matched.select(*by, both.alias("_cell")).groupBy(*by, "_cell.field", "_cell.g", "_cell.p").agg(F.count(F.lit(1)).alias("n"))
+
+
+def confusion(cells: DataFrame, field: str, by: tuple[str, ...] = BY) -> DataFrame:
+    """Counts of a field's gold and predicted labels, from ``label_cells``."""
+    own = cells.where(F.col("field") == field)
+    return own.groupBy(*by, F.col("g").alias("gold_label"), F.col("p").alias("pred_label")).agg(F.sum("n").alias("n"))
 
 
-def macro_f1(matched: DataFrame, fields: tuple[str, ...] = CATEGORICAL, by: tuple[str, ...] = BY) -> DataFrame:
-    """Unweighted mean F1 over the labels seen on either side of the pairs; null is a label."""
-    both = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"g_{f}").alias("g"), F.col(f"p_{f}").alias("p")) for f in fields]))
-    cells = matched.select(*by, both.alias("_cell")).groupBy(*by, "_cell.field", "_cell.g", "_cell.p").agg(F.count(F.lit(1)).alias("n"))
+def macro_f1(cells: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """Unweighted mean F1 over the labels seen on either side of the pairs, from ``label_cells``; null is a label."""
     same = F.col("g").eqNullSafe(F.col("p"))
-    sides = F.explode(F.array(F.struct(F.col("g").alias("label"), F.when(same, F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"), F.when(same, 0).otherwise(F.col("n")).alias("fn")), F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("tp"), F.when(same, 0).otherwise(F.col("n")).alias("fp"), F.lit(0).cast("long").alias("fn"))))
+    none, n = F.lit(0).cast("long"), F.col("n")
+    sides = F.explode(F.array(F.struct(F.col("g").alias("label"), F.when(same, n).otherwise(none).alias("tp"), none.alias("fp"), F.when(same, none).otherwise(n).alias("fn")), F.struct(F.col("p").alias("label"), none.alias("tp"), F.when(same, none).otherwise(n).alias("fp"), none.alias("fn"))))
     labels = cells.select(*by, "field", sides.alias("s")).groupBy(*by, "field", "s.label").agg(F.sum("s.tp").alias("tp"), F.sum("s.fp").alias("fp"), F.sum("s.fn").alias("fn"))
     return labels.withColumn("f1", prf(F.col("tp"), F.col("fp"), F.col("fn"))["f1"]).groupBy(*by, "field").agg(F.avg("f1").alias("macro_f1"), F.count(F.lit(1)).alias("n_labels"))
 
 
-def confusion_with_absent(matched: DataFrame, missed_rows: DataFrame, invented_rows: DataFrame, field: str, by: tuple[str, ...] = ("arm",), absent: str = "absent") -> DataFrame:
-    """Confusion counts with (label, absent) for missed and (absent, label) for invented ones, and row shares."""
-    cells = matched.select(*by, F.col(f"g_{field}").alias("gold_label"), F.col(f"p_{field}").alias("pred_label"))
-    cells = cells.unionByName(missed_rows.select(*by, F.col(field).alias("gold_label"), F.lit(absent).alias("pred_label"))).unionByName(invented_rows.select(*by, F.lit(absent).alias("gold_label"), F.col(field).alias("pred_label")))
-    n = cells.groupBy(*by, "gold_label", "pred_label").agg(F.count(F.lit(1)).alias("n"))
+def confusion_with_absent(rows: DataFrame, field: str, by: tuple[str, ...] = ("arm",), absent: str = "absent") -> DataFrame:
+    """Confusion counts of aligned rows, with (label, absent) for missed and (absent, label) for invented ones, and row shares."""
+    label = lambda side, other: F.when(F.col("kind") == other, absent).otherwise(F.col(f"{side}_{field}"))
+    n = rows.where("kind <> 'document'").groupBy(*by, label("g", "invented").alias("gold_label"), label("p", "missed").alias("pred_label")).agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("row_share", F.col("n") / F.sum("n").over(Window.partitionBy(*by, "gold_label")))
 
 
@@ -233,17 +348,18 @@ def sum_seeds(counts: DataFrame) -> DataFrame:
 def evaluate(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, abstracts: DataFrame | None = None, by: tuple[str, ...] = BY) -> dict[str, DataFrame]:
     """The whole report by name: counts, prf, fields, macro_f1, scores, det_ci and tup_ci, and hallucination with abstracts.
 
-    gold and pred come from ``prepared``. The matched pairs are read by several parts of the report;
-    persist ``matched`` where they are all wanted.
+    gold and pred come from ``prepared``. Both sides are aligned once and stored; every part is a
+    grouping of the stored rows, or of the stored counts and label cells.
     """
-    from mensura.operators.stats import bootstrap_ci  # stats imports this module
+    from mensura.operators.stats import bootstrap_cis  # stats imports this module
 
-    known = pred.join(gold_docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    matched = matched_pairs(gold, known, by)
-    counts = doc_counts(gold_docs, gold, known, matched, systems, by)
-    out = {"matched": matched, "counts": counts, "prf": micro_prf(counts, by), "fields": field_accuracy(matched, by), "macro_f1": macro_f1(matched, by=by), "scores": mean_score(counts, by), "det_ci": bootstrap_ci(counts, "det", by), "tup_ci": bootstrap_ci(counts, "tup", by)}
+    rows = stored(aligned_rows(gold_docs, gold, pred, systems, by), "aligned")
+    counts, matched = stored(doc_counts(rows, by), "doc_counts"), of_kind(rows, "pair", by)
+    cis = bootstrap_cis(counts, by)
+    out = {"rows": rows, "matched": matched, "counts": counts, "prf": micro_prf(counts, by), "fields": field_accuracy(matched, by), "macro_f1": macro_f1(label_cells(matched, by=by), by), "scores": mean_score(counts, by), "det_ci": cis.where("kind = 'det'").drop("kind"), "tup_ci": cis.where("kind = 'tup'").drop("kind")}
     if abstracts is not None:
-        out["hallucination"] = hallucination_rate(known, abstracts, by)
+        said = rows.where("kind IN ('pair', 'invented')").select(*by, "doc_id", F.col("p_sentence").alias("sentence"))
+        out["hallucination"] = hallucination_rate(said, abstracts, by)
     return out
 
 
@@ -269,12 +385,14 @@ def report_rows(parts: dict[str, DataFrame], keys: tuple[str, ...] = BY) -> Data
 # ---- strict evaluator ----------------------------------------------------------------------
 
 
-def strict_pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Every gold and predicted row (doc_id, g_ord, p_ord and both rows' labels), paired by exact numbers.
+def strict_pairs(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = (), systems: DataFrame | None = None) -> DataFrame:
+    """Every gold and predicted row (by, doc_id, g_ord, p_ord and both rows' labels), paired by exact numbers.
 
     A prediction takes the first free gold row with the same is_range, number and, for ranges,
     upper number. That is an equality, so the r-th prediction of a class takes its r-th gold row:
     ranks within classes and a full join do what a loop would. Unreadable numbers match nothing.
+    ``by`` names columns of the predictions that tell systems apart; each is set against all gold
+    rows. A system without any prediction counts only where ``systems`` lists it.
     """
 
     def ranked(df: DataFrame, prefix: str) -> DataFrame:
@@ -283,59 +401,98 @@ def strict_pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
         able = low.isNotNull() & (~is_range | high.isNotNull())
         # an unreadable row gets a class of its own
         own = F.when(able, F.struct(is_range.alias("r"), low.alias("a"), F.when(is_range, high).alias("b"), F.lit(None).cast("string").alias("u"))).otherwise(F.struct(is_range.alias("r"), low.alias("a"), high.alias("b"), F.concat(F.lit(prefix), F.col("ord").cast("string")).alias("u")))
-        keyed = df.withColumn("_k", F.to_json(own)).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_k").orderBy("ord")))
-        return keyed.select("doc_id", "_k", "_n", *[F.col(c).alias(f"{prefix}_{c}") for c in ("ord", "metric_type", "entity_type")])
+        keyed = df.withColumn("_k", F.to_json(own)).withColumn("_n", F.row_number().over(Window.partitionBy(*by, "doc_id", "_k").orderBy("ord")))
+        return keyed.select(*by, "doc_id", "_k", "_n", *[F.col(c).alias(f"{prefix}_{c}") for c in ("ord", "metric_type", "entity_type")])
 
-    return ranked(gold, "g").join(ranked(pred, "p"), ["doc_id", "_k", "_n"], "full").drop("_k", "_n")
+    if by:
+        gold = for_each_system(gold, pred.select(*by).distinct() if systems is None else systems, by)
+    return ranked(gold, "g").join(ranked(pred, "p"), [*by, "doc_id", "_k", "_n"], "full").drop("_k", "_n")
 
 
-def strict_eval(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1, and label accuracies among the matches, to four digits."""
+def strict_eval(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = (), systems: DataFrame | None = None) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1, and label accuracies among the matches, to four digits, for each system."""
     both = F.col("g_ord").isNotNull() & F.col("p_ord").isNotNull()
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
     same = lambda f: both & F.col(f"g_{f}").eqNullSafe(F.col(f"p_{f}"))
-    t = strict_pairs(gold, pred).agg(n(both).alias("tp"), n(F.col("g_ord").isNull()).alias("fp"), n(F.col("p_ord").isNull()).alias("fn"), n(same("metric_type")).alias("m"), n(same("entity_type")).alias("e"))
+    t = strict_pairs(gold, pred, by, systems).groupBy(*by).agg(n(both).alias("tp"), n(F.col("g_ord").isNull()).alias("fp"), n(F.col("p_ord").isNull()).alias("fn"), n(same("metric_type")).alias("m"), n(same("entity_type")).alias("e"))
     rates = prf(F.col("tp"), F.col("fp"), F.col("fn")) | {"metric_accuracy": F.coalesce(F.try_divide("m", "tp"), F.lit(0.0)), "entity_accuracy": F.coalesce(F.try_divide("e", "tp"), F.lit(0.0))}
-    return t.select("tp", "fp", "fn", *[F.round(c, 4).alias(k) for k, c in rates.items()])
+    return t.select(*by, "tp", "fp", "fn", *[F.round(c, 4).alias(k) for k, c in rates.items()])
 
 
-def strict_errors(gold: DataFrame, pred: DataFrame) -> DataFrame:
+def strict_errors(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = (), systems: DataFrame | None = None) -> DataFrame:
     """One row per error: misclassified, false_positive or false_negative."""
     wrong = ~(F.col("g_metric_type").eqNullSafe(F.col("p_metric_type")) & F.col("g_entity_type").eqNullSafe(F.col("p_entity_type")))
     kind = F.when(F.col("g_ord").isNull(), "false_positive").when(F.col("p_ord").isNull(), "false_negative").when(wrong, "misclassified")
-    return strict_pairs(gold, pred).withColumn("error_type", kind).where("error_type IS NOT NULL")
+    return strict_pairs(gold, pred, by, systems).withColumn("error_type", kind).where("error_type IS NOT NULL")
 
 
 # ---- critique ------------------------------------------------------------------------------
 
-#: Which annotation rule a wrong field calls for; a wrong metric type calls for its own.
+#: Which annotation rule a wrong field calls for; a wrong metric type calls for its own.
 RULE_OF_FIELD = {"value_max": "range", "is_range": "range", "unit": "unit", "context_modifier": "context_modifier", "target_entity": "target_entity", "entity_type": "entity_type"}
-
-
-def critique_report(counts: DataFrame, matched: DataFrame, missed_rows: DataFrame, invented_rows: DataFrame, rejected: DataFrame | None = None, by: tuple[str, ...] = BY) -> DataFrame:
-    """Per document: score, lines (what is missing, extra, wrong, rejected) and the rules that apply, first seen first."""
+#: What the rules say, in our words; a project with an annotation guide of its own passes its texts.
+RULES = {
+    "format": "reply with the JSON object alone",
+    "list": "list every number with a known unit, also those that are about something else",
+    "Invalid Candidate": "a number about something else is an Invalid Candidate, not left out",
+    "Bulk Concentration": "Bulk Concentration is the content of a group as a whole",
+    "Individual Entity Concentration": "Individual Entity Concentration is the content of one element, oxide or mineral",
+    "Process Metric": "Process Metric is a result of a process, or a content in solution",
+    "boundary": "a number without a known unit is not listed",
+    "once": "list each value once, from the sentence that says most",
+    "range": "a range is one entry with both ends; a single value has no upper end",
+    "unit": "give the unit as it is written",
+    "context_modifier": "take the modifier from the words beside the value",
+    "target_entity": "name the entity as the text does",
+    "entity_type": "choose the type by what the entity is",
+    "anchor": "copy the sentence from the text, with the value in it",
+}
+
+
+def critique_report(rows: DataFrame, rejected: DataFrame | None = None, unusable: DataFrame | None = None, by: tuple[str, ...] = BY, rules: dict[str, str] = RULES) -> DataFrame:
+    """Per document, from aligned rows: score, lines and the rules that apply (names, and their texts as advice), first seen first.
+
+    The first line gives the score, both F1 and how many entries either side has. Then come why the
+    reply could not be used (``unusable``: by, doc_id, error), what is missing, extra and wrong, and
+    what was rejected (``rejected``: by, doc_id, ord, stage, reason). One grouping makes all of it; only
+    the rejections and errors, which are other tables, are joined to it.
+    """
     keys = [*by, "doc_id"]
     line = lambda section, ord_, text, rule: F.struct(F.lit(section).alias("section"), ord_.cast("long").alias("ord"), text.alias("text"), rule.alias("rules"))
-    said = lambda df: describe_extraction({c: F.col(c) for c in ("value", "value_max", "unit", "target_entity", "metric_type", "context_modifier", "sentence")})
+    said = lambda side: describe_extraction({c: F.col(f"{side}_{c}") for c in ("value", "value_max", "unit", "target_entity", "metric_type", "context_modifier", "sentence")})
     one = lambda *c: F.array_compact(F.array(*c))
-    parts = [missed_rows.select(*keys, line(1, F.col("ord"), F.concat(F.lit("missing: "), said(missed_rows)), one(F.lit("list"), F.when(F.col("metric_type") == "Invalid Candidate", F.lit("Invalid Candidate")))).alias("x"))]
-    outside = F.when(~F.coalesce(F.col("unit").isin(*UNITS), F.lit(False)), F.lit("boundary"))
-    parts.append(invented_rows.select(*keys, line(2, F.col("ord"), F.concat(F.lit("extra: "), said(invented_rows)), one(outside, F.lit("once"))).alias("x")))
+    missing = line(2, F.col("g_ord"), F.concat(F.lit("missing: "), said("g")), one(F.lit("list"), F.when(F.col("g_metric_type") == "Invalid Candidate", F.lit("Invalid Candidate"))))
+    outside = F.when(~F.coalesce(F.col("p_unit").isin(*UNITS), F.lit(False)), F.lit("boundary"))
+    extra = line(3, F.col("p_ord"), F.concat(F.lit("extra: "), said("p")), one(outside, F.lit("once")))
+    wrong = []
     for k, name in enumerate(n for n in TUPLE_FIELDS if n != "value"):
         rule = F.col("g_metric_type") if name == "metric_type" else F.lit(RULE_OF_FIELD[name])
         text = F.concat(F.lit(f"wrong {name}: should be "), F.coalesce(F.col(f"g_{name}").cast("string"), F.lit("none")), F.lit(", got "), F.coalesce(F.col(f"p_{name}").cast("string"), F.lit("none")))
-        parts.append(matched.where(~fields_equal(name)).select(*keys, line(3, F.col("g_ord") * 10 + k, text, one(rule)).alias("x")))
+        wrong.append(F.when(~fields_equal(name), line(4, F.col("g_ord") * 10 + k, text, one(rule))))
+    made = F.when(F.col("kind") == "missed", F.array(missing)).when(F.col("kind") == "invented", F.array(extra)).when(F.col("kind") == "pair", F.array_compact(F.array(*wrong)))
+    n = lambda kind, more=None: F.sum(((F.col("kind") == kind) & (F.lit(True) if more is None else more)).cast("long"))
+    told = rows.groupBy(*keys).agg(
+        n("pair").alias("det_tp"), n("missed").alias("det_fn"), n("invented").alias("det_fp"), n("pair", complete()).alias("tup_tp"), F.flatten(F.collect_list(made)).alias("l"),
+    ).withColumns({f"tup_{c}": F.col("det_tp") - F.col("tup_tp") + F.col(f"det_{c}") for c in ("fp", "fn")})
+    lines = F.col("l")
+    if unusable is not None:
+        why = unusable.groupBy(*keys).agg(F.collect_list(line(1, F.lit(0), F.concat(F.lit("could not be used: "), F.col("error")), F.array(F.lit("format")))).alias("u"))
+        told, lines = told.join(why, keys, "left"), F.concat(lines, F.coalesce("u", F.slice("l", 1, 0)))
     if rejected is not None:
         stages = rejected.groupBy(*keys, "stage").agg(F.count(F.lit(1)).alias("n"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "reason"))), lambda r: r["reason"]), 1, 3).alias("first"))
         why = F.when(F.col("stage") == "anchoring", F.concat(F.col("n").cast("string"), F.lit(" discarded: not in the abstract"))).otherwise(F.concat(F.col("n").cast("string"), F.lit(" discarded by the schema: "), F.array_join("first", "; ")))
         rule = F.when(F.col("stage") == "anchoring", F.lit("anchor")).when(F.exists("first", lambda r: r.contains("unit")), F.lit("boundary"))
-        parts.append(stages.select(*keys, line(4, F.lit(0), why, one(rule)).alias("x")))
-    lines = parts[0]
-    for p in parts[1:]:
-        lines = lines.unionByName(p)
-    told = lines.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("l"))
-    report = counts.withColumn("score", doc_score()).select(*keys, "score").join(told, keys, "left")
-    text = F.array_join(F.transform("l", lambda x: x["text"]), "\n")
-    return report.select(*keys, "score", F.coalesce(text, F.lit("all entries match the reference")).alias("lines"), F.coalesce(F.array_distinct(F.flatten(F.transform("l", lambda x: x["rules"]))), F.array().cast("array<string>")).alias("rules"))
-
-
+        each = stages.groupBy(*keys).agg(F.collect_list(line(5, F.when(F.col("stage") == "anchoring", 0).otherwise(1), why, one(rule))).alias("r"))
+        told, lines = told.join(each, keys, "left"), F.concat(lines, F.coalesce("r", F.slice("l", 1, 0)))
+    f1 = lambda k: prf(*[F.col(f"{k}_{c}") for c in ("tp", "fp", "fn")])["f1"]
+    none = (F.col("det_tp") + F.col("det_fp") + F.col("det_fn")) == 0
+    two = lambda x: F.format_string("%.2f", F.when(none, 1.0).otherwise(x))
+    first = F.concat(
+        F.lit("score "), two(doc_score()), F.lit(" (values "), two(f1("det")), F.lit(", whole entries "), two(f1("tup")), F.lit("); the reference has "), (F.col("det_tp") + F.col("det_fn")).cast("string"), F.lit(" entries, the reply "), (F.col("det_tp") + F.col("det_fp")).cast("string"),
+    )
+    texts = F.transform("l", lambda x: x["text"])
+    right = F.when((doc_score() == 1.0) & ~F.exists("l", lambda x: x["section"] == 4), F.array(F.lit("all entries match the reference"))).otherwise(F.array().cast("array<string>"))
+    names = F.array_distinct(F.flatten(F.transform("l", lambda x: x["rules"])))
+    listed = F.create_map(*[x for k, v in rules.items() for x in (F.lit(k), F.lit(v))])
+    report = told.withColumn("l", F.array_sort(lines)).select(*keys, doc_score().alias("score"), F.array_join(F.concat(F.array(first), texts, right), "\n").alias("lines"), names.alias("rules"))
+    return report.withColumn("advice", F.transform("rules", lambda r: F.coalesce(listed[r], r)))

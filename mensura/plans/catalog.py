@@ -19,6 +19,7 @@ from mensura.operators import works as wk
 from mensura.plans.derive import ABSTRACTS, GOLD, LOG, PRED, SAMPLES, SYSTEMS, sql
 from mensura.schemas import CATEGORICAL, TUPLE_FIELDS, UNITS
 from mensura.sources import tables as src
+from mensura.sources.shared import stored
 from mensura.streaming import jobs
 
 QUERIES: dict = {}
@@ -52,12 +53,16 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return sql(s, d, "SELECT o_orderkey AS doc_id FROM orders")
 
 
+def _rows(s: SparkSession, d: str) -> DataFrame:
+    return ev.aligned_rows(_docs(s, d), _gold(s, d), _pred(s, d), sql(s, d, SYSTEMS))
+
+
 def _matched(s: SparkSession, d: str) -> DataFrame:
-    return ev.matched_pairs(_gold(s, d), _pred(s, d))
+    return ev.of_kind(_rows(s, d), "pair")
 
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
-    return ev.doc_counts(_docs(s, d), _gold(s, d), _pred(s, d), _matched(s, d), sql(s, d, SYSTEMS))
+    return ev.doc_counts(_rows(s, d))
 
 
 _CLOSE = "(({0} IS NULL AND {1} IS NULL) OR coalesce(abs({0} - {1}) <= 0.01 * greatest(abs({0}), abs({1})), false))"
@@ -135,12 +140,12 @@ _LABELS = " UNION ALL ".join(f"SELECT arm, seed, '{f}' AS field, g_{f} AS g, p_{
     f"SELECT arm, seed, field, round(avg({_prf_sql('', 'tp', 'fp', 'fn')['f1']}), 6) AS macro_f1, count(*) AS n_labels FROM y GROUP BY 1, 2, 3"
 )
 def q_macro_f1(s, d):
-    return _rounded(ev.macro_f1(_matched(s, d)))
+    return _rounded(ev.macro_f1(ev.label_cells(_matched(s, d))))
 
 
 @query(f"{_ALIGNED} SELECT arm, seed, g_metric_type AS gold_label, p_metric_type AS pred_label, count(*) AS n FROM m GROUP BY ALL")
 def q_confusion(s, d):
-    return ev.confusion(_matched(s, d), "metric_type")
+    return ev.confusion(ev.label_cells(_matched(s, d), ("metric_type",)), "metric_type")
 
 
 @query(
@@ -150,9 +155,7 @@ def q_confusion(s, d):
     "SELECT arm, gold_label, pred_label, n, round(n / sum(n) OVER (PARTITION BY arm, gold_label), 6) AS row_share FROM (SELECT arm, gold_label, pred_label, count(*) AS n FROM x GROUP BY ALL)"
 )
 def q_confusion_absent(s, d):
-    gold, pred = _gold(s, d), _pred(s, d)
-    pairs = ev.matched_pairs(gold, pred)
-    return _rounded(ev.confusion_with_absent(pairs, ev.missed(pairs, gold, sql(s, d, SYSTEMS)), ev.invented(pairs, pred), "metric_type"))
+    return _rounded(ev.confusion_with_absent(_rows(s, d), "metric_type"))
 
 
 @query(f"{_ALIGNED} SELECT arm, seed, doc_id, round({_SCORE}, 6) AS score FROM c")
@@ -197,9 +200,7 @@ def q_kappa(s, d):
 
 
 def _divergences(s: SparkSession, d: str) -> DataFrame:
-    gold, pred = _gold(s, d), _pred(s, d)
-    pairs = ev.matched_pairs(gold, pred)
-    return ag.divergences(pairs, ev.missed(pairs, gold, sql(s, d, SYSTEMS)), ev.invented(pairs, pred), ("arm",))
+    return ag.divergences(_rows(s, d), ("arm",))
 
 
 @query(f"{_ALIGNED} SELECT arm, {', '.join(f'count(*) FILTER (WHERE NOT ({x})) AS {f}' for f, x in _EQUAL.items())} FROM m GROUP BY arm")
@@ -219,38 +220,30 @@ def q_divergence_kinds(s, d):
 
 
 _STRICT_G = f"SELECT doc_id, ord, CAST(value AS STRING) AS value, CAST(value_max AS STRING) AS value_max, is_range, metric_type, entity_type FROM ({GOLD}) g"
-_STRICT_P = f"SELECT doc_id, ord, concat('~', CAST(value AS STRING), ' ppm') AS value, CAST(value_max AS STRING) AS value_max, is_range, metric_type, entity_type FROM ({PRED}) q WHERE arm = 'base' AND seed = 0"
-_STRICT_OF = """
-    WITH g AS (SELECT *, TRY_CAST(value AS DOUBLE) AS a, CASE WHEN is_range THEN TRY_CAST(value_max AS DOUBLE) END AS b FROM ({0})), p AS (SELECT *, TRY_CAST(regexp_extract(value, '[-+]?[0-9][0-9,.]*') AS DOUBLE) AS a, CASE WHEN is_range THEN TRY_CAST(value_max AS DOUBLE) END AS b FROM ({1})),
-    x AS (SELECT g.metric_type AS gm, p.metric_type AS pm, g.entity_type AS ge, p.entity_type AS pe, g.ord AS g, p.ord AS p
-          FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, is_range, a, b ORDER BY ord) AS n FROM g) g FULL JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, is_range, a, b ORDER BY ord) AS n FROM p) p
-          ON g.doc_id = p.doc_id AND g.is_range = p.is_range AND g.a = p.a AND g.b IS NOT DISTINCT FROM p.b AND g.n = p.n),
-    t AS (SELECT count(*) FILTER (WHERE g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (WHERE g IS NULL) AS fp, count(*) FILTER (WHERE p IS NULL) AS fn, count(*) FILTER (WHERE gm = pm) AS m, count(*) FILTER (WHERE ge = pe) AS e FROM x)
+_STRICT_P = f"SELECT doc_id, ord, concat('~', CAST(value AS STRING), ' ppm') AS value, CAST(value_max AS STRING) AS value_max, is_range, metric_type, entity_type, arm, seed FROM ({PRED}) q"
+_STRICT = f"""
+    WITH g AS (SELECT *, TRY_CAST(value AS DOUBLE) AS a, CASE WHEN is_range THEN TRY_CAST(value_max AS DOUBLE) END AS b FROM ({_STRICT_G})), p AS (SELECT *, TRY_CAST(regexp_extract(value, '[-+]?[0-9][0-9,.]*') AS DOUBLE) AS a, CASE WHEN is_range THEN TRY_CAST(value_max AS DOUBLE) END AS b FROM ({_STRICT_P})),
+    x AS (SELECT coalesce(g.arm, p.arm) AS arm, coalesce(g.seed, p.seed) AS seed, g.metric_type AS gm, p.metric_type AS pm, g.entity_type AS ge, p.entity_type AS pe, g.ord AS g, p.ord AS p
+          FROM (SELECT g.*, s.arm, s.seed, row_number() OVER (PARTITION BY s.arm, s.seed, doc_id, is_range, a, b ORDER BY ord) AS n FROM g CROSS JOIN ({SYSTEMS}) s) g
+          FULL JOIN (SELECT *, row_number() OVER (PARTITION BY arm, seed, doc_id, is_range, a, b ORDER BY ord) AS n FROM p) p
+          ON g.arm = p.arm AND g.seed = p.seed AND g.doc_id = p.doc_id AND g.is_range = p.is_range AND g.a = p.a AND g.b IS NOT DISTINCT FROM p.b AND g.n = p.n),
+    t AS (SELECT arm, seed, count(*) FILTER (WHERE g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (WHERE g IS NULL) AS fp, count(*) FILTER (WHERE p IS NULL) AS fn, count(*) FILTER (WHERE gm = pm) AS m, count(*) FILTER (WHERE ge = pe) AS e FROM x GROUP BY arm, seed)
 """
-_STRICT = _STRICT_OF.format(_STRICT_G, _STRICT_P)
 
 
-@query(_STRICT + "SELECT tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round(m / tp, 4) AS metric_accuracy, round(e / tp, 4) AS entity_accuracy FROM t")
+@query(_STRICT + "SELECT arm, seed, tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round(m / tp, 4) AS metric_accuracy, round(e / tp, 4) AS entity_accuracy FROM t")
 def q_strict_eval(s, d):
-    """The strict evaluation over all documents; one-sided rows are those that PRED drops or invents."""
-    return ev.strict_eval(sql(s, d, _STRICT_G), sql(s, d, _STRICT_P))
+    """The strict evaluation of every arm and seed over all documents; one-sided rows are those that PRED drops or invents."""
+    return ev.strict_eval(sql(s, d, _STRICT_G), sql(s, d, _STRICT_P), ev.BY)
 
 
-@query(_STRICT + "SELECT CASE WHEN g IS NULL THEN 'false_positive' WHEN p IS NULL THEN 'false_negative' ELSE 'misclassified' END AS error_type, count(*) AS n FROM x WHERE g IS NULL OR p IS NULL OR gm <> pm OR ge <> pe GROUP BY 1")
+@query(_STRICT + "SELECT arm, seed, CASE WHEN g IS NULL THEN 'false_positive' WHEN p IS NULL THEN 'false_negative' ELSE 'misclassified' END AS error_type, count(*) AS n FROM x WHERE g IS NULL OR p IS NULL OR gm <> pm OR ge <> pe GROUP BY 1, 2, 3")
 def q_strict_errors(s, d):
-    return ev.strict_errors(sql(s, d, _STRICT_G), sql(s, d, _STRICT_P)).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
+    return ev.strict_errors(sql(s, d, _STRICT_G), sql(s, d, _STRICT_P), ev.BY).groupBy("arm", "seed", "error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _critique(s: SparkSession, d: str) -> DataFrame:
-    gold, pred = _gold(s, d), _pred(s, d)
-    pairs = ev.matched_pairs(gold, pred)
-    return ev.critique_report(ev.doc_counts(_docs(s, d), gold, pred, pairs, sql(s, d, SYSTEMS)), pairs, ev.missed(pairs, gold, sql(s, d, SYSTEMS)), ev.invented(pairs, pred))
-
-
-@query(f"{_ALIGNED} SELECT arm, seed, doc_id, round({_SCORE}, 6) AS score FROM c")
-def q_critique(s, d):
-    """The critique's scores; q_critique_report has its lines and rules too."""
-    return _rounded(_critique(s, d).select("arm", "seed", "doc_id", "score"))
+    return ev.critique_report(_rows(s, d))
 
 
 @query()
@@ -275,7 +268,7 @@ _WRONG = " UNION ALL ".join(
 )
 def q_critique_lines(s, d):
     """Of every document's critique the lines by kind, and its rules."""
-    line = F.filter(F.split("lines", "\n"), lambda x: x != "all entries match the reference")
+    line = F.filter(F.split("lines", "\n"), lambda x: x.startswith("missing: ") | x.startswith("extra: ") | x.startswith("wrong "))
     many = lambda kind: F.size(F.filter(line, lambda x: x.startswith(kind))).cast("long")
     return _critique(s, d).select("arm", "seed", "doc_id", many("missing: ").alias("n_missing"), many("extra: ").alias("n_extra"), many("wrong ").alias("n_wrong"), F.array_join(F.array_sort("rules"), ";").alias("rules"))
 
@@ -588,9 +581,10 @@ def q_errors_topn(s, d):
     return op.errors_by_type(sql(s, d, "SELECT event_type AS error_type, event_id FROM events"), "event_id", 12, 2)
 
 
-@query("SELECT text, min(conv_id * 1000 + turn) AS seq FROM conversations WHERE text IS NOT NULL GROUP BY 1")
+@query("SELECT text, min(conv_id * 1000 + turn) AS seq FROM conversations GROUP BY 1")
 def q_distinct_prompts(s, d):
-    return op.distinct_prompts(sql(s, d, "SELECT text, conv_id * 1000 + turn AS seq FROM conversations WHERE text IS NOT NULL"))
+    """Every prompt once; a null text counts as one prompt."""
+    return op.distinct_prompts(sql(s, d, "SELECT text, conv_id * 1000 + turn AS seq FROM conversations"))
 
 
 # ---- streams -------------------------------------------------------------------------------
@@ -614,15 +608,24 @@ def q_stream_usage(s, d):
 
 # ---- further operators ---------------------------------------------------------------------
 
-_ROUNDS = tuple(f"SELECT doc_id, ord, value, value_max, is_range, unit, sentence, metric_type, target_entity, entity_type, context_modifier FROM ({PRED}) z WHERE arm = '{a}' AND seed = 0" for a in ("base", "tuned"))
+#: Of every seed the base arm is the first round and the tuned arm the second.
+_ROUNDS = tuple(f"SELECT doc_id * 2 + seed AS doc_id, ord, value, value_max, is_range, unit, sentence, metric_type, target_entity, entity_type, context_modifier FROM ({PRED}) z WHERE arm = '{a}'" for a in ("base", "tuned"))
+_ROUND_DOCS = "SELECT o_orderkey * 2 + seed AS doc_id FROM orders CROSS JOIN (VALUES (0), (1)) AS t(seed)"
 
 
-_ROUND_CTE = _ALIGNED.replace(f"({PRED})", "@second").replace(f"({GOLD})", f"({_ROUNDS[0]})").replace("@second", f"(SELECT 'second' AS arm, 0 AS seed, y.* FROM ({_ROUNDS[1]}) y)")
+_ROUND_CTE = _ALIGNED.replace(f"({PRED})", "@second").replace(f"({GOLD})", f"({_ROUNDS[0]})").replace("@second", f"(SELECT 'second' AS arm, 0 AS seed, y.* FROM ({_ROUNDS[1]}) y)").replace("o.o_orderkey", "o.doc_id").replace(f"FROM orders o CROSS JOIN ({SYSTEMS})", f"FROM ({_ROUND_DOCS}) o CROSS JOIN (SELECT 'second' AS arm, 0 AS seed)")
 
 
 def _agreement(s: SparkSession, d: str) -> dict[str, DataFrame]:
     first, second = (ev.prepared(sql(s, d, r)) for r in _ROUNDS)
-    return ag.agreement(_docs(s, d), first, _docs(s, d), second)
+    docs = sql(s, d, _ROUND_DOCS)
+    return ag.agreement(docs, first, docs, second)
+
+
+@query(f"{_ROUND_CTE} SELECT *, {_RATES} FROM (SELECT {_SUMS} FROM c)")
+def q_agreement_prf(s, d):
+    """Counts and rates of the second annotation round against the first, over all documents."""
+    return _rounded(_agreement(s, d)["prf"].drop("round"))
 
 
 @query(f"{_ROUND_CTE} SELECT field, hits, total, round(CAST(hits AS DOUBLE) / total, 6) AS accuracy FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (WHERE {x}) AS hits, count(*) AS total FROM m" for f, x in _EQUAL.items()) + ")")
@@ -640,19 +643,13 @@ _KAPPA_SQL = " UNION ALL ".join(
 
 @query(f"{_ROUND_CTE} SELECT field, n, round(po, 6) AS po, round(pe, 6) AS pe, round(kappa, 6) AS kappa FROM ({_KAPPA_SQL})")
 def q_agreement_kappa(s, d):
-    return _rounded(_agreement(s, d)["kappa"])
+    return _rounded(_agreement(s, d)["kappa"].drop("round"))
 
 
 @query(f"{_ALIGNED} SELECT arm, {', '.join(f'{c}' for c in ev.COUNTS)}, {_RATES} FROM (SELECT arm, {_SUMS} FROM c GROUP BY arm)")
 def q_arm_summary(s, d):
     """Each arm's counts and rates pooled over its seeds."""
-    return _rounded(st.arm_summary(_counts(s, d), _matched(s, d))["pooled"])
-
-
-@query(f"{_ALIGNED} SELECT arm, round(avg(score), 6) AS mean_score, count(*) AS n_seeds FROM (SELECT arm, seed, avg({_SCORE}) AS score FROM c GROUP BY 1, 2) GROUP BY 1")
-def q_evaluate(s, d):
-    """The scores of the whole report."""
-    return _rounded(ev.evaluate(_docs(s, d), _gold(s, d), _pred(s, d), sql(s, d, SYSTEMS))["scores"])
+    return _rounded(st.arm_summary(stored(_rows(s, d), "aligned"))["pooled"])
 
 
 def _tall(part: str, source: str, names: dict[str, str], arm: str = "arm", seed: str = "NULL", texts: str = "") -> str:
@@ -704,14 +701,14 @@ def q_evaluate_report(s, d):
 )
 def q_arm_report(s, d):
     """The whole summary of the arms: rates per seed and pooled, scores, confusion and kappa."""
-    report = st.arm_summary(_counts(s, d), _matched(s, d))
+    report = st.arm_summary(stored(_rows(s, d), "aligned"))
     return _rounded(ev.report_rows({k: report[k] for k in ("per_seed", "pooled", "scores", "confusion", "kappa", "kappa_per_seed")}))
 
 
 @query()
 def q_report_intervals(s, d):
     """Both reports' intervals, and the annotators' rates beside the arms'; a test compares them with plain Python."""
-    report = st.arm_summary(_counts(s, d), _matched(s, d), _agreement(s, d)["counts"])
+    report = st.arm_summary(stored(_rows(s, d), "aligned"), _agreement(s, d)["counts"])
     return ev.report_rows({k: report[k] for k in ("pooled", "det_ci", "tup_ci")})
 
 
