@@ -189,8 +189,8 @@ def _aligned_lists(docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: D
     whole = for_each_system(docs.join(g, "doc_id", "left").join(p, "doc_id", "left"), systems, by)
     own = F.filter("p", lambda y: F.lit(True) if not by else _all(y[c].eqNullSafe(F.col(c)) for c in by))
     lists = whole.select(*by, "doc_id", F.coalesce("g", F.array().cast(g.schema["g"].dataType)).alias("g"), F.coalesce(own, F.array().cast(p.schema["p"].dataType)).alias("p"))
-    place = lambda side: F.transform(side, lambda x, n: F.struct(x.alias("x"), n.alias("n")))
-    near = F.flatten(F.transform(place("g"), lambda a: F.transform(F.filter(place("p"), lambda b: values_match(a["x"]["value"], b["x"]["value"])), lambda b: F.struct((-pair_score(a["x"], b["x"])).alias("k"), a["n"].alias("i"), b["n"].alias("j")))))
+    match = lambda a, i: F.transform("p", lambda b, j: F.when(values_match(a["value"], b["value"]), F.struct((-pair_score(a, b)).alias("k"), i.alias("i"), j.alias("j"))))
+    near = F.array_compact(F.flatten(F.transform("g", match)))
     chosen = lists.withColumn("c", F.array_sort(near)).withColumn("c", _greedy(F.col("c")))
     none = lambda df, c: F.lit(None).cast(df.schema[c].dataType.elementType)
     row = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("g"), y.alias("p"))
@@ -233,6 +233,7 @@ def aligned_rows(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems
     Rows of other documents are ignored. A document's (doc_id, ord) is expected to be unique on
     each side. Documents with more than ``most`` gold rows and predictions are found by a count
     beforehand and aligned by rounds; the others are lists, grouped and aligned within a document.
+    Both inputs are read by the count and again by the alignment: store them if they are costly to derive.
     """
     docs = gold_docs.select("doc_id").distinct()
     crowded = stored(gold.select("doc_id").unionAll(pred.select("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("doc_id"), "crowded")
@@ -486,7 +487,7 @@ def critique_report(rows: DataFrame, rejected: DataFrame | None = None, unusable
         told, lines = told.join(each, keys, "left"), F.concat(lines, F.coalesce("r", F.slice("l", 1, 0)))
     f1 = lambda k: prf(*[F.col(f"{k}_{c}") for c in ("tp", "fp", "fn")])["f1"]
     none = (F.col("det_tp") + F.col("det_fp") + F.col("det_fn")) == 0
-    two = lambda x: F.format_string("%.2f", F.when(none, 1.0).otherwise(x))
+    two = lambda x: F.format_string("%.2f", F.bround(F.when(none, 1.0).otherwise(x), 2))
     first = F.concat(
         F.lit("score "), two(doc_score()), F.lit(" (values "), two(f1("det")), F.lit(", whole entries "), two(f1("tup")), F.lit("); the reference has "), (F.col("det_tp") + F.col("det_fn")).cast("string"), F.lit(" entries, the reply "), (F.col("det_tp") + F.col("det_fp")).cast("string"),
     )

@@ -54,7 +54,8 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _rows(s: SparkSession, d: str) -> DataFrame:
-    return ev.aligned_rows(_docs(s, d), _gold(s, d), _pred(s, d), sql(s, d, SYSTEMS))
+    # derived by windows, and read twice: by the count of crowded documents and by the alignment
+    return ev.aligned_rows(_docs(s, d), stored(_gold(s, d), "gold"), stored(_pred(s, d), "predictions"), sql(s, d, SYSTEMS))
 
 
 def _matched(s: SparkSession, d: str) -> DataFrame:

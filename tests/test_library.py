@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
@@ -39,14 +40,25 @@ def ext(doc, ord_, value, unit="%", entity="Nd", **more):
     return (doc, ord_, *[row[n] for n in EXTRACTION])
 
 
-def scored(spark, gold, pred, docs=("d",)):
+def aligned(spark, gold, pred, docs, **how):
+    """Aligned rows of literal extractions, predictions being of arm a and seed 0."""
     g = ev.prepared(spark.createDataFrame(gold, f"doc_id string, ord int, {FIELDS}"))
     p = ev.prepared(spark.createDataFrame([("a", 0, *r) for r in pred], f"arm string, seed int, doc_id string, ord int, {FIELDS}"))
-    d = spark.createDataFrame([(x,) for x in docs], "doc_id string")
-    s = spark.createDataFrame([("a", 0)], "arm string, seed int")
-    pairs = ev.align(g, p)
-    m = ev.aligned_fields(pairs, g, p)
-    return {(r.g_ord, r.p_ord) for r in pairs.collect()}, {r.doc_id: r for r in ev.doc_counts(d, g, p, m, s).withColumn("score", ev.doc_score()).collect()}
+    d, s = spark.createDataFrame([(x,) for x in docs], "doc_id string"), spark.createDataFrame([("a", 0)], "arm string, seed int")
+    return g, p, ev.aligned_rows(d, g, p, s, **how)
+
+
+def scored(spark, gold, pred, docs=("d",)):
+    """Pairs and counts, the same from lists, from rounds and from the pairs alone."""
+    results = []
+    for most in (1000, 0):
+        g, p, rows = aligned(spark, gold, pred, docs, most=most)
+        pairs = {(r.doc_id, r.g_ord, r.p_ord) for r in ev.of_kind(rows, "pair").collect()}
+        lone = {(kind, r.doc_id, r.ord) for kind in ("missed", "invented") for r in ev.of_kind(rows, kind).collect()}
+        results.append((pairs, lone, {r.doc_id: r for r in ev.doc_counts(rows).withColumn("score", ev.doc_score()).collect()}))
+    assert results[0] == results[1]
+    assert {(r.doc_id, r.g_ord, r.p_ord) for r in ev.align(g, p).collect() if r.doc_id in docs} == results[0][0]
+    return {x[1:] for x in results[0][0]}, results[0][2]
 
 
 def test_numbers_units_entities(spark):
@@ -199,15 +211,76 @@ def test_strict_eval(spark):
     assert (r.tp, r.fp, r.fn, r.metric_accuracy, r.entity_accuracy) == (1, 4, 3, 0.0, 1.0)
 
 
+def test_crowded_document_is_aligned_by_rounds(spark):
+    """100,000 values in one document: the greedy choice without any list of a document's rows."""
+    n, rng = 100_000, random.Random(7)
+    values = [round(10 ** rng.uniform(0, 80), 3) for _ in range(n)]
+    gold = [("d", i, v, rng.choice("ab"), rng.choice("xy")) for i, v in enumerate(values)]
+    pred = [("d", i, v * rng.choice([1, 1.004, 0.993, 1.03]), rng.choice("ab"), rng.choice("xy")) for i, v in enumerate(rng.sample(values, n))]
+    more = "CAST(NULL AS DOUBLE) AS value_max, false AS is_range, 's' AS sentence, 'm' AS metric_type, 'e' AS entity_type, 'none' AS context_modifier, ent AS target_entity"
+    side = lambda rows: ev.prepared(spark.createDataFrame(pd.DataFrame(rows), "doc_id string, ord int, value double, unit string, ent string").selectExpr("doc_id", "ord", "value", "unit", *more.split(", ")))
+    g, p = side(gold), side(pred).selectExpr("'a' AS arm", "0 AS seed", "*")
+    rows = ev.aligned_rows(spark.createDataFrame([("d",)], "doc_id string"), g, p, spark.createDataFrame([("a", 0)], "arm string, seed int"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("collect_list") == 2 * plan.count("partial_collect_list") == 4  # of the other documents alone
+    got = {(r.g_ord, r.p_ord) for r in ev.of_kind(rows, "pair").select("g_ord", "p_ord").collect()}
+    order = sorted(range(n), key=lambda j: pred[j][2])
+    sizes = [pred[j][2] for j in order]
+    from bisect import bisect_left, bisect_right
+
+    near = ((-(1.5 + 0.5 * (u == pred[j][3]) + 0.5 * (e == pred[j][4])), i, j) for _, i, v, u, e in gold for j in order[bisect_left(sizes, v * 0.98) : bisect_right(sizes, v * 1.02)] if abs(v - pred[j][2]) <= 0.01 * max(abs(v), abs(pred[j][2])))
+    want, used_g, used_p = set(), set(), set()
+    for _, i, j in sorted(near):
+        if i not in used_g and j not in used_p:
+            used_g.add(i), used_p.add(j), want.add((i, j))
+    assert got == want and len(want) > n // 2
+    counts = ev.doc_counts(rows).first()
+    assert (counts.det_tp, counts.det_fn, counts.det_fp) == (len(want), n - len(want), n - len(want))
+
+
+def test_chains_of_ties_end_in_one_pass(spark):
+    """Ties make a pair the best of both sides one at a time; the choice is the greedy one all the same."""
+    rows = [("d", -1.0, i, j) for i in range(60) for j in range(max(0, i - 2), min(60, i + 3))] + [("e", -float(i % 3), i, j) for i in range(9) for j in range(9)]
+    df = spark.createDataFrame(rows, "doc_id string, k double, i bigint, j bigint")
+    want = set()
+    for d in "de":
+        used_i, used_j = set(), set()
+        for _, k, i, j in sorted(r for r in rows if r[0] == d):
+            if i not in used_i and j not in used_j:
+                used_i.add(i), used_j.add(j), want.add((d, i, j))
+    for least in (0.05, 0.2, 1.0):
+        assert {tuple(r) for r in ev.mutual_best(df, ["doc_id"], least).collect()} == want
+    assert ev.mutual_best(df.limit(0), ["doc_id"]).count() == 0
+
+
+def test_many_systems_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(ev, "MOST_LITERALS", 2)
+    docs, systems = spark.range(3).toDF("doc_id"), spark.createDataFrame([(f"a{i}", i) for i in range(5)], "arm string, seed int")
+    assert sorted(map(tuple, ev.for_each_system(docs, systems).collect())) == sorted((f"a{i}", i, k) for i in range(5) for k in range(3))
+
+
+def test_reports_are_groupings_of_one_alignment(spark):
+    """Scans and exchanges of the plans, once the alignment is stored."""
+    from mensura.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    limits = {"q_arm_report": (8, 15), "q_evaluate_report": (8, 15), "q_permutation": (8, 8), "q_agreement_kappa": (4, 6), "q_divergence_kinds": (4, 6)}
+    for name, (scans, exchanges) in limits.items():
+        plan = catalog.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= scans and plan.count("Exchange hashpartitioning") <= exchanges, (name, plan.count("FileScan parquet"), plan.count("Exchange hashpartitioning"))
+
+
 def test_critique(spark):
-    g = ev.prepared(spark.createDataFrame([ext("d", 0, 5.0), ext("d", 1, 50.0)], f"doc_id string, ord int, {FIELDS}"))
-    p = ev.prepared(spark.createDataFrame([("a", 0, *ext("d", 0, 5.0, "ppm")), ("a", 0, *ext("d", 1, 7.0, "kg"))], f"arm string, seed int, doc_id string, ord int, {FIELDS}"))
-    s, d = spark.createDataFrame([("a", 0)], "arm string, seed int"), spark.createDataFrame([("d",), ("e",)], "doc_id string")
-    pairs = ev.align(g, p)
-    m = ev.aligned_fields(pairs, g, p)
-    got = {r.doc_id: r for r in ev.critique_report(ev.doc_counts(d, g, p, m, s), m, ev.missed(pairs, g, s), ev.invented(pairs, p)).collect()}
-    assert got["d"].lines.split("\n")[0].startswith("missing: 50 % | Nd") and got["d"].rules == ["list", "boundary", "once", "unit"]
-    assert got["e"].score == 1.0 and got["e"].rules == []
+    _, _, rows = aligned(spark, [ext("d", 0, 5.0), ext("d", 1, 50.0)], [ext("d", 0, 5.0, "ppm"), ext("d", 1, 7.0, "kg")], ("d", "e"))
+    rejected = spark.createDataFrame([("a", 0, "d", k, stage, why) for k, (stage, why) in enumerate([("schema", "unit: not recognised"), ("anchoring", "x"), ("schema", "value: missing"), ("schema", "3"), ("schema", "4")])], "arm string, seed int, doc_id string, ord int, stage string, reason string")
+    unusable = spark.createDataFrame([("a", 0, "e", "no JSON")], "arm string, seed int, doc_id string, error string")
+    got = {r.doc_id: r for r in ev.critique_report(rows, rejected, unusable).collect()}
+    lines = got["d"].lines.split("\n")
+    assert lines[0] == "score 0.25 (values 0.50, whole entries 0.00); the reference has 2 entries, the reply 2" and lines[1].startswith("missing: 50 % | Nd") and lines[2].startswith("extra: 7 kg")
+    assert lines[3:] == ["wrong unit: should be %, got ppm", "1 discarded: not in the abstract", "4 discarded by the schema: unit: not recognised; value: missing; 3"]
+    assert got["d"].rules == ["list", "boundary", "once", "unit", "anchor"] and got["d"].advice[3] == ev.RULES["unit"]
+    assert got["e"].lines.split("\n") == ["score 1.00 (values 1.00, whole entries 1.00); the reference has 0 entries, the reply 0", "could not be used: no JSON", "all entries match the reference"]
+    assert got["e"].rules == ["format"] and {r.doc_id: r.rules for r in ev.critique_report(rows).collect()}["e"] == []
 
 
 def test_critique_of_every_document(spark):
@@ -244,11 +317,14 @@ def test_critique_of_every_document(spark):
             same = near(g[f], p[f]) if f == "value_max" else g.ent_norm == p.ent_norm if f == "target_entity" else g[f] == p[f]
             if not same:
                 add((arm, seed, doc), 3, i * 10 + k, f"wrong {f}: should be {shown(g[f])}, got {shown(p[f])}", [g.metric_type if f == "metric_type" else ev.RULE_OF_FIELD[f]])
+    sizes = Counter(k[0] for k in gold) + Counter(k[:3] for k in pred)
     rows = catalog.q_critique_report(spark, d).collect()
     assert len(rows) == 4 * spark.read.parquet(f"{d}/orders.parquet").count()
     for r in rows:
         lines = sorted(found.get((r.arm, r.seed, r.doc_id), []), key=lambda x: x[:2])
-        assert r.lines == ("\n".join(x[2] for x in lines) or "all entries match the reference"), r
+        first, *others = r.lines.split("\n")
+        assert others == ([x[2] for x in lines] or ["all entries match the reference"]), r
+        assert first.startswith(f"score {r.score:.2f} (") and first.endswith(f"the reference has {sizes[r.doc_id]} entries, the reply {sizes[r.arm, r.seed, r.doc_id]}"), r
         assert r.rules == list(dict.fromkeys(y for x in lines for y in x[3])), r
 
 
@@ -257,9 +333,8 @@ def test_divergences_of_all_three_kinds(spark):
 
     g = ev.prepared(spark.createDataFrame([ext("d", 0, 5.0), ext("d", 1, 50.0), ext("e", 0, 1.0)], f"doc_id string, ord int, {FIELDS}"))
     p = ev.prepared(spark.createDataFrame([("a", 0, *ext("d", 0, 5.0, "ppm")), ("a", 0, *ext("d", 1, 7.0)), ("b", 0, *ext("e", 0, 1.0))], f"arm string, seed int, doc_id string, ord int, {FIELDS}"))
-    s = spark.createDataFrame([("a", 0), ("b", 0)], "arm string, seed int")
-    pairs = ev.align(g, p)
-    rows = ag.divergences(ev.aligned_fields(pairs, g, p), ev.missed(pairs, g, s), ev.invented(pairs, p), ("arm",)).collect()
+    s, d = spark.createDataFrame([("a", 0), ("b", 0)], "arm string, seed int"), spark.createDataFrame([("d",), ("e",)], "doc_id string")
+    rows = ag.divergences(ev.aligned_rows(d, g, p, s), ("arm",)).collect()
     assert sorted((r.arm, r.kind, r.doc_id, r.ord, r.field or "") for r in rows) == [
         ("a", "DIFFERS", "d", 0, "unit"), ("a", "ONLY-FIRST", "d", 1, ""), ("a", "ONLY-FIRST", "e", 0, ""), ("a", "ONLY-SECOND", "d", 1, ""), ("b", "ONLY-FIRST", "d", 0, ""), ("b", "ONLY-FIRST", "d", 1, ""),
     ]
@@ -329,7 +404,7 @@ def test_reports_have_intervals_kappa_and_confusion(spark):
     report = ev.evaluate(d, g, p, s)
     assert {(r.arm, r.seed, r.f1) for r in report["det_ci"].collect()} == {("a", 0, 0.5), ("a", 1, 0.5)}
     assert report["tup_ci"].count() == 2
-    arms = st.arm_summary(report["counts"], report["matched"])
+    arms = st.arm_summary(report["rows"])
     assert [tuple(r) for r in arms["confusion"].collect()] == [("a", "Process Metric", "m", 2)]
     assert {(r.seed, r.po) for r in arms["kappa_per_seed"].where("field = 'unit'").collect()} == {(0, 1.0), (1, 0.0)}
     rounds = ag.agreement(d, g, d, p.where("seed = 1").drop("arm", "seed"))
@@ -494,11 +569,11 @@ def test_queries_over_all_ids_and_nulls(spark, tmp_path):
     from mensura.plans import catalog
 
     d = "/root/testdata/sf0.001"
-    n_gold, n_pred = catalog._gold(spark, d).count(), catalog._pred(spark, d).where("arm = 'base' AND seed = 0").count()
-    r = catalog.q_strict_eval(spark, d).first()
+    n_gold = catalog._gold(spark, d).count()
+    n_pred = {(r.arm, r.seed): r["count"] for r in catalog._pred(spark, d).groupBy("arm", "seed").count().collect()}
     # the strict rates: fp has no gold row, fn no predicted one
-    assert (r.tp + r.fn, r.tp + r.fp) == (n_gold, n_pred)
-    assert catalog._agreement(spark, d)["docs"].count() == spark.read.parquet(f"{d}/orders.parquet").count()
+    assert {(r.arm, r.seed): (r.tp + r.fn, r.tp + r.fp) for r in catalog.q_strict_eval(spark, d).collect()} == {k: (n_gold, n) for k, n in n_pred.items()}
+    assert catalog._agreement(spark, d)["docs"].count() == 2 * spark.read.parquet(f"{d}/orders.parquet").count()
     rows = [(2, None, None, None), (4, "one two  one", None, None), (6, "cut off...", "en", "web"), (10, None, "en", "web"), (11, "x", "en", "web")]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 1, None), (1, 2, "a"), (1, 3, "a")], "conv_id bigint, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
