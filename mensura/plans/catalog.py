@@ -19,7 +19,7 @@ from mensura.operators import works as wk
 from mensura.plans.derive import ABSTRACTS, GOLD, LOG, PRED, SAMPLES, SYSTEMS, sql
 from mensura.schemas import CATEGORICAL, TUPLE_FIELDS, UNITS
 from mensura.sources import tables as src
-from mensura.sources.shared import stored
+from mensura.sources.shared import new_folder, stored
 from mensura.streaming import jobs
 
 QUERIES: dict = {}
@@ -598,13 +598,13 @@ def _streamed(s: SparkSession, d: str, table: str) -> DataFrame:
 @query(f"SELECT i, seq, error, result FROM ({LOG}) QUALIFY row_number() OVER (PARTITION BY i ORDER BY error IS NULL DESC, seq DESC) = 1")
 def q_stream_compact_log(s, d):
     log = _streamed(s, d, "events").selectExpr("user_id AS i", "event_id AS seq", "CASE WHEN event_type = 'error' OR event_id % 3 = 0 THEN 'failed' END AS error", "value AS result")
-    return jobs.stored_result(jobs.stream_compact_log(log), "compacted_log").select("i", "seq", "error", "result")
+    return jobs.stored_result(jobs.stream_compact_log(log), "compacted_log", ["i"]).select("i", "seq", "error", "result")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS calls, CAST(sum(event_id % 100) AS BIGINT) AS tokens FROM events GROUP BY 1, 2")
 def q_stream_usage(s, d):
-    used = _streamed(s, d, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type", "event_id % 100 AS tokens")
-    return jobs.stored_result(jobs.stream_usage(used, "ts", "tokens", by=["event_type"]), "usage_by_hour")
+    used = _streamed(s, d, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type", "event_id", "event_id % 100 AS tokens")
+    return jobs.stored_result(jobs.stream_usage(used, "ts", "tokens", by=["event_type"], key="event_id"), "usage_by_hour", ["window_start", "event_type"])
 
 
 # ---- further operators ---------------------------------------------------------------------
@@ -734,7 +734,7 @@ def q_stream_extract(s, d):
         return {"n": len(row["abstract"])}
 
     text = ABSTRACTS[ABSTRACTS.index("CASE") : ABSTRACTS.index("AS abstract")]
-    base = jobs.new_folder(s, "extracted")
+    base = new_folder(s, "streams", "extracted")
     for _ in range(2):  # the second start finds nothing new
         abstracts = _streamed(s, d, "documents").selectExpr("doc_id", f"{text} AS abstract")
         jobs.stream_extract(abstracts, measure, "n bigint", f"{base}/result", f"{base}/checkpoint").awaitTermination()

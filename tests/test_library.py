@@ -551,6 +551,42 @@ def test_streams(spark, tmp_path):
         (tmp_path / "again").touch()
 
 
+def _batches(spark, base, frames, stream):
+    """Runs a stream once after each new input; returns its progress reports and the rows that each batch wrote."""
+    progress, wrote = [], []
+    for k, frame in enumerate(frames):
+        frame.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        query = jobs.upsert_stream(stream(spark.readStream.schema(frame.schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/cp")
+        query.awaitTermination()
+        progress.append(query.recentProgress)
+        seen = sum(len(w) for w in wrote)
+        rows = [tuple(r) for r in spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").orderBy("batch").collect()]
+        wrote.append(rows[seen:])
+    return progress, wrote
+
+
+def test_stream_of_a_log_writes_only_what_a_batch_touches(spark, tmp_path):
+    rows = [[(1, 1, "E"), (2, 2, None), (3, 3, "E")], [(1, 4, None), (2, 5, "E")], [(3, 6, "F")]]
+    frames = [spark.createDataFrame(r, "i int, seq int, error string") for r in rows]
+    _, wrote = _batches(spark, tmp_path, frames, jobs.stream_compact_log)
+    assert [sorted(r[0] for r in w) for w in wrote] == [[1, 2, 3], [1, 2], [3]]
+    got = jobs.upserted(spark, str(tmp_path / "out"), "i int, seq int, error string", ["i"]).select("i", "seq", "error")
+    assert sorted(map(tuple, got.collect())) == [(1, 4, None), (2, 2, None), (3, 6, "F")] == sorted(map(tuple, bt.compact_log(frames[0].union(frames[1]).union(frames[2])).collect()))
+
+
+def test_stream_of_usage_closes_windows(spark, tmp_path):
+    """Late rows of open windows count, those of closed ones don't; repeated calls count once; state goes."""
+    at = lambda h, m, key, n: (f"2024-01-01 {h:02d}:{m:02d}:00", key, n)
+    rows = [[at(0, 5, "a", 1), at(0, 6, "b", 2), at(0, 6, "b", 2)], [at(1, 30, "c", 4), at(0, 50, "d", 8), at(0, 6, "b", 2)], [at(9, 0, "e", 16)], [at(0, 10, "f", 32), at(9, 5, "g", 64), at(9, 0, "e", 16)], [at(20, 0, "h", 128)]]
+    frames = [spark.createDataFrame(r, "ts string, call string, n bigint").withColumn("ts", F.col("ts").cast("timestamp")) for r in rows]
+    progress, _ = _batches(spark, tmp_path, frames, lambda s: jobs.stream_usage(s, "ts", "n", late="2 hours", key="call"))
+    got = jobs.upserted(spark, str(tmp_path / "out"), "window_start timestamp, calls bigint, tokens bigint", ["window_start"]).collect()
+    assert sorted((r.window_start.hour, r.calls, r.tokens) for r in got) == [(0, 3, 11), (1, 1, 4), (9, 2, 80), (20, 1, 128)]
+    last = progress[-1][-1].stateOperators
+    assert sum(o.numRowsTotal for o in last) <= 4, [o.numRowsTotal for o in last]  # of eight calls and four windows
+    assert sum(o.numRowsDroppedByWatermark for p in progress for x in p for o in x.stateOperators) == 1
+
+
 def test_stream_queries_write_to_the_shared_folder(spark):
     import os
 
