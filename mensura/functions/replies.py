@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +14,8 @@ from mensura.schemas import EXTRACTION, METRIC_TYPES, MODIFIERS, SOLUTION_UNITS
 
 #: The names under which a reply's extractions are looked for, in turn.
 LIST_KEYS = ("extracoes", "extractions", "extraction", "results", "data")
-_FENCE_MARK = re.compile(r"^```(?:json)?|```$", re.MULTILINE)
+#: Letters of an unreadable reply that its error quotes.
+QUOTED = 160
 _JSON = json.JSONDecoder()
 
 
@@ -34,11 +34,11 @@ def _read(reply: str | None) -> tuple[str | None, str | None]:
     """(extractions as a JSON list, None), or (None, why there are none)."""
     if reply is None:
         return None, "no reply"
-    text = _FENCE_MARK.sub("", reply.strip()).strip()
+    text = reply.strip().removeprefix("```").removeprefix("json").removesuffix("```").strip()
     places = [(0, len(text)), *((text.find(first), text.rfind(last) + 1) for first, last in ("{}", "[]"))]
     value = next((v for v in (_value_at(text, *place) for place in places) if v is not None), None)
     if value is None:
-        return None, "no JSON object or list in the reply"
+        return None, f"no JSON object or list in the reply: {text[:QUOTED]!r}"
     lists = [value] if isinstance(value, list) else [value[k] for k in LIST_KEYS if isinstance(value.get(k), list)]
     objects = [x for x in lists[0] if isinstance(x, dict)] if lists else []
     return json.dumps(objects, ensure_ascii=False), None
@@ -61,9 +61,14 @@ def extraction_list(items: Column) -> Column:
     return F.transform(values, lambda v: F.to_json(v))
 
 
-def typed(raw: Column) -> Column:
-    """A raw JSON object with its fields coerced: numeric texts and booleans to doubles, "true"/1 to booleans."""
-    text = lambda name: F.get_json_object(raw, f"$.{name}")
+def raw_fields(raw: Column) -> Column:
+    """A raw JSON object as a map from its keys to their values as texts (null stays null): one parse for all that is asked of it."""
+    return F.from_json(raw, "map<string, string>")
+
+
+def typed(fields: Column) -> Column:
+    """The fields coerced, from ``raw_fields``: numeric texts and booleans to doubles, "true"/1 to booleans."""
+    text = lambda name: F.try_element_at(fields, F.lit(name))
     number = lambda name: F.when(F.lower(text(name)) == "true", 1.0).when(F.lower(text(name)) == "false", 0.0).otherwise(F.trim(text(name)).try_cast("double"))
     flag = F.when(F.lower(text("is_range")).isin("true", "1", "1.0", "yes", "on", "t", "y"), True).when(F.lower(text("is_range")).isin("false", "0", "0.0", "no", "off", "f", "n"), False)
     made = {"value": number("value"), "value_max": number("value_max"), "is_range": flag}
@@ -76,11 +81,10 @@ def validate_extractions(rows: DataFrame, raw: str = "raw", derived_type: str |
     Reasons on single fields are all given; the first failing rule on their coherence is given only
     if the fields are sound. An entity type outside the vocabulary is taken from ``derived_type``.
     """
-    keys = F.coalesce(F.json_object_keys(F.col(raw)), F.array().cast("array<string>"))
-    e = rows.withColumn("_e", typed(F.col(raw))).withColumn("_keys", keys)
+    e = rows.withColumn("_m", raw_fields(F.col(raw))).withColumn("_e", typed(F.col("_m")))
     f = lambda name: F.col(f"_e.{name}")
-    has = lambda name: F.array_contains("_keys", name)
-    given = lambda name: F.get_json_object(raw, f"$.{name}")
+    has = lambda name: F.coalesce(F.map_contains_key("_m", name), F.lit(False))
+    given = lambda name: F.try_element_at("_m", F.lit(name))
     kind = F.when(f("entity_type").isin("element", "element_group", "oxide", "mineral", "other"), f("entity_type")).otherwise(F.coalesce(F.col(derived_type), F.lit("other")) if derived_type else F.lit("other"))
     modifier = F.when(has("context_modifier"), f("context_modifier")).otherwise("none")
     fields = [
@@ -104,7 +108,7 @@ def validate_extractions(rows: DataFrame, raw: str = "raw", derived_type: str |
     )
     out = e.withColumn("_single", single).withColumn("reasons", F.when(F.size("_single") > 0, F.col("_single")).otherwise(F.array_compact(F.array(coherent))))
     clean = {"unit": unit, "sentence": normalize_ws(f("sentence")), "target_entity": normalize_ws(f("target_entity")), "entity_type": kind, "context_modifier": modifier}
-    return out.withColumns({n: clean.get(n, f(n)) for n in EXTRACTION} | {"valid": F.size("reasons") == 0}).drop("_e", "_keys", "_single")
+    return out.withColumns({n: clean.get(n, f(n)) for n in EXTRACTION} | {"valid": F.size("reasons") == 0}).drop("_e", "_m", "_single")
 
 
 def anchor_extractions(rows: DataFrame, abstract: str = "abstract") -> DataFrame:

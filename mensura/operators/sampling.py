@@ -16,10 +16,11 @@ def split_name(partition: Column) -> Column:
 
 
 def split_gold(gold_docs: DataFrame, wanted: str = "all", column: str = "partition") -> DataFrame:
-    """Adds split, and keeps one of train, validation and test (or all). Unknown values raise, by name."""
-    bad = [r[0] for r in gold_docs.where(split_name(F.col(column)).isNull()).select(column).distinct().limit(20).collect()]
+    """Adds split, and keeps one of train, validation and test (or all). Unknown values raise, all of them by name."""
+    name = F.coalesce(F.col(column).cast("string"), F.lit("none"))
+    bad = gold_docs.where(split_name(F.col(column)).isNull()).agg(F.array_sort(F.collect_set(name)).alias("names")).first().names
     if bad:
-        raise ValueError(f"unknown {column}: {sorted(map(str, bad))}")
+        raise ValueError(f"unknown {column}: {', '.join(bad)}")
     out = gold_docs.withColumn("split", split_name(F.col(column)))
     return out if wanted == "all" else out.where(F.col("split") == wanted)
 

@@ -129,13 +129,76 @@ def test_fuzzy_matching_runs_on_distinct_names_only(spark):
     from mensura.plans import catalog
 
     plan = catalog.q_resolve_entities(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInPandas") == 1 and "EvalPython" not in plan
-    below = plan[plan.index("MapInPandas") :].split("\n")
-    assert "HashAggregate" in below[1] + below[2], below[:4]  # the distinct names
+    assert "EvalPython" not in plan
+    below = plan[plan.index("MapInPandas cut_names") :].split("\n")
+    assert plan.count("MapInPandas cut_names") == 1 and any("HashAggregate" in x for x in below[1:4]), below[:4]  # the distinct names
     names = spark.createDataFrame([("monazitee",)] * 50 + [("xyz",), (None,), ("mon",)], "entity string")
     assert [tuple(r) for r in lx.fuzzy_lexicon(names, lx.load_lexicon(spark)).collect()] == [("monazitee", "monazite")]
-    with pytest.raises(ValueError):
-        lx.fuzzy_lexicon(names, spark.range(lx.MOST_FORMS + 1).selectExpr("CAST(id AS STRING) AS form"))
+
+
+def plain_ratio(a, b):
+    row = [0] * (len(b) + 1)
+    for c in a:
+        row = [0, *_next_row(row, c, b)]
+    return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+
+def _next_row(row, c, b):
+    left = 0
+    for j, d in enumerate(b):
+        left = row[j] + 1 if c == d else max(left, row[j + 1])
+        yield left
+
+
+def test_fuzzy_candidates_equal_all_pairs_with_a_large_lexicon(spark):
+    """100,000 forms, the parts' and customers' names among them changed by a few letters."""
+    parts = [r.p_name for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_name").distinct().collect()]
+    customers = [r.c_name for r in spark.read.parquet("/root/testdata/sf0.01/customer.parquet").select("c_name").distinct().limit(300).collect()]
+    rng = random.Random(5)
+    words = sorted({w for p in parts for w in p.lower().split()})
+    forms = list(dict.fromkeys([p.lower() for p in parts[::3]] + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) + rng.choice(["", "s", f" {rng.randint(1, 99_999)}", f" {rng.randint(1, 99_999)}"]) for _ in range(230_000)]))[:100_000]
+    assert len(forms) == 100_000
+
+    def spoilt(name):
+        t = list(name)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(t))
+            t[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "q"])
+        return "".join(t) or "none"
+
+    names = sorted({spoilt(n) for n in rng.sample(parts, 30) + rng.sample(forms, 25) + customers[:5]} | {"abc", "  red ", "ab"})
+    lexicon = spark.createDataFrame(pd.DataFrame({"form": forms})).coalesce(1)
+    got = {r.entity: r.form for r in lx.fuzzy_lexicon(spark.createDataFrame([(n,) for n in names], "entity string"), lexicon).collect()}
+    want = {}
+    for n in names:
+        text = n.strip().lower()
+        if len(text) >= 4:
+            near = [(-lx.indel_ratio(text, f), k) for k, f in enumerate(forms) if 200 * min(len(text), len(f)) / (len(text) + len(f)) >= 90]
+            if near and -min(near)[0] >= 90:
+                want[n] = forms[min(near)[1]]
+    assert got == want and len(want) > 20
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        assert lx.indel_ratio(a, b) == pytest.approx(plain_ratio(a, b))
+
+
+def test_automaton_equals_the_pattern(spark):
+    """Ten thousand forms on the documents, and odd letters with the lexicon itself."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    rng, forms = random.Random(9), {}
+    words = [w for t in docs if t for w in t.split()]
+    while len(forms) < 10_000:
+        i = rng.randrange(len(words) - 3)
+        form = " ".join(words[i : i + rng.randint(1, 3)])
+        form = rng.choice([form, form.lower(), form.upper(), form[: rng.randint(1, len(form))], form[rng.randrange(len(form)) :]])
+        if form.strip():
+            forms.setdefault(form, rng.random() < 0.3)
+    terms = [(f.lower(), f, "other", c, f) for f, c in forms.items()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs[:60])], "i int, t string")
+    rows = df.select("i", lx.lexicon_terms(F.col("t"), terms).alias("fast"), lx.terms_in(F.col("t"), lx.term_pattern(terms)).alias("slow")).collect()
+    assert all(r.fast == r.slow for r in rows) and sum(len(r.fast or []) for r in rows) > 1000
+    odd = ["La₂O₃ and ree, REE, Rees; x∑REE,", "Neodymium x-rare earths", None, "", "REE+Y; REE + Y", "ΣREE ∑REO2", "ſcandium SCANDIA İscandia", "light Rare Earth elements_", "😀REE😀 Nd2", "bastnäsite BASTNÄSITE"]
+    assert one(spark, odd, lambda x: lx.lexicon_terms(x, lx.default_terms())) == one(spark, odd, lx.terms_in)
 
 
 REPLIES = [
@@ -152,6 +215,18 @@ def test_parse_reply(spark):
     assert one(spark, [r for r, _ in REPLIES], lambda x: F.size(rp.extraction_list(rp.parse_reply(x)["items"])))[:3] == [0, 1, 2]
 
 
+def test_unreadable_replies_are_quoted(spark):
+    (got,) = one(spark, ["```json\nsorry, " + "no " * 200], rp.parse_reply)
+    assert got["items"] is None and got["error"] == f"no JSON object or list in the reply: {('sorry, ' + 'no ' * 200)[:160]!r}"
+
+
+def test_a_reply_is_parsed_once(spark):
+    from mensura.plans import catalog
+
+    plan = catalog.q_validate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") + plan.count("get_json_object(") == 1, plan.count("from_json(")
+
+
 def test_validation(spark):
     base = {"value": 5, "value_max": None, "is_range": False, "unit": "ppm", "sentence": " a  b ", "metric_type": "Bulk Concentration", "target_entity": "REE", "entity_type": "element", "context_modifier": "none"}
     cases = [
@@ -373,6 +448,8 @@ def test_vote(spark):
     rows = [row(0, 0, "5", "m1"), row(0, 1, "5", "m9"), row(1, 0, " 5", "m2"), row(2, 0, "7"), row(0, 2, "5.0"), row(1, 1, "9", "a"), row(2, 1, "9", "b"), row(2, 2, "9", "b")]
     got = {r.value: (r.votes, r.metric_type) for r in vt.vote_extractions(spark.createDataFrame(rows, schema)).collect()}
     assert got == {"5": (2, "m1"), "9": (2, "a")}
+    spelt = [row(0, 0, "5", unit="PPM"), row(1, 0, " 5", unit="ppm"), row(2, 0, "5", unit="ppm")]
+    assert [(r.value, r.unit) for r in vt.vote_extractions(spark.createDataFrame(spelt, schema)).collect()] == [("5", "ppm")]
 
 
 def test_kappa(spark):
@@ -468,6 +545,8 @@ def test_splits_and_samples(spark):
     assert {r.doc_id: r.split for r in sm.split_gold(docs).collect()} == {"a": "train", "b": "validation", "c": "test"}
     with pytest.raises(ValueError, match="holdout"):
         sm.split_gold(docs.union(spark.createDataFrame([("d", "holdout")], docs.schema)))
+    with pytest.raises(ValueError, match=", ".join(f"p{i:02d}" for i in range(40))):
+        sm.split_gold(docs.union(spark.createDataFrame([("d", f"p{i:02d}") for i in range(40)], docs.schema)))
     rows = spark.createDataFrame([(str(i), i, None if i % 3 == 0 else "m") for i in range(60)], "doc_id string, ord int, metric_type string")
     picks = [sorted(r.doc_id for r in sm.stratified_audit_sample(rows.repartition(n)).collect()) for n in (1, 7)]
     assert picks[0] == picks[1] and len(picks[0]) == 10
