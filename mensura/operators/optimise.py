@@ -5,20 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mensura.operators.scan import before, carried, inside, ranged
 
-def best_so_far(trajectory: DataFrame, by: list[str] = (), spent: str = "calls", value: str = "val_score", floor: float = -1.0) -> DataFrame:
+
+def best_so_far(trajectory: DataFrame, by: list[str] = (), spent: str = "calls", value: str = "val_score", floor: float = -1.0, long: bool | None = None, parts: int | None = None) -> DataFrame:
     """Adds best: the greatest value up to each row, by calls spent.
 
-    Rows of one search (its columns: ``by``) form a window; without ``by`` all rows are one search, in one task.
+    Rows of one search (its columns: ``by``) form a window. Without ``by``, or with ``long``, a search may
+    be of any length: its rows are dealt out by ranges of ``spent``, which pass their best on.
     """
-    w = Window.partitionBy(*by).orderBy(spent).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return trajectory.withColumn("best", F.greatest(F.max(value).over(w), F.lit(floor)))
+    by = list(by)
+    if not (not by if long is None else long):
+        w = Window.partitionBy(*by).orderBy(spent).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return trajectory.withColumn("best", F.greatest(F.max(value).over(w), F.lit(floor)))
+    rows = ranged(trajectory, [spent], by, parts).withColumn("_best", F.max(value).over(inside([spent], by)))
+    passed = carried(rows, by, {"_most": F.max(value)}, {"_carry": F.max("_most").over(before(by))})
+    return passed.withColumn("best", F.greatest("_best", "_carry", F.lit(floor))).select(*trajectory.columns, "best")
+
 
+def calls_so_far(events: DataFrame, by: list[str], order: list[str], calls: str, long: bool | None = None, parts: int | None = None) -> DataFrame:
+    """Adds calls_before: what had been spent before each event.
 
-def calls_so_far(events: DataFrame, by: list[str], order: list[str], calls: str) -> DataFrame:
-    """Adds calls_before: what had been spent before each event."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("calls_before", F.coalesce(F.sum(calls).over(w), F.lit(0)))
+    Without ``by``, or with ``long``, events are dealt out by ranges of ``order``, which pass their sums on.
+    """
+    by = list(by)
+    if not (not by if long is None else long):
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return events.withColumn("calls_before", F.coalesce(F.sum(calls).over(w), F.lit(0)))
+    rows = ranged(events, order, by, parts).withColumn("_spent", F.sum(calls).over(inside(order, by).rowsBetween(Window.unboundedPreceding, -1)))
+    passed = carried(rows, by, {"_sum": F.sum(calls)}, {"_carry": F.sum("_sum").over(before(by))})
+    return passed.withColumn("calls_before", F.coalesce("_spent", F.lit(0)) + F.coalesce("_carry", F.lit(0))).select(*events.columns, "calls_before")
 
 
 def beam_topk(candidates: DataFrame, k: int, by: list[str] = ("step",), score: str = "train_f1", order: str = "candidate") -> DataFrame:

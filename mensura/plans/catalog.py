@@ -454,6 +454,25 @@ def q_fail_runs(s, d):
     return bt.consecutive_failures(sql(s, d, LOG), "seq", F.col("error").isNotNull(), by=["i"]).select("i", "seq", F.col("run_length").cast("bigint").alias("run_length"))
 
 
+@query(
+    f"WITH a AS (SELECT i, seq, CAST(error IS NOT NULL AS INT) AS f FROM ({LOG})), b AS (SELECT *, sum(1 - f) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM a) "
+    "SELECT i, seq, CASE WHEN f = 1 THEN CAST(sum(f) OVER (PARTITION BY g ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) ELSE 0 END AS run_length FROM b"
+)
+def q_fail_runs_of_log(s, d):
+    """Failures in a row over the whole log, taken as one run."""
+    return bt.consecutive_failures(sql(s, d, LOG), "seq", F.col("error").isNotNull()).select("i", "seq", F.col("run_length").cast("bigint").alias("run_length"))
+
+
+@query(f"SELECT i, seq, error, result FROM ({LOG}) WHERE i NOT IN (SELECT i FROM ({LOG}) WHERE error IS NULL AND seq % 100 IN (0, 2))")
+def q_result_log(s, d):
+    """Log lines of items that a bucketed log of two lines in a hundred has no success of; its second batch is written twice."""
+    lines, path = sql(s, d, LOG), new_folder(s, "logs", "results")
+    log = src.ResultLog(s, f"result_log_{path.rsplit('-', 1)[1]}", path, "i bigint, seq bigint, error string, result double", buckets=8)
+    for batch, k in (("a", 0), ("b", 2), ("b", 2)):
+        log.append(lines.where(F.col("seq") % 100 == k), batch)
+    return log.pending(lines, "error").select("i", "seq", "error", "result")
+
+
 _USED = "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, event_type = 'view' AS hit, CAST(floor(value) AS BIGINT) AS tin, event_id % 100 AS tout FROM events"
 
 
@@ -561,6 +580,17 @@ def q_calls_so_far(s, d):
     return op.calls_so_far(sql(s, d, _TRAJ), ["search"], ["candidate"], "step").select("search", "candidate", "calls_before")
 
 
+@query(f"SELECT search, candidate, greatest(max(val_score) OVER (ORDER BY calls ROWS UNBOUNDED PRECEDING), -1.0) AS best FROM ({_TRAJ})")
+def q_best_of_all(s, d):
+    """The best value so far over all searches, taken as one of any length."""
+    return op.best_so_far(sql(s, d, _TRAJ)).select("search", "candidate", "best")
+
+
+@query(f"SELECT search, candidate, coalesce(sum(step) OVER (ORDER BY candidate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS calls_before FROM ({_TRAJ})")
+def q_calls_of_all(s, d):
+    return op.calls_so_far(sql(s, d, _TRAJ), [], ["candidate"], "step").select("search", "candidate", "calls_before")
+
+
 @query(f"SELECT search, step, candidate FROM ({_TRAJ}) QUALIFY row_number() OVER (PARTITION BY search, step ORDER BY train_f1 DESC, candidate) <= 3")
 def q_beam_topk(s, d):
     return op.beam_topk(sql(s, d, _TRAJ), 3, ["search", "step"]).where("in_beam").select("search", "step", "candidate")

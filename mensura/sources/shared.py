@@ -32,3 +32,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, "tables", name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_place(spark: SparkSession, path: str) -> bool:
+    """Makes a folder in whatever store its path names; whether it wasn't there before."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not store.exists(where) and store.mkdirs(where)

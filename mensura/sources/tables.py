@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mensura.functions.text import doc_id_from_url
 from mensura.schemas import BATCH_LINE, CANDIDATE, GOLD, RESULT, WORK
+from mensura.sources.shared import new_place
 
 
 def _nested(ddl: str) -> str:
@@ -75,9 +76,48 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return parse_results(spark.read.text(path))
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    """Adds finished items to the log, errors included; the commit is Spark's."""
-    results.write.mode("append").json(path)
+def append_results(results: DataFrame, path: str, batch: str | None = None) -> None:
+    """Adds finished items to the log, errors included; the commit is Spark's.
+
+    With ``batch``, the name of this append, they go to a folder of their own, which a repeated
+    append of the batch overwrites: a rerun job adds nothing twice.
+    """
+    if batch is None:
+        results.write.mode("append").json(path)
+    else:
+        results.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+class ResultLog:
+    """A log of finished items as a bucketed table: appends are exactly-once by batch, and what is
+    pending is found by a join that never shuffles the log.
+
+    name: the table's name in the session's catalogue; path: where its files are, in a folder that
+    all sessions see. Items are hashed by ``key`` into ``buckets``.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, path: str, schema: str, key: str = "i", buckets: int = 64):
+        self.spark, self.name, self.key = spark, name, key
+        new_place(spark, path)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}, batch STRING) USING parquet PARTITIONED BY (batch) CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        spark.sql(f"MSCK REPAIR TABLE {name}")  # batches of earlier sessions
+
+    def append(self, results: DataFrame, batch: str) -> None:
+        """Writes a batch; a batch that is written again, after a failure, replaces itself."""
+        table = self.spark.table(self.name)
+        names = [c for c in table.columns if c != "batch"]
+        view = f"{self.name}_rows"
+        results.select(*[F.col(c).cast(table.schema[c].dataType).alias(c) for c in names]).createOrReplaceTempView(view)
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = '{batch}') SELECT {', '.join(names)} FROM {view}")
+        self.spark.catalog.dropTempView(view)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def pending(self, items: DataFrame, error_col: str | None = None) -> DataFrame:
+        """Items that no batch logs; with ``error_col``, that none logs without an error."""
+        done = self.rows() if error_col is None else self.rows().where(F.col(error_col).isNull())
+        return items.join(done.select(self.key), self.key, "left_anti")
 
 
 def flatten_results(results: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -432,6 +432,86 @@ def test_logs(spark):
     assert [r.run_length for r in runs] == [1, 2, 0, 1, 2, 3, 4, 5] and [r.seq for r in runs if r.abort] == [8]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_long_runs_pass_on_between_ranges(spark, parts):
+    """Runs cut anywhere, ranges of failures only, several runs and one, against plain Python."""
+    rng = random.Random(parts)
+    rows = [(rng.choice("ab"), k, rng.random() < (0.97 if k % 90 < 60 else 0.3), rng.randrange(100)) for k in range(400)]
+    df = spark.createDataFrame(rows, "run string, seq int, f boolean, v int").repartition(5)
+    for by in ([], ["run"]):
+        want, state = {}, {}
+        for run, k, f, v in rows:
+            length, best, spent = state.get(run if by else 0, (0, -1, 0))
+            length = length + 1 if f else 0
+            best = max(best, v)
+            want[k] = (length, best, spent)
+            state[run if by else 0] = (length, best, spent + v)
+        got = bt.consecutive_failures(df, "seq", F.col("f"), by=by, long_runs=True, parts=parts)
+        assert {r.seq: (r.run_length, r.abort) for r in got.collect()} == {k: (x[0], x[0] >= 5) for k, x in want.items()}
+        assert {r.seq: r.best for r in op.best_so_far(df, by, "seq", "v", long=True, parts=parts).collect()} == {k: x[1] for k, x in want.items()}
+        assert {r.seq: r.calls_before for r in op.calls_so_far(df, by, ["seq"], "v", long=True, parts=parts).collect()} == {k: x[2] for k, x in want.items()}
+        assert got.columns == [*df.columns, "run_length", "abort"]
+    assert bt.consecutive_failures(df.limit(0), "seq", F.col("f")).count() == 0
+    plan = bt.consecutive_failures(df, "seq", F.col("f"))._jdf.queryExecution().executedPlan().toString()
+    gathered = plan[plan.index("SinglePartition") :].split("\n")  # a row for each range, no others
+    assert plan.count("SinglePartition") == 1 and "HashAggregate(keys=[_range" in gathered[1] + gathered[2], plan
+
+
+def test_result_log_is_appended_once_and_not_shuffled(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/log", "i bigint, error string"
+    log = src.ResultLog(spark, "own_log", path, schema, buckets=4)
+    first, second = spark.createDataFrame([(1, None), (2, "E")], schema), spark.createDataFrame([(3, None)], schema)
+    for batch, rows in (("a", first), ("b", second), ("a", first)):
+        log.append(rows, batch)
+    assert sorted((r.i, r.batch) for r in log.rows().collect()) == [(1, "a"), (2, "a"), (3, "b")]
+    items = spark.range(1, 6).withColumnRenamed("id", "i")
+    assert sorted(r.i for r in log.pending(items).collect()) == [4, 5] and sorted(r.i for r in log.pending(items, "error").collect()) == [2, 4, 5]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = log.pending(items)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    left, right = plan.split("FileScan parquet")[0].rsplit("+- Sort", 1)
+    assert left.count("Exchange") == 1 and "Exchange" not in right and "Bucketed: true" in plan, plan
+    spark.sql("DROP TABLE own_log")
+    again = src.ResultLog(spark, "own_log", path, schema, buckets=4)  # another session finds the batches
+    assert again.rows().count() == 3
+    src.append_results(first, str(tmp_path / "json"), "one")
+    src.append_results(first, str(tmp_path / "json"), "one")
+    assert spark.read.schema(schema).json(str(tmp_path / "json")).count() == 2
+
+
+def test_replies_are_written_back_once(spark, tmp_path):
+    asked, path = tmp_path / "asked", str(tmp_path / "cache")
+    asked.mkdir()
+
+    def provider(row):
+        (asked / f"{row['cache_key']}-{len(list(asked.iterdir()))}").touch()
+        if row["said"] == "boom":
+            raise TimeoutError("late")
+        return bt.echo_provider(5, "said")(row) | {"tokens_reasoning": 7, "reasoning_chars": 30}
+
+    rows = [("a", "hello", "m", 0.5, 5), ("b", "x" * 30, "m", 0.5, 5), ("c", "boom", "m", 0.5, 5), ("a", "hello", "m", 0.5, 5), ("d", "short", "n", 0.0, 9)]
+    requests = spark.createDataFrame(rows, "cache_key string, said string, model string, temperature double, max_tokens bigint")
+    calls = lambda: sorted(f.name[0] for f in asked.iterdir())
+    got = {r.cache_key: r for r in bt.ask_with_cache(requests, provider, path, "one", slices=3).collect()}
+    assert calls() == ["a", "b", "c", "d"]
+    a = got["a"]
+    assert (a.text, a.finish_reason, a.tokens_in, a.tokens_reasoning, a.reasoning_chars, a.model, a.temperature, a.max_tokens, a.run, a.cached) == ("hello", "stop", 2, 7, 30, "m", 0.5, 5, None, False) and a.created
+    assert got["c"].error == "TimeoutError: late" and got["b"].finish_reason == "length"
+    again = {r.cache_key: r for r in bt.ask_with_cache(requests, provider, path, "two", slices=3).collect()}
+    assert calls() == ["a", "b", "b", "c", "c", "d"]  # only what couldn't be used is asked again
+    assert again["a"].cached and again["a"].created == a.created and again["a"].model == "m" and not again["c"].cached
+    # a job that is killed in its last slices and runs again under its name
+    import shutil
+
+    shutil.rmtree(f"{path}/slice=2")
+    before = len(calls())
+    bt.ask_with_cache(requests, provider, path, "one", slices=3).collect()
+    cache = bt.read_reply_cache(spark, path)
+    assert cache.count() == 2 and len(calls()) <= before + 4
+
+
 def test_run_batch_isolates_failures(spark):
     def f(row):
         return {"n": 10 // row["x"]}
