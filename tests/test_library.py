@@ -502,14 +502,18 @@ def test_replies_are_written_back_once(spark, tmp_path):
     again = {r.cache_key: r for r in bt.ask_with_cache(requests, provider, path, "two", slices=3).collect()}
     assert calls() == ["a", "b", "b", "c", "c", "d"]  # only what couldn't be used is asked again
     assert again["a"].cached and again["a"].created == a.created and again["a"].model == "m" and not again["c"].cached
-    # a job that is killed in its last slices and runs again under its name
+    assert bt.read_reply_cache(spark, path).count() == 2
+    # a job that was killed before a slice was complete, and runs again under its name
     import shutil
+    from pathlib import Path
 
-    shutil.rmtree(f"{path}/slice=2")
-    before = len(calls())
+    lost = next(p for p in sorted(Path(path).iterdir()) if p.name != "slice=none")
+    names = {r.cache_key for r in spark.read.parquet(f"file://{lost}").select("cache_key").collect()}
+    shutil.rmtree(lost)
+    before = calls()
     bt.ask_with_cache(requests, provider, path, "one", slices=3).collect()
-    cache = bt.read_reply_cache(spark, path)
-    assert cache.count() == 2 and len(calls()) <= before + 4
+    assert sorted(calls()) == sorted([*before, "b", "c", *names])
+    assert sorted(r.cache_key for r in bt.read_reply_cache(spark, path).collect()) == ["a", "d"]
 
 
 def test_run_batch_isolates_failures(spark):
