@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -61,12 +62,12 @@ def parts_for(df: DataFrame, part_bytes: int, text_col: str = "text") -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the session names none, a session on one machine gets a temporary folder; on a cluster,
-    whose executors don't see the driver's folders, that is an error.
+    Where the session names none, a session within one process gets a temporary folder; where
+    executors are other processes, which may not see the driver's folders, that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 

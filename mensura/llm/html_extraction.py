@@ -28,8 +28,8 @@ from mensura.llm.common import bounded_sample, strings
 
 #: Pages sampled and whole blocks of text drawn from each (the documented bounds), and pages
 #: composed from them.
-SAMPLE_PAGES, SAMPLE_BLOCKS, COMPOSED = 300, 20, 1500
-TREES, DEPTH, RATE, BINS = 50, 4, 0.25, 24
+SAMPLE_PAGES, SAMPLE_BLOCKS, COMPOSED = 300, 20, 2000
+TREES, DEPTH, RATE, BINS = 80, 4, 0.25, 24
 
 #: Elements that start a block of their own, never have content, or hold raw text (HTML's lists).
 BLOCKS = frozenset(
@@ -37,6 +37,8 @@ BLOCKS = frozenset(
     "blockquote pre figure figcaption form fieldset legend select option optgroup button textarea label details summary address hr script style noscript template iframe svg".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Controls of forms, whose texts are never part of a page's text.
+CONTROLS = frozenset(("select", "option", "optgroup", "button"))
 RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript", "template"))
 #: Elements whose start tag closes an open one of their group first, and what bounds the search.
 GROUP = {"li": "item", "dt": "term", "dd": "term", "tr": "row", "td": "cell", "th": "cell", "option": "option", "p": "p", "thead": "rows", "tbody": "rows", "tfoot": "rows"}
@@ -97,7 +99,7 @@ def read_page(page: str) -> Page:
 
     def flush() -> None:
         text = " ".join("".join(pending).split())
-        if text:
+        if text and tags[opened[-1]] not in CONTROLS:
             texts.append((opened[-1], text))
         pending.clear()
 
@@ -184,6 +186,7 @@ def read_page(page: str) -> Page:
 FEATURES = (
     "tag_odds", "token_odds", "token_least", "above_tag", "above_token", "above_least", "depth", "log_text", "log_own", "text_share", "link_share", "blocks", "words_per_block",
     "longest", "full_stops", "tags_per_text", "children", "siblings", "place", "same_tag", "parent_share", "before_log", "after_log", "page_place", "heading", "item", "inner_least",
+    "same_count", "above_count", "beside_title",
 )
 _HEADINGS, _ITEMS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6")), frozenset(("li", "td", "dd", "option", "button", "label"))
 
@@ -249,7 +252,12 @@ def features(page: Page, tags: dict[str, float], tokens: Odds) -> np.ndarray:
     children = np.array(children, float)
     siblings = children[up]
     siblings[0] = 1
-    alike = np.array([same.get((parents[i], page.tags[i]), 1) for i in range(n)]) / siblings
+    many = np.array([same.get((parents[i], page.tags[i]), 1) for i in range(n)])
+    alike = many / siblings
+    titled = [tag == "h1" for tag in page.tags]  # holds the page's title
+    for i in range(n - 1, 0, -1):
+        if titled[i]:
+            titled[parents[i]] = True
     tag_odds, token_odds = np.array([tags.get(t, 0.0) for t in page.tags]), np.array([sum(o) for o in odds])
     log_text = np.append(np.log1p(text), 0.0)  # the last stands for no sibling
     whole, seen = max(1.0, text[0]), np.cumsum(own) - own
@@ -258,6 +266,7 @@ def features(page: Page, tags: dict[str, float], tokens: Odds) -> np.ndarray:
         tag_odds, token_odds, least, tag_odds[up] * inside, token_odds[up] * inside, above_least, depth, log_text[:-1], np.log1p(own), text / whole, links / np.maximum(1, text),
         np.log1p(blocks), text / np.maximum(1, blocks), np.log1p(longest), stops / np.maximum(1, text), np.array(inner) / np.maximum(1, text), children, siblings,
         np.array(place) / siblings, alike, text / np.maximum(1, text[up]), log_text[before], log_text[after], seen / whole, [t in _HEADINGS for t in page.tags], [t in _ITEMS for t in page.tags], inner_least,
+        np.log(many), np.log(many)[up], np.array(titled)[up],
     )).astype(float)
 
 
@@ -335,17 +344,25 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
 MAIN = (
     ("article", ""), ("article", "post"), ("article", "entry"), ("main", ""), ("main", "content"), ("div", "content"), ("div", "post-content"), ("div", "entry-content"), ("div", "page-content"), ("section", "article-body"),
     ("div", "story text"), ("div", "main"), ("div", "article"), ("div", "body"), ("section", ""), ("div", ""),
+    ("div", "inhalt"), ("main", "hauptinhalt"), ("div", "beitrag"), ("article", "artikel"), ("div", "contenu"), ("section", "texte"), ("div", "corps"), ("div", "contenido"), ("main", "cuerpo"), ("article", "articulo"),
+)
+MENUS = (
+    ("nav", ""), ("nav", "navbar"), ("div", "menu"), ("ul", "nav navigation"), ("div", "breadcrumbs"), ("nav", "pagination"), ("div", "pager"), ("div", "tags links"), ("ul", "categories"), ("div", "toc"),
+    ("div", "menue"), ("ul", "hauptmenue"), ("div", "seiten blaettern"), ("ul", "rubriken"), ("div", "schlagworte"), ("nav", "menu principal"), ("ul", "rubriques"), ("div", "fil ariane"), ("div", "navegacion"), ("ul", "categorias etiquetas"), ("div", "paginas"),
 )
-MENUS = (("nav", ""), ("nav", "navbar"), ("div", "menu"), ("ul", "nav navigation"), ("div", "breadcrumbs"), ("nav", "pagination"), ("div", "pager"), ("div", "tags links"), ("ul", "categories"), ("div", "toc"))
 FURNITURE = (
     ("header", ""), ("div", "header masthead"), ("div", "site-header"), ("div", "topbar"), ("footer", ""), ("div", "footer copyright"), ("div", "site-footer legal"), ("div", "colophon"), ("aside", ""), ("div", "sidebar widget"),
     ("div", "rail secondary"), ("div", "ad"), ("div", "ads"), ("section", "advert"), ("div", "advertisement"), ("div", "banner sponsored"), ("div", "sponsor"), ("div", "promo"), ("div", "promotion"), ("div", "cookie notice consent"),
     ("div", "cookies gdpr"), ("div", "alert notice"), ("div", "notification"), ("div", "disclaimer"), ("div", "newsletter subscribe"), ("div", "signup subscription"), ("div", "related recommended"), ("section", "trending popular"),
     ("div", "social share"), ("div", "sharing follow"), ("form", ""), ("form", "search login"), ("div", "popup modal"), ("div", "overlay paywall"),
+    ("div", "kopfzeile"), ("div", "fusszeile impressum"), ("div", "seitenleiste"), ("div", "werbung"), ("section", "anzeige"), ("div", "hinweis"), ("div", "datenschutz"), ("div", "anmeldung"), ("div", "verwandte empfehlungen"), ("div", "teilen"),
+    ("div", "entete"), ("div", "pied mentions"), ("div", "barre laterale"), ("div", "publicite"), ("div", "avis"), ("div", "inscription lettre"), ("div", "similaires"), ("div", "partager"),
+    ("div", "cabecera"), ("div", "pie legal"), ("div", "lateral"), ("div", "publicidad anuncio"), ("div", "aviso"), ("div", "suscripcion boletin"), ("div", "relacionados"), ("div", "compartir"),
 )
 COMMENTS = (
     ("section", "comments"), ("div", "comments"), ("div", "comment reply"), ("ol", "comment-list"), ("div", "responses"), ("section", "response"), ("div", "replies"), ("div", "disqus_thread"), ("div", "discussion"), ("ul", "respond"),
     ("div", "feedback"), ("div", "reactions"), ("section", "reader-comments"), ("div", "thread messages"), ("aside", "comments"), ("div", "reviews"),
+    ("div", "kommentare"), ("section", "kommentar"), ("ol", "leserbriefe meinungen"), ("div", "antworten"), ("div", "commentaires"), ("section", "commentaire"), ("ul", "reponses"), ("div", "comentarios"), ("section", "comentario"), ("ol", "respuestas opiniones"),
 )
 
 
@@ -376,6 +393,22 @@ def compose(blocks: list[str], rng: np.random.Generator) -> tuple[str, set[str]]
         inner = "".join(f"<{item}{name}>{one()}</{item}>" for _ in range(rng.integers(1, 6)))
         return part(tag, tokens, f"<h3>{short(pick(bad), 1, 4)}</h3>{inner}" if tag not in ("ol", "ul") and rng.random() < 0.5 else inner)
 
+    def remarks() -> str:
+        """Comments without a telling name: entries of an author and a text, alike one after the other."""
+        who, when = lambda: short(pick(bad), 1, 3), lambda: pick(("", f"<span>{short(pick(bad), 1, 4)}</span>"))
+        outer, item = pick((("ul", "li"), ("ol", "li"), ("div", "div"), ("section", "article"), ("dl", "")))
+        head = pick(("", "", f"<h3>{short(pick(bad), 1, 4)}</h3>", f"<h2>{rng.integers(1, 90)} {short(pick(bad), 1, 3)}</h2>"))
+        if not item:
+            return f"{head}<dl>{''.join(f'<dt>{who()} {when()}</dt><dd><p>{pick(bad)}</p></dd>' for _ in range(rng.integers(2, 7)))}</dl>"
+        form = pick(("<h4>{0}</h4><p>{1}</p>", "<div>{0}</div><div>{1}</div>", "<p>{0}</p><p>{1}</p>", "<header>{0}</header><p>{1}</p>", "<p>{0}</p><blockquote>{1}</blockquote>"))
+        return f"{head}<{outer}>{''.join(f'<{item}>{form.format(f"<b>{who()}</b> {when()}", pick(bad))}</{item}>' for _ in range(rng.integers(2, 7)))}</{outer}>"
+
+    def links() -> str:
+        """Links and nothing else, without a telling name: pagers, trails, columns of links."""
+        some = [f'<a href="/{i}">{short(pick(bad), 1, 5)}</a>' for i in range(rng.integers(1, 7))]
+        listed = "".join(f"<li>{a}</li>" for a in some)
+        return pick((f"<p>{pick((' | ', ' ', ' &raquo; ', ' &middot; ')).join(some)}</p>", f"<div>{pick((' | ', ' / ', ' ')).join(some)}</div>", f"<ul>{listed}</ul>", f"<div>{''.join(f'<div>{a}</div>' for a in some)}</div>", f"<table><tr>{''.join(f'<td>{a}</td>' for a in some)}</tr></table>"))
+
     def furniture() -> str:
         if rng.random() < 0.25:
             return comments()
@@ -426,14 +459,22 @@ def compose(blocks: list[str], rng: np.random.Generator) -> tuple[str, set[str]]
             out.append(block())
             if rng.random() < 0.07:
                 out.append(furniture())
-        if rng.random() < 0.15:
-            out.append(comments())
+            if rng.random() < 0.03:
+                out.append(links())
+        if rng.random() < 0.1:
+            out.append(links())
+        if rng.random() < 0.2:
+            out.append(pick((comments, comments, remarks))())
         tag, tokens = pick(MAIN)
         return part(tag, tokens, "".join(out))
 
-    before = [menu() if rng.random() < 0.5 else furniture() for _ in range(rng.integers(0, 4))]
-    after = [menu() if rng.random() < 0.2 else furniture() for _ in range(rng.integers(0, 5))]
-    body = "".join((*before, main(), *after))
+    before = [pick((menu, menu, furniture, furniture, links))() for _ in range(rng.integers(0, 4))]
+    after = [pick((menu, furniture, furniture, furniture, links, remarks))() for _ in range(rng.integers(0, 5))]
+    if rng.random() < 0.12:  # columns of a table
+        cells = [f"<td>{x}</td>" for x in (*before[:1], main(), *after[:1])]
+        body = f"<table><tr>{''.join(cells)}</tr></table>{''.join(after[1:])}"
+    else:
+        body = "".join((*before, main(), *after))
     for _ in range(rng.integers(0, 3)):
         body = part("div", str(pick(("wrapper", "page", "container", "layout", ""))), body)
     return f"<!DOCTYPE html><html><head><title>{pick(bad)}</title><style>p{{margin:0}}</style><script>var a='<p>';</script></head><body>{body}</body></html>", kept

@@ -341,8 +341,9 @@ _encoders: dict[tuple[str, int], WordEncoder] = {}
 def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes whole texts and writes shards and their manifest under ``out_dir``; returns the manifest.
 
-    Documents are dealt out by ranges of their id and sorted, so shards in manifest order hold
-    them in ascending order; rows with a null id come first, ties are in the order of their text.
+    Documents are dealt out by ranges of their id and their text's beginning, and sorted, so shards in
+    manifest order hold them in ascending order; rows with a null id come first, ties are in the
+    order of their text. One id, or none, with many texts is spread over tasks.
     A null or empty text has the end id alone. Files get a name of their own at each attempt and
     only those in the manifest count, so a lost executor's files do no harm.
     Manifest: part, piece, path, n_docs, n_ids.
@@ -350,7 +351,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
     with open(tokenizer_path, encoding="utf-8") as f:  # the vocabulary file, a few MB at most
         content = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sorted_rows = rows.repartitionByRange(parts_for(docs, 8 << 20), "id").sortWithinPartitions("id", "text")
+    sorted_rows = rows.repartitionByRange(parts_for(docs, 8 << 20), "id", F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get((tokenizer_path, end_id)) or _encoders.setdefault((tokenizer_path, end_id), WordEncoder(content.value, end_id))
