@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,20 +51,57 @@ def open_access_only(works: DataFrame) -> DataFrame:
     return works.where(F.coalesce("open_access.is_oa", F.lit(False)))
 
 
-def keyword_query(keywords: str | list[str], text: Column) -> Column:
-    """Any of the keywords as whole words; of several words as a phrase."""
+_OUTSIDE = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
+
+
+def _whole(phrase: str) -> str:
+    return "(?i)" + _OUTSIDE[0] + r"\s+".join(re.escape(w) for w in phrase.split()) + _OUTSIDE[1]
+
+
+def _in_text(text: Column) -> Callable[[str], Column]:
+    """Whether a text has a phrase as whole words."""
+    return lambda phrase: F.coalesce(text.rlike(_whole(phrase)), F.lit(False))
+
+
+def _in_index(index: Column) -> Callable[[str], Column]:
+    """The same of an inverted index, word to positions, whose text isn't rebuilt.
+
+    Of a phrase the first word ends an entry, the last one begins an entry, and those between are entries; the
+    positions of entries that fit, each less the word's place, have one in common if they stand in a row.
+    """
+
+    def held(phrase: str) -> Column:
+        words = [re.escape(w) for w in phrase.split()]
+        patterns = [("(?i)" if len(words) == 1 else "(?i)^" if k else "(?i)") + (_OUTSIDE[0] if k == 0 else "") + w + (_OUTSIDE[1] if k == len(words) - 1 else "$") for k, w in enumerate(words)]
+        fitting = lambda pattern: F.flatten(F.map_values(F.map_filter(index, lambda w, _: w.rlike(pattern))))
+        places = [F.transform(fitting(p), lambda x: x - F.lit(k)) for k, p in enumerate(patterns)]
+        common = places[0]
+        for other in places[1:]:
+            common = F.array_intersect(common, other)
+        return F.coalesce(F.size(common) > 0, F.lit(False))
+
+    return held
+
+
+def keyword_query(keywords: str | list[str], text: Column | None = None, index: Column | None = None) -> Column:
+    """Any of the keywords as whole words; of several words as a phrase. Over a text or an inverted index."""
     words = [keywords] if isinstance(keywords, str) else list(keywords)
     if not words or not all(w.strip() for w in words):
         raise ValueError("give one keyword at least, none of them empty")
-    return F.coalesce(text.rlike("|".join(_whole(w) for w in words)), F.lit(False))
-
+    if index is None:
+        return F.coalesce(text.rlike("|".join(_whole(w) for w in words)), F.lit(False))
+    out = F.lit(False)
+    for w in words:
+        out = out | _in_index(index)(w)
+    return out
 
-def _whole(phrase: str) -> str:
-    return r"(?i)(?<![\p{L}\p{N}_])" + r"\s+".join(re.escape(w) for w in phrase.split()) + r"(?![\p{L}\p{N}_])"
 
+def boolean_query(query: str, text: Column | None = None, index: Column | None = None) -> Column:
+    """AND, OR, NOT, parentheses and quoted phrases; words side by side must all be there.
 
-def boolean_query(query: str, text: Column) -> Column:
-    """AND, OR, NOT, parentheses and quoted phrases over a text; words side by side must all be there."""
+    Over a text, or over a work's inverted index, so that works are searched before any text is rebuilt.
+    """
+    held = _in_text(text) if index is None else _in_index(index)
     tokens = re.findall(r'"[^"]*"|\(|\)|[^\s()"]+', query)
     if not tokens:
         raise ValueError("the query is empty")
@@ -100,7 +138,10 @@ def boolean_query(query: str, text: Column) -> Column:
             return inner
         if token in (")", "AND", "OR"):
             raise ValueError(f"{token} is out of place: {query}")
-        return F.coalesce(text.rlike(_whole(token.strip('"'))), F.lit(False))
+        phrase = token.strip('"')
+        if not phrase.strip():
+            raise ValueError(f"a phrase is empty: {query}")
+        return held(phrase)
 
     made = either()
     if at < len(tokens):

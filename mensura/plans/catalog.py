@@ -247,6 +247,12 @@ def _critique(s: SparkSession, d: str) -> DataFrame:
     return ev.critique_report(_rows(s, d))
 
 
+@query(f"{_ALIGNED} SELECT arm, seed, doc_id, round({_SCORE}, 6) AS score FROM c")
+def q_critique(s, d):
+    """The critique's scores; q_critique_report has its lines and rules too."""
+    return _rounded(_critique(s, d).select("arm", "seed", "doc_id", "score"))
+
+
 @query()
 def q_critique_report(s, d):
     """The whole critique of every document; a test compares it with plain Python."""
@@ -332,12 +338,22 @@ def q_sieve_report(s, d):
     return _rounded(wk.sieve_report(sql(s, d, ABSTRACTS)))
 
 
-@query(r"SELECT doc_id FROM documents WHERE (regexp_matches(text, '(?i)(?:^|[^\pL\pN_])the(?:$|[^\pL\pN_])') OR regexp_matches(text, '(?i)(?:^|[^\pL\pN_])de\s+la(?:$|[^\pL\pN_])')) AND NOT regexp_matches(text, '(?i)(?:^|[^\pL\pN_])und(?:$|[^\pL\pN_])')")
+_BOOLEAN = r"SELECT doc_id FROM documents WHERE (regexp_matches(text, '(?i)(?:^|[^\pL\pN_])the(?:$|[^\pL\pN_])') OR regexp_matches(text, '(?i)(?:^|[^\pL\pN_])de\s+la(?:$|[^\pL\pN_])')) AND NOT regexp_matches(text, '(?i)(?:^|[^\pL\pN_])und(?:$|[^\pL\pN_])')"
+
+
+@query(_BOOLEAN)
 def q_boolean_query(s, d):
     docs = s.read.parquet(f"{d}/documents.parquet")
     return docs.where(wk.boolean_query('(the OR "de la") AND NOT und', F.col("text"))).select("doc_id")
 
 
+@query(_BOOLEAN)
+def q_boolean_index(s, d):
+    """The same query over the documents' inverted indexes; no text is rebuilt."""
+    works = _indexed(s.read.parquet(f"{d}/documents.parquet"))
+    return works.where(wk.boolean_query('(the OR "de la") AND NOT und', index=F.col("index"))).select("doc_id")
+
+
 @query(f"SELECT doc_id, length(abstract) AS relevance FROM ({ABSTRACTS}) WHERE {_OK} ORDER BY length(abstract) DESC, doc_id LIMIT 50")
 def q_top_relevant(s, d):
     works = sql(s, d, ABSTRACTS).withColumn("relevance", F.length("abstract"))
@@ -648,7 +664,7 @@ _ROUND_CTE = _ALIGNED.replace(f"({PRED})", "@second").replace(f"({GOLD})", f"({_
 
 
 def _agreement(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    first, second = (ev.prepared(sql(s, d, r)) for r in _ROUNDS)
+    first, second = (stored(ev.prepared(sql(s, d, r)), "round") for r in _ROUNDS)
     docs = sql(s, d, _ROUND_DOCS)
     return ag.agreement(docs, first, docs, second)
 
@@ -683,6 +699,13 @@ def q_arm_summary(s, d):
     return _rounded(st.arm_summary(stored(_rows(s, d), "aligned"))["pooled"])
 
 
+@query(f"{_ALIGNED} SELECT arm, round(avg(score), 6) AS mean_score, count(*) AS n_seeds FROM (SELECT arm, seed, avg({_SCORE}) AS score FROM c GROUP BY 1, 2) GROUP BY 1")
+def q_evaluate(s, d):
+    """The scores of the whole report."""
+    report = ev.evaluate(_docs(s, d), stored(_gold(s, d), "gold"), stored(_pred(s, d), "predictions"), sql(s, d, SYSTEMS))
+    return _rounded(report["scores"])
+
+
 def _tall(part: str, source: str, names: dict[str, str], arm: str = "arm", seed: str = "NULL", texts: str = "") -> str:
     """SQL of a report's part as ``evaluate.report_rows`` lays it out."""
     return " UNION ALL ".join(f"SELECT '{part}' AS part, {arm} AS arm, CAST({seed} AS VARCHAR) AS seed, {texts}'{n}' AS name, round(CAST({x} AS DOUBLE), 6) AS value FROM {source}" for n, x in names.items())
@@ -720,7 +743,7 @@ _SAID = "SELECT l_orderkey AS doc_id, array_join(collect_list(concat('It had ',
 )
 def q_evaluate_report(s, d):
     """The whole evaluation: rates, fields, macro F1, scores and sentences that aren't in the text (intervals: q_report_intervals)."""
-    report = ev.evaluate(_docs(s, d), _gold(s, d), _pred(s, d), sql(s, d, SYSTEMS), sql(s, d, _SAID))
+    report = ev.evaluate(_docs(s, d), stored(_gold(s, d), "gold"), stored(_pred(s, d), "predictions"), sql(s, d, SYSTEMS), sql(s, d, _SAID))
     return _rounded(ev.report_rows({k: report[k] for k in ("prf", "fields", "macro_f1", "scores", "hallucination")}))
 
 

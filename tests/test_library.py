@@ -108,11 +108,28 @@ def test_boolean_query(spark):
     texts = ["red mud and clay", "red clay", "mud", None]
     assert one(spark, texts, lambda x: wk.boolean_query('"red mud" OR (clay AND NOT mud)', x)) == [True, True, False, False]
     assert one(spark, texts, lambda x: wk.keyword_query(["red mud", "MUD"], x)) == [True, False, True, False]
-    for bad in ("", "(a", "a OR", "AND a", "a )"):
+    for bad in ("", "(a", "a OR", "AND a", "a )", '""'):
         with pytest.raises(ValueError):
             wk.boolean_query(bad, F.col("x"))
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(hs.lists(hs.lists(hs.sampled_from(["red", "Red", "mud", "red,mud", "(red", "mud)", "redmud", "x-red", "mud-y", "clay", "mud,", "_mud", "é", "red."]), max_size=7), min_size=1, max_size=9))
+def test_queries_of_an_index_equal_those_of_its_text(spark, texts):
+    rows = []
+    for i, words in enumerate(texts):
+        index = {}
+        for k, w in enumerate(words):
+            index.setdefault(w, []).append(k)
+        rows.append((i, " ".join(words), index))
+    df = spark.createDataFrame([*rows, (-1, None, None)], "i int, t string, x map<string, array<int>>")
+    queries = ('"red mud"', "red", '"red mud clay" OR NOT mud', '(clay AND "mud red") OR é', '"mud clay"')
+    cells = [c for q in queries for c in (wk.boolean_query(q, F.col("t")), wk.boolean_query(q, index=F.col("x")))]
+    cells += [wk.keyword_query(["red mud", "clay"], F.col("t")), wk.keyword_query(["red mud", "clay"], index=F.col("x"))]
+    for r in df.select("t", *[c.alias(f"c{k}") for k, c in enumerate(cells)]).collect():
+        assert list(r[1::2]) == list(r[2::2]), r
+
+
 def test_lexicon(spark):
     assert one(spark, ["La₂O₃ and ree, REE, Rees; x∑REE,", "Neodymium x-rare earths", None], lx.terms_in) == [["La₂O₃", "REE", "∑REE"], ["Neodymium", "rare earths"], None]
     assert one(spark, ["leachings", "bioleaching", None], lx.has_process) == [True, False, False]
