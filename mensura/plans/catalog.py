@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -292,11 +295,22 @@ def q_lookup_texts(s, d):
 # ---- works and text ------------------------------------------------------------------------
 
 
+@F.pandas_udf("map<string, array<int>>")
+def _inverted(texts: pd.Series) -> pd.Series:
+    """Words to their positions, row by row."""
+
+    def index(text: str | None) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for i, word in enumerate(re.findall(r"[^\x20\x09-\x0D]+", text or "")):
+            out.setdefault(word, []).append(i)
+        return out
+
+    return pd.Series([index(t) for t in texts], dtype=object)
+
+
 def _indexed(docs: DataFrame) -> DataFrame:
     """The inverted index of every document; that of a null text is empty."""
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    placed = docs.select("doc_id", F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))).alias("p"))
-    return placed.select("doc_id", F.explode_outer("p").alias("x")).groupBy("doc_id", "x.w").agg(F.collect_list("x.i").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "at")))).alias("index"))
+    return docs.select("doc_id", _inverted("text").alias("index"))
 
 
 _WORDS = r"coalesce(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')), '')"

@@ -627,7 +627,7 @@ def test_minibatch(spark):
 def test_replies_from_cache_and_provider(spark):
     rows = [("a", "hello"), ("b", "x" * 30), ("c", ""), ("d", "boom"), ("a", "hello"), ("e", "kept")]
     asked = spark.createDataFrame(rows, "cache_key string, said string")
-    cache = spark.createDataFrame([("e", "old", "stop", 1, 1), ("b", "  ", "stop", 1, 1)], f"cache_key string, {bt.REPLY}")
+    cache = spark.createDataFrame([("e", "old", "stop", 1, 1), ("b", "  ", "stop", 1, 1)], "cache_key string, text string, finish_reason string, tokens_in bigint, tokens_out bigint")
 
     def provider(row):
         if row["said"] == "boom":
