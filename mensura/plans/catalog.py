@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mensura.functions import lexicon as lx
 from mensura.functions import replies as rp
@@ -295,7 +296,7 @@ def q_lookup_texts(s, d):
 # ---- works and text ------------------------------------------------------------------------
 
 
-@F.pandas_udf("map<string, array<int>>")
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
 def _inverted(texts: pd.Series) -> pd.Series:
     """Words to their positions, row by row."""
 
