@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mensura.functions import lexicon as lx
 from mensura.functions import replies as rp
@@ -296,22 +296,22 @@ def q_lookup_texts(s, d):
 # ---- works and text ------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
-def _inverted(texts: pd.Series) -> pd.Series:
-    """Words to their positions, row by row."""
+def _indexed(docs: DataFrame) -> DataFrame:
+    """The inverted index of every document, words to their positions; that of a null text is empty. A few documents at a time are held."""
+    kind = pa.map_(pa.string(), pa.list_(pa.int32()))
 
-    def index(text: str | None) -> dict[str, list[int]]:
+    def index(text: str | None) -> list[tuple[str, list[int]]]:
         out: dict[str, list[int]] = {}
         for i, word in enumerate(re.findall(r"[^\x20\x09-\x0D]+", text or "")):
             out.setdefault(word, []).append(i)
-        return out
-
-    return pd.Series([index(t) for t in texts], dtype=object)
+        return list(out.items())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(k, 64) for k in range(0, b.num_rows, 64)):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([index(t) for t in part.column(1).to_pylist()], kind)], ["doc_id", "index"])
 
-def _indexed(docs: DataFrame) -> DataFrame:
-    """The inverted index of every document; that of a null text is empty."""
-    return docs.select("doc_id", _inverted("text").alias("index"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, index map<string, array<int>>")
 
 
 _WORDS = r"coalesce(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')), '')"
