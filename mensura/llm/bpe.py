@@ -5,7 +5,8 @@ of a piece stands a segment tree whose leaf i holds the rank of the pair that be
 whose inner nodes hold the least (rank, position) below them, so the root is the leftmost pair of
 least rank. A merge changes three leaves (the pair itself, its live left neighbour, and the
 swallowed position), each a point update along one path to the root. Pieces of one size class
-are merged side by side: their trees are rows of one numpy array. Long pieces have a tree each.
+are merged side by side: their trees are rows of one numpy array. Longer pieces have a tree each;
+very long ones hold it in flat arrays and merge the places of the least rank together.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 _NONE = np.int64(1) << 60
+#: The same in 32-bit trees; pieces over so many bytes are merged in flat arrays, so many places at once at most.
+_FAR = np.int32(2**31 - 1)
+LONG, AT_ONCE = 1 << 18, 1 << 20
 
 
 class Ranks:
@@ -185,16 +189,80 @@ class Ranks:
                 put(prior, none if r is None else (r, prior))
         return [x for x, g in zip(ids, gone_at) if not g]
 
-    def encode_pieces(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of a piece of any length, by a tree of its own, held in flat arrays of some 21 bytes a byte.
+
+        The tree holds ranks; its root is the least, and the places that have it are found from the
+        left. They are merged together as long as that is what merging one after the other gives:
+        until a merge makes a pair of lesser rank, which then comes first.
+        """
+        n = len(piece)
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].astype(np.int32)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        tree = [np.full(n, _FAR, np.int32)]  # from the leaves to the root; a level of odd length has a last node with one child
+        for a in range(0, n - 1, AT_ONCE):
+            b = min(n - 1, a + AT_ONCE)
+            tree[0][a:b] = np.minimum(self.ranks(ids[a:b], ids[a + 1 : b + 1]), _FAR)
+        while len(tree[-1]) > 1:
+            below = tree[-1]
+            up = below[::2].copy()
+            np.minimum(up[: len(below) // 2], below[1::2], out=up[: len(below) // 2])
+            tree.append(up)
+        alive = np.ones(n, bool)
+
+        def put(at: np.ndarray, values: np.ndarray) -> None:
+            """Point updates of places in ascending order, their paths joined where they meet."""
+            tree[0][at] = values
+            for below, level in zip(tree, tree[1:]):
+                at = at >> 1
+                at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+                left = 2 * at
+                level[at] = np.minimum(below[left], below[np.minimum(left + 1, len(below) - 1)])
+
+        while (rank := int(tree[-1][0])) < _FAR:
+            at = np.zeros(1, np.int64)
+            for level in tree[-2::-1]:
+                at = np.stack([2 * at, 2 * at + 1], 1).ravel()
+                at = at[at < len(level)]
+                at = at[level[at] == rank][:AT_ONCE]
+            gone = after[at].astype(np.int64)
+            if len(at) > 1 and (gone[:-1] == at[1:]).any():  # of a chain of such pairs every other one is merged
+                starts = np.concatenate([[True], gone[:-1] != at[1:]])
+                first = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
+                kept = (np.arange(len(at)) - first) % 2 == 0
+                at, gone = at[kept], gone[kept]
+            then, prior = after[gone].astype(np.int64), before[at].astype(np.int64)
+            merged_before = np.concatenate([[False], then[:-1] == at[1:]])  # whose left neighbour is merged as well
+            left_ids = np.where(merged_before, rank, ids[np.maximum(prior, 0)])
+            right_ids = ids[np.minimum(then, n - 1)]
+            new = np.full(len(at), rank, np.int64)
+            left_ranks = np.where((prior >= 0) | merged_before, self.ranks(left_ids, new), _NONE)
+            right_ranks = np.where(then < n, self.ranks(new, right_ids), _NONE)
+            lesser = np.flatnonzero((left_ranks < rank) | (right_ranks < rank))
+            m = int(lesser[0]) + 1 if len(lesser) else len(at)
+            at, gone, then, prior, merged_before = at[:m], gone[:m], then[:m], prior[:m], merged_before[:m]
+            left_ranks, right_ranks = left_ranks[:m], right_ranks[:m].copy()
+            ids[at], after[at], alive[gone] = rank, then, False
+            on = then < n
+            before[then[on]] = at[on]
+            right_ranks[:-1] = np.where(merged_before[1:], left_ranks[1:], right_ranks[:-1])
+            left = np.where(merged_before, -1, prior)  # such a neighbour's pair is among the right ones
+            places = np.concatenate([left[left >= 0], at, gone])
+            values = np.concatenate([left_ranks[left >= 0], right_ranks, np.full(m, _FAR)])
+            order = np.argsort(places, kind="stable")
+            put(places[order], np.minimum(values[order], _FAR).astype(np.int32))
+        return ids[alive]
+
+    def encode_pieces(self, pieces: list[bytes]) -> dict[bytes, list[int] | np.ndarray]:
         """Ids of each distinct piece."""
-        out: dict[bytes, list[int]] = {}
+        out: dict[bytes, list[int] | np.ndarray] = {}
         classes: dict[int, list[bytes]] = {}
         for piece in pieces:
             whole = self.id_of.get(piece)
             if whole is not None:
                 out[piece] = [whole]
             elif len(piece) > 64:
-                out[piece] = self.merge_one(piece)
+                out[piece] = self.merge_long(piece) if len(piece) > LONG else self.merge_one(piece)
             elif piece:
                 classes.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(piece)
         for leaves, own in classes.items():
@@ -205,6 +273,21 @@ class Ranks:
         return out
 
 
+def in_decimal(ids: list[int] | np.ndarray) -> str:
+    """Decimal ids joined by one space, made a block at a time."""
+    return " ".join(" ".join(map(str, ids[a : a + LONG])) for a in range(0, len(ids), LONG))
+
+
+def id_blocks(decimal: str) -> Iterator[list[str]]:
+    """The ids of such a string, in lists of bounded length."""
+    start = 0
+    while start < len(decimal):
+        end = decimal.find(" ", start + 4 * LONG)
+        end = len(decimal) if end < 0 else end
+        yield decimal[start:end].split(" ")
+        start = end + 1
+
+
 @functools.lru_cache(maxsize=2)
 def ranks_of(content: bytes) -> Ranks:
     return Ranks(content)
@@ -229,7 +312,7 @@ class Encoder:
         parts = {c: [p.encode() for p in self.pattern.findall(c)] if self.in_chunks else [c.encode()] for c in new}
         ids = self.ranks.encode_pieces(list({p for own in parts.values() for p in own}))
         if self.decimal:
-            written = {p: " ".join(map(str, x)) for p, x in ids.items()}
+            written = {p: in_decimal(x) for p, x in ids.items()}
             self.seen.update({c: " ".join([written[p] for p in own]) for c, own in parts.items()})
         else:
             kept = {p: np.array(x, "<i4").tobytes() for p, x in ids.items()}
@@ -320,10 +403,13 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: s
                 batch = whole.slice(start, 250)
                 counts, ids_sha, text_sha = [], [], []
                 for s in encoder.encode(strings(batch.column(1)).to_pylist()):
-                    ids = s.split(" ") if s else []
-                    counts.append(len(ids))
+                    n, back = 0, hashlib.sha256()
+                    for ids in id_blocks(s):
+                        n += len(ids)
+                        back.update(b"".join(map(table, ids)))
+                    counts.append(n)
                     ids_sha.append(hashlib.sha256(s.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join(map(table, ids))).hexdigest())
+                    text_sha.append(back.hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()

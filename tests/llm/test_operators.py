@@ -1,5 +1,6 @@
 """The training-data operators against brute-force versions and on odd inputs."""
 
+import base64
 import hashlib
 import html
 import random
@@ -102,7 +103,33 @@ def test_long_and_side_by_side_trees_agree(text):
     if len(piece) >= 2:
         leaves = max(2, 1 << (len(piece) - 1).bit_length())
         data = np.frombuffer(piece.ljust(leaves, b"\0"), np.uint8).reshape(1, -1)
-        assert ranks.merge_rows(data, np.array([len(piece)]), leaves)[0] == ranks.merge_one(piece)
+        assert ranks.merge_rows(data, np.array([len(piece)]), leaves)[0] == ranks.merge_one(piece) == ranks.merge_long(piece).tolist()
+
+
+@settings(max_examples=40, deadline=None)
+@given(hs.permutations([a + b + c for a in ("a", "b", "ab", "ba", "aa") for b in ("a", "b", "bb") for c in ("", "a", "ba")]), hs.text("ab", min_size=2, max_size=400))
+def test_merging_many_places_at_once_keeps_the_order_of_ranks(tokens, text):
+    """Vocabularies in any order, in which a merge may make a pair of lesser rank."""
+    extra = [t for t in dict.fromkeys(tokens) if len(t) > 1]
+    lines = [(bytes([b]), b) for b in range(256)] + [(t.encode(), 256 + i) for i, t in enumerate(extra)]
+    ranks = bpe.Ranks(b"\n".join(base64.b64encode(t) + b" %d" % i for t, i in lines))
+    assert ranks.merge_long(text.encode()).tolist() == ranks.merge_one(text.encode())
+
+
+def test_bpe_of_very_long_texts_without_a_space(spark, monkeypatch):
+    """Texts over the bound of the flat arrays, random, repeated and of one letter; few places at once as well."""
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", np.uint8)
+    texts = [rng.choice(letters, bpe.LONG + 1000).tobytes().decode(), "x" * (bpe.LONG + 7), "naïveté" * (bpe.LONG // 6)]
+    ranks = bpe.ranks_of(bpe.read_ranks(RANKS))
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.id_of, special_tokens={})
+    want = {i: plain.encode_ordinary(t) for i, t in enumerate(texts)}
+    for r in bpe.round_trip_digests(docs(spark, list(enumerate(texts))), RANKS, public_tokenizers.PATTERN).collect():
+        assert r.n_tokens == len(want[r.doc_id])
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, want[r.doc_id])).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    monkeypatch.setattr(bpe, "AT_ONCE", 1000)
+    assert ranks.merge_long(texts[0][:20000].encode()).tolist() == ranks.merge_one(texts[0][:20000].encode())
 
 
 # ---- 2 -------------------------------------------------------------------------------------
