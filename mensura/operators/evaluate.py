@@ -181,9 +181,9 @@ def for_each_system(df: DataFrame, systems: DataFrame, by: tuple[str, ...] = BY)
 
 
 def _aligned_lists(docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Aligned rows of documents whose rows fit in a list: one exchange for each of the three inputs."""
+    """Aligned rows of documents whose rows fit in a list: one exchange for each of the three inputs, none for those dealt out by doc_id already."""
     fields = lambda df: [c for c in OWN if c in df.columns]
-    side = lambda df, more=(): F.array_sort(F.collect_list(F.struct(*fields(df), *more)))
+    side = lambda df, more=(): F.sort_array(F.collect_list(F.struct(*fields(df), *more)))
     g = gold.groupBy("doc_id").agg(side(gold).alias("g"))
     p = pred.groupBy("doc_id").agg(side(pred, by).alias("p"))
     whole = for_each_system(docs.join(g, "doc_id", "left").join(p, "doc_id", "left"), systems, by)
@@ -191,7 +191,7 @@ def _aligned_lists(docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: D
     lists = whole.select(*by, "doc_id", F.coalesce("g", F.array().cast(g.schema["g"].dataType)).alias("g"), F.coalesce(own, F.array().cast(p.schema["p"].dataType)).alias("p"))
     match = lambda a, i: F.transform("p", lambda b, j: F.when(values_match(a["value"], b["value"]), F.struct((-pair_score(a, b)).alias("k"), i.alias("i"), j.alias("j"))))
     near = F.array_compact(F.flatten(F.transform("g", match)))
-    chosen = lists.withColumn("c", F.array_sort(near)).withColumn("c", _greedy(F.col("c")))
+    chosen = lists.withColumn("c", F.sort_array(near)).withColumn("c", _greedy(F.col("c")))
     none = lambda df, c: F.lit(None).cast(df.schema[c].dataType.elementType)
     row = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("g"), y.alias("p"))
     lone = lambda side, name: F.filter(side, lambda x, n: ~F.exists("c", lambda c: c[name] == n))
@@ -225,18 +225,26 @@ def _aligned_rounds(docs: DataFrame, gold: DataFrame, pred: DataFrame, systems:
     return out
 
 
-def aligned_rows(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, by: tuple[str, ...] = BY, most: int = MOST_IN_LIST) -> DataFrame:
+def crowded_docs(gold: DataFrame, pred: DataFrame, most: int = MOST_IN_LIST, bounds: DataFrame | None = None) -> DataFrame:
+    """Documents with more than ``most`` gold rows and predictions, by a count of both or by ``bounds``."""
+    if bounds is None:
+        bounds = gold.select("doc_id").unionAll(pred.select("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return stored(bounds.where(F.col("n") > most).select("doc_id"), "crowded")
+
+
+def aligned_rows(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, by: tuple[str, ...] = BY, most: int = MOST_IN_LIST, bounds: DataFrame | None = None) -> DataFrame:
     """Both sides aligned, for every system and gold document: by, doc_id, kind, g_... and p_...
 
     kind is 'document' (one row for each document and system, whether it has anything or not), 'pair'
     (both sides' fields), 'missed' (gold without a partner) or 'invented' (a prediction without one).
     Rows of other documents are ignored. A document's (doc_id, ord) is expected to be unique on
-    each side. Documents with more than ``most`` gold rows and predictions are found by a count
-    beforehand and aligned by rounds; the others are lists, grouped and aligned within a document.
-    Both inputs are read by the count and again by the alignment: store them if they are costly to derive.
+    each side. Documents with more than ``most`` gold rows and predictions are aligned by rounds, the
+    others as lists. They are found by a count beforehand, or by ``bounds`` (doc_id, n: at
+    least as many as both sides' rows), where a caller knows one that is cheaper than the inputs.
+    Nothing is moved between counting and alignment of inputs that are dealt out by doc_id.
     """
     docs = gold_docs.select("doc_id").distinct()
-    crowded = stored(gold.select("doc_id").unionAll(pred.select("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("doc_id"), "crowded")
+    crowded = crowded_docs(gold, pred, most, bounds)
     if crowded.isEmpty():
         return _aligned_lists(docs, gold, pred, systems, by)
     few = _aligned_lists(*(x.join(crowded, "doc_id", "left_anti") for x in (docs, gold, pred)), systems, by)
@@ -495,5 +503,5 @@ def critique_report(rows: DataFrame, rejected: DataFrame | None = None, unusable
     right = F.when((doc_score() == 1.0) & ~F.exists("l", lambda x: x["section"] == 4), F.array(F.lit("all entries match the reference"))).otherwise(F.array().cast("array<string>"))
     names = F.array_distinct(F.flatten(F.transform("l", lambda x: x["rules"])))
     listed = F.create_map(*[x for k, v in rules.items() for x in (F.lit(k), F.lit(v))])
-    report = told.withColumn("l", F.array_sort(lines)).select(*keys, doc_score().alias("score"), F.array_join(F.concat(F.array(first), texts, right), "\n").alias("lines"), names.alias("rules"))
+    report = told.withColumn("l", F.sort_array(lines)).select(*keys, doc_score().alias("score"), F.array_join(F.concat(F.array(first), texts, right), "\n").alias("lines"), names.alias("rules"))
     return report.withColumn("advice", F.transform("rules", lambda r: F.coalesce(listed[r], r)))

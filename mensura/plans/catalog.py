@@ -20,7 +20,7 @@ from mensura.operators import sampling as sm
 from mensura.operators import stats as st
 from mensura.operators import vote as vt
 from mensura.operators import works as wk
-from mensura.plans.derive import ABSTRACTS, GOLD, LOG, PRED, SAMPLES, SYSTEMS, sql
+from mensura.plans.derive import ABSTRACTS, GOLD, LOG, PRED, SAMPLES, SYSTEMS, order_parts, sql
 from mensura.schemas import CATEGORICAL, TUPLE_FIELDS, UNITS
 from mensura.sources import tables as src
 from mensura.sources.shared import new_folder, stored
@@ -45,21 +45,33 @@ def query(oracle: str | None = None):
 # ---- evaluation ----------------------------------------------------------------------------
 
 
-def _gold(s: SparkSession, d: str) -> DataFrame:
-    return ev.prepared(sql(s, d, GOLD))
+def _gold(s: SparkSession, d: str, parts: int = 0) -> DataFrame:
+    return ev.prepared(sql(s, d, GOLD, parts))
 
 
-def _pred(s: SparkSession, d: str) -> DataFrame:
-    return ev.prepared(sql(s, d, PRED))
+def _pred(s: SparkSession, d: str, parts: int = 0) -> DataFrame:
+    return ev.prepared(sql(s, d, PRED, parts))
 
 
-def _docs(s: SparkSession, d: str) -> DataFrame:
-    return sql(s, d, "SELECT o_orderkey AS doc_id FROM orders")
+def _docs(s: SparkSession, d: str, parts: int = 0) -> DataFrame:
+    return sql(s, d, "SELECT o_orderkey AS doc_id FROM orders", parts)
 
 
-def _rows(s: SparkSession, d: str) -> DataFrame:
-    # derived by windows, and read twice: by the count of crowded documents and by the alignment
-    return ev.aligned_rows(_docs(s, d), stored(_gold(s, d), "gold"), stored(_pred(s, d), "predictions"), sql(s, d, SYSTEMS))
+#: A line is one gold row and at most two predictions of each of four systems.
+_BOUNDS = "SELECT l_orderkey AS doc_id, count(*) * 9 AS n FROM lineitem GROUP BY l_orderkey"
+
+
+def _sides(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Documents, gold and predictions, dealt out by order: their alignment moves the tables' rows alone."""
+    n = order_parts(s, d)
+    return {"gold_docs": _docs(s, d, n), "gold": _gold(s, d, n), "pred": _pred(s, d, n), "systems": sql(s, d, SYSTEMS), "bounds": sql(s, d, _BOUNDS)}
+
+
+def _rows(s: SparkSession, d: str, sentences: bool = False) -> DataFrame:
+    sides = _sides(s, d)
+    if not sentences:  # only texts about the rows need them
+        sides |= {k: sides[k].drop("sentence") for k in ("gold", "pred")}
+    return ev.aligned_rows(**sides)
 
 
 def _matched(s: SparkSession, d: str) -> DataFrame:
@@ -205,7 +217,7 @@ def q_kappa(s, d):
 
 
 def _divergences(s: SparkSession, d: str) -> DataFrame:
-    return ag.divergences(_rows(s, d), ("arm",))
+    return ag.divergences(_rows(s, d, True), ("arm",))
 
 
 @query(f"{_ALIGNED} SELECT arm, {', '.join(f'count(*) FILTER (WHERE NOT ({x})) AS {f}' for f, x in _EQUAL.items())} FROM m GROUP BY arm")
@@ -248,7 +260,7 @@ def q_strict_errors(s, d):
 
 
 def _critique(s: SparkSession, d: str) -> DataFrame:
-    return ev.critique_report(_rows(s, d))
+    return ev.critique_report(_rows(s, d, True))
 
 
 @query(f"{_ALIGNED} SELECT arm, seed, doc_id, round({_SCORE}, 6) AS score FROM c")

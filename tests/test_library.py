@@ -808,3 +808,14 @@ def test_plans_keep_columns_and_shuffles_few(spark):
     assert plan.count("Exchange") == 1 and "props" not in plan
     counts = Counter(catalog.QUERIES)
     assert len(counts) == len(catalog.QUERIES) and set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_alignment_moves_the_tables_rows_alone(spark):
+    """Gold and predictions that are dealt out by order are neither stored nor moved again."""
+    from mensura.plans import catalog
+
+    rows = catalog._rows(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert moved and all("orderkey" in line and "REPARTITION_BY_NUM" in line for line in moved)
+    assert "lineitem.parquet" in plan and "predictions" not in plan
