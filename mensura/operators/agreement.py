@@ -36,12 +36,12 @@ def paired_docs(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
     return a.select(key).distinct().join(b.select(key).distinct(), key)
 
 
-def agreement(docs1: DataFrame, first: DataFrame, docs2: DataFrame, second: DataFrame, by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def agreement(docs1: DataFrame, first: DataFrame, docs2: DataFrame, second: DataFrame, by: tuple[str, ...] = (), bounds: DataFrame | None = None) -> dict[str, DataFrame]:
     """Two rounds over their common documents: counts, prf, fields, kappa per categorical field, det_ci and tup_ci.
 
     The first round is the reference. Inputs come from ``evaluate.prepared``. ``by`` names columns
     of the second round, such as arm and seed, that tell several second rounds apart; each is
-    compared with the first. Both are aligned once and stored.
+    compared with the first. Both are aligned once and stored. ``bounds`` is that of ``aligned_rows``.
     """
     from mensura.operators.stats import bootstrap_cis  # stats imports this module
 
@@ -49,7 +49,7 @@ def agreement(docs1: DataFrame, first: DataFrame, docs2: DataFrame, second: Data
     keys = tuple(by) or ("round",)
     two = second if by else second.withColumn("round", F.lit("second"))
     systems = two.select(*keys).distinct() if by else both.sparkSession.createDataFrame([("second",)], "round string")
-    rows = stored(ev.aligned_rows(both, first, two, systems, keys), "agreement")
+    rows = stored(ev.aligned_rows(both, first, two, systems, keys, bounds=bounds), "agreement")
     counts, matched = stored(ev.doc_counts(rows, keys), "agreement_counts"), ev.of_kind(rows, "pair", keys)
     cis = bootstrap_cis(counts, keys)
     return {

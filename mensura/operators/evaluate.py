@@ -354,15 +354,15 @@ def sum_seeds(counts: DataFrame) -> DataFrame:
     return counts.groupBy("arm", "doc_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def evaluate(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, abstracts: DataFrame | None = None, by: tuple[str, ...] = BY) -> dict[str, DataFrame]:
+def evaluate(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, abstracts: DataFrame | None = None, by: tuple[str, ...] = BY, bounds: DataFrame | None = None) -> dict[str, DataFrame]:
     """The whole report by name: counts, prf, fields, macro_f1, scores, det_ci and tup_ci, and hallucination with abstracts.
 
     gold and pred come from ``prepared``. Both sides are aligned once and stored; every part is a
-    grouping of the stored rows, or of the stored counts and label cells.
+    grouping of the stored rows, or of the stored counts and label cells. ``bounds`` is that of ``aligned_rows``.
     """
     from mensura.operators.stats import bootstrap_cis  # stats imports this module
 
-    rows = stored(aligned_rows(gold_docs, gold, pred, systems, by), "aligned")
+    rows = stored(aligned_rows(gold_docs, gold, pred, systems, by, bounds=bounds), "aligned")
     counts, matched = stored(doc_counts(rows, by), "doc_counts"), of_kind(rows, "pair", by)
     cis = bootstrap_cis(counts, by)
     out = {"rows": rows, "matched": matched, "counts": counts, "prf": micro_prf(counts, by), "fields": field_accuracy(matched, by), "macro_f1": macro_f1(label_cells(matched, by=by), by), "scores": mean_score(counts, by), "det_ci": cis.where("kind = 'det'").drop("kind"), "tup_ci": cis.where("kind = 'tup'").drop("kind")}

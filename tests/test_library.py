@@ -819,3 +819,15 @@ def test_alignment_moves_the_tables_rows_alone(spark):
     moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
     assert moved and all("orderkey" in line and "REPARTITION_BY_NUM" in line for line in moved)
     assert "lineitem.parquet" in plan and "predictions" not in plan
+
+
+def test_rounds_are_not_stored(spark, monkeypatch):
+    """The agreement's and the evaluation's inputs are aligned as they are derived."""
+    from mensura.plans import catalog
+
+    def refused(df, name):
+        raise AssertionError(name)
+
+    monkeypatch.setattr(catalog, "stored", refused)
+    d = "/root/testdata/sf0.001"
+    assert catalog.QUERIES["q_agreement_prf"](spark, d).count() == 1 and catalog.QUERIES["q_evaluate"](spark, d).count() == 2
