@@ -831,3 +831,15 @@ def test_rounds_are_not_stored(spark, monkeypatch):
     monkeypatch.setattr(catalog, "stored", refused)
     d = "/root/testdata/sf0.001"
     assert catalog.QUERIES["q_agreement_prf"](spark, d).count() == 1 and catalog.QUERIES["q_evaluate"](spark, d).count() == 2
+
+
+def test_pairs_of_small_documents_take_no_rounds(spark, monkeypatch):
+    from mensura.plans import catalog
+
+    def refused(*args):
+        raise AssertionError("rounds")
+
+    d = "/root/testdata/sf0.001"
+    want = {tuple(r) for r in ev.align(catalog._gold(spark, d), catalog._pred(spark, d)).select("arm", "seed", "doc_id", "g_ord", "p_ord").collect()}
+    monkeypatch.setattr(ev, "mutual_best", refused)
+    assert {tuple(r) for r in catalog.QUERIES["q_align"](spark, d).collect()} == want
