@@ -6,14 +6,17 @@ the columns (such as arm and seed) that tell systems apart. Entities are compare
 ent_norm and ent_canon, which ``prepared`` adds.
 
 ``aligned_rows`` aligns both sides once, into rows from which every count, rate and report is a
-grouping; store them where several parts are wanted.
+grouping; store them where several parts are wanted. Where the counts of documents are all that is
+wanted, ``aligned_counts`` makes them without the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -276,6 +279,112 @@ def doc_counts(rows: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     )
 
 
+def _whole_documents(batches: Iterator[pa.RecordBatch], key: str = "doc_id") -> Iterator[pa.Table]:
+    """Batches sorted by a key as tables in which no key's rows are cut; a key without a value is one too."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in (b for b in batches if b.num_rows):
+        codes = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        changes = np.flatnonzero(codes[1:] != codes[:-1])
+        cut = int(changes[-1]) + 1 if len(changes) else 0
+        if held and (cut or batch.column(key)[0] != last):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+        last = batch.column(key)[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal tuples numbered from 0, and a row of each number."""
+    order, new = np.lexsort(keys[::-1]), np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= np.diff(k[order]) != 0
+    numbers = np.empty(len(order), np.int64)
+    numbers[order] = np.cumsum(new) - 1
+    return numbers, order[new]
+
+
+def _greedy_rows(left: np.ndarray, right: np.ndarray, k: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which candidates the greedy choice takes (ascending k, i, j), by the numbers of their two sides. Those without a rival need no order."""
+    taken = (np.bincount(left)[left] == 1) & (np.bincount(right)[right] == 1)
+    rest = np.flatnonzero(~taken)
+    rest = rest[np.lexsort((j[rest], i[rest], k[rest]))]
+    used: tuple[set, set] = (set(), set())
+    for n, a, b in zip(rest.tolist(), left[rest].tolist(), right[rest].tolist()):
+        if a not in used[0] and b not in used[1]:
+            used[0].add(a), used[1].add(b)
+            taken[n] = True
+    return taken
+
+
+def _counts_of_documents(t: pa.Table, n_systems: int) -> pa.RecordBatch:
+    """The counts of whole documents under every system, from the rows of ``aligned_counts``."""
+    codes = t.column("doc_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    doc = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(codes)]))
+    n_gold, there, paired, s, i, j, k, full = (t.column(c).to_numpy() for c in ("_n", "_p", "_pair", "_s", "_i", "_j", "_k", "_full"))
+    size, of = len(starts) * n_systems, doc * n_systems + s
+    pred, both = np.flatnonzero(there), np.flatnonzero(paired)
+    right = np.zeros(len(doc), np.int64)
+    right[pred], one = _numbered(of[pred], j[pred])
+    pair = both[_greedy_rows(_numbered(of[both], i[both])[0], right[both], k[both], i[both], j[both])]
+    tp, tt = np.bincount(of[pair], minlength=size), np.bincount(of[pair[full[pair]]], minlength=size)
+    fn, fp = np.repeat(n_gold[starts], n_systems) - tp, np.bincount(of[pred[one]], minlength=size) - tp
+    counts = (tp, fp, fn, tt, tp - tt + fp, tp - tt + fn)
+    docs = t.column("doc_id").combine_chunks().take(pa.array(np.repeat(starts, n_systems)))
+    return pa.RecordBatch.from_arrays([docs, pa.array(np.tile(np.arange(n_systems, dtype=np.int32), len(starts))), *[pa.array(c.astype(np.int64)) for c in counts]], ["doc_id", "_s", *COUNTS])
+
+
+def aligned_counts(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, by: tuple[str, ...] = BY, most: int = MOST_IN_LIST, bounds: DataFrame | None = None) -> DataFrame:
+    """``doc_counts`` of ``aligned_rows``, where nothing else of the rows is wanted.
+
+    Predictions are joined to the gold rows of their document whose values match, and scored there,
+    those without any included; what tells the rows apart and the scores then go to numpy, which
+    chooses among the candidates of many documents at once. Crowded documents are aligned by rounds. Inputs that are
+    dealt out by doc_id move no row. A document's (doc_id, ord) is expected to be unique on each side.
+    """
+    cells = sorted(systems.select(*by).distinct().limit(MOST_LITERALS + 1).collect(), key=str)
+    if not 0 < len(cells) <= MOST_LITERALS:
+        return doc_counts(aligned_rows(gold_docs, gold, pred, systems, by, most, bounds), by)
+    literal = lambda r, c: F.lit(r[c]).cast(systems.schema[c].dataType)
+    number = F.coalesce(*[F.when(_all(F.col(c).eqNullSafe(literal(r, c)) for c in by), n) for n, r in enumerate(cells)])
+    docs, pred = gold_docs.select("doc_id").distinct(), pred.where(number.isNotNull())
+    crowded = crowded_docs(gold, pred, most, bounds)
+    some = not crowded.isEmpty()
+    few = [x.join(crowded, "doc_id", "left_anti") if some else x for x in (docs, gold, pred)]
+    p = _side(few[2].withColumn("_s", number), "p", ["doc_id", "_s"])
+    g = _side(few[1], "g", [F.col("doc_id").alias("_doc")])
+    scored = p.join(g, (F.col("doc_id") == F.col("_doc")) & values_match(F.col("g_value"), F.col("p_value")), "left")
+    one, two = (F.struct(*[F.col(f"{x}_{c}").alias(c) for c in ("value_max", "unit", "ent_norm", "ent_canon")]) for x in "gp")
+    pair, none = F.col("_doc").isNotNull(), F.lit(-(2**63))
+    scored = scored.select(
+        "doc_id", F.lit(True).alias("_p"), pair.alias("_pair"), "_s", F.col("g_ord").cast("long").alias("_i"), F.col("p_ord").cast("long").alias("_j"),
+        F.when(pair, -pair_score(one, two)).alias("_k"), (pair & complete()).alias("_full"),
+    )
+    sizes = few[1].groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    rows = few[0].join(sizes, "doc_id", "left").join(scored, "doc_id", "left").select(
+        "doc_id", *[F.coalesce(c, v).alias(c) for c, v in {"_n": F.lit(0), "_p": F.lit(False), "_pair": F.lit(False), "_s": F.lit(0), "_i": none, "_j": none, "_k": F.lit(0.0), "_full": F.lit(False)}.items()]
+    ).sortWithinPartitions("doc_id")
+    n = len(cells)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_documents(batches):
+            yield _counts_of_documents(table, n)
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _s int, " + ", ".join(f"{c} bigint" for c in COUNTS)
+    system = F.array(*[F.struct(*[literal(r, c).alias(c) for c in by]) for r in cells])[F.col("_s")]
+    counts = rows.mapInArrow(count, schema).withColumn("_system", system).select("_system.*", "doc_id", *COUNTS)
+    if not some:
+        return counts
+    asked = docs.join(crowded, "doc_id", "left_semi")
+    return counts.unionByName(doc_counts(_aligned_rounds(asked, gold.join(asked, "doc_id", "left_semi"), pred.join(asked, "doc_id", "left_semi"), systems, by), by))
+
+
 def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     """precision, recall and f1, 0 where undefined."""
     over = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

@@ -67,11 +67,14 @@ def _sides(s: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"gold_docs": _docs(s, d, n), "gold": _gold(s, d, n), "pred": _pred(s, d, n), "systems": sql(s, d, SYSTEMS), "bounds": sql(s, d, _BOUNDS)}
 
 
+def _without_sentences(sides: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Only texts about the rows need them."""
+    return sides | {k: sides[k].drop("sentence") for k in ("gold", "pred")}
+
+
 def _rows(s: SparkSession, d: str, sentences: bool = False) -> DataFrame:
     sides = _sides(s, d)
-    if not sentences:  # only texts about the rows need them
-        sides |= {k: sides[k].drop("sentence") for k in ("gold", "pred")}
-    return ev.aligned_rows(**sides)
+    return ev.aligned_rows(**(sides if sentences else _without_sentences(sides)))
 
 
 def _matched(s: SparkSession, d: str) -> DataFrame:
@@ -79,7 +82,7 @@ def _matched(s: SparkSession, d: str) -> DataFrame:
 
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
-    return ev.doc_counts(_rows(s, d))
+    return ev.aligned_counts(**_without_sentences(_sides(s, d)))
 
 
 _CLOSE = "(({0} IS NULL AND {1} IS NULL) OR coalesce(abs({0} - {1}) <= 0.01 * greatest(abs({0}), abs({1})), false))"

@@ -843,3 +843,40 @@ def test_pairs_of_small_documents_take_no_rounds(spark, monkeypatch):
     want = {tuple(r) for r in ev.align(catalog._gold(spark, d), catalog._pred(spark, d)).select("arm", "seed", "doc_id", "g_ord", "p_ord").collect()}
     monkeypatch.setattr(ev, "mutual_best", refused)
     assert {tuple(r) for r in catalog.QUERIES["q_align"](spark, d).collect()} == want
+
+
+def _odd_sides(spark):
+    """Gold and predictions of random documents: ties, nulls, empty and unknown documents, a system without predictions and one that isn't listed."""
+    rng = random.Random(3)
+    docs = [*[f"d{n}" for n in range(40)], None]
+    some = lambda: {"value": rng.choice([None, 0.0, 1.0, 1.005, 5.0, -5.0]), "unit": rng.choice(["%", "ppm", None]), "entity": rng.choice(["Nd", "REEs", None]), "metric_type": rng.choice(["a", "b"])}
+    rows = lambda most: [ext(d, o, **some()) for d in [*docs[:35], "unknown", None] for o in range(rng.randrange(most))]
+    gold = ev.prepared(spark.createDataFrame(rows(9), f"doc_id string, ord int, {FIELDS}"))
+    pred = ev.prepared(spark.createDataFrame([(*s, *r) for s in (("a", 0), ("a", 1), ("x", 9)) for r in rows(9)], f"arm string, seed int, doc_id string, ord int, {FIELDS}"))
+    systems = spark.createDataFrame([("a", 0), ("a", 1), ("b", None)], "arm string, seed int")
+    return spark.createDataFrame([(d,) for d in docs], "doc_id string"), gold, pred, systems
+
+
+def test_counts_without_rows_are_those_of_the_rows(spark):
+    sides = _odd_sides(spark)
+    sort = lambda df: sorted(map(str, df.select("arm", "seed", "doc_id", *ev.COUNTS).collect()))
+    want = sort(ev.doc_counts(ev.aligned_rows(*sides)))
+    assert len(want) == 41 * 3
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size, most in (("3", 1000), ("100000", 1000), ("100000", 8)):  # documents that span batches, batches of many documents, crowded ones
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sort(ev.aligned_counts(*sides, most=most)) == want, (size, most)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    docs, gold, pred, systems = sides
+    assert sort(ev.aligned_counts(docs, gold, pred.limit(0), systems)) == sort(ev.doc_counts(ev.aligned_rows(docs, gold, pred.limit(0), systems)))
+    assert ev.aligned_counts(docs, gold, pred, systems.limit(0)).count() == 0
+
+
+def test_counts_make_no_lists_of_documents(spark):
+    from mensura.plans import catalog
+
+    for name in ("q_boot_groups", "q_mean_score", "q_permutation"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and plan.count("Sort [doc_id") <= 5, name
