@@ -324,17 +324,18 @@ def _greedy_rows(left: np.ndarray, right: np.ndarray, k: np.ndarray, i: np.ndarr
 
 def _counts_of_documents(t: pa.Table, n_systems: int) -> pa.RecordBatch:
     """The counts of whole documents under every system, from the rows of ``aligned_counts``."""
+    code, i, j = (t.column(c).to_numpy() for c in ("_code", "_i", "_j"))
     codes = t.column("doc_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
     starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
     doc = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(codes)]))
-    n_gold, there, paired, s, i, j, k, full = (t.column(c).to_numpy() for c in ("_n", "_p", "_pair", "_s", "_i", "_j", "_k", "_full"))
+    n_gold, s, k, full = code[starts] >> 15, code >> 5 & 1023, -(code >> 3 & 3), code & 4 > 0
     size, of = len(starts) * n_systems, doc * n_systems + s
-    pred, both = np.flatnonzero(there), np.flatnonzero(paired)
+    pred, both = np.flatnonzero(code & 1), np.flatnonzero(code & 2)
     right = np.zeros(len(doc), np.int64)
     right[pred], one = _numbered(of[pred], j[pred])
     pair = both[_greedy_rows(_numbered(of[both], i[both])[0], right[both], k[both], i[both], j[both])]
     tp, tt = np.bincount(of[pair], minlength=size), np.bincount(of[pair[full[pair]]], minlength=size)
-    fn, fp = np.repeat(n_gold[starts], n_systems) - tp, np.bincount(of[pred[one]], minlength=size) - tp
+    fn, fp = np.repeat(n_gold, n_systems) - tp, np.bincount(of[pred[one]], minlength=size) - tp
     counts = (tp, fp, fn, tt, tp - tt + fp, tp - tt + fn)
     docs = t.column("doc_id").combine_chunks().take(pa.array(np.repeat(starts, n_systems)))
     return pa.RecordBatch.from_arrays([docs, pa.array(np.tile(np.arange(n_systems, dtype=np.int32), len(starts))), *[pa.array(c.astype(np.int64)) for c in counts]], ["doc_id", "_s", *COUNTS])
@@ -362,14 +363,14 @@ def aligned_counts(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, syste
     scored = p.join(g, (F.col("doc_id") == F.col("_doc")) & values_match(F.col("g_value"), F.col("p_value")), "left")
     one, two = (F.struct(*[F.col(f"{x}_{c}").alias(c) for c in ("value_max", "unit", "ent_norm", "ent_canon")]) for x in "gp")
     pair, none = F.col("_doc").isNotNull(), F.lit(-(2**63))
-    scored = scored.select(
-        "doc_id", F.lit(True).alias("_p"), pair.alias("_pair"), "_s", F.col("g_ord").cast("long").alias("_i"), F.col("p_ord").cast("long").alias("_j"),
-        F.when(pair, -pair_score(one, two)).alias("_k"), (pair & complete()).alias("_full"),
-    )
+    # rows go to Python field by field, so a number holds all but the orders, by its bits: 0 a prediction, 1 paired,
+    # 2 complete, 3 and 4 the score's halves over 1, 5 to 14 the system (under MOST_LITERALS), from 15 on the gold rows
+    halves = F.when(pair, ((pair_score(one, two) - 1) * 2).cast("long")).otherwise(0)
+    flags = F.lit(1) + pair.cast("long") * 2 + (pair & complete()).cast("long") * 4 + halves * 8 + F.col("_s") * 32
+    scored = scored.select("doc_id", flags.alias("_flags"), F.col("g_ord").cast("long").alias("_i"), F.col("p_ord").cast("long").alias("_j"))
     sizes = few[1].groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = few[0].join(sizes, "doc_id", "left").join(scored, "doc_id", "left").select(
-        "doc_id", *[F.coalesce(c, v).alias(c) for c, v in {"_n": F.lit(0), "_p": F.lit(False), "_pair": F.lit(False), "_s": F.lit(0), "_i": none, "_j": none, "_k": F.lit(0.0), "_full": F.lit(False)}.items()]
-    ).sortWithinPartitions("doc_id")
+    code = F.coalesce("_n", F.lit(0)) * 32768 + F.coalesce("_flags", F.lit(0))
+    rows = few[0].join(sizes, "doc_id", "left").join(scored, "doc_id", "left").select("doc_id", code.alias("_code"), F.coalesce("_i", none).alias("_i"), F.coalesce("_j", none).alias("_j")).sortWithinPartitions("doc_id")
     n = len(cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 from collections import Counter
 
 import pandas as pd
@@ -880,3 +881,27 @@ def test_counts_make_no_lists_of_documents(spark):
     for name in ("q_boot_groups", "q_mean_score", "q_permutation"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "collect_list" not in plan and plan.count("Sort [doc_id") <= 5, name
+
+
+def test_counts_send_four_numbers_a_candidate(spark):
+    """Rows go to Python field by field, so what the choice needs of a candidate is one number beside its document and orders."""
+    from mensura.plans import catalog
+
+    for name in ("q_mean_score", "q_permutation"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        (sent,) = re.findall(r"MapInArrow count\((.*?)\)#", plan)
+        assert len(sent.split(", ")) == 4, sent
+
+
+def test_counts_of_many_systems(spark):
+    """Systems with every score, and a gold side of more rows than predictions; as many systems as are laid out as literals have room in a number."""
+    assert ev.MOST_LITERALS <= 1024
+    systems = [("a", n) for n in range(40)]
+    gold = [ext("x", 0, value=5.0, value_max=7.0, unit="%", entity="Nd"), *[ext("x", o, value=100.0 * o, unit="%", entity="Nd") for o in range(1, 9)], ext("y", 0, value=None, unit="%", entity="Nd")]
+    odd = {0: {"unit": "ppm"}, 1: {"entity": "Pr"}, 2: {"value_max": 70.0, "unit": "ppm", "entity": "Pr"}, 3: {"metric_type": "b"}}
+    pred = [(*s, *ext("x", o, **({"value": 5.0, "value_max": 7.0, "unit": "%", "entity": "Nd"} | odd.get((s[1] + o) % 7, {})))) for s in systems[1:] for o in range(2)]
+    docs = spark.createDataFrame([("x",), ("y",), ("z",)], "doc_id string")
+    sides = docs, ev.prepared(spark.createDataFrame(gold, f"doc_id string, ord int, {FIELDS}")), ev.prepared(spark.createDataFrame(pred, f"arm string, seed int, doc_id string, ord int, {FIELDS}")), spark.createDataFrame(systems, "arm string, seed int")
+    sort = lambda df: sorted(map(str, df.select("arm", "seed", "doc_id", *ev.COUNTS).collect()))
+    want = sort(ev.doc_counts(ev.aligned_rows(*sides)))
+    assert len(want) == 3 * 40 and sort(ev.aligned_counts(*sides)) == want
