@@ -341,13 +341,15 @@ def _counts_of_documents(t: pa.Table, n_systems: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([docs, pa.array(np.tile(np.arange(n_systems, dtype=np.int32), len(starts))), *[pa.array(c.astype(np.int64)) for c in counts]], ["doc_id", "_s", *COUNTS])
 
 
-def aligned_counts(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, by: tuple[str, ...] = BY, most: int = MOST_IN_LIST, bounds: DataFrame | None = None) -> DataFrame:
+def aligned_counts(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: DataFrame, by: tuple[str, ...] = BY, most: int = MOST_IN_LIST, bounds: DataFrame | None = None, small_parts: bool = False) -> DataFrame:
     """``doc_counts`` of ``aligned_rows``, where nothing else of the rows is wanted.
 
     Predictions are joined to the gold rows of their document whose values match, and scored there,
     those without any included; what tells the rows apart and the scores then go to numpy, which
     chooses among the candidates of many documents at once. Crowded documents are aligned by rounds. Inputs that are
-    dealt out by doc_id move no row. A document's (doc_id, ord) is expected to be unique on each side.
+    dealt out by doc_id move no row. With ``small_parts`` a task can hold its part of the documents and gold rows
+    (not of the predictions), so predictions are looked up among them as they come, and only their numbers are
+    sorted. A document's (doc_id, ord) is expected to be unique on each side.
     """
     cells = sorted(systems.select(*by).distinct().limit(MOST_LITERALS + 1).collect(), key=str)
     if not 0 < len(cells) <= MOST_LITERALS:
@@ -359,7 +361,8 @@ def aligned_counts(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, syste
     some = not crowded.isEmpty()
     few = [x.join(crowded, "doc_id", "left_anti") if some else x for x in (docs, gold, pred)]
     p = _side(few[2].withColumn("_s", number), "p", ["doc_id", "_s"])
-    g = _side(few[1], "g", [F.col("doc_id").alias("_doc")])
+    held = lambda df: df.hint("shuffle_hash") if small_parts else df
+    g = held(_side(few[1], "g", [F.col("doc_id").alias("_doc")]))
     scored = p.join(g, (F.col("doc_id") == F.col("_doc")) & values_match(F.col("g_value"), F.col("p_value")), "left")
     one, two = (F.struct(*[F.col(f"{x}_{c}").alias(c) for c in ("value_max", "unit", "ent_norm", "ent_canon")]) for x in "gp")
     pair, none = F.col("_doc").isNotNull(), F.lit(-(2**63))
@@ -368,9 +371,9 @@ def aligned_counts(gold_docs: DataFrame, gold: DataFrame, pred: DataFrame, syste
     halves = F.when(pair, ((pair_score(one, two) - 1) * 2).cast("long")).otherwise(0)
     flags = F.lit(1) + pair.cast("long") * 2 + (pair & complete()).cast("long") * 4 + halves * 8 + F.col("_s") * 32
     scored = scored.select("doc_id", flags.alias("_flags"), F.col("g_ord").cast("long").alias("_i"), F.col("p_ord").cast("long").alias("_j"))
-    sizes = few[1].groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = held(few[1].groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")))
     code = F.coalesce("_n", F.lit(0)) * 32768 + F.coalesce("_flags", F.lit(0))
-    rows = few[0].join(sizes, "doc_id", "left").join(scored, "doc_id", "left").select("doc_id", code.alias("_code"), F.coalesce("_i", none).alias("_i"), F.coalesce("_j", none).alias("_j")).sortWithinPartitions("doc_id")
+    rows = held(few[0].join(sizes, "doc_id", "left")).join(scored, "doc_id", "left").select("doc_id", code.alias("_code"), F.coalesce("_i", none).alias("_i"), F.coalesce("_j", none).alias("_j")).sortWithinPartitions("doc_id")
     n = len(cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,7 +82,7 @@ def _matched(s: SparkSession, d: str) -> DataFrame:
 
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
-    return ev.aligned_counts(**_without_sentences(_sides(s, d)))
+    return ev.aligned_counts(**_without_sentences(_sides(s, d)), small_parts=True)
 
 
 _CLOSE = "(({0} IS NULL AND {1} IS NULL) OR coalesce(abs({0} - {1}) <= 0.01 * greatest(abs({0}), abs({1})), false))"

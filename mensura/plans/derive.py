@@ -46,7 +46,7 @@ SAMPLES = f"""
 """
 
 
-#: Lines in one partition where tables are dealt out by order: with all systems' rows beside them some 250 MB to sort.
+#: Lines (or orders, if there are more) in one partition where tables are dealt out by order: with all systems' rows beside them some 250 MB to sort.
 LINES = 100_000
 
 
@@ -61,5 +61,5 @@ def sql(spark: SparkSession, sf_dir: str, query: str, parts: int = 0) -> DataFra
 
 
 def order_parts(spark: SparkSession, sf_dir: str) -> int:
-    """How many parts the lines want, a few at least."""
-    return max(8, -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // LINES))
+    """How many parts the lines and orders want, a few at least."""
+    return max(8, *[-(-spark.read.parquet(f"{sf_dir}/{t}.parquet").count() // LINES) for t in ("lineitem", "orders")])

@@ -905,3 +905,33 @@ def test_counts_of_many_systems(spark):
     sort = lambda df: sorted(map(str, df.select("arm", "seed", "doc_id", *ev.COUNTS).collect()))
     want = sort(ev.doc_counts(ev.aligned_rows(*sides)))
     assert len(want) == 3 * 40 and sort(ev.aligned_counts(*sides)) == want
+
+
+def test_predictions_are_looked_up_and_not_sorted(spark):
+    """Of the predictions only numbers are sorted; their fields meet the gold rows of a part as they come."""
+    from mensura.plans import catalog
+
+    for name in ("q_permutation", "q_mean_score", "q_doc_counts"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ShuffledHashJoin") == 3 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan, name
+        assert plan.count("Sort [doc_id") == 1, name
+
+
+def test_counts_of_small_parts_are_those_of_the_rows(spark):
+    docs, gold, pred, systems = _odd_sides(spark)
+    sort = lambda df: sorted(map(str, df.select("arm", "seed", "doc_id", *ev.COUNTS).collect()))
+    want = sort(ev.doc_counts(ev.aligned_rows(docs, gold, pred, systems)))
+    for parts, most in ((1, 1000), (5, 1000), (5, 8)):  # one part, several, and crowded documents beside them
+        sides = (x.repartition(parts, "doc_id") for x in (docs, gold, pred))
+        got = ev.aligned_counts(*sides, systems, most=most, small_parts=True)
+        assert "ShuffledHashJoin" in got._jdf.queryExecution().executedPlan().toString() and sort(got) == want, (parts, most)
+    assert sort(ev.aligned_counts(docs, gold.limit(0), pred, systems, small_parts=True)) == sort(ev.doc_counts(ev.aligned_rows(docs, gold.limit(0), pred, systems)))
+
+
+def test_orders_without_lines_want_parts_too(spark, tmp_path, monkeypatch):
+    from mensura.plans import derive
+
+    spark.range(50).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(305).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(derive, "LINES", 10)
+    assert derive.order_parts(spark, str(tmp_path)) == 31
