@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from mensura.functions.text import describe_extraction
 from mensura.operators import evaluate as ev
 from mensura.schemas import TUPLE_FIELDS
-from mensura.sources.shared import stored
 
 
 def kappa_of_cells(cells: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -36,12 +35,13 @@ def paired_docs(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
     return a.select(key).distinct().join(b.select(key).distinct(), key)
 
 
-def agreement(docs1: DataFrame, first: DataFrame, docs2: DataFrame, second: DataFrame, by: tuple[str, ...] = (), bounds: DataFrame | None = None) -> dict[str, DataFrame]:
+def agreement(docs1: DataFrame, first: DataFrame, docs2: DataFrame, second: DataFrame, by: tuple[str, ...] = (), bounds: DataFrame | None = None, small_parts: bool = False) -> dict[str, DataFrame]:
     """Two rounds over their common documents: counts, prf, fields, kappa per categorical field, det_ci and tup_ci.
 
     The first round is the reference. Inputs come from ``evaluate.prepared``. ``by`` names columns
     of the second round, such as arm and seed, that tell several second rounds apart; each is
-    compared with the first. Both are aligned once and stored. ``bounds`` is that of ``aligned_rows``.
+    compared with the first. The parts are groupings of the classes of documents (there as classes) and pairs, which one pass over the alignment makes; the
+    rows, the matched pairs and the counts of every document are worked out where they are read. ``bounds`` and ``small_parts`` are those of ``aligned_counts``.
     """
     from mensura.operators.stats import bootstrap_cis  # stats imports this module
 
@@ -49,11 +49,12 @@ def agreement(docs1: DataFrame, first: DataFrame, docs2: DataFrame, second: Data
     keys = tuple(by) or ("round",)
     two = second if by else second.withColumn("round", F.lit("second"))
     systems = two.select(*keys).distinct() if by else both.sparkSession.createDataFrame([("second",)], "round string")
-    rows = stored(ev.aligned_rows(both, first, two, systems, keys, bounds=bounds), "agreement")
-    counts, matched = stored(ev.doc_counts(rows, keys), "agreement_counts"), ev.of_kind(rows, "pair", keys)
-    cis = bootstrap_cis(counts, keys)
+    crowded = ev.crowded_docs(first, two, bounds=bounds)
+    classes, pairs = ev.aligned_classes(both, first, two, systems, keys, small_parts=small_parts, crowded=crowded)
+    rows = ev.aligned_rows(both, first, two, systems, keys, crowded=crowded)
+    cis = bootstrap_cis(classes, keys)
     return {
-        "docs": both, "rows": rows, "matched": matched, "counts": counts, "prf": ev.micro_prf(counts, keys), "fields": ev.field_accuracy(matched, keys), "kappa": kappa_of_cells(ev.label_cells(matched, by=keys), [*keys, "field"]),
+        "docs": both, "rows": rows, "matched": ev.of_kind(rows, "pair", keys), "counts": ev.doc_counts(rows, keys), "classes": classes, "prf": ev.micro_prf(classes, keys), "fields": ev.field_accuracy(pairs, keys), "kappa": kappa_of_cells(ev.label_cells(pairs, by=keys), [*keys, "field"]),
         "det_ci": cis.where("kind = 'det'").drop("kind"), "tup_ci": cis.where("kind = 'tup'").drop("kind"),
     }
 

@@ -31,8 +31,8 @@ def _f1(tp: np.ndarray, fp: np.ndarray, fn: np.ndarray) -> np.ndarray:
 
 
 def count_groups(counts: DataFrame, names: list[str], by: list[str] = ()) -> DataFrame:
-    """Documents grouped by equal counts."""
-    return counts.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("n_docs"))
+    """Documents, or classes of them, grouped by equal counts."""
+    return counts.groupBy(*by, *names).agg(F.sum(ev.many(counts)).alias("n_docs"))
 
 
 def _triple(kind: str) -> Column:
@@ -45,7 +45,7 @@ def bootstrap_cis(counts: DataFrame, by: tuple[str, ...] = ("arm",), kinds: Iter
     Detection and tuples come from one grouping; its groups are as many as there are distinct triples of counts.
     """
     names, keys = ["tp", "fp", "fn"], [*by, "kind"]
-    groups = count_groups(counts.select(*by, F.explode(F.array(*[_triple(k) for k in kinds])).alias("_t")).select(*by, "_t.*"), names, keys)
+    groups = count_groups(counts.select(*by, ev.many(counts).alias("n_docs"), F.explode(F.array(*[_triple(k) for k in kinds])).alias("_t")).select(*by, "n_docs", "_t.*"), names, keys)
     schema = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in by) + ", kind string, f1 double, low double, high double"
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
@@ -75,10 +75,10 @@ def compare_arms(counts: DataFrame, arms: list[str], kinds: Iterable[str] = KIND
     """
     numbers = range(len(arms))
     of_arm = lambda k, x: F.sum(F.when(F.col("arm") == arms[k], x)).alias
-    wide = counts.where(F.col("arm").isin(*arms)).groupBy("doc_id").agg(*[of_arm(k, F.lit(1))(f"n{k}") for k in numbers], *[of_arm(k, F.col(c))(f"x{k}_{c}") for k in numbers for c in ev.COUNTS])
+    wide = counts.where(F.col("arm").isin(*arms)).groupBy("doc_id").agg(*[of_arm(k, F.lit(1))(f"n{k}") for k in numbers], *[of_arm(k, F.col(c))(f"x{k}_{c}") for k in numbers for c in ev.COUNTS], F.max(ev.many(counts)).alias("n_docs"))
     pair = lambda a, b, kind: F.when(F.col(f"n{a}").isNotNull() & F.col(f"n{b}").isNotNull(), F.struct(F.lit(arms[a]).alias("arm_a"), F.lit(arms[b]).alias("arm_b"), F.lit(kind).alias("kind"), *[F.col(f"x{k}_{kind}_{c}").alias(f"{s}_{c}") for s, k in (("a", a), ("b", b)) for c in ("tp", "fp", "fn")]))
     keys, six = ["arm_a", "arm_b", "kind"], [f"{s}_{c}" for s in "ab" for c in ("tp", "fp", "fn")]
-    pairs = wide.select(F.explode(F.array_compact(F.array(*[pair(a, b, k) for a, b in combinations(numbers, 2) for k in kinds]))).alias("t")).select("t.*")
+    pairs = wide.select("n_docs", F.explode(F.array_compact(F.array(*[pair(a, b, k) for a, b in combinations(numbers, 2) for k in kinds]))).alias("t")).select("n_docs", "t.*")
 
     def swap(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(six)
@@ -100,16 +100,19 @@ def permutation_test(counts: DataFrame, a: str, b: str, kind: str = "det", draws
 
 
 def arm_summary(rows: DataFrame, rounds: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Per arm, from aligned rows (by arm and seed): rates per seed and pooled, scores, kappa per field (pooled and per seed), confusion, intervals over documents.
+    """``summary_of_classes`` from aligned rows, by arm and seed. They are read twice, for the counts of documents and for the classes of pairs; both are stored."""
+    return summary_of_classes(*ev.classes_of_rows(rows), rounds)
 
-    The rows are read twice, for the counts of documents and for the cells of labels; both are
-    stored, and every part is a grouping of one of them. With ``rounds``, the counts of two
-    annotation rounds (see agreement), the pooled rates have a row more, arm 'annotators': the
-    ceiling that annotators reach among themselves.
+
+def summary_of_classes(counts: DataFrame, pairs: DataFrame, rounds: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Per arm, from classes of documents and of pairs (``evaluate.aligned_classes``, by arm and seed): rates per seed and pooled, scores, kappa per field (pooled and per seed), confusion, intervals over documents.
+
+    With ``rounds``, the counts of two annotation rounds (see agreement), the pooled rates have a row more, arm
+    'annotators': the ceiling that annotators reach among themselves.
     """
-    counts, cells = stored(ev.doc_counts(rows), "doc_counts"), stored(ev.label_cells(ev.of_kind(rows, "pair")), "label_cells")
+    cells, n = stored(ev.label_cells(pairs), "label_cells"), ev.many(counts)
     # both levels from one grouping: seeds are summed up on the way
-    sums = counts.groupingSets([["arm", "seed"], ["arm"]], "arm", "seed").agg(F.grouping("seed").alias("_pooled"), *[F.sum(c).alias(c) for c in ev.COUNTS])
+    sums = counts.groupingSets([["arm", "seed"], ["arm"]], "arm", "seed").agg(F.grouping("seed").alias("_pooled"), *[F.sum(F.col(c) * n).alias(c) for c in ev.COUNTS])
     rates = ev.micro_prf(sums, ("arm", "seed", "_pooled"))
     pooled = rates.where("_pooled = 1").drop("_pooled", "seed")
     if rounds is not None:

@@ -935,3 +935,46 @@ def test_orders_without_lines_want_parts_too(spark, tmp_path, monkeypatch):
     spark.range(305).write.parquet(f"{tmp_path}/orders.parquet")
     monkeypatch.setattr(derive, "LINES", 10)
     assert derive.order_parts(spark, str(tmp_path)) == 31
+
+
+def _classes_of(frames):
+    """Both classes of an alignment as texts, those of documents without naming one."""
+    documents, pairs = frames
+    named = documents.groupBy("arm", "seed", *ev.COUNTS).agg(F.sum("n_docs").alias("n"))
+    return sorted(map(str, named.collect())), sorted(map(str, pairs.groupBy("arm", "seed", *ev.PAIR_CLASS).agg(F.sum("n_pairs").alias("n")).collect()))
+
+
+def test_classes_from_one_pass_are_those_of_the_rows(spark, monkeypatch):
+    """Classes of documents and pairs: few, crowded and many documents, batches that cut documents, classes passed on early, labels that look like their own marks."""
+    docs, gold, pred, systems = _odd_sides(spark)
+    odd = lambda df, shift: df.withColumn("entity_type", F.element_at(F.array(*map(F.lit, ["=", "n", "3:a;", ";2:", "", "é:1", None])), ((F.col("ord") + shift) % 7 + 1).cast("int")))
+    gold, pred = odd(gold, 0), odd(pred, F.when(F.col("ord") % 2 == 0, 1).otherwise(0))
+    want = _classes_of(ev.classes_of_rows(ev.aligned_rows(docs, gold, pred, systems)))
+    assert len(want[1]) > 20
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size, most, kept in (("3", 1000, 50_000), ("100000", 1000, 1), ("100000", 8, 50_000)):
+            monkeypatch.setattr(ev, "MOST_CLASSES", kept)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            documents, pairs = ev.aligned_classes(docs, gold, pred, systems, most=most)
+            assert _classes_of((documents, pairs)) == want, (size, most)
+            least = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("n_docs").alias("k")).collect()
+            assert all((r.n, r.k) == (3, 1) for r in least)  # a class has every system, under one document's name
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert _classes_of(ev.aligned_classes(docs, gold, pred.limit(0), systems)) == _classes_of(ev.classes_of_rows(ev.aligned_rows(docs, gold, pred.limit(0), systems)))
+    assert [x.count() for x in ev.aligned_classes(docs, gold, pred, systems.limit(0))] == [0, 0]
+
+
+def _stored_by(spark, monkeypatch, query):
+    """The names of what a query stores."""
+    names, plain = [], ev.stored
+    monkeypatch.setattr(ev, "stored", lambda df, name: names.append(name) or plain(df, name))
+    query(spark, "/root/testdata/sf0.001").count()
+    return set(names)
+
+
+def test_arm_report_makes_no_rows(spark, monkeypatch):
+    from mensura.plans import catalog
+
+    assert _stored_by(spark, monkeypatch, catalog.q_arm_report) == {"crowded", "tallies"}
