@@ -662,28 +662,45 @@ def report_rows(parts: dict[str, DataFrame], keys: tuple[str, ...] = BY) -> Data
 # ---- strict evaluator ----------------------------------------------------------------------
 
 
+#: What the strict evaluation tells of a row.
+STRICT = ("ord", "metric_type", "entity_type")
+
+
 def strict_pairs(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = (), systems: DataFrame | None = None) -> DataFrame:
     """Every gold and predicted row (by, doc_id, g_ord, p_ord and both rows' labels), paired by exact numbers.
 
     A prediction takes the first free gold row with the same is_range, number and, for ranges,
     upper number. That is an equality, so the r-th prediction of a class takes its r-th gold row:
-    ranks within classes and a full join do what a loop would. Unreadable numbers match nothing.
+    ranks within classes and a grouping do what a loop would. Unreadable numbers match nothing.
+    Inputs that are dealt out by doc_id move no row.
     ``by`` names columns of the predictions that tell systems apart; each is set against all gold
     rows. A system without any prediction counts only where ``systems`` lists it.
     """
 
-    def ranked(df: DataFrame, prefix: str) -> DataFrame:
+    classes = ["_r", "_a", "_b", "_u"]
+
+    def ranked(df: DataFrame, prefix: str, keys: tuple[str, ...]) -> DataFrame:
         is_range = F.coalesce(F.col("is_range"), F.lit(False))
-        low, high = first_number(F.col("value")), first_number(F.col("value_max"))
-        able = low.isNotNull() & (~is_range | high.isNotNull())
+        read = df.select(*keys, "doc_id", "ord", "metric_type", "entity_type", is_range.alias("_r"), first_number(F.col("value")).alias("_a"), first_number(F.col("value_max")).alias("_b"))
+        able = F.col("_a").isNotNull() & (~F.col("_r") | F.col("_b").isNotNull())
         # an unreadable row gets a class of its own
-        own = F.when(able, F.struct(is_range.alias("r"), low.alias("a"), F.when(is_range, high).alias("b"), F.lit(None).cast("string").alias("u"))).otherwise(F.struct(is_range.alias("r"), low.alias("a"), high.alias("b"), F.concat(F.lit(prefix), F.col("ord").cast("string")).alias("u")))
-        keyed = df.withColumn("_k", F.to_json(own)).withColumn("_n", F.row_number().over(Window.partitionBy(*by, "doc_id", "_k").orderBy("ord")))
-        return keyed.select(*by, "doc_id", "_k", "_n", *[F.col(c).alias(f"{prefix}_{c}") for c in ("ord", "metric_type", "entity_type")])
+        own = read.withColumns({"_u": F.when(~able, F.concat(F.lit(prefix), F.col("ord").cast("string"))), "_b": F.when(F.col("_r") | ~able, F.col("_b"))})
+        return own.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", *keys, *classes).orderBy("ord")))
+
+    def beside(df: DataFrame, prefix: str) -> DataFrame:
+        other = {"g": "p", "p": "g"}[prefix]
+        fields = [*[F.col(c).alias(f"{prefix}_{c}") for c in STRICT], *[F.lit(None).cast(df.schema[c].dataType).alias(f"{other}_{c}") for c in STRICT]]
+        return df.select(*by, F.col("doc_id").alias("_doc"), *classes, "_n", *fields)  # under one new name on both sides, their partitioning is seen to be the same
 
+    g, p = ranked(gold, "g", ()), ranked(pred, "p", by)
     if by:
-        gold = for_each_system(gold, pred.select(*by).distinct() if systems is None else systems, by)
-    return ranked(gold, "g").join(ranked(pred, "p"), [*by, "doc_id", "_k", "_n"], "full").drop("_k", "_n")
+        g = for_each_system(g, pred.select(*by).distinct() if systems is None else systems, by)
+    # a gold row and a prediction of one class and rank lie side by side in one grouping: it needs no more than the documents together, where a join would deal all rows out anew
+    both = beside(g, "g").unionByName(beside(p, "p"))
+    fields = [f"{x}_{c}" for x in "gp" for c in STRICT]
+    # rows are sorted by the document first: it tells most of them apart
+    found = both.groupBy("_doc", *by, *classes, "_n").agg(*[F.first(c, ignorenulls=True).alias(c) for c in fields])
+    return found.select(*by, F.col("_doc").alias("doc_id"), *fields)
 
 
 def strict_eval(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = (), systems: DataFrame | None = None) -> DataFrame:

@@ -256,15 +256,21 @@ _STRICT = f"""
 """
 
 
+def _strict_sides(s: SparkSession, d: str) -> tuple:
+    """Both sides dealt out by order, and the systems, which needn't be looked for among the predictions."""
+    n = order_parts(s, d)
+    return sql(s, d, _STRICT_G, n), sql(s, d, _STRICT_P, n), ev.BY, sql(s, d, SYSTEMS)
+
+
 @query(_STRICT + "SELECT arm, seed, tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round(m / tp, 4) AS metric_accuracy, round(e / tp, 4) AS entity_accuracy FROM t")
 def q_strict_eval(s, d):
     """The strict evaluation of every arm and seed over all documents; one-sided rows are those that PRED drops or invents."""
-    return ev.strict_eval(sql(s, d, _STRICT_G), sql(s, d, _STRICT_P), ev.BY)
+    return ev.strict_eval(*_strict_sides(s, d))
 
 
 @query(_STRICT + "SELECT arm, seed, CASE WHEN g IS NULL THEN 'false_positive' WHEN p IS NULL THEN 'false_negative' ELSE 'misclassified' END AS error_type, count(*) AS n FROM x WHERE g IS NULL OR p IS NULL OR gm <> pm OR ge <> pe GROUP BY 1, 2, 3")
 def q_strict_errors(s, d):
-    return ev.strict_errors(sql(s, d, _STRICT_G), sql(s, d, _STRICT_P), ev.BY).groupBy("arm", "seed", "error_type").agg(F.count(F.lit(1)).alias("n"))
+    return ev.strict_errors(*_strict_sides(s, d)).groupBy("arm", "seed", "error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _critique(s: SparkSession, d: str) -> DataFrame:

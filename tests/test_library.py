@@ -978,3 +978,36 @@ def test_arm_report_makes_no_rows(spark, monkeypatch):
     from mensura.plans import catalog
 
     assert _stored_by(spark, monkeypatch, catalog.q_arm_report) == {"crowded", "tallies"}
+
+
+def test_strict_errors_move_the_lines_alone(spark):
+    """Both sides are dealt out by order; pairing them moves no row again."""
+    from mensura.plans import catalog
+
+    plan = catalog.q_strict_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
+    assert len(moved) == 1 and "error_type" in moved[0] and "doc" not in moved[0], moved
+
+
+def test_strict_pairs_are_those_of_a_loop(spark):
+    """Ties, ranges, unreadable numbers and zeros of either sign; a system without predictions."""
+    rng = random.Random(5)
+    some = lambda d, o: (d, o, rng.choice(["1", "1.0", "~2", "-0", "0", "x", None]), rng.choice([None, "3", "y"]), rng.choice([True, False, None]), rng.choice("ab"), rng.choice(["e", None]))
+    gold = [some(d, o) for d in "abcd" for o in range(rng.randrange(12))]
+    pred = [(*some(d, o), *s) for s in (("m", 0), ("m", 1)) for d in "bcde" for o in range(rng.randrange(12))]
+    schema = "doc_id string, ord int, value string, value_max string, is_range boolean, metric_type string, entity_type string"
+    number = lambda x: None if x in (None, "x", "y") else float(x.strip("~")) + 0.0
+    want = Counter()
+    for s in (("m", 0), ("m", 1), ("n", 0)):
+        free = list(gold)
+        for p in [r for r in pred if r[7:] == s]:
+            a, b, r = number(p[2]), number(p[3]), bool(p[4])
+            able = a is not None and (not r or b is not None)
+            g = next((g for g in free if able and g[0] == p[0] and bool(g[4]) == r and number(g[2]) == a and (not r or number(g[3]) == b)), None)
+            if g:
+                free.remove(g)
+            want[(*s, p[0], g and g[1], p[1], g and g[5], p[5])] += 1
+        want.update((*s, g[0], g[1], None, g[5], None) for g in free)
+    systems = spark.createDataFrame([("m", 0), ("m", 1), ("n", 0)], "arm string, seed int")
+    got = ev.strict_pairs(spark.createDataFrame(gold, schema), spark.createDataFrame(pred, schema + ", arm string, seed int"), ev.BY, systems)
+    assert Counter(map(tuple, got.select("arm", "seed", "doc_id", "g_ord", "p_ord", "g_metric_type", "p_metric_type").collect())) == want
