@@ -1011,3 +1011,12 @@ def test_strict_pairs_are_those_of_a_loop(spark):
     systems = spark.createDataFrame([("m", 0), ("m", 1), ("n", 0)], "arm string, seed int")
     got = ev.strict_pairs(spark.createDataFrame(gold, schema), spark.createDataFrame(pred, schema + ", arm string, seed int"), ev.BY, systems)
     assert Counter(map(tuple, got.select("arm", "seed", "doc_id", "g_ord", "p_ord", "g_metric_type", "p_metric_type").collect())) == want
+
+
+def test_strict_eval_moves_the_lines_alone(spark):
+    from mensura.plans import catalog
+
+    plan = catalog.q_strict_eval(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
+    assert len(moved) == 1 and "_doc" not in moved[0], moved
+    assert "to_json" not in plan and plan.count("Exchange hashpartitioning(l_orderkey") == 2
