@@ -706,9 +706,18 @@ _ROUND_DOCS = "SELECT o_orderkey * 2 + seed AS doc_id FROM orders CROSS JOIN (VA
 _ROUND_CTE = _ALIGNED.replace(f"({PRED})", "@second").replace(f"({GOLD})", f"({_ROUNDS[0]})").replace("@second", f"(SELECT 'second' AS arm, 0 AS seed, y.* FROM ({_ROUNDS[1]}) y)").replace("o.o_orderkey", "o.doc_id").replace(f"FROM orders o CROSS JOIN ({SYSTEMS})", f"FROM ({_ROUND_DOCS}) o CROSS JOIN (SELECT 'second' AS arm, 0 AS seed)")
 
 
+def _line_rounds(arm: str) -> str:
+    """One of _ROUNDS over ``round_lines``: lines laid out for both seeds and dealt out by document, so that nothing made of them is moved again."""
+    gold = GOLD.replace("SELECT l_orderkey AS doc_id,", "SELECT l_orderkey AS doc_id, round_doc, round_seed,").replace("PARTITION BY l_orderkey", "PARTITION BY round_doc").replace("FROM lineitem", "FROM round_lines")
+    pred = PRED.replace(GOLD, gold).replace("SELECT arm, seed, doc_id,", "SELECT arm, seed, round_doc,").replace("s.arm, s.seed,", "s.arm, g.round_seed AS seed,").replace("s.seed * 7", "g.round_seed * 7").replace(f"({SYSTEMS}) s", f"(SELECT '{arm}' AS arm) s")
+    return f"SELECT round_doc AS doc_id, ord, value, value_max, is_range, unit, metric_type, target_entity, entity_type, context_modifier FROM ({pred}) z"
+
+
 def _agreement(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    n = order_parts(s, d)
-    first, second = (ev.prepared(sql(s, d, r, n).drop("sentence")).repartition(n, "doc_id") for r in _ROUNDS)
+    n = 2 * order_parts(s, d)
+    lines = sql(s, d, "SELECT l.*, l_orderkey * 2 + round_seed AS round_doc, round_seed FROM lineitem l CROSS JOIN (VALUES (0), (1)) AS t(round_seed)")
+    lines.repartition(n, "round_doc").createOrReplaceTempView("round_lines")
+    first, second = (ev.prepared(s.sql(_line_rounds(arm))) for arm in ("base", "tuned"))
     docs = sql(s, d, _ROUND_DOCS).repartition(n, "doc_id")
     return ag.agreement(docs, first, docs, second, bounds=sql(s, d, _ROUND_BOUNDS), small_parts=True)
 

@@ -1020,3 +1020,19 @@ def test_strict_eval_moves_the_lines_alone(spark):
     moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
     assert len(moved) == 1 and "_doc" not in moved[0], moved
     assert "to_json" not in plan and plan.count("Exchange hashpartitioning(l_orderkey") == 2
+
+
+def test_rounds_are_derived_where_their_lines_are(spark, monkeypatch):
+    """The rounds are those of their SQL, and neither they nor the rows of the alignment are moved or stored."""
+    from mensura.plans import catalog
+    from mensura.plans.derive import sql
+
+    d, seen, plain = "/root/testdata/sf0.001", [], ag.agreement
+    monkeypatch.setattr(ag, "agreement", lambda *sides, **how: seen.append(sides) or plain(*sides, **how))
+    assert _stored_by(spark, monkeypatch, catalog.q_report_intervals) == {"crowded", "tallies"}
+    ((_, first, _, second),) = seen
+    for got, want in zip((first, second), catalog._ROUNDS):
+        rows = [Counter(map(tuple, x.select("doc_id", "ord", "value", "value_max", "is_range", "unit", "metric_type", "target_entity", "entity_type", "context_modifier").collect())) for x in (got, sql(spark, d, want))]
+        assert rows[0] == rows[1] and rows[0]
+        moved = [line for line in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+        assert len(moved) == 1 and "round_doc" in moved[0], moved
