@@ -1036,3 +1036,20 @@ def test_rounds_are_derived_where_their_lines_are(spark, monkeypatch):
         assert rows[0] == rows[1] and rows[0]
         moved = [line for line in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
         assert len(moved) == 1 and "round_doc" in moved[0], moved
+
+
+def test_evaluate_report_makes_no_rows(spark, monkeypatch):
+    """Its parts come from classes, and sentences are looked for in the predictions, which needn't be aligned for that."""
+    from mensura.plans import catalog
+
+    assert _stored_by(spark, monkeypatch, catalog.q_evaluate_report) == {"crowded", "tallies"}
+    rows = {(r.arm, r.seed, r.name): r.value for r in catalog.q_evaluate_report(spark, "/root/testdata/sf0.001").where("part = 'hallucination'").collect()}
+    assert rows["base", "0", "total"] == catalog._pred(spark, "/root/testdata/sf0.001").where("arm = 'base' AND seed = 0").count() > rows["base", "0", "grounded"] > 0
+
+
+def test_sentences_of_unlisted_systems_and_documents_are_not_counted(spark):
+    docs, gold, pred, systems = _odd_sides(spark)
+    said = ev.evaluate(docs, gold, pred, systems, abstracts=spark.createDataFrame([("d1", "an  s here"), ("d2", None)], "doc_id string, abstract string"))["hallucination"]
+    own = pred.where("arm = 'a' AND doc_id LIKE 'd%'")
+    want = {(r.arm, r.seed): (r.n, r.k) for r in own.groupBy("arm", "seed").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("doc_id") == "d1").cast("long")).alias("k")).collect()}
+    assert {(r.arm, r.seed): (r.total, r.grounded) for r in said.collect()} == want and len(want) == 2
